@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, license_scan, ngram_join, quality, sentencepiece_codec
+from . import decontamination, license_scan, ngram_join, quality, sentencepiece_codec, toxicity
 from .common import read_table
 
 
@@ -20,6 +20,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(read_table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op4_ngram_join": op4_ngram_join,
     "op5_quality": op5_quality,
     "op6_decontamination": op6_decontamination,
