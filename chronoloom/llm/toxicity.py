@@ -45,7 +45,8 @@ _SYMBOL[97:123] = _SYMBOL[65:91] = np.arange(1, 27)
 _SYMBOL[128:] = 27
 
 _CORE = re.compile(r"[0-9@$!|+*€(][a-z]|([a-z])\1\1")
-_APART = re.compile(r"(?<![^\W_])[a-z](?:[ .\-_*'~][a-z]){2,}(?![^\W_])")
+_APART = re.compile(r"(?<![^\W_])[a-z0-9@$!|](?:[ .\-_*'~][a-z0-9@$!|]){2,}(?![^\W_])")
+_TWICE = re.compile(r"([a-z])\1")
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -79,12 +80,13 @@ class Decoder:
         self.log = model.tolist()
         self.beam, self.kept, self.seen = beam, kept, {}
 
-    def _readings(self, c: str, before: str):
-        """(symbol or None for nothing, letter, cost) of a character."""
+    def _readings(self, c: str, drawn: bool):
+        """(symbol or None for nothing, letter, cost) of a character; ``drawn``: it may
+        only draw out the letter before it."""
         out = []
         if "a" <= c <= "z":
             out.append((ord(c) - 96, c, 0.0))
-            if c == before:
+            if drawn:
                 out.append((None, "", 1.0))
         for x in LEET.get(c, ""):
             out.append((ord(x) - 96, x, 0.7))
@@ -103,12 +105,15 @@ class Decoder:
     def _viterbi(self, token: str) -> str:
         # back pointers, not strings, so that long tokens cost time in proportion
         states = {(0, 0): (0.0, None)}
-        before = ""
-        for c in token:
+        # doubled letters are common; three in a row, or three doubled ones, are not
+        often = len(_TWICE.findall(token)) > 2
+        for i, c in enumerate(token):
+            same = i and token[i - 1] == c
+            drawn = bool(same and (often or token[i - 2 : i] == c + c and i > 1 or token[i + 1 : i + 2] == c))
             after: dict = {}
             for (a, b), (score, path) in states.items():
                 row = self.log[a][b]
-                for symbol, letter, cost in self._readings(c, before):
+                for symbol, letter, cost in self._readings(c, drawn):
                     if symbol is None:
                         key, value, step = (a, b), score - cost, path
                     else:
@@ -117,7 +122,7 @@ class Decoder:
                         after[key] = (value, step)
             if len(after) > self.beam:
                 after = dict(sorted(after.items(), key=lambda x: -x[1][0])[: self.beam])
-            states, before = after, c
+            states = after
         path = max(((score + self.log[a][b][0], id(path), path) for (a, b), (score, path) in states.items()), key=lambda x: x[0])[2]
         letters = []
         while path is not None:
@@ -131,10 +136,10 @@ class Decoder:
         found = []
         if _CORE.search(low):
             found = [t for t in low.split() if _CORE.search(t)]
-        found += [m[0] for m in _APART.finditer(low)]
+        found += [m[0] for m in _APART.finditer(low) if sum("a" <= c <= "z" for c in m[0]) > 1]
         out = []
         for token in found:
-            for reading in _WORDS.findall(self.decode(token.strip("()[]{}\"',.;:?#%&"))):
+            for reading in _WORDS.findall(self.decode(token.strip("()[]{}\"',.;:?#%&").rstrip("!*|+"))):
                 if len(reading) > 2:
                     out.append(reading)
         return out
