@@ -44,7 +44,7 @@ _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[97:123] = _SYMBOL[65:91] = np.arange(1, 27)
 _SYMBOL[128:] = 27
 
-_CORE = re.compile(r"[0-9@$!|+*€(][a-z]|([a-z])\1\1")
+_CORE = re.compile(r"[0-9@$!|+*€(][a-z]|([a-z])\1\1|(?:([a-z])\2){3}")
 _APART = re.compile(r"(?<![^\W_])[a-z0-9@$!|](?:[ .\-_*'~][a-z0-9@$!|]){2,}(?![^\W_])")
 _TWICE = re.compile(r"([a-z])\1")
 _WORDS = re.compile(r"[a-z]+")
