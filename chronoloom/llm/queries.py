@@ -8,8 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, html_text, license_scan, neighbours, ngram_join, quality, sentencepiece_codec, toxicity
+from . import chat, decontamination, html_text, license_scan, neighbours, ngram_join, pii, quality, sentencepiece_codec, toxicity
 from .common import read_table
 
 
@@ -20,6 +21,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -49,11 +54,17 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = chat.format_chat(read_table(spark, sf_dir, "conversations"))
+    return lines.select("conv_id", "turn", "kind", "call_id", "depth", "n_results", "valid", F.char_length("json").cast("long").alias("n_json"), F.sha2("json", 256).alias("json_sha256"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
     "op3_html": op3_html,
     "op4_ngram_join": op4_ngram_join,
@@ -61,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_licenses": op7_licenses,
     "op8_neighbours": op8_neighbours,
+    "op9_chat": op9_chat,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
@@ -73,4 +85,20 @@ ORACLES: dict[str, str] = {
                    row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE} DESC, c.vec_id) AS rank
             FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
         WHERE rank <= 5""",
+    "op9_chat": """
+        WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+        calls AS (SELECT conv_id, turn, text, conv_id || ':' || turn AS call_id FROM m WHERE role = 'user'),
+        results AS (SELECT conv_id, turn, text, conv_id || ':' || (turn - 1) AS call_id FROM m WHERE role = 'assistant'),
+        one AS (SELECT conv_id, call_id, min(text) AS content, count(*) AS n_results FROM results GROUP BY ALL),
+        lines AS (
+            SELECT c.conv_id, c.turn, 'call' AS kind, c.call_id, coalesce(o.n_results, 0) AS n_results,
+                   '{"arguments":{"text":' || CAST(to_json(c.text) AS VARCHAR) || '},"id":' || CAST(to_json(c.call_id) AS VARCHAR) || ',"name":"reply"'
+                   || CASE WHEN o.content IS NULL THEN '' ELSE ',"result":' || CAST(to_json(o.content) AS VARCHAR) END || '}' AS json
+            FROM calls c LEFT JOIN one o ON c.conv_id = o.conv_id AND c.call_id = o.call_id
+            UNION ALL
+            SELECT conv_id, turn, 'message', NULL, 0, '{"role":' || CAST(to_json(role) AS VARCHAR) || ',"text":' || CAST(to_json(text) AS VARCHAR) || '}'
+            FROM (SELECT conv_id, turn, role, text FROM m WHERE role NOT IN ('user', 'assistant')
+                  UNION ALL
+                  SELECT conv_id, turn, 'assistant', text FROM results r WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id)))
+        SELECT conv_id, turn, kind, call_id, CAST(0 AS INTEGER) AS depth, n_results, TRUE AS valid, CAST(length(json) AS BIGINT) AS n_json, sha256(json) AS json_sha256 FROM lines""",
 }
