@@ -1,4 +1,782 @@
-"""Queries over the given tables, and the SQL they are held against."""
+"""Queries over the given tables, and the SQL they are held against.
 
-QUERIES: dict = {}
+``query(name, sql)`` registers a function (spark, sf_dir) -> DataFrame with its SQL, or
+without one where SQL has no form of it. Derived doubles are rounded on both sides, as
+sums depend on the order of their terms in the last bits."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronoloom.functions import metrics as mt
+from chronoloom.operators import events as ev
+from chronoloom.operators import messages as ms
+from chronoloom.operators import partitioning as pt
+from chronoloom.operators import sampling as sp
+from chronoloom.operators import snapshots as sn
+from chronoloom.operators import state as st
+from chronoloom.operators import temporal as tp
+from chronoloom.sources import edges as src
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+SNAPS, BATCH, PARTS, SLOTS, K = 8, 200, 4, 3, 5
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def graph(spark: SparkSession, sf: str, *more: Column) -> DataFrame:
+    return src.event_graph(table(spark, sf, "events"), *more)
+
+
+def numbered(spark: SparkSession, sf: str) -> DataFrame:
+    return ev.with_row_number(graph(spark, sf), "ts", "eid")
+
+
+def snapped(spark: SparkSession, sf: str) -> DataFrame:
+    return sn.equal_count(numbered(spark, sf), SNAPS)
+
+
+def split(spark: SparkSession, sf: str) -> DataFrame:
+    return ev.event_batches(ev.assign_splits(numbered(spark, sf)), BATCH)
+
+
+def supply(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers to parts with an id that is unique and follows the rows' own values."""
+    item = table(spark, sf, "lineitem")
+    eid = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    return src.supply_graph(item).withColumn("eid", eid).groupBy("eid").agg(F.min(F.struct("ts", "src", "dst", "weight")).alias("e")).select("eid", "e.src", "e.dst", "e.ts", "e.weight")
+
+
+def node_parts(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = graph(spark, sf).select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return nodes.withColumn("part", pt.round_robin(F.col("node"), PARTS))
+
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    return graph(spark, sf).select("eid", F.round("weight", 1).alias("score"), (F.col("eid") % 3 == 0).cast("int").alias("label"))
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if c in names else F.col(c) for c in df.columns])
+
+
+EV = """ev AS (SELECT event_id AS eid, user_id AS src, CAST(json_extract_string(props, '$.k') AS BIGINT) + 1000000 AS dst,
+    epoch_us(ts) AS ts, value AS weight, row_number() OVER (ORDER BY ts, event_id) - 1 AS rn FROM events)"""
+TOTAL = "tot AS (SELECT count(*) AS n, CAST(floor(count(*) * 0.7) AS BIGINT) AS a, CAST(floor(count(*) * 0.15) AS BIGINT) AS b FROM ev)"
+SPLIT = f"""{EV}, {TOTAL}, sp AS (SELECT ev.*, CASE WHEN rn < a THEN 'train' WHEN rn < a + b THEN 'val' ELSE 'test' END AS split,
+    rn - CASE WHEN rn < a THEN 0 WHEN rn < a + b THEN a ELSE a + b END AS rn_in_split FROM ev, tot),
+    ba AS (SELECT *, CAST(floor(rn_in_split / {BATCH}) AS BIGINT) AS batch FROM sp)"""
+SNAP = f"{EV}, sn AS (SELECT *, CAST(floor(rn / ceil((SELECT count(*) FROM ev) / {SNAPS}.0)) AS BIGINT) AS snap FROM ev)"
+DEG = """deg AS (SELECT snap, node, sum(i) AS in_deg, sum(o) AS out_deg FROM (SELECT snap, src AS node, 0.0::DOUBLE AS i, weight AS o FROM sn
+    UNION ALL SELECT snap, dst, weight, 0.0::DOUBLE FROM sn) GROUP BY ALL)"""
+SUP = """sup AS (SELECT eid, e.src AS src, e.dst AS dst, e.ts AS ts, e.weight AS weight FROM (SELECT l_orderkey * 8 + l_linenumber AS eid,
+    min({'ts': epoch_us(l_shipdate), 'src': l_suppkey, 'dst': l_partkey + 1000000000, 'weight': l_quantity}) AS e FROM lineitem GROUP BY ALL))"""
+PART = f"{EV}, pn AS (SELECT DISTINCT node, CAST(node % {PARTS} AS INTEGER) AS part FROM (SELECT src AS node FROM ev UNION ALL SELECT dst FROM ev))"
+ENDS = f"{PART}, en AS (SELECT ev.*, CAST(src % {PARTS} AS INTEGER) AS sp, CAST(dst % {PARTS} AS INTEGER) AS dp FROM ev)"
+HALO = f"{ENDS}, ha AS (SELECT DISTINCT dp AS part, src AS node, sp AS owner FROM en WHERE sp <> dp)"
+LOCAL = f"""{HALO}, li AS (SELECT part, node, is_halo, row_number() OVER (PARTITION BY part ORDER BY is_halo, owner, node) - 1 AS local FROM
+    (SELECT part, node, FALSE AS is_halo, -1 AS owner FROM pn UNION ALL SELECT part, node, TRUE, owner FROM ha))"""
+MAIL = f"""{SPLIT}, tr AS (SELECT * FROM ba WHERE split = 'train'), ma AS (SELECT batch, eid, ts, src AS node, dst AS peer, 0 AS side FROM tr UNION ALL SELECT batch, eid, ts, dst, src, 1 FROM tr),
+    ca AS (SELECT node, batch, side, count(*) AS n, max({{'ts': ts, 'eid': eid, 'peer': peer}}) AS last FROM ma GROUP BY ALL),
+    wr AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY node ORDER BY batch, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) % {SLOTS} AS slot FROM ca)"""
+SCORED = "sc AS (SELECT event_id AS eid, round(value, 1) AS score, CAST(event_id % 3 = 0 AS INTEGER) AS label FROM events)"
+
+
+# Sources
+
+@query("edges_canonical", f"WITH {EV} SELECT eid, src, dst, ts, weight FROM ev")
+def edges_canonical(spark, sf):
+    return graph(spark, sf)
+
+
+@query("edge_lines", """SELECT l_suppkey AS src, l_partkey AS dst, CAST(l_linenumber AS DOUBLE) AS ts,
+    CASE WHEN l_orderkey % 3 = 1 THEN l_quantity ELSE 1.0 END AS weight FROM lineitem""")
+def edge_lines(spark, sf):
+    s, d, w, t = (F.col(c).cast("string") for c in ("l_suppkey", "l_partkey", "l_quantity", "l_linenumber"))
+    kind = F.col("l_orderkey") % 3
+    line = F.when(kind == 0, F.concat_ws(" ", s, d, t)).when(kind == 1, F.concat_ws(",", s, d, w, t)).otherwise(F.concat_ws("  ", F.lit("9"), s, d, t, w))
+    extra = table(spark, sf, "region").select(F.concat(F.lit("% "), "r_name").alias("value"))
+    return src.parse_edge_lines(table(spark, sf, "lineitem").select(line.alias("value")).union(extra))
+
+
+@query("edge_table_inferred", "SELECT l_suppkey AS src, l_partkey AS dst, CAST(l_orderkey AS DOUBLE) AS ts, l_quantity AS weight FROM lineitem")
+def edge_table_inferred(spark, sf):
+    named = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("w"), F.col("l_orderkey").alias("seen"))
+    return src.edges_from_table(named)
+
+
+@query("node_features", "SELECT c_custkey AS node, 0.0::DOUBLE AS ts, CAST(c_nationkey AS DOUBLE) AS f0, c_acctbal AS f1 FROM customer")
+def node_features(spark, sf):
+    feats = src.node_features(table(spark, sf, "customer").withColumnRenamed("c_custkey", "node_id"))
+    return feats.select("node", "ts", F.col("feat")[0].alias("f0"), F.col("feat")[1].alias("f1"))
+
+
+# Ids, order, splits
+
+@query("edges_remap", f"""WITH {EV}, ids AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS id FROM (SELECT src AS node FROM ev UNION SELECT dst FROM ev))
+    SELECT ev.eid, a.id AS src, b.id AS dst FROM ev JOIN ids a ON ev.src = a.node JOIN ids b ON ev.dst = b.node""")
+def edges_remap(spark, sf):
+    g = graph(spark, sf)
+    return ev.remap(g, ev.node_ids(g)).select("eid", "src", "dst")
+
+
+@query("features_remap", f"""WITH {EV}, ids AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS id FROM (SELECT src AS node FROM ev UNION SELECT dst FROM ev))
+    SELECT id AS node, c_acctbal FROM customer JOIN ids ON c_custkey = node""")
+def features_remap(spark, sf):
+    return ev.remap_features(table(spark, sf, "customer").select(F.col("c_custkey").alias("node"), "c_acctbal"), ev.node_ids(graph(spark, sf)))
+
+
+@query("row_number_ranged", f"WITH {EV} SELECT eid, rn FROM ev")
+def row_number_ranged(spark, sf):
+    return ev.with_row_number(graph(spark, sf), "ts", "eid", ranges=16).select("eid", "rn")
+
+
+@query("skiptime", f"WITH {SUP}, d AS (SELECT *, dense_rank() OVER (ORDER BY ts) AS r FROM sup) SELECT eid, src, dst, ts FROM d WHERE r > 30")
+def skiptime(spark, sf):
+    return ev.after_skiptime(supply(spark, sf), 30).select("eid", "src", "dst", "ts")
+
+
+@query("split_assign", f"WITH {SPLIT} SELECT eid, split, rn_in_split FROM sp")
+def split_assign(spark, sf):
+    return ev.assign_splits(numbered(spark, sf)).select("eid", "split", "rn_in_split")
+
+
+@query("event_batches", f"WITH {SPLIT} SELECT split, batch, count(*) AS n, min(ts) AS t0, max(ts) AS t1 FROM ba GROUP BY ALL")
+def event_batches(spark, sf):
+    return split(spark, sf).groupBy("split", "batch").agg(F.count("*").alias("n"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+
+
+@query("batch_plan", f"""WITH {SPLIT}, e AS (SELECT split, src % {PARTS} AS part, count(*) AS n FROM ba GROUP BY ALL)
+    SELECT split, CAST(sum(n) AS BIGINT) AS events, min(n) AS min_local, max(n) AS max_local FROM e GROUP BY split""")
+def batch_plan(spark, sf):
+    return ev.batch_plan(split(spark, sf), pt.round_robin(F.col("src"), PARTS))
+
+
+@query("visible_graph", f"WITH {SPLIT} SELECT eid, src, dst FROM sp WHERE split IN ('train', 'val')")
+def visible_graph(spark, sf):
+    return ev.visible_to(split(spark, sf), "val").select("eid", "src", "dst")
+
+
+@query("owned_events", f"WITH {EV} SELECT eid, src FROM ev WHERE src % {PARTS} = 1")
+def owned_events(spark, sf):
+    return ev.owned(graph(spark, sf), pt.round_robin(F.col("src"), PARTS), 1).select("eid", "src")
+
+
+@query("index_packing", f"WITH {EV} SELECT eid, dst | ((src % {PARTS}) << 48) | ((eid % 2) << 62) AS packed, dst AS loc, CAST(src % {PARTS} AS INTEGER) AS part, eid % 2 = 1 AS shared FROM ev")
+def index_packing(spark, sf):
+    packed = graph(spark, sf).select("eid", ev.pack_index(F.col("dst"), F.col("src") % PARTS, F.col("eid") % 2).alias("packed"))
+    loc, part, shared = ev.unpack_index(F.col("packed"))
+    return packed.select("eid", "packed", loc.alias("loc"), part.alias("part"), shared.alias("shared"))
+
+
+@query("feature_width", "SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS first, CAST(70 AS INTEGER) AS width, 0.0::DOUBLE AS last FROM embeddings")
+def feature_width(spark, sf):
+    wide = table(spark, sf, "embeddings").withColumn("f", ev.fit_width(F.col("embedding").cast("array<double>"), 70))
+    return wide.select("vec_id", F.round(F.col("f")[0], 6).alias("first"), F.size("f").alias("width"), F.col("f")[69].alias("last"))
+
+
+# Snapshots
+
+@query("snapshot_equal_count", f"WITH {SNAP} SELECT snap, count(*) AS n, round(sum(weight), 6) AS weight FROM sn GROUP BY ALL")
+def snapshot_equal_count(spark, sf):
+    return snapped(spark, sf).groupBy("snap").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
+@query("snapshot_stats", f"WITH {SNAP} SELECT s.snap, count(eid) AS n_edges, min(ts) AS t_start, max(ts) AS t_end FROM (SELECT unnest(range({SNAPS})) AS snap) s LEFT JOIN sn ON s.snap = sn.snap GROUP BY ALL")
+def snapshot_stats(spark, sf):
+    return sn.snapshot_stats(snapped(spark, sf), SNAPS)
+
+
+@query("snapshot_end_ts", f"WITH {SNAP} SELECT snap, max(ts) AS end_ts FROM sn GROUP BY ALL")
+def snapshot_end_ts(spark, sf):
+    return sn.snapshot_ends(snapped(spark, sf), SNAPS)
+
+
+@query("snapshot_degrees", f"WITH {SNAP}, {DEG} SELECT snap, node, round(in_deg, 6) AS in_deg, round(out_deg, 6) AS out_deg, round(ln(1 + in_deg), 6) AS label FROM deg")
+def snapshot_degrees(spark, sf):
+    return rounded(sn.degrees(snapped(spark, sf)), "in_deg", "out_deg", "label")
+
+
+@query("snapshot_labels", f"WITH {SNAP}, {DEG} SELECT snap, node, CASE WHEN snap < {SNAPS} - 1 THEN round(ln(1 + in_deg), 6) END AS label FROM deg")
+def snapshot_labels(spark, sf):
+    return sn.degrees(snapped(spark, sf)).select("snap", "node", F.when(F.col("snap") < SNAPS - 1, F.round("label", 6)).alias("label"))
+
+
+@query("window_masked", f"""WITH {EV}, b AS (SELECT min(ts) AS t0, greatest(min(ts) + 1, max(ts)) AS t1 FROM ev), w AS (SELECT t0, greatest(1.0, (t1 - t0)::DOUBLE / 20) AS itv FROM b),
+    h AS (SELECT i, eid, weight FROM ev, w, (SELECT unnest(range(17)) AS i) WHERE ts >= t0 + i * itv AND ts < t0 + (i + 4) * itv)
+    SELECT dense_rank() OVER (ORDER BY i) - 1 AS snap, count(*) AS n, round(sum(weight), 6) AS weight FROM h GROUP BY i""")
+def window_masked(spark, sf):
+    return sn.masked_windows(graph(spark, sf), 20, 3).groupBy("snap").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
+@query("window_batch", f"WITH {EV} SELECT CAST(floor(rn / 300) AS BIGINT) AS snap, count(*) AS n, max(ts) AS end_ts FROM ev GROUP BY ALL")
+def window_batch(spark, sf):
+    return sn.fixed_batches(numbered(spark, sf), 300).groupBy("snap").agg(F.count("*").alias("n"), F.max("ts").alias("end_ts"))
+
+
+@query("snapshot_normalised", f"""WITH {SNAP} SELECT s.snap, count(*) AS n FROM (SELECT unnest(range({SNAPS + 3})) AS snap) s JOIN sn ON sn.snap = least(s.snap, {SNAPS - 1}) GROUP BY ALL""")
+def snapshot_normalised(spark, sf):
+    return sn.normalised_count(snapped(spark, sf), SNAPS, SNAPS + 3).groupBy("snap").agg(F.count("*").alias("n"))
+
+
+@query("warmup_tags", f"WITH {SNAP} SELECT snap, count(*) AS n, CASE WHEN snap < 5 THEN 'snapshot_warmup' ELSE 'snapshot_val' END AS chain FROM sn GROUP BY ALL")
+def warmup_tags(spark, sf):
+    return sn.warmup_tags(snapped(spark, sf), 5, "val").groupBy("snap", "chain").agg(F.count("*").alias("n"))
+
+
+@query("model_windows", f"WITH {SNAP}, s AS (SELECT snap, count(*) AS n FROM sn GROUP BY ALL) SELECT a.snap AS at, b.snap, a.snap - b.snap AS age, b.n FROM s a JOIN s b ON b.snap BETWEEN a.snap - 2 AND a.snap")
+def model_windows(spark, sf):
+    sizes = snapped(spark, sf).groupBy("snap").agg(F.count("*").alias("n"))
+    return sn.model_windows(sizes.select("snap"), 3).join(sizes, "snap").select("at", "snap", "age", "n")
+
+
+@query("novelty_slices", f"""WITH {EV}, f AS (SELECT *, min(rn) OVER (PARTITION BY src, dst) AS fr FROM ev),
+    s AS (SELECT CAST(floor(rn / {BATCH}) AS BIGINT) AS batch, greatest(avg(CASE WHEN rn = fr THEN 1.0 ELSE -0.5 END), 0.0) AS score FROM f GROUP BY ALL)
+    SELECT batch, round(score, 6) AS score FROM s""")
+def novelty_slices(spark, sf):
+    return rounded(sn.novelty_cuts(numbered(spark, sf), BATCH).select("batch", "score"), "score")
+
+
+@query("lifetime_graph", f"WITH {SNAP} SELECT src, dst, count(*) AS n, round(sum(weight), 6) AS weight FROM sn GROUP BY ALL")
+def lifetime_graph(spark, sf):
+    return snapped(spark, sf).drop("snap").groupBy("src", "dst").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
+@query("snapshot_range", f"WITH {SNAP} SELECT eid, snap - 2 AS snap FROM sn WHERE snap BETWEEN 2 AND 4")
+def snapshot_range(spark, sf):
+    return snapped(spark, sf).where("snap between 2 and 4").select("eid", (F.col("snap") - 2).alias("snap"))
+
+
+# Lookups in time
+
+@query("asof_features", """WITH q AS (SELECT event_id AS eid, user_id AS node, epoch_us(ts) AS ts FROM events WHERE event_type = 'purchase'),
+    h AS (SELECT user_id AS node, epoch_us(ts) AS ts, event_id AS seen, value FROM events WHERE event_type = 'click')
+    SELECT q.eid, q.node, q.ts, h.seen, h.value FROM q ASOF LEFT JOIN h ON q.node = h.node AND q.ts >= h.ts""")
+def asof_features(spark, sf):
+    q, h = _histories(spark, sf)
+    return tp.asof(q, h, "node", "ts", ["seen", "value"], "seen")
+
+
+def _histories(spark, sf):
+    e = graph(spark, sf, F.col("event_type")).withColumnRenamed("src", "node")
+    return e.where("event_type = 'purchase'").select("eid", "node", "ts"), e.where("event_type = 'click'").select("node", "ts", F.col("eid").alias("seen"), F.col("weight").alias("value"))
+
+
+@query("asof_salted", ORACLES["asof_features"])
+def asof_salted(spark, sf):
+    q, h = _histories(spark, sf)
+    return tp.asof_salted(q, h, "node", "ts", ["seen", "value"], 86_400_000_000, "seen")
+
+
+@query("asof_snapshot", f"""WITH {SNAP}, en AS (SELECT snap, max(ts) AS ts FROM sn GROUP BY ALL), q AS (SELECT snap, node, ts FROM en, (SELECT DISTINCT src AS node FROM ev)),
+    h AS (SELECT user_id AS node, epoch_us(ts) AS ts, value FROM events WHERE event_type = 'click')
+    SELECT q.snap, q.node, q.ts, coalesce(h.value, 0.0) AS value FROM q ASOF LEFT JOIN h ON q.node = h.node AND q.ts >= h.ts""")
+def asof_snapshot(spark, sf):
+    _, h = _histories(spark, sf)
+    g = snapped(spark, sf)
+    ends = F.broadcast(sn.snapshot_ends(g, SNAPS).withColumnRenamed("end_ts", "ts"))  # one row for each snapshot
+    nodes = g.select(F.col("src").alias("node")).distinct()
+    asked = nodes.withColumn("snap", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SNAPS - 1).cast("long")))).join(ends, "snap")
+    return tp.asof(asked, h, "node", "ts", ["value"]).select("snap", "node", "ts", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+RECENT = """SELECT a.eid AS root_eid, a.src AS root, b.eid AS nbr_eid, b.dst AS nbr, a.ts - b.ts AS dt,
+    row_number() OVER (PARTITION BY a.eid ORDER BY b.ts DESC, b.eid DESC) AS rank FROM {t} a JOIN {t} b ON a.src = b.src AND b.ts < a.ts"""
+
+
+@query("recent_k", f"WITH {EV}, r AS ({RECENT.format(t='ev')}) SELECT * FROM r WHERE rank <= {K}")
+def recent_k(spark, sf):
+    return tp.recent_k(graph(spark, sf), K)
+
+
+@query("recent_k_ties", f"WITH {SUP}, r AS ({RECENT.format(t='sup')}) SELECT * FROM r WHERE rank <= {K}")
+def recent_k_ties(spark, sf):
+    return tp.recent_k(supply(spark, sf), K)
+
+
+ROOTS = f"{SPLIT}, last AS (SELECT batch, max(ts) AS root_ts FROM ba WHERE split = 'val' GROUP BY ALL), ro AS (SELECT DISTINCT root, root_ts FROM (SELECT batch, src AS root FROM ba WHERE split = 'val' UNION SELECT batch, dst FROM ba WHERE split = 'val') JOIN last USING (batch))"
+OF_ROOTS = """SELECT {r}.root, {r}.root_ts, ev.eid AS nbr_eid, ev.dst AS nbr, {r}.root_ts - ev.ts AS dt,
+    row_number() OVER (PARTITION BY {r}.root, {r}.root_ts ORDER BY ev.ts DESC, ev.eid DESC) AS rank FROM {r} JOIN ev ON ev.src = {r}.root AND ev.ts < {r}.root_ts"""
+
+
+def _val_roots(spark, sf):
+    return tp.batch_roots(split(spark, sf).where("split = 'val'")).select("root", "root_ts")
+
+
+@query("recent_k_batch_max", f"WITH {ROOTS}, r AS ({OF_ROOTS.format(r='ro')}) SELECT * FROM r WHERE rank <= {K}")
+def recent_k_batch_max(spark, sf):
+    return tp.recent_k_of(_val_roots(spark, sf), graph(spark, sf), K)
+
+
+BOTH = EV.replace("ev AS (", "e0 AS (") + ", ev AS (SELECT eid * 2 AS eid, src, dst, ts FROM e0 UNION ALL SELECT eid * 2 + 1, dst, src, ts FROM e0)"
+TWO_HOP = f"""WITH {BOTH}, ro AS (SELECT DISTINCT src AS root, ts AS root_ts FROM ev WHERE eid % 100 = 0), h1 AS (SELECT * FROM ({OF_ROOTS.format(r='ro')}) WHERE rank <= 3),
+    r2 AS (SELECT DISTINCT nbr AS root, root_ts FROM h1), h2 AS (SELECT * FROM ({OF_ROOTS.format(r='r2')}) WHERE rank <= 2)"""
+
+
+def _two_hop(spark, sf):
+    g = graph(spark, sf)
+    both = g.select((F.col("eid") * 2).alias("eid"), "src", "dst", "ts").union(g.select(F.col("eid") * 2 + 1, "dst", "src", "ts"))
+    return tp.hops(both, both.where("eid % 100 = 0").select(F.col("src").alias("root"), F.col("ts").alias("root_ts")), [3, 2])
+
+
+@query("two_hop", TWO_HOP + " SELECT 1 AS hop, * FROM h1 UNION ALL SELECT 2, * FROM h2")
+def two_hop(spark, sf):
+    return _two_hop(spark, sf).withColumn("hop", F.col("hop").cast("int"))
+
+
+@query("sample_unique_nodes", TWO_HOP + " SELECT DISTINCT nbr FROM (SELECT nbr FROM h1 UNION ALL SELECT nbr FROM h2)")
+def sample_unique_nodes(spark, sf):
+    return _two_hop(spark, sf).select("nbr").distinct()
+
+
+@query("uniform_k", f"""WITH {EV}, o AS (SELECT eid, src, row_number() OVER (PARTITION BY src ORDER BY ts, eid) AS k, rank() OVER (PARTITION BY src ORDER BY ts) - 1 AS before FROM ev),
+    d AS (SELECT eid AS root_eid, src, before, draw FROM o, (SELECT unnest(range(1, 4)) AS draw) WHERE before > 0)
+    SELECT root_eid, o.eid AS nbr_eid, draw FROM d JOIN o ON o.src = d.src AND o.k = (((root_eid * 3 + draw) * 48271 + 7) % 2147483647) % d.before + 1""")
+def uniform_k(spark, sf):
+    return tp.uniform_k(graph(spark, sf), 3)
+
+
+@query("delta_time", f"WITH {EV}, r AS ({RECENT.format(t='ev')}) SELECT root, count(*) AS n, CAST(sum(dt) AS BIGINT) AS dt FROM r WHERE rank <= {K} GROUP BY ALL")
+def delta_time(spark, sf):
+    return tp.recent_k(graph(spark, sf), K).groupBy("root").agg(F.count("*").alias("n"), F.sum("dt").alias("dt"))
+
+
+@query("time_encode", f"WITH {EV} SELECT eid, i, round(cos(CAST(rn AS DOUBLE) * pow(10.0, -9.0 * i / 7)), 6) AS x FROM ev, (SELECT CAST(unnest(range(8)) AS INTEGER) AS i)")
+def time_encode(spark, sf):
+    return numbered(spark, sf).select("eid", F.posexplode(tp.time_encoding(F.col("rn").cast("double"), 8)).alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+# Partitions
+
+@query("parts_round_robin", f"WITH {PART} SELECT node, part FROM pn")
+def parts_round_robin(spark, sf):
+    return node_parts(spark, sf)
+
+
+@query("parts_range", f"""WITH {EV}, ids AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS id FROM (SELECT src AS node FROM ev UNION SELECT dst FROM ev))
+    SELECT node, CAST(floor(id * {PARTS} / (SELECT count(*) FROM ids)) AS INTEGER) AS part FROM ids""")
+def parts_range(spark, sf):
+    ids = ev.node_ids(graph(spark, sf))
+    return ids.select("node", pt.contiguous(F.col("id"), ids.count(), PARTS).alias("part"))
+
+
+@query("part_sizes", f"WITH {PART} SELECT part, count(*) AS n_nodes FROM pn GROUP BY ALL")
+def part_sizes(spark, sf):
+    return pt.part_sizes(node_parts(spark, sf))
+
+
+@query("unassigned_repair", f"WITH {PART}, m AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i FROM pn WHERE node % 7 = 0) SELECT pn.node, CAST(coalesce(m.i % {PARTS}, part) AS INTEGER) AS part FROM pn LEFT JOIN m ON pn.node = m.node")
+def unassigned_repair(spark, sf):
+    holes = node_parts(spark, sf).withColumn("part", F.when(F.col("node") % 7 == 0, -1).otherwise(F.col("part")))
+    return pt.repaired(holes)
+
+
+@query("edge_owner", f"WITH {ENDS} SELECT eid, sp AS part FROM en")
+def edge_owner(spark, sf):
+    return pt.edge_owner(graph(spark, sf), node_parts(spark, sf))
+
+
+@query("halo_nodes", f"WITH {HALO} SELECT * FROM ha")
+def halo_nodes(spark, sf):
+    return pt.halo(graph(spark, sf), node_parts(spark, sf))
+
+
+@query("route_sizes", f"WITH {HALO} SELECT owner AS src_part, part AS dst_part, count(*) AS n FROM ha GROUP BY ALL")
+def route_sizes(spark, sf):
+    return pt.route_sizes(halo_nodes(spark, sf))
+
+
+def _index(spark, sf):
+    return pt.local_index(node_parts(spark, sf), halo_nodes(spark, sf))
+
+
+@query("local_index", f"WITH {LOCAL} SELECT * FROM li")
+def local_index(spark, sf):
+    return _index(spark, sf)
+
+
+@query("send_index", f"WITH {LOCAL} SELECT owner AS src_part, ha.part AS dst_part, ha.node, li.local FROM ha JOIN li ON li.part = ha.owner AND li.node = ha.node AND NOT li.is_halo")
+def send_index(spark, sf):
+    return pt.send_index(halo_nodes(spark, sf), _index(spark, sf))
+
+
+BLOCK = f"{LOCAL}, bl AS (SELECT dp AS part, eid, a.local AS src_local, b.local AS dst_local, weight FROM en JOIN li a ON a.part = dp AND a.node = en.src JOIN li b ON b.part = dp AND b.node = en.dst)"
+
+
+@query("block_edges", f"WITH {BLOCK} SELECT * FROM bl")
+def block_edges(spark, sf):
+    return pt.block_edges(graph(spark, sf), node_parts(spark, sf), _index(spark, sf))
+
+
+@query("truncate_prefix", f"WITH {BLOCK} SELECT part, eid FROM bl WHERE src_local < 40 AND dst_local < 40")
+def truncate_prefix(spark, sf):
+    return pt.truncated(block_edges(spark, sf), 40).select("part", "eid")
+
+
+@query("gcn_norm", f"""WITH {SNAP}, i AS (SELECT snap, dst, sum(weight) AS d FROM sn GROUP BY ALL), o AS (SELECT snap, src, sum(weight) AS d FROM sn GROUP BY ALL)
+    SELECT eid, round(weight / (sqrt(greatest(i.d, 1e-12)) * sqrt(greatest(o.d, 1e-12))), 6) AS norm FROM sn JOIN i USING (snap, dst) JOIN o USING (snap, src)""")
+def gcn_norm(spark, sf):
+    return rounded(pt.gcn_norm(snapped(spark, sf), ["snap"]).select("eid", "norm"), "norm")
+
+
+@query("gcn_norm_fallback", f"WITH {EV} SELECT eid, round(weight / greatest(sum(weight) OVER (PARTITION BY dst), 1.0), 6) AS norm FROM ev")
+def gcn_norm_fallback(spark, sf):
+    return rounded(pt.mean_norm(graph(spark, sf)).select("eid", "norm"), "norm")
+
+
+@query("message_pass", f"""WITH {EV}, i AS (SELECT dst, sum(weight) AS d FROM ev GROUP BY ALL), o AS (SELECT src, sum(weight) AS d FROM ev GROUP BY ALL)
+    SELECT dst AS node, round(sum(weight / (sqrt(greatest(i.d, 1e-12)) * sqrt(greatest(o.d, 1e-12))) * (src % 10)), 6) AS value FROM ev JOIN i USING (dst) JOIN o USING (src) GROUP BY ALL""")
+def message_pass(spark, sf):
+    normed = pt.gcn_norm(graph(spark, sf)).withColumn("value", F.col("src") % 10)
+    return rounded(ms.propagate(normed), "value")
+
+
+@query("message_pass_vectors", """SELECT l_partkey AS node, CAST(i - 1 AS INTEGER) AS i, round(sum(l_quantity * embedding[i]::DOUBLE), 4) AS x
+    FROM lineitem JOIN embeddings ON l_suppkey = vec_id, (SELECT unnest(range(1, 5)) AS i) GROUP BY ALL""")
+def message_pass_vectors(spark, sf):
+    e = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("norm"))
+    f = table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("feat"))
+    return ms.propagate_vectors(e, f).select("node", F.posexplode("feat").alias("i", "x")).withColumn("x", F.round("x", 4))
+
+
+@query("edge_softmax", f"WITH {EV}, m AS (SELECT *, exp(weight - max(weight) OVER (PARTITION BY dst)) AS e FROM ev) SELECT eid, round(e / sum(e) OVER (PARTITION BY dst), 6) AS attention FROM m")
+def edge_softmax(spark, sf):
+    return rounded(ms.edge_softmax(graph(spark, sf), "weight").select("eid", "attention"), "attention")
+
+
+@query("mean_pool", "SELECT label, CAST(i - 1 AS INTEGER) AS i, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL")
+def mean_pool(spark, sf):
+    f = table(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("feat"))
+    return rounded(ms.mean_pool(f, ["label"]), "mean")
+
+
+@query("link_scores", f"""WITH {EV} SELECT eid, round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)), 6) AS score
+    FROM ev JOIN embeddings a ON ev.src = a.vec_id JOIN embeddings b ON ev.dst - 1000000 = b.vec_id""")
+def link_scores(spark, sf):
+    f = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    pairs = graph(spark, sf).join(f.toDF("src", "a"), "src").join(f.select((F.col("vec_id") + 1_000_000).alias("dst"), F.col("v").alias("b")), "dst")
+    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return pairs.select("eid", F.round(dot, 6).alias("score"))
+
+
+@query("cross_ratio", f"WITH {ENDS} SELECT round(avg(CASE WHEN sp <> dp THEN 1.0 ELSE 0.0 END), 6) AS ratio, count(*) AS n_edges FROM en")
+def cross_ratio(spark, sf):
+    return rounded(pt.cross_ratio(graph(spark, sf), node_parts(spark, sf)), "ratio")
+
+
+def _chunked_nodes(spark, sf):
+    return node_parts(spark, sf).withColumn("chunk", F.col("node") % 6)
+
+
+@query("chunk_ends", f"WITH {PART}, c AS (SELECT 5 - node % 6 AS rank, count(*) AS n FROM pn GROUP BY ALL) SELECT rank, CAST(sum(n) OVER (ORDER BY rank) AS BIGINT) AS end FROM c")
+def chunk_ends(spark, sf):
+    return pt.chunk_ends(_chunked_nodes(spark, sf), pt.chunk_order("reverse", 6))
+
+
+@query("chunk_reorder", f"WITH {PART}, c AS (SELECT node % 6 AS chunk, count(*) AS score FROM pn GROUP BY ALL) SELECT chunk, row_number() OVER (ORDER BY score DESC, chunk) - 1 AS rank FROM c")
+def chunk_reorder(spark, sf):
+    return pt.reordered(_chunked_nodes(spark, sf).groupBy("chunk").agg(F.count("*").alias("score")))
+
+
+@query("node_permutation", f"WITH {PART} SELECT node, part, row_number() OVER (PARTITION BY part ORDER BY 5 - node % 6, node) - 1 AS place FROM pn")
+def node_permutation(spark, sf):
+    return pt.permuted(_chunked_nodes(spark, sf), pt.chunk_order("reverse", 6)).select("node", "part", "place")
+
+
+@query("induced_subgraph", f"WITH {PART} SELECT eid, src, dst FROM ev WHERE src % 3 = 0 AND dst % 3 = 0")
+def induced_subgraph(spark, sf):
+    return pt.induced(graph(spark, sf), node_parts(spark, sf).where("node % 3 = 0")).select("eid", "src", "dst")
+
+
+HOT = f"{EV}, dg AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM ev UNION ALL SELECT dst FROM ev) GROUP BY ALL), hot AS (SELECT node, degree FROM dg ORDER BY degree DESC, node LIMIT (SELECT CAST(floor(count(*) * 0.1) AS BIGINT) FROM dg))"
+
+
+@query("hot_nodes", f"WITH {HOT} SELECT * FROM hot")
+def hot_nodes(spark, sf):
+    return pt.hot_nodes(graph(spark, sf))
+
+
+@query("hot_aware_cut")
+def hot_aware_cut(spark, sf):
+    """Edges of each part of the vertex cut, and how many parts a node is in on average."""
+    nodes, edges = pt.hot_aware(graph(spark, sf), PARTS)
+    copies = nodes.groupBy("node").agg(F.count("*").alias("c")).agg(F.avg("c").alias("copies"))
+    # the one row of the average
+    return edges.groupBy("part").agg(F.count("*").alias("n")).crossJoin(F.broadcast(copies))
+
+
+@query("label_propagation_parts")
+def label_propagation_parts(spark, sf):
+    return pt.label_propagation(graph(spark, sf), PARTS)
+
+
+# State
+
+def _train(spark, sf):
+    return split(spark, sf).where("split = 'train'")
+
+
+@query("mailbox_last", f"""WITH {MAIL}, s AS (SELECT node, slot, max_by({{'eid': last.eid, 'ts': last.ts, 'peer': last.peer}}, batch * 2 + side) AS m FROM wr GROUP BY ALL)
+    SELECT node, slot, m.eid AS eid, m.ts AS ts, m.peer AS peer FROM s""")
+def mailbox_last(spark, sf):
+    return st.mailbox(_train(spark, sf), SLOTS)
+
+
+@query("mailbox_ring_pos", f"WITH {MAIL} SELECT node, count(*) % {SLOTS} AS pos FROM ma GROUP BY ALL")
+def mailbox_ring_pos(spark, sf):
+    return st.ring_position(_train(spark, sf), SLOTS)
+
+
+@query("mailbox_messages", f"""WITH {MAIL}, s AS (SELECT node, slot, max_by({{'eid': last.eid, 'peer': last.peer}}, batch * 2 + side) AS m FROM wr GROUP BY ALL)
+    SELECT node, slot, (node % 5)::DOUBLE AS own, (m.peer % 5)::DOUBLE AS peer_mem, CAST(4 AS INTEGER) AS width FROM s""")
+def mailbox_messages(spark, sf):
+    memory = node_parts(spark, sf).select("node", F.array((F.col("node") % 5).cast("double")).alias("memory"))
+    feats = graph(spark, sf).select("eid", F.array("weight").alias("feat"))
+    full = st.messages(st.mailbox(_train(spark, sf), SLOTS), memory, feats, 2)
+    return full.select("node", "slot", F.col("mail")[0].alias("own"), F.col("mail")[1].alias("peer_mem"), F.size("mail").alias("width"))
+
+
+@query("memory_last", f"WITH {EV} SELECT src AS node, arg_max(weight, rn) AS value, max(ts) AS ts FROM ev GROUP BY ALL")
+def memory_last(spark, sf):
+    return st.memory_last(graph(spark, sf).select(F.col("src").alias("node"), F.col("weight").alias("value"), "ts", "eid"))
+
+
+@query("memory_touched", f"WITH {MAIL}, l AS (SELECT batch, max(ts) AS t FROM tr GROUP BY ALL) SELECT node, max(t) AS memory_ts FROM ma JOIN l USING (batch) GROUP BY ALL")
+def memory_touched(spark, sf):
+    return st.touched(_train(spark, sf))
+
+
+NEWER = f"{EV}, a AS (SELECT src AS node, max(ts) AS ts, count(*) AS n FROM ev WHERE eid % 2 = 0 GROUP BY ALL), b AS (SELECT src AS node, max(ts) AS ts, count(*) AS n FROM ev WHERE eid % 2 = 1 AND src % 3 <> 0 GROUP BY ALL)"
+
+
+@query("mail_merge_newer", f"WITH {NEWER} SELECT coalesce(a.node, b.node) AS node, CASE WHEN a.node IS NULL OR b.ts > a.ts THEN b.ts ELSE a.ts END AS ts, CASE WHEN a.node IS NULL OR b.ts > a.ts THEN b.n ELSE a.n END AS n FROM a FULL JOIN b ON a.node = b.node")
+def mail_merge_newer(spark, sf):
+    each = lambda g: g.groupBy(F.col("src").alias("node")).agg(F.max("ts").alias("ts"), F.count("*").alias("n"))
+    g = graph(spark, sf)
+    return st.newer(each(g.where("eid % 2 = 0")), each(g.where("eid % 2 = 1 and src % 3 != 0")))
+
+
+@query("cosine_changed", """SELECT a.vec_id AS node, b.vec_id IS NULL OR 1.0 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.9 AS changed
+    FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1 AND b.vec_id % 5 <> 0""")
+def cosine_changed(spark, sf):
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("memory"))
+    cached = v.where("node % 5 != 0").select((F.col("node") - 1).alias("node"), "memory")
+    return st.changed(v, cached, 0.1).select("node", "changed")
+
+
+@query("state_pad", f"WITH {PART}, s AS (SELECT src AS node, max(weight) AS w FROM ev GROUP BY ALL) SELECT pn.node, coalesce(w, 0.0) AS state FROM pn LEFT JOIN s ON pn.node = s.node")
+def state_pad(spark, sf):
+    state = graph(spark, sf).groupBy(F.col("src").alias("node")).agg(F.array(F.max("weight")).alias("state"))
+    return st.padded(node_parts(spark, sf).select("node"), state, 1).select("node", F.col("state")[0].alias("state"))
+
+
+@query("state_mix", f"WITH {SNAP}, c AS (SELECT src AS node, max(weight) AS w FROM sn WHERE snap = 5 GROUP BY ALL), p AS (SELECT src AS node, max(weight) AS w FROM sn WHERE snap < 5 GROUP BY ALL) SELECT coalesce(c.node, p.node) AS node, coalesce(c.w, p.w) AS state FROM c FULL JOIN p ON c.node = p.node")
+def state_mix(spark, sf):
+    g = snapped(spark, sf)
+    each = lambda x: x.groupBy(F.col("src").alias("node")).agg(F.max("weight").alias("state"))
+    return st.mixed(each(g.where("snap = 5")), each(g.where("snap < 5")))
+
+
+@query("reuse_table", f"WITH {SNAP}, a AS (SELECT DISTINCT src AS node, snap AS slice FROM sn) SELECT *, lead(slice) OVER (PARTITION BY node ORDER BY slice) AS next_slice, lead(slice) OVER (PARTITION BY node ORDER BY slice) - slice AS gap FROM a")
+def reuse_table(spark, sf):
+    return st.reuse(snapped(spark, sf).select(F.col("src").alias("node"), F.col("snap").alias("slice")))
+
+
+@query("most_used", f"WITH {EV} SELECT dst AS node, count(*) AS uses FROM ev GROUP BY ALL ORDER BY uses DESC, node LIMIT 20")
+def most_used(spark, sf):
+    return st.most_used(graph(spark, sf).select(F.col("dst").alias("node")), 20)
+
+
+# Negatives and chunks
+
+POOL = f"{EV}, po AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i FROM (SELECT DISTINCT dst AS node FROM ev)), np AS (SELECT count(*) AS n FROM po)"
+NEG = f"""{POOL}, dr AS (SELECT eid, src, dst, ((eid * 48271 + 7) % 2147483647) % n AS i, n FROM ev, np), mv AS (SELECT dr.eid, dr.src, dr.dst, CASE WHEN po.node = dr.dst THEN (dr.i + 1) % n ELSE dr.i END AS i FROM dr JOIN po ON po.i = dr.i),
+    ne AS (SELECT eid, src, dst, node AS neg FROM mv JOIN po ON po.i = mv.i)"""
+
+
+@query("dst_pool", f"WITH {POOL} SELECT i, node FROM po")
+def dst_pool(spark, sf):
+    return sp.pool(graph(spark, sf))
+
+
+@query("negatives", f"WITH {NEG} SELECT * FROM ne")
+def negatives(spark, sf):
+    g = graph(spark, sf)
+    return sp.negatives(g, sp.pool(g))
+
+
+@query("negatives_excluded", f"WITH {NEG} SELECT * FROM ne WHERE src <> neg AND NOT EXISTS (SELECT 1 FROM ev WHERE ev.src = ne.src AND ev.dst = ne.neg)")
+def negatives_excluded(spark, sf):
+    g = graph(spark, sf)
+    return sp.without_positives(negatives(spark, sf), g)
+
+
+CHUNK = f"{SNAP}, ch AS (SELECT sn.*, snap AS slice, src % 3 AS src_cluster, dst % 3 AS dst_cluster, CASE WHEN src % 3 = dst % 3 THEN src % 3 ELSE -1 END AS cluster FROM sn), ct AS (SELECT *, row_number() OVER (ORDER BY slice, cluster) - 1 AS chunk_id FROM (SELECT slice, cluster, count(*) AS n_edges, min(ts) AS t_start, max(ts) AS t_end FROM ch GROUP BY ALL))"
+
+
+def _chunks(spark, sf):
+    clusters = node_parts(spark, sf).select("node", (F.col("node") % 3).alias("cluster"))
+    return sp.chunks(snapped(spark, sf), F.col("snap"), clusters)
+
+
+@query("chunk_expand", f"WITH {CHUNK} SELECT * FROM ct")
+def chunk_expand(spark, sf):
+    return sp.chunk_table(_chunks(spark, sf))
+
+
+@query("chunk_cross_edges", f"WITH {CHUNK} SELECT slice, src_cluster AS from_cluster, dst_cluster AS to_cluster, count(*) AS n FROM ch WHERE src_cluster <> dst_cluster GROUP BY ALL")
+def chunk_cross_edges(spark, sf):
+    return sp.cross_edges(_chunks(spark, sf))
+
+
+@query("chunk_temporal_deps", f"WITH {CHUNK} SELECT a.chunk_id, b.chunk_id AS dep, row_number() OVER (PARTITION BY a.chunk_id ORDER BY b.slice DESC) AS steps_back, round(pow(0.9, row_number() OVER (PARTITION BY a.chunk_id ORDER BY b.slice DESC)), 6) AS weight FROM ct a JOIN ct b ON a.cluster = b.cluster AND b.slice < a.slice")
+def chunk_temporal_deps(spark, sf):
+    return rounded(sp.temporal_deps(chunk_expand(spark, sf)), "weight")
+
+
+@query("chunk_graph_deps", f"WITH {CHUNK} SELECT DISTINCT slice, src_cluster AS cluster, dst_cluster AS dep_cluster FROM ch WHERE src_cluster <> dst_cluster UNION SELECT DISTINCT slice, dst_cluster, src_cluster FROM ch WHERE src_cluster <> dst_cluster")
+def chunk_graph_deps(spark, sf):
+    return sp.graph_deps(_chunks(spark, sf))
+
+
+@query("chunk_remote_nodes", f"WITH {CHUNK} SELECT slice, cluster, node, home, count(*) AS n FROM (SELECT slice, src_cluster AS cluster, dst AS node, dst_cluster AS home FROM ch WHERE src_cluster <> dst_cluster UNION ALL SELECT slice, dst_cluster, src, src_cluster FROM ch WHERE src_cluster <> dst_cluster) GROUP BY ALL")
+def chunk_remote_nodes(spark, sf):
+    return sp.remote_nodes(_chunks(spark, sf))
+
+
+# Metrics
+
+@query("auc_score", f"WITH {SCORED}, g AS (SELECT score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM sc GROUP BY ALL), c AS (SELECT *, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM g) SELECT round(sum(p * (nb + n / 2.0))::DOUBLE / (sum(p)::DOUBLE * sum(n)::DOUBLE), 6) AS auc, round(sum(p * nb)::DOUBLE / (sum(p)::DOUBLE * sum(n)::DOUBLE), 6) AS auc_strict FROM c")
+def auc_score(spark, sf):
+    return rounded(mt.auc(scored(spark, sf)), "auc", "auc_strict")
+
+
+@query("pairwise_win_rate", f"WITH {SCORED}, g AS (SELECT score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM sc GROUP BY ALL), c AS (SELECT *, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM g), r AS (SELECT round(sum(p * nb)::DOUBLE / (sum(p)::DOUBLE * sum(n)::DOUBLE), 6) AS v FROM c) SELECT v AS pairwise_win_rate, v AS mrr FROM r")
+def pairwise_win_rate(spark, sf):
+    return rounded(mt.pairwise_win_rate(scored(spark, sf)), "pairwise_win_rate", "mrr")
+
+
+@query("ap_score", f"WITH {SCORED}, g AS (SELECT score, count(*) FILTER (label = 1) AS p, count(*) AS k FROM sc GROUP BY ALL), c AS (SELECT p, sum(p) OVER (ORDER BY score DESC) AS tp, sum(k) OVER (ORDER BY score DESC) AS seen FROM g) SELECT round(sum(p::DOUBLE * tp::DOUBLE / seen::DOUBLE) / sum(p)::DOUBLE, 6) AS ap FROM c")
+def ap_score(spark, sf):
+    return rounded(mt.average_precision(scored(spark, sf)), "ap")
+
+
+@query("pseudo_ap", f"WITH {SCORED} SELECT round(least(greatest((avg(1 / (1 + exp(-score))) FILTER (label = 1) - avg(1 / (1 + exp(-score))) FILTER (label = 0)) / 2 + 0.5, 0), 1), 6) AS pseudo_ap FROM sc")
+def pseudo_ap(spark, sf):
+    return rounded(mt.pseudo_ap(scored(spark, sf)), "pseudo_ap")
+
+
+@query("bce_loss", f"WITH {SCORED} SELECT round(avg(greatest(score, 0.0) - score * label + ln(1 + exp(-abs(score)))), 6) AS bce FROM sc")
+def bce_loss(spark, sf):
+    return rounded(mt.bce(scored(spark, sf)), "bce")
+
+
+def _pairs(spark, sf):
+    return table(spark, sf, "lineitem").select((F.col("l_quantity") * 1000).alias("pred"), F.col("l_extendedprice").alias("label"))
+
+
+@query("regression_metrics", "WITH p AS (SELECT l_quantity * 1000 AS pred, l_extendedprice AS label FROM lineitem) SELECT round(avg(abs(pred - label)), 4) AS mae, round(sqrt(avg((pred - label) * (pred - label))), 4) AS rmse, round(avg(abs(pred - label)) / abs(avg(label)), 6) AS nmae FROM p")
+def regression_metrics(spark, sf):
+    m = mt.regression(_pairs(spark, sf))
+    return m.select(F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"), F.round("nmae", 6).alias("nmae"))
+
+
+@query("mse_loss", "SELECT round(avg((l_quantity - l_tax) * (l_quantity - l_tax)), 5) AS mse FROM lineitem")
+def mse_loss(spark, sf):
+    return mt.mse(table(spark, sf, "lineitem").select(F.col("l_quantity").alias("pred"), F.col("l_tax").alias("label"))).select(F.round("mse", 5).alias("mse"))
+
+
+def _logits(spark, sf):
+    return table(spark, sf, "embeddings").select(F.slice(F.col("embedding").cast("array<double>"), 1, 10).alias("logits"), "label")
+
+
+@query("classification_metrics", "WITH l AS (SELECT embedding[1:10]::DOUBLE[] AS x, label FROM embeddings) SELECT round(avg(CASE WHEN list_position(x, list_max(x)) - 1 = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM l")
+def classification_metrics(spark, sf):
+    return rounded(mt.accuracy(_logits(spark, sf)), "accuracy")
+
+
+@query("ce_loss", "WITH l AS (SELECT embedding[1:10]::DOUBLE[] AS x, label FROM embeddings) SELECT round(avg(ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x))))) + list_max(x) - x[label + 1]), 6) AS ce FROM l")
+def ce_loss(spark, sf):
+    return rounded(mt.cross_entropy(_logits(spark, sf)), "ce")
+
+
+@query("epoch_summary", f"WITH {SPLIT}, s AS (SELECT split, batch, avg(weight) AS loss, (max(ts) - min(ts))::DOUBLE AS elapsed FROM ba GROUP BY ALL) SELECT round(avg(loss), 6) AS loss, max(elapsed) AS elapsed FROM s")
+def epoch_summary(spark, sf):
+    steps = split(spark, sf).groupBy("split", "batch").agg(F.avg("weight").alias("loss"), (F.max("ts") - F.min("ts")).cast("double").alias("elapsed"))
+    return rounded(mt.epoch_summary(steps), "loss")
+
+
+# Event-time windows, folds and streams
+
+def _at(spark, sf):
+    return graph(spark, sf, F.col("ts").cast("timestamp").alias("at"))
+
+
+@query("tumbling_windows", f"WITH {EV} SELECT CAST(floor(ts / 86400000000) * 86400000000 AS BIGINT) AS start, src, count(*) AS n, round(sum(weight), 6) AS weight FROM ev GROUP BY ALL")
+def tumbling_windows(spark, sf):
+    w = sn.time_windows(_at(spark, sf), F.col("at"), "1 day")
+    return rounded(w.select(F.unix_micros("w.start").alias("start"), "src", "n", "weight"), "weight")
+
+
+@query("session_windows", f"WITH {EV}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY src ORDER BY ts) < 21600000000 THEN 0 ELSE 1 END AS cut FROM ev), s AS (SELECT *, sum(cut) OVER (PARTITION BY src ORDER BY ts) AS k FROM g) SELECT src, min(ts) AS start, count(*) AS n, round(sum(weight), 6) AS weight FROM s GROUP BY src, k")
+def session_windows(spark, sf):
+    from chronoloom.streaming.state import sessions
+
+    s = sessions(_at(spark, sf), "6 hours")
+    return rounded(s.select("src", F.unix_micros("w.start").alias("start"), "n", "weight"), "weight")
+
+
+def fixed_weights(seed: int, *shape: int) -> np.ndarray:
+    return np.random.default_rng(seed).normal(0, 0.5, shape)
+
+
+def _degree_features(spark, sf):
+    d = sn.degrees(snapped(spark, sf))
+    return d.select("snap", "node", F.array(F.log1p("in_deg"), F.log1p("out_deg")).alias("feat"))
+
+
+@query("gru_states")
+def gru_states(spark, sf):
+    """A recurrent fold over each node's degrees with fixed weights."""
+    w = {"wi": fixed_weights(1, 2, 12), "wh": fixed_weights(2, 4, 12), "bi": fixed_weights(3, 12), "bh": fixed_weights(4, 12)}
+    return ms.recurrent(_degree_features(spark, sf), w)
+
+
+@query("lstm_states")
+def lstm_states(spark, sf):
+    w = {"wi": fixed_weights(1, 2, 16), "wh": fixed_weights(2, 4, 16), "bi": fixed_weights(3, 16), "bh": fixed_weights(4, 16)}
+    return ms.recurrent(_degree_features(spark, sf), w, "lstm")
+
+
+@query("gcn_stack")
+def gcn_stack(spark, sf):
+    """Two layers over each snapshot, edges both ways, with fixed weights."""
+    g = snapped(spark, sf).select("snap", "src", "dst", "weight")
+    normed = pt.gcn_norm(g.union(g.select("snap", "dst", "src", "weight")), ["snap"])
+    return ms.gcn_stack(normed, _degree_features(spark, sf), [fixed_weights(5, 2, 4), fixed_weights(6, 4, 2)], ["snap"])
+
+
+@query("temporal_attention")
+def temporal_attention(spark, sf):
+    """Attention of the validation batches' roots over their latest neighbours."""
+    nodes = sn.degrees(numbered(spark, sf).withColumn("snap", F.lit(0))).select("node", F.array(F.log1p("in_deg"), F.log1p("out_deg")).alias("feat"))
+    near = tp.recent_k_of(_val_roots(spark, sf), graph(spark, sf), K)
+    return ms.temporal_attention(near, nodes, 4)
