@@ -3,16 +3,20 @@
 Rows of the incidence matrix are documents, columns are n-grams (64-bit hashes). Equal
 sets form one row. Columns have a global order: first those that are not known to be
 frequent, by hash, then the frequent ones from the rarest. Two sets with Jaccard
-similarity t or more share a column among the first ``n - ceil(t n) + 1`` of either, so
+similarity t or more share k columns among the first ``n - ceil(t n) + k`` of either, so
 only these entries are multiplied: Spark deals the column blocks by hash, the product
 of a block's column gives pairs, and overlap counts are accumulated over all blocks.
-Pairs whose sizes, or whose overlap so far plus what is left of either row, cannot
-reach the bound are discarded; the others are counted over their whole sets.
+Documents with fewer entries in common columns than their size asks for are taken out
+first. Pairs whose sizes or overlap counts are below the bounds that follow from their
+sizes are discarded; the others are counted over their whole sets.
 
 A column with m rows is not expanded into all m * m pairs. First each row of a column is
 paired with the column's smallest row; components of the links found that way are
-formed. Then only columns that still join different components are multiplied, and only
-across components. No link between two different components is lost, whatever m is.
+formed. Rows that have too few columns in common with anything are no one's partner and
+go. Columns that still join different components are then multiplied: narrow ones (NARROW
+rows at most) pair by pair across components, wide ones by families, whose rows are
+multiplied in tiles of bounded size, component against component; a tile returns no more
+links than it has rows. No link between two different components is lost, whatever m is.
 
 The list of frequent columns only steers the order, so its bound costs no exactness.
 
@@ -40,6 +44,15 @@ from .words import NOT_SPACE, find_sorted, gram_hash, mix, split_words
 FREQUENT = 200_000
 #: Ids that are broadcast at most; beyond that a shuffled join takes their place.
 SMALL_IDS = 2_000_000
+#: One more entry of a row is multiplied for each so many, so that linked rows have more
+#: than one of them in common.
+SPARE = 16
+#: Columns of so many rows at most give pairs; wider ones are multiplied in tiles.
+NARROW = 64
+#: Rows of a block, and columns that are multiplied at once.
+TILE, COLUMNS = 256, 4096
+#: How often documents with too few common entries are taken out.
+CORE_ROUNDS = 2
 _SETS = "doc_id long, n int, s1 long, s2 long, prefix array<long>"
 
 
@@ -107,7 +120,7 @@ def _sets(n: int, percent: int, frequent):
         for part in chunks(batches, "text"):
             flat, at = _unique_rows(*_grams(part, 1, n))
             size = np.diff(at)
-            take = np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
+            take = np.where(size > 0, np.minimum(size, size - -(-percent * size // 100) + 1 + size // SPARE), 0)
             heavy = np.zeros(len(flat), dtype=np.int64)
             where, found = find_sorted(table, flat)
             heavy[where] = rank[found]
@@ -152,6 +165,11 @@ def keep_ids(rows: DataFrame, key: str, ids: DataFrame, how: str = "left_semi")
     return rows.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, key, how)
 
 
+def _columns(entries: DataFrame) -> DataFrame:
+    """The entries of columns with more than one row."""
+    return entries.withColumn("m", F.count("*").over(Window.partitionBy("gram"))).where("m > 1").drop("m")
+
+
 def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose whole sets are similar enough."""
     one, two = (whole.select(F.col("doc").alias(x), F.col("grams").alias(f"{x}_grams")) for x in "ab")
@@ -159,6 +177,70 @@ def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", shared.alias("shared"), F.size("a_grams").alias("na"), F.size("b_grams").alias("nb")).where(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b")
 
 
+def _product(percent: int):
+    """Links between the two sides of a tile, for pairs of different components: the
+    product of the sides' incidence matrices, column block by column block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        doc, part = table.column("doc").to_numpy(), table.column("component").to_numpy()
+        side, same = table.column("side").to_numpy(), table.column("same").to_numpy()
+        sets = table.column("grams").combine_chunks()
+        sets = pa.concat_arrays(sets.chunks) if isinstance(sets, pa.ChunkedArray) else sets
+        at, flat = np.r_[0, np.cumsum(np.diff(sets.offsets.to_numpy()))], sets.flatten().to_numpy()
+        size = np.diff(at)
+        left = np.flatnonzero(side == 0)
+        right = left if same.any() else np.flatnonzero(side == 1)
+        _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+        used = np.flatnonzero(times > 1)
+        narrow = np.full(len(times), -1)
+        narrow[used] = np.arange(len(used))
+        column = narrow[column]
+        row = np.repeat(np.arange(len(size)), size)
+        counts = np.zeros((len(left), len(right)), dtype=np.float32)
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        for c in range(0, len(used), COLUMNS):
+            s = slice(*np.searchsorted(column, [c, c + COLUMNS]))
+            block = np.zeros((len(size), COLUMNS), dtype=np.float32)
+            block[row[s], column[s] - c] = 1
+            counts += block[left] @ block[right].T
+        union = size[left][:, None] + size[right][None, :] - counts
+        i, j = np.nonzero((part[left][:, None] != part[right][None, :]) & (doc[left][:, None] != doc[right][None, :]) & (100 * counts >= percent * union))
+        a, b = np.minimum(doc[left[i]], doc[right[j]]), np.maximum(doc[left[i]], doc[right[j]])
+        # links of a tile that join components anew: no more than it has rows
+        root: dict = {}
+
+        def find(x):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        keep = []
+        for k, (p, q) in enumerate(zip(part[left[i]].tolist(), part[right[j]].tolist(), strict=True)):
+            p, q = find(p), find(q)
+            if p != q:
+                root[p] = q
+                keep.append(k)
+        return pa.table({"a": pa.array(a[keep], pa.int64()), "b": pa.array(b[keep], pa.int64())})
+
+    return run
+
+
+def _products(rows: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Links between rows of different components of a family, as tiles of TILE by TILE
+    rows. The largest component of a family is not multiplied with itself."""
+    largest = rows.groupBy("family", "component").agg(F.count("*").alias("k")).groupBy("family").agg(F.max_by("component", "k").alias("core"), F.max("k").alias("k_core"), F.sum("k").alias("k_all"))
+    blocks = lambda k: F.greatest(F.lit(1), F.ceil(k / TILE)).cast("int")
+    sized = rows.join(largest, "family").withColumn("is_core", F.col("component") == F.col("core")).withColumn("n_core", blocks(F.col("k_core"))).withColumn("n_rest", blocks(F.col("k_all") - F.col("k_core")))
+    own = F.pmod(F.xxhash64("doc"), F.when(F.col("is_core"), F.col("n_core")).otherwise(F.col("n_rest"))).cast("int")
+    # blocks of the rest are 0 .. n_rest - 1, those of the core follow
+    placed = sized.withColumn("own", own + F.when(F.col("is_core"), F.col("n_rest")).otherwise(0))
+    last = F.when(F.col("is_core"), F.col("n_rest")).otherwise(F.col("n_rest") + F.col("n_core"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), last - 1)))
+    keyed = dealt.select("family", "doc", "component", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("same"))
+    return keyed.join(whole, "doc").groupBy("family", "t1", "t2").applyInArrow(_product(percent), "a long, b long")
+
+
 def similar_documents(docs: DataFrame, n: int = 5, percent: int = 75, frequent_in: int = 3, doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     spark = docs.sparkSession
@@ -179,29 +261,46 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 75, frequent_i
     rows = keep_ids(sets.where("n > 0 and doc_id is not null"), "doc_id", copies, "left_anti")
 
     # the entries of the product: one row for each document and column
-    entries = rows.select(F.col("doc_id").alias("doc"), F.col("n").alias("size"), F.posexplode("prefix").alias("place", "gram"))
+    sizes = rows.select(F.col("doc_id").alias("doc"), F.col("n").alias("size"))
+    shared = _columns(rows.select(F.col("doc_id").alias("doc"), F.explode("prefix").alias("gram")))
+    for _ in range(CORE_ROUNDS):
+        shared = stash(shared)
+        # a linked document has that many entries in common with one other document
+        few = F.expr(f"1 + ({percent} * size + 99) div 100 div {SPARE}")
+        rich = shared.groupBy("doc").agg(F.count("*").alias("m")).join(sizes, "doc").where(F.col("m") >= few).select("doc", "size")
+        shared = _columns(shared.join(rich, "doc", "left_semi"))
+    shared = stash(shared)
+    whole = stash(keep_ids(texts, "doc_id", shared.select(F.col("doc").alias("doc_id")).distinct()).mapInArrow(_whole_sets(n), "doc long, grams array<long>"))
+
+    # what a row can have in common with another one: its columns that others have too
+    common = _columns(whole.select("doc", F.explode("grams").alias("gram"))).groupBy("doc").agg(F.count("*").alias("most"))
+    alive = stash(common.join(sizes, "doc").where(f"100 * most >= {percent} * size"))
+    shared = stash(_columns(shared.join(alive, "doc")))
     column = Window.partitionBy("gram")
-    shared = entries.withColumn("m", F.count("*").over(column)).withColumn("first", F.min(F.struct("doc", "size")).over(column)).where("m > 1")
-    shared = stash(shared.select("gram", "doc", "size", "place", "first"))
-    fits = f"100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size)"
-    stars = shared.where(F.col("doc") != F.col("first.doc")).where(f"100 * least(size, first.size) >= {percent} * greatest(size, first.size)").select(F.col("first.doc").alias("a"), F.col("doc").alias("b")).distinct()
-    stars = stash(stars)
-    met = shared.select("doc").distinct()
-    whole = stash(keep_ids(texts, "doc_id", met.select(F.col("doc").alias("doc_id"))).select("doc_id", "text").mapInArrow(_whole_sets(n), "doc long, grams array<long>"))
+    enough = f"{100 + percent} * least(x.most, y.most) >= {percent} * (x.size + y.size)"
+    pairs = shared.withColumn("x", F.min(F.struct("doc", "size", "most")).over(column)).withColumn("y", F.struct("doc", "size", "most"))
+    stars = stash(pairs.where(f"x.doc != y.doc and {enough}").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct())
     links = stash(_verified(stars, whole, percent))
     found = stash(components(links))
 
     # columns that still join different components
-    placed = shared.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("gram", "doc", "size", "place", F.coalesce("component", "doc").alias("component"))
-    open_ = placed.withColumn("lo", F.min("component").over(column)).withColumn("hi", F.max("component").over(column)).where("lo != hi").drop("lo", "hi")
-    open_ = stash(open_)
-    left, right = open_.alias("x"), open_.alias("y")
-    across = left.join(right, F.expr(f"x.gram = y.gram and x.doc < y.doc and x.component != y.component and {fits}"))
-    bound = f"(n + least(na - pa, nb - pb) - 1) * (100 + {percent}) >= {percent} * (na + nb)"
-    counted = across.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.count("*").alias("n"), F.max("x.place").alias("pa"), F.max("y.place").alias("pb"), F.max("x.size").alias("na"), F.max("y.size").alias("nb"))
-    pairs = counted.where(bound).select("a", "b").join(stars, ["a", "b"], "left_anti")
-    more = stash(_verified(stash(pairs), whole, percent))
-    final = components(links.union(more)) if not more.isEmpty() else found
+    placed = shared.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    open_ = placed.withColumn("lo", F.min("component").over(column)).withColumn("hi", F.max("component").over(column)).withColumn("m", F.count("*").over(column))
+    open_ = stash(open_.where("lo != hi").drop("lo", "hi"))
+    narrow = open_.where(F.col("m") <= NARROW)
+    fits = f"100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size)"
+    few = narrow.alias("x").join(narrow.alias("y"), F.expr(f"x.gram = y.gram and x.doc < y.doc and x.component != y.component and {fits} and {enough}"))
+    pairs = few.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    links = stash(links.union(_verified(pairs, whole, percent)))
+    wide = open_.where(F.col("m") > NARROW)
+    if not wide.isEmpty():
+        # families of rows that wide columns join, with the components that are known by now
+        families = components(wide.withColumn("a", F.min("doc").over(column)).select("a", F.col("doc").alias("b")))
+        known = components(links).select(F.col("node").alias("doc"), "component")
+        rows = wide.select("doc").distinct().join(families.select(F.col("node").alias("doc"), F.col("component").alias("family")), "doc").join(known, "doc", "left")
+        rows = stash(rows.select("doc", "family", F.coalesce("component", "doc").alias("component")))
+        links = links.union(_products(rows, whole, percent))
+    final = components(links)
     return (
         members.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
         .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
