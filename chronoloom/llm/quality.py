@@ -215,4 +215,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", mo
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.value.score(text_features(*text_bytes(part.column(1)))))], names=["doc_id", "score"])
 
     scored = texts.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", (remainder(F.col("doc_id"), mod) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), mod) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

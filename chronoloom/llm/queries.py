@@ -42,7 +42,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    found = decontamination.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.drop("n_near")  # proximity matches, which SQL has no short form of
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +77,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 _COSINE = "list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"
 
 ORACLES: dict[str, str] = {
+    "op4_ngram_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        sh AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) >= 5 THEN list_slice(ws, i, i + 4) ELSE ws END AS g
+               FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+        sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY ALL),
+        pr AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        ln AS (SELECT x, y FROM pr JOIN sz p ON p.doc_id = x JOIN sz q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
+        re AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT re.x, ln.y FROM re JOIN ln ON re.y = ln.x)
+        SELECT re.x AS doc_id, coalesce(max(sz.n), 0) AS n_shingles, min(re.y) AS component_id FROM re LEFT JOIN sz ON sz.doc_id = re.x GROUP BY re.x""",
+    "op6_decontamination": f"""
+        WITH w AS (SELECT doc_id, {_ALNUM} AS ws FROM documents),
+        b AS (SELECT item_id, {_ALNUM} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+        bw AS (SELECT DISTINCT item, n, list_slice(ws, i, i + n - 1) AS g FROM (
+            SELECT CAST(item_id AS VARCHAR) AS item, ws, least(10, len(ws)) AS n, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) AS i FROM b WHERE len(ws) > 0)),
+        dw AS (SELECT doc_id, n, i, list_slice(ws, i, i + n - 1) AS g FROM (
+            SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (SELECT DISTINCT n FROM bw) WHERE len(ws) >= n)),
+        hit AS (SELECT doc_id, dw.i, dw.n, item FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
+        hc AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY ALL),
+        it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY ALL)
+        SELECT w.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM w LEFT JOIN hc ON hc.doc_id = w.doc_id LEFT JOIN it ON it.doc_id = w.doc_id""",
     "op8_neighbours": f"""
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
             SELECT q.vec_id AS query_id, c.vec_id AS vec_id, {_COSINE} AS score,

@@ -292,7 +292,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lexicon.value.score(lexicon.value.summary(part, "text", decoder.value)))], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", (remainder(F.col("doc_id"), mod) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), mod) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
