@@ -20,6 +20,7 @@ from chronoloom.operators import sampling as sp
 from chronoloom.operators import snapshots as sn
 from chronoloom.operators import state as st
 from chronoloom.operators import temporal as tp
+from chronoloom.scratch import ship_package
 from chronoloom.sources import edges as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +40,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

@@ -1,7 +1,10 @@
-"""Tables in the folder that driver and executors share, to cut long lineages."""
+"""Tables in the folder that driver and executors share, to cut long lineages; and the
+package itself, where workers cannot find it."""
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,3 +30,16 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, unless they find it by PYTHONPATH or the working
+    folder as the driver does."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(here)
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    sc = spark.sparkContext
+    if any(p and os.path.realpath(p) == os.path.realpath(root) for p in known) or getattr(sc, "_chronoloom_shipped", False):
+        return
+    sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-"), "chronoloom"), "zip", root, os.path.basename(here)))
+    sc._chronoloom_shipped = True
