@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 from chronoloom.functions import metrics
 from chronoloom.operators import events as ev
 from chronoloom.operators import partitioning as pt
+from chronoloom.operators import sampling as sp
 from chronoloom.operators import snapshots as sn
 from chronoloom.operators import temporal as tp
-from chronoloom.operators.sampling import negatives, pool
 from chronoloom.sources import artifacts, edges
 
 #: Settings that are read; others are refused rather than silently unused.
 DEFAULTS: dict[str, Any] = {"mode": "ctdg", "snaps": 8, "parts": 2, "batch_size": 200, "world_size": 1, "neighbours": [10], "ratio": [0.7, 0.15, 0.15], "partitioner": "round_robin", "seed": 7, "window": 1}
-TASKS = {"temporal_link_prediction", "node_regression", "node_classify"}
 
 
 @dataclass
@@ -61,6 +60,11 @@ class Session:
             halos = pt.halo(graph, parts)
             index = pt.local_index(parts, halos)
             tables |= {"snapshots": pt.gcn_norm(snaps, ["snap"]), "degrees": sn.degrees(snaps), "halo": halos, "index": index, "routes": pt.send_index(halos, index)}
+        if c["mode"] == "chunk":
+            clusters = parts.withColumnRenamed("part", "cluster")
+            chunked = sp.chunks(sn.equal_count(graph, c["snaps"]), F.col("snap"), clusters)
+            table = sp.chunk_table(chunked)
+            tables |= {"chunk_edges": chunked, "chunks": table, "chunk_deps": sp.temporal_deps(table), "chunk_remote": sp.remote_nodes(chunked)}
         for name, df in tables.items():
             artifacts.write_table(df, f"{self.root}/{name}", ["part"] if name == "events" else ["snap"] if name == "snapshots" else None)
         artifacts.write_meta(self.spark, self.root, {"mode": c["mode"], "parts": c["parts"], "snaps": c["snaps"], "tables": sorted(tables)})
@@ -84,7 +88,7 @@ class Session:
         how often the source met the target among the events the split may see."""
         rows = self.tables["events"]
         mine = rows.where(F.col("split") == split)
-        neg = negatives(mine, pool(rows), self.config["seed"])
+        neg = sp.negatives(mine, sp.pool(rows), self.config["seed"])
         both = mine.select("eid", "src", "dst", "ts", F.lit(1).alias("label")).unionByName(neg.join(mine.select("eid", "ts"), "eid").select("eid", "src", F.col("neg").alias("dst"), "ts", F.lit(0).alias("label")))
         pair = F.struct("src", "dst")
         asked = both.select("*", F.hash(pair).alias("_h"), pair.alias("pair"))

@@ -226,7 +226,7 @@ def test_index_packing(spark):
 
 def test_session_lifecycle(spark, tmp_path):
     root = str(tmp_path / "a")
-    for mode in ("ctdg", "dtdg"):
+    for mode in ("ctdg", "chunk", "dtdg"):
         s = Session.from_config(spark, {"mode": mode, "batch_size": 4}, edges.ring_events(spark, 8).withColumn("ts", F.col("ts").cast("long")), root)
         s.prepare_data()
         s.build_runtime()
@@ -255,3 +255,24 @@ def test_readers(spark, tmp_path):
 def test_snapshots_of_eight_node_ring(spark):
     s = edges.ring_snapshots(spark, 3)
     assert sets(s.where("snap = 2").select("src", "dst")) == {(2, 3), (3, 4), (4, 5), (5, 6)}
+
+
+def test_datasets_by_preset(spark, tmp_path):
+    from chronoloom.plans.datasets import load_dataset, preset
+
+    assert preset("soc-bitcoin", 4)["window"] == 100 and preset("other", 4)["window"] == 4
+    (tmp_path / "e.txt").write_text("x\ny\n" + "".join(f"{i % 5},{i % 7},1,{i}\n" for i in range(60)))
+    data = load_dataset(spark, str(tmp_path / "e.txt"), "rec-amazon-ratings", 4)
+    assert data.num_nodes == 7 and data.edges.count() > 59 and data.nodes.where("label < 0").count() == 0
+
+
+def test_tasks_by_name(spark):
+    from chronoloom.plans import tasks
+
+    s = spark.createDataFrame([(0, 0.5, 1), (1, -0.5, 0)], "eid long, score double, label int")
+    found = tasks.task("temporal_link_prediction")
+    assert found.metrics(s).first()["auc"] == 1.0 and found.loss(s).first()[0] > 0
+    assert found.output(s).count() == 2
+    assert tasks.model("tgn") is tasks.model("tgat")
+    with pytest.raises(KeyError):
+        tasks.task("none")
