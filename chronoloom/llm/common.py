@@ -14,8 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from chronoloom.scratch import ship_package
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches hold whole texts: fewer rows to a batch bound a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,7 +48,7 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 512 << 10) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most ``limit`` bytes of ``column`` (one row at
     least), so that per-byte arrays stay small however long the texts are."""
     for batch in batches:

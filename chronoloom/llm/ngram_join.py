@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, stash, text_bytes
+from .common import bounded_batches, chunks, stash, text_bytes
 from .graph import components
 from .words import NOT_SPACE, find_sorted, gram_hash, mix, split_words
 
@@ -93,7 +93,7 @@ def _running(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _frequent(n: int, least: int, hold: int = 2_000_000):
+def _frequent(n: int, least: int, hold: int = 1_500_000):
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         value, times = np.unique(np.concatenate(held), return_counts=True)
         keep = times >= least
@@ -244,6 +244,7 @@ def _products(rows: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
 def similar_documents(docs: DataFrame, n: int = 5, percent: int = 75, frequent_in: int = 3, doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text"))
     common = texts.select("text").mapInArrow(_frequent(n, frequent_in), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     top = common.orderBy(F.desc("n"), "gram").limit(FREQUENT).toPandas()
@@ -255,8 +256,13 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 75, frequent_i
 
     keyed = sets.select("doc_id", "n", "s1", "s2")
     class_key = ["n", "s1", "s2"]
-    reps = keyed.where("n > 0 and doc_id is not null").groupBy(*class_key).agg(F.min("doc_id").alias("rep"))
-    members = stash(keyed.join(reps, class_key, "left").select("doc_id", "n", "rep"))
+    reps = stash(keyed.where("n > 0 and doc_id is not null").groupBy(*class_key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    # classes with a thousandth of all rows each: a thousand at most, which need no shuffle
+    hot = F.col("copies") >= max(100, sets.count() / 1000)
+    large = F.broadcast(reps.where(hot).drop("copies"))
+    in_large = keyed.join(large, class_key)
+    others = keyed.join(large, class_key, "left_anti").join(reps.where(~hot).drop("copies"), class_key, "left")
+    members = stash(in_large.unionByName(others).select("doc_id", "n", "rep"))
     copies = members.where("doc_id != rep").select("doc_id")
     rows = keep_ids(sets.where("n > 0 and doc_id is not null"), "doc_id", copies, "left_anti")
 
