@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import bounded_batches, chunks
 
 SPACE = "▁"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Entries that a worker keeps: about 100 MB.
-KEPT = 400_000
+#: Entries that a worker keeps, twice: about 200 MB in all.
+KEPT = 250_000
 
 
 class PieceModel:
@@ -53,9 +53,10 @@ class PieceModel:
         for i, p in enumerate(self.pieces):
             if library.is_byte(i):
                 self.byte_id[int(p[1:-1], 16)] = i
-        self.of_byte = {i: b for b, i in enumerate(self.byte_id)}
-        self.silent = {i for i in range(n) if library.is_control(i)}
-        self.unknown = library.unk_id()
+        of_byte = {i: bytes([b]) for b, i in enumerate(self.byte_id)}
+        as_text = lambda i, p: b"" if library.is_control(i) else " ⁇ ".encode() if library.is_unknown(i) else p.replace(SPACE, " ").encode()
+        self.data = [of_byte.get(i) or as_text(i, p) for i, p in enumerate(self.pieces)]
+        self.names = [str(i) for i in range(n)]
         pairs = []
         for p, i in self.id_of.items():
             for k in range(1, len(p)):
@@ -92,8 +93,8 @@ class PieceModel:
         symbol = first[back] if len(points) else np.zeros(0, np.int64)
         word = np.repeat(np.arange(len(segments)), lengths)
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        rank, made = self._pair_ranks(symbol, word)
         while len(symbol):
-            rank, made = self._pair_ranks(symbol, word)
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             best = np.minimum.reduceat(rank, starts)
             size = np.diff(np.r_[starts, len(symbol)])
@@ -105,13 +106,12 @@ class PieceModel:
                 symbol, word, rank, made = symbol[keep], word[keep], rank[keep], made[keep]
                 if not len(symbol):
                     break
-                starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
                 size = size[live]
+                starts = np.cumsum(size) - size
                 best = best[live]
             best_here = np.repeat(best, size)
-            hit = rank == best_here
-            hit = self._leftmost(hit)
-            symbol, word = self._merge(symbol, word, rank, made, hit, starts, size, best_here)
+            hit = self._leftmost(rank == best_here)
+            symbol, word, rank, made = self._merge(symbol, word, rank, made, hit, starts, best_here)
         if not done:
             return [[] for _ in segments]
         words, ids = np.concatenate([x[0] for x in done]), np.concatenate([x[1] for x in done])
@@ -148,55 +148,46 @@ class PieceModel:
         out[at[since % 2 == 0]] = True
         return out
 
-    def _merge(self, symbol, word, rank, made, hit, starts, size, best_here):
-        merged, keep = self._apply(symbol, made, hit)
-        new_symbol, new_word = merged[keep], word[keep]
-        fresh = hit[keep]
-        # pairs beside merged symbols that rank level with the merged pair or before it
-        after, _ = self._pair_ranks(new_symbol, new_word)
-        beside = fresh.copy()
-        beside[:-1] |= fresh[1:]
-        early = beside & (after <= best_here[keep])
+    def _merge(self, symbol, word, rank, made, hit, starts, best_here):
+        state, early = self._apply(symbol, word, rank, made, hit, best_here)
         several = np.add.reduceat(hit, starts) > 1
-        ties = np.zeros(len(starts), dtype=bool)
-        if several.any():
-            # different pairs may share a rank only where scores tie
-            top = np.maximum.reduceat(np.where(hit, made, -1), starts)
-            low = np.minimum.reduceat(np.where(hit, made, 1 << 40), starts)
-            ties = top != low
-        redo = np.zeros(len(starts), dtype=bool)
-        if early.any():
-            redo[np.searchsorted(starts, np.flatnonzero(keep)[early], side="right") - 1] = True
-        redo = (redo | ties) & several
+        if not several.any():
+            return state
+        # different pairs may share a rank only where scores tie
+        redo = np.maximum.reduceat(np.where(hit, made, -1), starts) != np.minimum.reduceat(np.where(hit, made, 1 << 40), starts)
+        if len(early):
+            redo[np.searchsorted(starts, early, side="right") - 1] = True
+        redo &= several
         if not redo.any():
-            return new_symbol, new_word
+            return state
         one = np.flatnonzero(hit)
         own = np.searchsorted(starts, one, side="right") - 1
         firsts = np.r_[True, own[1:] != own[:-1]]
-        drop = one[redo[own] & ~firsts]
         hit = hit.copy()
-        hit[drop] = False
-        merged, keep = self._apply(symbol, made, hit)
-        return merged[keep], word[keep]
-
-    @staticmethod
-    def _apply(symbol, made, hit):
-        merged = np.where(hit, made, symbol)
-        keep = np.ones(len(symbol), dtype=bool)
-        keep[1:] = ~hit[:-1]
-        return merged, keep
+        hit[one[redo[own] & ~firsts]] = False
+        return self._apply(symbol, word, rank, made, hit, best_here)[0]
+
+    def _apply(self, symbol, word, rank, made, hit, best_here):
+        """The arrays after the merges; only pairs beside merged symbols get new ranks.
+        Also the old places of pairs that now rank level with the merged pair or before."""
+        kept = np.ones(len(symbol), dtype=bool)
+        kept[1:] = ~hit[:-1]
+        kept = np.flatnonzero(kept)
+        fresh = hit[kept]
+        new_symbol, new_word, new_rank, new_made = np.where(fresh, made[kept], symbol[kept]), word[kept], rank[kept], made[kept]
+        beside = fresh.copy()
+        beside[:-1] |= fresh[1:]
+        at = np.flatnonzero(beside)
+        new_rank[at] = self.none
+        inside = at[at + 1 < len(new_word)]
+        inside = inside[new_word[inside] == new_word[inside + 1]]
+        new_rank[inside], new_made[inside] = self.ranks(new_symbol[inside], new_symbol[inside + 1])
+        early = kept[inside[new_rank[inside] <= best_here[kept[inside]]]]
+        return (new_symbol, new_word, new_rank, new_made), early
 
     def decode_pieces(self, ids: list[int]) -> bytes:
         """UTF-8 of the ids, marks as spaces. Byte pieces stand for themselves."""
-        out = []
-        for i in ids:
-            if i in self.of_byte:
-                out.append(bytes([self.of_byte[i]]))
-            elif i == self.unknown:
-                out.append(" ⁇ ".encode())
-            elif i not in self.silent:
-                out.append(self.pieces[i].replace(SPACE, " ").encode())
-        return b"".join(out)
+        return b"".join([self.data[i] for i in ids])
 
     def decode(self, ids: list[int]) -> str:
         """Text of any list of ids; the white space before the first word goes, and each
@@ -231,13 +222,23 @@ class Codec:
     def __init__(self, path: str):
         self.model = PieceModel(path)
         self.seen: dict[str, tuple[int, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes]] = {}
 
     def learn(self, segments: set[str]) -> None:
-        new = [x for x in segments if x not in self.seen]
+        if len(self.seen) > KEPT:  # what has not been met since the last time goes
+            self.older, self.seen = self.seen, {}
+        new = []
+        for x in segments:
+            if x not in self.seen:
+                if x in self.older:
+                    self.seen[x] = self.older[x]
+                else:
+                    new.append(x)
+        names = self.model.names
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
             for text, ids in zip(part, self.model.encode_segments(part), strict=True):
-                self.seen[text] = (len(ids), ",".join(map(str, ids)), self.model.decode_pieces(ids))
+                self.seen[text] = (len(ids), ",".join([names[y] for y in ids]), self.model.decode_pieces(ids))
 
     def cut(self, text: str) -> list[str]:
         return self.model.segment.findall(SPACE + text.replace(" ", SPACE)) if text else []
@@ -262,8 +263,6 @@ def _encode(path: str):
         own = codec(path)
         for part in chunks(batches, "text"):
             texts = [own.cut(t) for t in part.column(1).to_pylist()]
-            if len(own.seen) > KEPT:
-                own.seen.clear()
             own.learn(set().union(*texts))
             seen = own.seen
             n, ids, decoded = [], [], []
@@ -280,12 +279,13 @@ def _encode(path: str):
 def encode_documents(docs: DataFrame, model_path: str, doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
     """Digests of each document's ids and of their decoding. ``model_path`` is read by
     each worker where the library's vocabularies are installed."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text"))
     return texts.mapInArrow(_encode(model_path), SCHEMA)
 
 
-def token_ids(docs: DataFrame, model_path: str, doc_text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and the ids as ``ids``."""
+def token_ids(docs: DataFrame, model_path: str, doc_text: str = "text", name: str = "token_ids") -> DataFrame:
+    """All columns of ``docs`` and the ids as the column ``name``."""
     from pyspark.sql import types as T
 
     at = docs.columns.index(doc_text)
@@ -293,9 +293,7 @@ def token_ids(docs: DataFrame, model_path: str, doc_text: str = "text") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
         for part in chunks(batches, doc_text):
-            if len(own.seen) > KEPT:
-                own.seen.clear()
             ids = [own.ids(t) for t in part.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, "ids"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
