@@ -32,8 +32,8 @@ from .common import bounded_batches, chunks
 
 SPACE = "▁"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Entries that a worker keeps, twice: about 200 MB in all.
-KEPT = 250_000
+#: Entries that a task keeps, twice: about 100 MB in all.
+KEPT = 120_000
 
 
 class PieceModel:
@@ -240,6 +240,10 @@ class Codec:
             for text, ids in zip(part, self.model.encode_segments(part), strict=True):
                 self.seen[text] = (len(ids), ",".join([names[y] for y in ids]), self.model.decode_pieces(ids))
 
+    def forget(self) -> None:
+        """Free the known segments: workers live on after a task, beside other operators."""
+        self.seen, self.older = {}, {}
+
     def cut(self, text: str) -> list[str]:
         return self.model.segment.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
@@ -272,6 +276,7 @@ def _encode(path: str):
                 ids.append(hashlib.sha256(",".join([x[1] for x in got]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(b"".join([x[2] for x in got])[1:]).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.forget()
 
     return run
 
@@ -295,5 +300,6 @@ def token_ids(docs: DataFrame, model_path: str, doc_text: str = "text", name: st
         for part in chunks(batches, doc_text):
             ids = [own.ids(t) for t in part.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, name])
+        own.forget()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
