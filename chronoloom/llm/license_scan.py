@@ -2,7 +2,7 @@
 
 The index holds, for each licence template, the positions of its ``rare`` words of the
 highest IDF; IDF comes from a count of all template words over the whole corpus. In a
-file, the ``top`` indexed words of the highest IDF are looked up; postings of a template
+file, every indexed word is looked up at all its places; postings of a template
 that agree on the relative position (file position minus template position) vote, and
 for places with ``votes`` votes or more the template's mandatory key phrases must stand
 consecutively near their places. The score is the share of the template's words that
@@ -68,7 +68,6 @@ class Index:
             posts += [(h, t, int(p)) for h in best for p in np.flatnonzero(own == np.uint64(h))]
         posts.sort()
         self.words = np.array(sorted({x[0] for x in posts}), dtype=np.uint64)
-        self.idf = np.array([idf(h) for h in self.words])
         self.at = np.searchsorted(np.array([x[0] for x in posts], dtype=np.uint64), self.words)
         self.at = np.append(self.at, len(posts))
         self.template = np.array([x[1] for x in posts], dtype=np.int64)
@@ -83,20 +82,12 @@ class Index:
             block.order(np.array([counts.get(int(h), 0) for h in block.vocabulary], dtype=np.float64))
 
 
-def _candidates(words, index: Index, top: int, votes: int):
+def _candidates(words, index: Index, votes: int):
     """(document, template, diagonal) of places with enough agreeing postings."""
     at, term = find_sorted(index.words, words.hash)
     if not len(at):
         return np.zeros((0, 3), np.int64)
     doc = words.doc[at]
-    pairs = np.unique(np.stack([doc, term], axis=1), axis=0)
-    order = np.lexsort((pairs[:, 1], -index.idf[pairs[:, 1]], pairs[:, 0]))
-    pairs = pairs[order]
-    start = np.searchsorted(pairs[:, 0], pairs[:, 0])
-    pairs = pairs[np.arange(len(pairs)) - start < top]
-    width = len(index.words)
-    used = np.isin(doc * width + term, pairs[:, 0] * width + pairs[:, 1])
-    at, term, doc = at[used], term[used], doc[used]
     lo, n = index.at[term], index.at[term + 1] - index.at[term]
     post = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     rows = np.stack([np.repeat(doc, n), index.template[post], np.repeat(at, n) - index.place[post]], axis=1)
@@ -104,7 +95,7 @@ def _candidates(words, index: Index, top: int, votes: int):
     return rows[count >= votes]
 
 
-def _scan(broadcast, top: int, votes: int, near: int):
+def _scan(broadcast, votes: int, near: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = broadcast.value
         for part in chunks(batches, "text"):
@@ -119,7 +110,7 @@ def _scan(broadcast, top: int, votes: int, near: int):
             for d, i, p in zip(words.doc[s].tolist(), index.keys.item[w].tolist(), s.tolist(), strict=True):
                 keyed.setdefault((d, i), []).append(p)
             found: dict[int, dict] = {}
-            for d, t, diagonal in _candidates(words, index, top, votes).tolist():
+            for d, t, diagonal in _candidates(words, index, votes).tolist():
                 wanted = [k for k, x in enumerate(index.key_template) if x == t]
                 if not all(any(abs(p - diagonal - index.key_place[k]) <= near for p in keyed.get((d, k), ())) for k in wanted):
                     continue
@@ -140,7 +131,7 @@ def _scan(broadcast, top: int, votes: int, near: int):
     return run
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE, rare: int = 4, top: int = 8, votes: int = 2, near: int = 10, doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE, rare: int = 4, votes: int = 2, near: int = 10, doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
     """One row per document with its base places, labels and score."""
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text"))
@@ -148,4 +139,4 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE, rare: int = 4
     counted = texts.select("text").mapInArrow(_count_terms(spark.sparkContext.broadcast([all_words])), "block int, term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     counts = {int(all_words[r["term"]]): r["n"] for r in counted.collect()}  # a row per template word at most
     index = Index(templates, base, counts, rare)
-    return texts.mapInArrow(_scan(spark.sparkContext.broadcast(index), top, votes, near), SCHEMA)
+    return texts.mapInArrow(_scan(spark.sparkContext.broadcast(index), votes, near), SCHEMA)

@@ -324,6 +324,15 @@ def test_licences(spark, given, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_licences_of_many_notices(spark):
+    notices = {label: text for label, text, _ in license_scan.TEMPLATES}
+    made = [" filler text ".join(x[1] for x in license_scan.TEMPLATES), *[" . ".join(notices[x] for x in own) for own in (("bsd", "mpl-2.0", "isc"), ("gpl", "bsd", "mpl-2.0"), ("gpl-3.0", "bsd", "mpl-2.0", "unlicense"))]]
+    got = license_scan.scan_licenses(docs(spark, made)).orderBy("doc_id").collect()
+    assert set(got[0]["labels"].split(",")) == {*notices, "apache"}
+    assert got[0]["n_templates"] == len(notices) and got[0]["score"] == 1.0
+    assert [x["labels"] for x in got[1:]] == ["bsd,isc,mpl-2.0", "bsd,gpl,mpl-2.0", "bsd,gpl,gpl-3.0,mpl-2.0,unlicense"]
+
+
 # 8
 
 def test_neighbours(spark):
