@@ -1,18 +1,21 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
-Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Words
-that stand near a protected value are then held against the corpus: with p counted in
-documents, a word discloses a value when the pointwise mutual information of both comes
-within a factor ``alpha`` of the value's own information,
+Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. The words
+of a document, wherever they stand outside its base spans, are then held against the
+corpus: with p counted in whole documents, a word discloses a value when the pointwise
+mutual information of both comes within a factor ``alpha`` of the value's own information,
 
     log2(p(value, word) / (p(value) p(word))) >= -log2 p(value) / alpha,
 
-with at least ``support`` documents that have both. Near such values the word is a span
-too, of kind ``term``. Sanitising puts the kind in place of each span.
+with at least ``support`` documents that have both. Such a word is a span too, of kind
+``term``, at all its places in all documents, with the value in them or without.
+Sanitising puts the kind in place of each span.
 
-Values and words near them come from the documents with base spans alone; the document
-counts of candidate words are taken over all documents. A value or word that very many
-documents share is aggregated before any shuffle.
+Values and words with them come from the documents with base spans alone; the document
+counts of candidate words are taken over all documents. Values in fewer than ``support``
+documents, and words too frequent for the value, cannot reach the threshold and are left
+out before pairs are counted. A value or word that very many documents share is
+aggregated before any shuffle.
 
 Defined results: null and empty texts have no spans; repeated rows are counted as
 documents of their own and get equal spans; an empty table gives no rows; columns other
@@ -39,7 +42,7 @@ PATTERNS = {
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: A quick test that texts without a match fail.
 _HINT = {"email": "@", "phone": "+", "ip": "."}
-_WORD = r"\p{L}{3,}"
+_WORD = r"[\p{L}\p{M}\p{N}]++"
 _SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
 #: Rows and spans that are broadcast at most; beyond that a shuffled join takes over.
 SMALL_ROWS = 500_000
@@ -105,20 +108,34 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def _terms_near(text: Column, span: Column, reach: int) -> Column:
-    """(start, stop, value) of the whole words within ``reach`` of a span."""
-    left_from = F.greatest(span["start"] - reach, F.lit(0))
-    left = F.substring(text, left_from + 1, span["start"] - left_from)
-    # a word that the reach cuts is no whole word
-    cut = F.when(left_from > 0, F.char_length(F.regexp_extract(left, r"^\S*", 0))).otherwise(F.lit(0))
-    after = F.substring(text, span["stop"] + 1, F.lit(reach))
-    right = F.when(F.char_length(after) < reach, after).otherwise(F.regexp_replace(after, r"\S*$", ""))
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of the spans, all other places as they were."""
+
+    def step(state: Column, x: Column) -> Column:
+        at = F.greatest(state["at"], x["start"])
+        gap = F.substring(text, state["at"] + 1, at - state["at"])
+        return F.struct(F.greatest(at, x["stop"]).alias("at"), F.concat(state["out"], gap, F.repeat(F.lit(" "), F.greatest(x["stop"] - at, F.lit(0)))).alias("out"))
+
+    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
 
-    def moved(found: Column, by: Column) -> Column:
-        return F.transform(found, lambda x: F.struct((x["start"] + by).alias("start"), (x["stop"] + by).alias("stop"), F.lower(x["value"]).alias("value")))
 
-    before = F.filter(moved(matches(left, _WORD), left_from), lambda x: x["start"] >= left_from + cut)
-    return F.concat(before, moved(matches(right, _WORD), span["stop"]))
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower))
+
+
+def _places(text: Column, words: Column) -> Column:
+    """Spans of kind ``term`` wherever one of the words stands; the list grows by these
+    alone, so that long texts cost time in proportion."""
+    pairs = F.zip_with(F.split(text, _WORD, -1), F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), lambda p, m: F.struct(F.char_length(p).alias("gap"), F.char_length(m).alias("size"), F.lower(m).alias("word")))
+
+    def step(state: Column, x: Column) -> Column:
+        begin = state["at"] + x["gap"]
+        end = begin + F.coalesce(x["size"], F.lit(0))
+        one = F.array(F.struct(begin.alias("start"), F.lit(len(KINDS)).alias("kind"), end.alias("stop"), F.lit("").alias("value")))
+        return F.struct(end.alias("at"), F.when(F.array_contains(words, x["word"]), F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
+
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")), step, lambda s: s["out"])
 
 
 def _entity(span: Column) -> Column:
@@ -134,35 +151,42 @@ def _row_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
-def analyse(docs: DataFrame, alpha: float = 1.25, support: int = 2, reach: int = 80, doc_id: str = "doc_id", doc_text: str = "text") -> tuple[DataFrame, DataFrame]:
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
+def analyse(docs: DataFrame, alpha: float = 1.25, support: int = 2, doc_id: str = "doc_id", doc_text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The rows (row_key, doc_id, base spans) and the disclosing words' spans (row_key, terms)."""
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_text), F.lit("")).alias("text"), _row_key(doc_id, doc_text).alias("row_key"))
     found = texts.select("doc_id", "row_key", "text", base_spans(F.col("text")).alias("base"))
-    near = F.transform("base", lambda s: F.struct(_entity(s).alias("entity"), _terms_near(F.col("text"), s, reach).alias("terms")))
-    rows = stash(found.select("doc_id", "row_key", "base", F.when(F.size("base") > 0, near).alias("near")))
-    beside = rows.where(F.size("base") > 0).select("row_key", F.explode("near").alias("x")).select("row_key", "x.entity", F.explode("x.terms").alias("term")).select("row_key", "entity", "term.start", "term.stop", F.col("term.value").alias("word"))
-    # documents with both: copies of one text are documents too
-    copies = rows.where(F.size("base") > 0).groupBy("row_key").agg(F.count("*").alias("n"))
-    per_doc = beside.select("row_key", "entity", "word").distinct().join(copies, "row_key")
-    both = per_doc.groupBy("entity", "word").agg(F.sum("n").alias("both")).where(F.col("both") >= support)
-    with_entity = rows.where(F.size("base") > 0).select("row_key", F.explode("near.entity").alias("entity")).distinct().join(copies, "row_key").groupBy("entity").agg(F.sum("n").alias("with_entity"))
-    both = stash(both)
-    words = both.select("word").distinct()
-    each = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("word"))
-    with_word = each.join(F.broadcast(words) if words.count() <= SMALL_ROWS else words, "word", "left_semi").groupBy("word").agg(F.count("*").alias("with_word"))
-    total = F.lit(float(max(1, rows.count())))
-    scored = both.join(with_word, "word").join(with_entity, "entity")
-    information = F.log2(total / F.col("with_entity"))
+    rows = stash(found.select("doc_id", "row_key", "base", F.array_distinct(F.transform("base", _entity)).alias("entities"), _words(_blanked(F.col("text"), F.col("base"))).alias("words")))
+    # a row is a document, and repeated rows are documents of their own
+    base_rows = rows.where(F.size("base") > 0)
+    total = float(max(1, rows.count()))
+    with_entity = stash(base_rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity")).where((F.col("with_entity") >= support) & (F.col("with_entity") < total)))
+    most = with_entity.agg(F.max("with_entity")).first()[0] or 0
+    # both <= with_entity, so the threshold bounds with_word; a little wider than that
+    bound = F.pow(F.lit(total), F.lit(1 - 1 / alpha)) * F.pow(F.col("with_entity").cast("double"), F.lit(1 / alpha)) * (1 + 1e-6)
+    values = with_entity.select("entity", "with_entity", bound.alias("bound"))
+    held = base_rows.select(F.explode("entities").alias("entity"), "words").join(_small(values), "entity")
+    words = stash(held.select(F.explode("words").alias("word")).distinct())
+    each = rows.select(F.explode("words").alias("word")).join(_small(words), "word", "left_semi").groupBy("word").agg(F.count("*").alias("with_word"))
+    with_word = stash(each.where(F.col("with_word").between(support, total ** (1 - 1 / alpha) * most ** (1 / alpha) * (1 + 1e-6))))
+    pairs = held.select("entity", "with_entity", "bound", F.explode("words").alias("word"))
+    pairs = pairs.join(_small(with_word), "word").where(F.col("with_word") <= F.col("bound"))
+    scored = pairs.groupBy("entity", "word", "with_entity", "with_word").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    information = F.log2(F.lit(total) / F.col("with_entity"))
     mutual = F.log2(F.col("both") * total / (F.col("with_entity") * F.col("with_word")))
-    disclosing = scored.where((information > 0) & (mutual >= information / alpha)).select("entity", "word")
-    terms = beside.join(disclosing, ["entity", "word"], "left_semi").groupBy("row_key").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "stop", F.col("word").alias("value"))).alias("terms"))
-    return rows, terms
+    disclosing = stash(scored.where(mutual >= information / alpha).select("word").distinct())
+    marks = rows.select("row_key", F.explode("words").alias("word")).join(_small(disclosing), "word").groupBy("row_key").agg(F.collect_set("word").alias("marks"))
+    marked = texts.join(_small(stash(marks)), "row_key").dropDuplicates(["row_key"]).select("row_key", "marks", "text", base_spans(F.col("text")).alias("base"))
+    return rows.drop("entities", "words"), marked.select("row_key", _places(_blanked(F.col("text"), F.col("base")), F.col("marks")).alias("terms"))
 
 
 def _with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
     terms = stash(terms)
     held = terms.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("spans")).first()
-    small = held["n"] <= SMALL_ROWS and held["spans"] <= 4 * SMALL_ROWS
+    small = held["n"] <= SMALL_ROWS and held["spans"] <= SMALL_ROWS
     return rows.join(F.broadcast(terms) if small else terms, "row_key", "left")
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -107,6 +108,38 @@ def test_disclosing_words_and_sanitising(spark, empty):
     assert [x["text"] for x in kept] == ODD
 
 
+def test_disclosing_words_of_whole_documents(spark):
+    far = " ".join(["the common text"] * 40)
+    texts = [f"Zyxword q7 li {far} ann@corp.example.com {far} zyxword the filler{i}" for i in range(4)]
+    texts += [f"the common text filler{i} of x" for i in range(59)] + ["the common text ZYXWORD stands alone here"]
+    df = docs(spark, texts)
+    out = {x["doc_id"]: x["text"] for x in pii.sanitise(df).collect()}
+    assert out[0] == f"<TERM> <TERM> <TERM> {far} <EMAIL> {far} <TERM> the filler0"
+    assert out[63] == "the common text <TERM> stands alone here"
+    assert out[30] == texts[30]
+
+
+def test_disclosing_words_against_brute_force(spark, given):
+    word = re.compile(r"[^\W_]+")
+    rows_ = [(x["doc_id"], x["text"] or "") for x in given.collect() if (x["text"] or "").isascii()]
+    all_words, all_values = {}, {}
+    for i, t in rows_:
+        plain = list(t)
+        spans = [(m.start(), m.end(), k, m[0]) for k, (_, r, ok) in enumerate(BASE) for m in re.finditer(r, t) if ok(m[0])]
+        for a, b, _, _ in spans:
+            plain[a:b] = " " * (b - a)
+        all_words[i] = [(m.start(), m.end(), m[0].lower()) for m in word.finditer("".join(plain))]
+        all_values[i] = {(k, digits(v) if k >= 2 else v.lower()) for _, _, k, v in spans}
+    with_word = Counter(w for x in all_words.values() for w in {y[2] for y in x})
+    with_value = Counter(v for x in all_values.values() for v in x)
+    both = Counter((v, w) for i, x in all_values.items() for w in {y[2] for y in all_words[i]} for v in x)
+    n = len(rows_)
+    found = {w for (v, w), k in both.items() if k >= 2 and with_value[v] < n and np.log2(k * n / (with_value[v] * with_word[w])) >= np.log2(n / with_value[v]) / 1.25}
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    got = {x["doc_id"]: [tuple(map(int, s.split(":")[1:])) for s in x["spans"].split(",") if s.startswith("term")] for x in pii.find_personal_data(df).collect()}
+    assert found and got == {i: [x[:2] for x in own if x[2] in found] for i, own in all_words.items()}
+
+
 # 2
 
 def decoder_of(spark, given):
