@@ -1,11 +1,11 @@
-"""Benchmark decontamination over a document-sharded positional inverted index.
+"""Benchmark decontamination by the rarest terms of the benchmark's windows.
 
 The benchmark is the stated query set. It is cut into windows of ``window`` words. One
 pass counts how often each benchmark word occurs in the corpus; a window's terms are
-then ordered from the rarest. In the second pass every shard of documents builds the
-postings (positions) of the windows' rarest terms and intersects the offset-adjusted
-lists of the next terms, rarest first, until all terms of a window agree: exact phrase
-matches. Candidates whose three rarest terms stand within ``slop`` words of their
+then ordered from the rarest. In the second pass the words of every shard of documents
+are looked up among the windows' rarest terms, and the next terms are compared at their
+offsets, rarest first, until all terms of a window agree: exact phrase matches. Postings
+of the training tokens are not stored. Candidates whose three rarest terms stand within ``slop`` words of their
 places, without an exact match of the item, are proximity matches.
 
 Defined results: null or empty texts have no words and are never hit; benchmark rows
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import chunks, filled, slices, text_bytes
 from .words import find_sorted, split_words
 
+MATCHES = "doc_id long, item_id string, kind string, item_word long, doc_word long, n_words long"
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long"
 
 
@@ -37,7 +38,7 @@ class Block:
         data = [(t or "").encode() for t in texts]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
         words = split_words(np.frombuffer(b"".join(data), dtype=np.uint8), offsets)
-        rows, item = [], []
+        rows, item, place = [], [], []
         for k in range(len(ids)):
             own = words.hash[words.first[k] : words.first[k + 1]]
             if len(own):
@@ -45,8 +46,10 @@ class Block:
                 for i in range(len(own) - size + 1):
                     rows.append(own[i : i + size])
                     item.append(k)
+                    place.append(i)
         self.ids = [str(x) for x in ids]
         self.item = np.array(item, dtype=np.int64)
+        self.place = np.array(place, dtype=np.int64)
         self.size = np.array([len(x) for x in rows], dtype=np.int64)
         self.terms = np.zeros((len(rows), window), dtype=np.uint64)
         for i, x in enumerate(rows):
@@ -95,11 +98,12 @@ def _count_terms(vocabularies):
 
 
 def match(words, block: Block, slop: int):
-    """Exact matches (window, word index) and proximity matches (document, item)."""
+    """Exact matches (window, word index) and proximity matches (document, window, index
+    of the word where the window would begin, which can lie outside the document)."""
     none = np.zeros(0, np.int64)
     at, anchor = find_sorted(block.anchors, words.hash)
     if not len(at):
-        return none, none, none, none
+        return none, none, none, none, none
     lo, hi = block.anchor_at[anchor], block.anchor_at[anchor + 1]
     n = hi - lo
     window = block.by_anchor[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
@@ -120,7 +124,7 @@ def match(words, block: Block, slop: int):
         need = block.size[w] > k
         ok = ~need | (words.hash[np.where(need, s + block.places[w, k], 0)] == block.ranked[w, k])
         w, s = w[ok], s[ok]
-    return w, s, doc[near], block.item[window[near]]
+    return w, s, doc[near], window[near], start[near]
 
 
 def _search(blocks, slop: int, column: str = "text", keep_clean: bool = False):
@@ -137,12 +141,12 @@ def _search(blocks, slop: int, column: str = "text", keep_clean: bool = False):
             items: dict[int, set] = {}
             close: dict[int, set] = {}
             for block in index:
-                w, s, near_doc, near_item = match(words, block, slop)
+                w, s, near_doc, near_window, _ = match(words, block, slop)
                 np.add.at(mark, s, 1)
                 np.add.at(mark, s + block.size[w], -1)
                 for d, i in set(zip(words.doc[s].tolist(), block.item[w].tolist(), strict=True)):
                     items.setdefault(d, set()).add(block.ids[i])
-                for d, i in set(zip(near_doc.tolist(), near_item.tolist(), strict=True)):
+                for d, i in set(zip(near_doc.tolist(), block.item[near_window].tolist(), strict=True)):
                     close.setdefault(d, set()).add(block.ids[i])
             hit = np.concatenate([[0], np.cumsum(np.cumsum(mark)[:-1] > 0)])
             n_hit = hit[words.first[1:]] - hit[words.first[:-1]]
@@ -166,6 +170,36 @@ def _search(blocks, slop: int, column: str = "text", keep_clean: bool = False):
     return run
 
 
+def _places(blocks, slop: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = blocks.value
+        for part in chunks(batches, "text"):
+            words = split_words(*text_bytes(part.column(1)))
+            ids = part.column(0).to_pylist()
+            exact, close = set(), set()
+            for block in index:
+                w, s, near_doc, near_window, near_start = match(words, block, slop)
+                for out, doc, window, start in ((exact, words.doc[s], w, s), (close, near_doc, near_window, near_start)):
+                    values = (doc, block.item[window], block.place[window], start - words.first[doc], block.size[window])
+                    out.update((d, block.ids[i], *rest) for d, i, *rest in zip(*[v.tolist() for v in values], strict=True))
+            hit = {x[:2] for x in exact}
+            rows = [(ids[x[0]], x[1], kind, *x[2:]) for kind, out in (("exact", exact), ("near", {x for x in close if x[:2] not in hit})) for x in sorted(out)]
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "kind", "item_word", "doc_word", "n_words"])
+
+    return run
+
+
+def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 3, block_rows: int = 20_000, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per match of a window, ``exact`` or ``near``: the item, the window's first
+    word in it, and the word of the document where the window begins, or would begin
+    beside its rarest term. Items with an exact match have no near ones in a document."""
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text"))
+    index = _index(texts, benchmark, window, block_rows, item_id, item_text)
+    return texts.mapInArrow(_places(index, slop), MATCHES)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 3, block_rows: int = 20_000, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document: its words, the words inside benchmark windows, the items.
 

@@ -102,11 +102,11 @@ def _scan(broadcast, votes: int, near: int):
             words = split_words(*text_bytes(part.column(1)))
             n_docs = part.num_rows
             base: dict[int, list] = {}
-            w, s, _, _ = match(words, index.base, 0)
+            w, s, *_ = match(words, index.base, 0)
             for d, i, p in zip(words.doc[s].tolist(), index.base.item[w].tolist(), s.tolist(), strict=True):
                 base.setdefault(d, []).append((p - int(words.first[d]), index.base_labels[i]))
             keyed: dict[tuple, list] = {}
-            w, s, _, _ = match(words, index.keys, 0)
+            w, s, *_ = match(words, index.keys, 0)
             for d, i, p in zip(words.doc[s].tolist(), index.keys.item[w].tolist(), s.tolist(), strict=True):
                 keyed.setdefault((d, i), []).append(p)
             found: dict[int, dict] = {}

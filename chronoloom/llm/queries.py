@@ -43,7 +43,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
-    return found.drop("n_near")  # proximity matches, which SQL has no short form of
+    return found.drop("n_near")  # proximity matches, which SQL has no short form of: op6_matches
+
+
+def op6_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_join": op4_ngram_join,
     "op5_quality": op5_quality,
     "op6_decontamination": op6_decontamination,
+    "op6_matches": op6_matches,
     "op7_licenses": op7_licenses,
     "op8_neighbours": op8_neighbours,
     "op9_chat": op9_chat,

@@ -337,6 +337,45 @@ def test_proximity(spark):
     assert [(x["n_hit"], x["n_near"]) for x in found] == [(0, 1), (4, 0), (0, 0)]
 
 
+def matches_of(texts, items, size=10, slop=3):
+    count = Counter(w for _, t in texts for w in words_of(t))
+    exact, near = set(), set()
+    for i, t in items:
+        item = words_of(t)
+        n = min(size, len(item))
+        for k in range(len(item) - n + 1 if item else 0):
+            own = item[k : k + n]
+            rare = sorted(range(n), key=lambda j: count[own[j]])[:3]
+            for d, text in texts:
+                w = words_of(text)
+                for p in [p for p in range(len(w)) if w[p] == own[rare[0]]]:
+                    at = p - rare[0]
+                    if at >= 0 and w[at : at + n] == own:
+                        exact.add((d, str(i), "exact", k, at, n))
+                    if all(own[j] in w[max(0, at + j - slop) : max(0, at + j + slop + 1)] for j in rare[1:]):
+                        near.add((d, str(i), "near", k, at, n))
+    return exact | {x for x in near if x[:2] not in {y[:2] for y in exact}}
+
+
+def test_places_of_matches(spark, data):
+    items = [(7, "alpha beta gamma delta"), (8, " ".join(f"k{i}" for i in range(25))), (9, "a b")]
+    broken = " ".join("other" if i % 8 == 4 else f"k{i}" for i in range(25))
+    texts = list(enumerate(["alpha beta x gamma delta", "z alpha beta gamma delta alpha", f"so {broken} on", "beta gamma delta", "a b a c b", None, "", "k4 k4 k12 k12 k20 k20"]))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = matches_of(texts, items)
+    assert {x[:3] for x in want} >= {(0, "7", "near"), (1, "7", "exact"), (2, "8", "near"), (4, "9", "exact")} and (2, "8", "exact") not in {x[:3] for x in want}
+    df = docs(spark, [t for _, t in texts])
+    for rows_ in (2, 20_000):
+        got = [tuple(x) for x in decontamination.find_matches(df, bench, block_rows=rows_).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    report = {x["doc_id"]: x for x in decontamination.find_contamination(df, bench).collect()}
+    for d, _ in texts:
+        assert [len({x[1] for x in want if x[0] == d and x[2] == kind}) for kind in ("exact", "near")] == [report[d]["n_items"], report[d]["n_near"]]
+    counts = QUERIES["op6_decontamination"](spark, data).select("doc_id", "n_items").where("n_items > 0").collect()
+    exact = QUERIES["op6_matches"](spark, data).where("kind = 'exact'").groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items")).collect()
+    assert {tuple(x) for x in exact} == {tuple(x) for x in counts}
+
+
 # 7
 
 def test_licences(spark, given, empty):
