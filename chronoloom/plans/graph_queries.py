@@ -349,6 +349,24 @@ def sample_unique_nodes(spark, sf):
     return _two_hop(spark, sf).select("nbr").distinct()
 
 
+def _two_hop_events(spark, sf):
+    """As ``_two_hop``, from both ends of every event."""
+    g = graph(spark, sf)
+    both = g.select((F.col("eid") * 2).alias("eid"), "src", "dst", "ts").union(g.select(F.col("eid") * 2 + 1, "dst", "src", "ts"))
+    return tp.hops(both, both.select(F.col("src").alias("root"), F.col("ts").alias("root_ts")), [3, 2])
+
+
+# Without SQL: the inequality join over every event is too slow. A test has brute force.
+@query("two_hop_events")
+def two_hop_events(spark, sf):
+    return _two_hop_events(spark, sf).withColumn("hop", F.col("hop").cast("int"))
+
+
+@query("sample_unique_nodes_events")
+def sample_unique_nodes_events(spark, sf):
+    return _two_hop_events(spark, sf).select("nbr").distinct()
+
+
 @query("uniform_k", f"""WITH {EV}, o AS (SELECT eid, src, row_number() OVER (PARTITION BY src ORDER BY ts, eid) AS k, rank() OVER (PARTITION BY src ORDER BY ts) - 1 AS before FROM ev),
     d AS (SELECT eid AS root_eid, src, before, draw FROM o, (SELECT unnest(range(1, 4)) AS draw) WHERE before > 0)
     SELECT root_eid, o.eid AS nbr_eid, draw FROM d JOIN o ON o.src = d.src AND o.k = (((root_eid * 3 + draw) * 48271 + 7) % 2147483647) % d.before + 1""")
@@ -459,6 +477,14 @@ def message_pass_vectors(spark, sf):
     return ms.propagate_vectors(e, f).select("node", F.posexplode("feat").alias("i", "x")).withColumn("x", F.round("x", 4))
 
 
+@query("message_pass_whole_vectors", """SELECT l_partkey AS node, CAST(i - 1 AS INTEGER) AS i, round(sum(l_quantity * embedding[i]::DOUBLE), 4) AS x
+    FROM lineitem JOIN embeddings ON l_suppkey = vec_id, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL""")
+def message_pass_whole_vectors(spark, sf):
+    e = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("norm"))
+    f = table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("feat"))
+    return ms.propagate_vectors(e, f).select("node", F.posexplode("feat").alias("i", "x")).withColumn("x", F.round("x", 4))
+
+
 @query("edge_softmax", f"WITH {EV}, m AS (SELECT *, exp(weight - max(weight) OVER (PARTITION BY dst)) AS e FROM ev) SELECT eid, round(e / sum(e) OVER (PARTITION BY dst), 6) AS attention FROM m")
 def edge_softmax(spark, sf):
     return rounded(ms.edge_softmax(graph(spark, sf), "weight").select("eid", "attention"), "attention")

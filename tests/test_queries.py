@@ -1,7 +1,7 @@
 import pytest
 from compare import connect, rows
 
-from chronoloom.plans.graph_queries import ORACLES, QUERIES
+from chronoloom.plans.graph_queries import ORACLES, QUERIES, graph
 
 
 @pytest.fixture(scope="module")
@@ -25,3 +25,30 @@ def test_entry_without_or_with_text_operators(spark):
     assert entry.entry(spark).count() > 0
     assert set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_two_hop_takes_both_ends_of_every_event(spark, data, tmp_path):
+    given = spark.read.parquet(f"{data}/events.parquet")
+    given.orderBy("ts").limit(120).write.parquet(f"{tmp_path}/events.parquet")
+    events = graph(spark, str(tmp_path)).select("eid", "src", "dst", "ts").collect()
+    both = [y for e, a, b, t in events for y in ((2 * e, a, b, t), (2 * e + 1, b, a, t))]
+
+    def latest(roots, k):
+        out = set()
+        for root, at in roots:
+            before = sorted(((t, e, d) for e, s, d, t in both if s == root and t < at), reverse=True)[:k]
+            out |= {(root, at, e, d, at - t, i) for i, (t, e, d) in enumerate(before, 1)}
+        return out
+
+    first = latest({(s, t) for _, s, _, t in both}, 3)
+    second = latest({(x[3], x[1]) for x in first}, 2)
+    columns = ["hop", "root", "root_ts", "nbr_eid", "nbr", "dt", "rank"]
+    got = {tuple(x) for x in QUERIES["two_hop_events"](spark, str(tmp_path)).select(columns).collect()}
+    assert first and got == {(1, *x) for x in first} | {(2, *x) for x in second}
+    assert {x[1] for x in got} & {b for _, _, b, _ in events} and {x[0] for x in QUERIES["sample_unique_nodes_events"](spark, str(tmp_path)).collect()} == {x[4] for x in got}
+
+
+def test_whole_vectors_are_passed(spark, data):
+    size = spark.read.parquet(f"{data}/embeddings.parquet").selectExpr("max(size(embedding))").first()[0]
+    got = QUERIES["message_pass_whole_vectors"](spark, data)
+    assert sorted(x["i"] for x in got.select("i").distinct().collect()) == list(range(size))
