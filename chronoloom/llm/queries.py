@@ -118,18 +118,22 @@ ORACLES: dict[str, str] = {
         WHERE rank <= 5""",
     "op9_chat": """
         WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
-        calls AS (SELECT conv_id, turn, text, conv_id || ':' || turn AS call_id FROM m WHERE role = 'user'),
+        calls AS (SELECT conv_id, turn, text, conv_id || ':' || turn AS call_id, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS depth FROM m WHERE role = 'user'),
         results AS (SELECT conv_id, turn, text, conv_id || ':' || (turn - 1) AS call_id FROM m WHERE role = 'assistant'),
         one AS (SELECT conv_id, call_id, min(text) AS content, count(*) AS n_results FROM results GROUP BY ALL),
         lines AS (
-            SELECT c.conv_id, c.turn, 'call' AS kind, c.call_id, coalesce(o.n_results, 0) AS n_results,
+            SELECT c.conv_id, c.turn, 'call' AS kind, c.call_id, depth, coalesce(o.n_results, 0) AS n_results, length(c.text) BETWEEN 16 AND 256 AS valid,
                    '{"arguments":{"text":' || CAST(to_json(c.text) AS VARCHAR) || '},"id":' || CAST(to_json(c.call_id) AS VARCHAR) || ',"name":"reply"'
                    || CASE WHEN o.content IS NULL THEN '' ELSE ',"result":' || CAST(to_json(o.content) AS VARCHAR) END || '}' AS json
             FROM calls c LEFT JOIN one o ON c.conv_id = o.conv_id AND c.call_id = o.call_id
             UNION ALL
-            SELECT conv_id, turn, 'message', NULL, 0, '{"role":' || CAST(to_json(role) AS VARCHAR) || ',"text":' || CAST(to_json(text) AS VARCHAR) || '}'
+            SELECT r.conv_id, r.turn, 'result', r.call_id, c.depth, o.n_results, TRUE, '{"content":' || CAST(to_json(r.text) AS VARCHAR) || ',"id":' || CAST(to_json(r.call_id) AS VARCHAR) || '}'
+            FROM results r JOIN one o ON r.conv_id = o.conv_id AND r.call_id = o.call_id AND o.n_results > 1
+            JOIN (SELECT DISTINCT conv_id, call_id, depth FROM calls) c ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+            UNION ALL
+            SELECT conv_id, turn, 'message', NULL, 0, 0, TRUE, '{"role":' || CAST(to_json(role) AS VARCHAR) || ',"text":' || CAST(to_json(text) AS VARCHAR) || '}'
             FROM (SELECT conv_id, turn, role, text FROM m WHERE role NOT IN ('user', 'assistant')
                   UNION ALL
                   SELECT conv_id, turn, 'assistant', text FROM results r WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id)))
-        SELECT conv_id, turn, kind, call_id, CAST(0 AS INTEGER) AS depth, n_results, TRUE AS valid, CAST(length(json) AS BIGINT) AS n_json, sha256(json) AS json_sha256 FROM lines""",
+        SELECT conv_id, turn, kind, call_id, CAST(depth AS INTEGER) AS depth, n_results, valid, CAST(length(json) AS BIGINT) AS n_json, sha256(json) AS json_sha256 FROM lines""",
 }

@@ -427,17 +427,65 @@ def test_neighbours(spark):
 
 # 9
 
+ADD = {"add": {"x": {"type": "BIGINT", "least": 0, "most": 100}, "y": {"type": "BIGINT"}}}
+
+
 def test_tool_calls(spark):
     calls = '{"tool_calls":[{"id":"a","name":"add","arguments":{"y":1,"x":2}},{"id":"b","name":"add","arguments":{"x":"2"},"depends_on":["a"]},{"id":"c","name":"add","arguments":{"x":1,"y":1},"depends_on":["b"]},{"id":"d","name":"none","arguments":{},"depends_on":["e"]},{"id":"e","name":"add","arguments":{"x":1,"y":2},"depends_on":["d"]}]}'
     rows_ = [(1, 0, "user", "hi"), (1, 1, "assistant", calls), (1, 2, "tool", '{"tool_call_id":"a","content":"3"}'), (1, 3, "tool", '{"tool_call_id":"q","content":"4"}'), (None, 0, None, None)]
     df = spark.createDataFrame(rows_, "conv_id long, turn long, role string, text string").withColumn("json", F.lit(1))
-    got = {(x["kind"], x["call_id"], x["turn"]): x for x in chat.format_chat(df, {"add": {"x": "BIGINT", "y": "BIGINT"}}, turns_as_calls=False).collect()}
-    assert {k[1]: (v["depth"], v["valid"], v["n_results"]) for k, v in got.items() if k[0] == "call"} == {"a": (0, True, 1), "b": (1, False, 0), "c": (2, True, 0), "d": (None, False, 0), "e": (None, False, 0)}
-    assert got["call", "a", 1]["json"] == '{"arguments":{"x":2,"y":1},"id":"a","name":"add","result":"3"}'
-    assert sorted(k[2] for k in got if k[0] == "message") == [0, 0, 3]
+    got = {(x["kind"], x["conv_id"], x["call_id"], x["turn"]): x for x in chat.format_chat(df, ADD, turns_as_calls=False).collect()}
+    assert {k[2]: (v["depth"], v["valid"], v["n_results"]) for k, v in got.items() if k[0] == "call"} == {"a": (0, True, 1), "b": (1, False, 0), "c": (2, True, 0), "d": (None, False, 0), "e": (None, False, 0)}
+    assert got["call", 1, "a", 1]["json"] == '{"arguments":{"x":2,"y":1},"id":"a","name":"add","result":"3"}'
+    assert sorted((k[1] or 0, k[3]) for k in got if k[0] == "message") == [(0, 0), (1, 0), (1, 3)]
+    assert got["message", None, None, 0]["json"] == '{"role":null,"text":""}'
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
+def test_arguments_against_schemas(spark):
+    given = {"a": '{"x":100,"y":-1}', "b": '{"x":101,"y":1}', "c": '{"x":1,"y":1,"z":1}', "d": '{"x":1}', "e": "[1]", "f": '{"x":1.5,"y":1}', "g": '{"x":null,"y":1}'}
+    text = '{"tool_calls":[' + ",".join(f'{{"id":"{k}","name":"add","arguments":{v}}}' for k, v in given.items()) + ',{"id":"h","name":null},{"id":null,"name":"add"}]}'
+    df = spark.createDataFrame([(1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    got = {x["call_id"]: x for x in chat.format_chat(df, ADD, turns_as_calls=False).collect()}
+    assert {k for k, x in got.items() if x["valid"]} == {"a"} and set(got) == {*given, "h"}
+    assert got["h"]["json"] == '{"arguments":null,"id":"h","name":null}'
+
+
+def test_depths_against_brute_force(spark):
+    r = random.Random(4)
+    needs = {}
+    for c in range(6):
+        ids = [f"k{i}" for i in range(40)]
+        for i, x in enumerate(ids):
+            free = ids[:i] if c < 4 else ids  # the last conversations have circles
+            needs[c, x] = sorted(set(r.sample(free, min(len(free), r.choice([0, 1, 1, 1, 1, 2, 3]))))) if r.random() < 0.95 else ["no such call"]
+    for i in range(300):
+        needs[9, f"k{i}"] = [f"k{i - 1}"] if i else []
+    want = {k: 0 for k, v in needs.items() if not v}
+    while True:
+        more = {k: 1 + max(want[k[0], x] for x in v) for k, v in needs.items() if k not in want and all((k[0], x) in want for x in v)}
+        if not more:
+            break
+        want |= more
+    df = spark.createDataFrame([(c, k, v) for (c, k), v in needs.items()] + [(9, "k5", ["k4"])], "conv_id long, call_id string, needs array<string>")
+    got = {(x["conv_id"], x["call_id"]): x["depth"] for x in chat.depths(df).collect()}
+    assert got == {k: want.get(k) for k, v in needs.items() if v} and got[9, "k299"] == 299 and None in got.values()
+
+
+def test_dialogues_as_calls(spark, monkeypatch):
+    monkeypatch.setattr(chat, "TURNS", 4)
+    long = "long text " * 30_000
+    rows_ = [(1, t, ("user", "assistant")[t % 2], f"turn number {t} of some length") for t in range(20)]
+    rows_ += [(1, 1, "assistant", "b"), (2, 0, "user", long), (2, 1, "assistant", long), (2, 6, "user", None), (3, 5, "assistant", "alone"), (3, 6, "user", "twice, the same row"), (3, 6, "user", "twice, the same row"), (1, None, "user", "x"), (4, 0, "system", "s")]
+    df = spark.createDataFrame([(*x, "own") for x in rows_], "conv_id long, turn long, role string, text string, call_id string")
+    got = chat.format_chat(df).collect()
+    calls = sorted((x["conv_id"], x["turn"], x["depth"], x["valid"], x["n_results"]) for x in got if x["kind"] == "call")
+    assert calls == [*((1, t, t // 2, True, 2 if t == 0 else 1) for t in range(0, 20, 2)), (2, 0, 0, False, 1), (2, 6, 1, False, 0), (3, 6, 0, True, 0), (3, 6, 0, True, 0)]
+    assert sorted(x["json"] for x in got if x["kind"] == "result") == ['{"content":"b","id":"1:0"}', '{"content":"turn number 1 of some length","id":"1:0"}']
+    assert sorted(x["json"] for x in got if x["kind"] == "message") == ['{"role":"assistant","text":"alone"}', '{"role":"system","text":"s"}', '{"role":"user","text":"x"}']
+    assert next(x["json"] for x in got if x["kind"] == "call" and x["conv_id"] == 2 and x["turn"] == 0) == f'{{"arguments":{{"text":"{long}"}},"id":"2:0","name":"reply","result":"{long}"}}'
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, data, name):
     assert rows(QUERIES[name](spark, data).toPandas()) == rows(connect(data).sql(ORACLES[name]).df())
