@@ -1,21 +1,33 @@
 """Main text of web pages from streaming parser events.
 
 The standard library's parser yields tags and text. Blocks of text between block tags
-are a page's lines; each has a ratio of its text to the tags in it. Ratios are smoothed
-by a Gaussian along the page, and lines above a threshold form the content clusters.
-The element that holds most of their text (an article or main element where there is
-one) is the content region; its lines are the result, short ones too, except what stands
-in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments.
-
-Defined results: null and empty pages, and pages without text, give an empty text;
-unclosed and truncated markup is closed at the end; repeated rows repeat results; an
-empty table gives no rows; further columns are ignored; long pages are read whole.
+are a page's lines. Each has a ratio of its text, links apart, to the tags in it; the
+square roots of the ratios are smoothed by a Gaussian along the page, on which a border
+between containers lies as far apart as ``border`` lines. Elements vote: in menus, headers, footers, sidebars, forms, and in elements whose class, id or role says
+so, a line's score is multiplied by less than one. A threshold between the two clusters
+of scores (Otsu's, half of the best score at most) tells content lines from others, and
+runs of content lines form clusters; those with a small share of the largest go.
+
+Content regions follow from the clusters. An element that was voted against goes with
+all its lines if no line in it reached the threshold, and stays if one did. Where article
+or main elements hold half of the content or more, the regions are those of them with
+content; elsewhere they are the stretch from the first to the last content line and the
+containers that hold content lines. All lines of a region stay, short ones too.
+
+A vote by class, id, form or header does not count for an element with most of a page's
+text unless there is an article, or a fair share of content, beside it.
+
+Defined results: null and empty pages, and pages without text or with menus alone, give
+an empty text; unclosed and truncated markup is closed at the end; equal scores fall on
+the same side of the threshold; repeated rows repeat results; an empty table gives no
+rows; further columns are ignored; long and deep pages are read whole, in time in
+proportion to their length.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -29,108 +41,142 @@ from .common import chunks
 # Elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("script style noscript template iframe object svg canvas nav footer aside form button select textarea menu dialog head title audio video".split())
+#: No text of a page: never read.
+HIDDEN = frozenset("script style noscript template iframe object svg canvas button select textarea head title audio video".split())
+#: Elements that vote against their lines whatever they hold, and those that may be a page's frame.
+FIRM_TAGS = frozenset("nav footer aside menu dialog".split())
+LOOSE_TAGS = frozenset("form header".split())
+FIRM_ROLES = frozenset("navigation contentinfo complementary search menu menubar toolbar alert alertdialog dialog".split())
+LOOSE_ROLES = frozenset("banner form".split())
+CONTAINER = frozenset("article aside body div dl footer form header html main nav ol section table td ul".split())
 #: Closed by the same tag, or by one of their group, if that comes first.
 SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCK - frozenset("body html head li dd dt tr td th tbody thead tfoot caption option legend summary figcaption".split())
-MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus respond replies cookie cookies consent gdpr notice notices newsletter subscribe share sharing social related popup modal footer header masthead widget toolbar pagination login signup search".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-_NAME = re.compile(r"[a-z]+")
+#: Words of class names and ids: with any others beside them; only alone or with plain ones; plain ones; and
+#: those after which a name says the opposite.
+MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sidebar navbar navigation breadcrumb breadcrumbs comment comments disqus cookie cookies gdpr newsletter".split())
+SOFT_MARKS = frozenset("promo promotion banner menu nav respond replies consent notice notices subscribe share sharing social related popup modal footer header masthead widget toolbar pagination login signup search".split())
+PLAIN = frozenset("area articles bar bottom box block col column container content group head holder inner item items left link links list main module outer page panel post posts region right row section site slot stories top unit wrap wrapper".split())
+OPPOSITE = frozenset("has no not with without".split())
+_NAME = re.compile("[A-Z]?[a-z]+|[A-Z]+")
+
+#: What a line's score is multiplied by where an element votes: firmly, strongly, and weakly.
+FIRM, STRONG, WEAK = 0.05, 0.1, 0.8
+
+
+def named_vote(value: str) -> float:
+    """The vote of a class attribute or an id."""
+    vote = 1.0
+    for name in value.split():
+        words = [w.lower() for w in _NAME.findall(name)]
+        if not words or words[0] in OPPOSITE:
+            continue
+        found = set(words)
+        if found & MARKS or (found & SOFT_MARKS and found <= SOFT_MARKS | (PLAIN - {"post", "main", "head"})):
+            return STRONG
+        if found & SOFT_MARKS:
+            vote = WEAK
+    return vote
 
 
 class Events(HTMLParser):
-    """Lines of a page: text, tags in it, whether it is dropped, and open elements."""
+    """Lines of a page (text, link characters, tags, element) and its elements (tag,
+    parent, vote)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # tag, dropped here or above, element number
-        self.path: tuple[int, ...] = ()
-        self.names: list[str] = []
+        self.stack: list[tuple[str, bool, int]] = []  # tag, hidden here or above, block element
+        self.open: Counter = Counter()
+        self.elements: list[tuple[str, int, float]] = [("html", -1, 1.0)]
         self.parts: list[str] = []
-        self.tags = 0
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
-        self.dropped = False
+        self.tags = self.links = self.in_link = 0
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.hidden, self.at = False, 0
 
     def cut(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, self.tags, self.dropped, self.path))
+                self.lines.append((text, min(self.links, len(text)), max(1, self.tags), self.at))
             self.parts = []
-        self.tags = 0
-
-    def _is_dropped(self, tag: str, attrs) -> bool:
-        if tag in DROPPED:
-            return True
-        if tag == "header":
-            return not any(t in ("article", "main") for t, _, _ in self.stack)
-        if tag in ("html", "body", "main"):
-            return False
+        self.tags = self.links = 0
+
+    def _vote(self, tag: str, attrs) -> float:
+        if tag in FIRM_TAGS:
+            return FIRM
+        vote = STRONG if tag == "form" or tag == "header" and not (self.open["article"] or self.open["main"]) else 1.0
         for name, value in attrs:
-            if name == "hidden":
-                return True
-            if not value:
+            if not value or tag in ("html", "body", "main"):
                 continue
             if name in ("class", "id"):
-                words = set(_NAME.findall(value.lower()))
-                found = words & MARKS
-                if found and (tag != "article" or found & {"comment", "comments", "ad", "ads", "advert", "sponsored"}):
-                    return True
-            elif name == "role" and value.lower() in ROLES or name == "style" and "display:none" in value.replace(" ", "").lower():
-                return True
-        return False
+                vote = min(vote, named_vote(value))
+            elif name == "role":
+                if value.lower() in FIRM_ROLES:
+                    return FIRM
+                if value.lower() in LOOSE_ROLES:
+                    vote = STRONG
+        return vote
 
     def _pop(self, at: int) -> None:
+        for tag, _, _ in self.stack[at:]:
+            self.open[tag] -= 1
+        # a strong vote makes a line of its own of an inline element
+        if self.at != (below := self.stack[at - 1][2] if at else 0):
+            self.cut()
         del self.stack[at:]
-        self.dropped = self.stack[-1][1] if self.stack else False
-        self.path = tuple(n for t, _, n in self.stack if t in BLOCK)
+        self.at = below
+        self.hidden = self.stack[-1][1] if self.stack else False
 
     def handle_starttag(self, tag, attrs):
-        if tag in BLOCK or tag == "br":
-            if tag == "br":
-                self.parts.append(" ")
-            else:
-                self.cut()
+        if tag == "br":
+            self.parts.append(" ")
+        elif tag in BLOCK:
+            self.cut()
         self.tags += 1
         if tag in VOID:
             return
         if tag in CLOSES_P or tag in SIBLINGS:
             ends = SIBLINGS.get(tag, {"p"})
-            for i in range(len(self.stack) - 1, -1, -1):
-                name = self.stack[i][0]
-                if name in ends:
-                    self._pop(i)
-                    break
-                if name in BLOCK and name != "p":
-                    break
-        n = len(self.names)
-        self.names.append(tag)
-        self.stack.append((tag, self.dropped or self._is_dropped(tag, attrs), n))
-        # inline elements that are dropped hide their text only
-        self.dropped = self.stack[-1][1]
-        if tag in BLOCK:
-            self.path = (*self.path, n)
+            if any(self.open[x] for x in ends):
+                for i in range(len(self.stack) - 1, -1, -1):
+                    name = self.stack[i][0]
+                    if name in ends:
+                        self._pop(i)
+                        break
+                    if name in BLOCK and name != "p":
+                        break
+        hidden = self.hidden or tag in HIDDEN or any(n == "hidden" or n == "style" and v and "display:none" in v.replace(" ", "").lower() for n, v in attrs) and tag not in ("html", "body")
+        vote = self._vote(tag, attrs)
+        if tag in BLOCK or vote <= STRONG:
+            self.cut()
+            self.elements.append((tag, self.at, vote))
+            self.at = len(self.elements) - 1
+        self.stack.append((tag, hidden, self.at))
+        self.open[tag] += 1
+        self.hidden = hidden
 
     def handle_startendtag(self, tag, attrs):
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:  # a slash on other elements has no meaning in HTML
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)  # a slash has no meaning in HTML
 
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self.cut()
         self.tags += 1
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
+            name = self.stack[i][0]
+            if name == tag:
                 self._pop(i)
                 return
-            if tag not in BLOCK and self.stack[i][0] in BLOCK and self.stack[i][0] != "p":
+            if tag not in BLOCK and name in BLOCK and name != "p":
                 return
 
     def handle_data(self, data):
-        if not self.dropped:
+        if not self.hidden:
             self.parts.append(data)
+            if self.open["a"] > 0:
+                self.links += len(data.strip())
 
     def finish(self):
         self.close()
@@ -138,37 +184,128 @@ class Events(HTMLParser):
         return self.lines
 
 
-def smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
-    radius = int(np.ceil(2 * sigma))
-    kernel = np.exp(-(np.arange(-radius, radius + 1) ** 2) / (2 * sigma**2))
-    padded = np.pad(values, radius, mode="edge")
-    return np.convolve(padded, kernel / kernel.sum(), mode="valid")
+def smoothed(values: np.ndarray, place: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian means of the values around their places."""
+    total, weights = values.copy(), np.ones(len(values))
+    for k in range(1, min(int(np.ceil(3 * sigma)), len(values) - 1) + 1):
+        near = np.exp(-((place[k:] - place[:-k]) ** 2) / (2 * sigma**2))
+        total[k:] += near * values[:-k]
+        total[:-k] += near * values[k:]
+        weights[k:] += near
+        weights[:-k] += near
+    return total / weights
+
+
+def threshold(scores: np.ndarray) -> float:
+    """The cut that leaves the least variance inside the two clusters of scores."""
+    own = np.sort(scores)
+    n, total = len(own), own.sum()
+    if n < 2 or own[0] == own[-1]:
+        return float(own[0]) if n else 0.0
+    low = np.cumsum(own)[:-1]
+    k = np.arange(1, n)
+    between = k * (n - k) * (low / k - (total - low) / (n - k)) ** 2
+    between[own[1:] == own[:-1]] = -1
+    i = int(np.argmax(between))
+    return float(own[i] + own[i + 1]) / 2
+
+
+def clusters(scores: np.ndarray, size: np.ndarray, best: float, share: float, gap: int = 2) -> np.ndarray:
+    """Which lines are content: above the threshold, in runs (with up to ``gap`` other
+    lines inside) that hold a share of the largest run's text."""
+    content = scores >= min(threshold(scores), 0.5 * best)
+    at = np.flatnonzero(content)
+    if not len(at):
+        return content
+    run = np.cumsum(np.r_[0, np.diff(at) > gap + 1])
+    mass = np.bincount(run, weights=size[at])
+    content[at[(mass < share * mass.max())[run]]] = False
+    return content
+
 
+def _sums(values: np.ndarray, line_at: np.ndarray, parents: np.ndarray) -> np.ndarray:
+    """Sums over each element's lines, those of elements in it included."""
+    out = np.bincount(line_at, weights=values, minlength=len(parents)).tolist()
+    for e in range(len(parents) - 1, 0, -1):  # a parent has a smaller number
+        out[parents[e]] += out[e]
+    return np.array(out)
 
-def main_text(html: str, sigma: float = 1.0, share: float = 0.6) -> str:
+
+def main_text(html: str, sigma: float = 1.0, border: float = 2.0, share: float = 0.1, most: float = 0.5, fair: float = 0.25, links: float = 0.75) -> str:
     events = Events()
     events.feed(html)
-    lines = [x for x in events.finish() if not x[2]]
+    lines = events.finish()
     if not lines:
         return ""
-    length = np.array([len(x[0]) for x in lines], dtype=np.float64)
-    ratio = smoothed(length / np.array([max(1, x[1]) for x in lines]), sigma)
-    content = ratio >= min(ratio.std(), 0.5 * ratio.max())
-    mass: dict[int, float] = {}
-    for (_, _, _, path), size, is_content in zip(lines, length, content, strict=True):
-        if is_content:
-            for n in path:
-                mass[n] = mass.get(n, 0.0) + size
-    total = float(length[content].sum())
-    names = events.names
-    whole = [n for n in mass if names[n] in ("article", "main") and mass[n] >= 0.2 * total]
-    if whole:
-        region = set(whole)
+    tag = [x[0] for x in events.elements]
+    parent = [x[1] for x in events.elements]
+    n_elements = len(tag)
+    at = np.array([x[3] for x in lines])
+    size = np.array([len(x[0]) for x in lines], dtype=np.float64)
+    linked = np.array([x[1] for x in lines], dtype=np.float64)
+    tags = np.array([x[2] for x in lines], dtype=np.float64)
+    box = [0] * n_elements
+    for e in range(1, n_elements):
+        box[e] = e if tag[e] in CONTAINER else box[parent[e]]
+    boxes = np.array(box)[at]
+    place = np.cumsum(np.r_[0.0, 1 + border * (boxes[1:] != boxes[:-1])])
+    score = smoothed(np.sqrt((size - linked) / tags), place, sigma)
+
+    def weights(votes: list[float]) -> np.ndarray:
+        """The least vote at or above each element."""
+        out = list(votes)
+        for e in range(1, n_elements):
+            out[e] = min(out[e], out[parent[e]])
+        return np.array(out)
+
+    def content_of(votes: list[float]):
+        weight = weights(votes)[at]
+        free = score[weight > STRONG]
+        return clusters(score * weight, size, free.max(), share) if len(free) else np.zeros(len(lines), bool)
+
+    votes = [x[2] for x in events.elements]
+    content = content_of(votes)
+    # votes that an element's share of the page speaks against
+    text, mass = _sums(size, at, parent), _sums(size * content, at, parent)
+    semantic = np.zeros(n_elements)
+    for e in range(n_elements):
+        semantic[e] = tag[e] in ("article", "main") and mass[e] > 0
+    inside = semantic.copy()
+    for e in range(n_elements - 1, 0, -1):
+        inside[parent[e]] += inside[e]
+    frames = [e for e in range(1, n_elements) if votes[e] == STRONG and text[e] > most * text[0] and inside[e] == inside[0] and mass[0] - mass[e] < fair * text[0]]
+    if frames:
+        for e in frames:
+            votes[e] = 1.0
+        content = content_of(votes)
+        mass = _sums(size * content, at, parent)
+    if not content.any():
+        return ""
+
+    # elements that go: voted against, and without a content line
+    gone = [False] * n_elements
+    for e in range(1, n_elements):
+        gone[e] = gone[parent[e]] or votes[e] <= STRONG and mass[e] == 0
+    whole = [e for e in range(n_elements) if tag[e] in ("article", "main") and mass[e] > 0 and not gone[e]]
+    region = [False] * n_elements
+    for e in whole:
+        region[e] = True
+    for e in range(1, n_elements):
+        region[e] = region[e] or region[parent[e]]
+    region_lines = np.array(region)[at]
+    kept = ~np.array(gone)[at]
+    if size[content & region_lines].sum() >= 0.5 * size[content].sum():
+        kept &= region_lines
     else:
-        # the innermost section that still holds most of the content
-        holders = [n for n in mass if names[n] in ("section", "div", "td", "body", "html") and mass[n] >= share * total]
-        region = {max(holders)} if holders else None
-    return "\n\n".join(text for text, _, _, path in lines if region is None or region.intersection(path))
+        first, last = np.flatnonzero(content)[[0, -1]]
+        link_text, anchors = _sums(linked, at, parent), _sums((linked > 0).astype(float), at, parent)
+        headed = _sums(np.array([tag[x] in ("h1", "h2") for x in at], dtype=float), at, parent)
+        menu = [False] * n_elements
+        for e in range(1, n_elements):
+            menu[e] = menu[parent[e]] or box[e] == e and mass[e] == 0 and anchors[e] > 1 and link_text[e] >= links * text[e]
+        order = np.arange(len(lines))
+        kept &= ~np.array(menu)[at] & ((order >= first) & (order <= last) | (mass[boxes] > 0) | (headed[boxes] > 0))
+    return "\n\n".join(lines[i][0] for i in np.flatnonzero(kept))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
