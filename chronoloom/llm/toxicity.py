@@ -1,20 +1,28 @@
 """Toxicity scores with noisy-channel deobfuscation.
 
-A character trigram model is counted over the whole corpus. Tokens that look written
-over (digits and signs for letters, letters drawn out, letters set apart) become a
-lattice of readings: a sign may stand for letters, a repeated letter or a separator may
-be dropped, each at a channel cost. Viterbi decoding under the trigram model gives the
-restored token, which is scored along with the text's own words.
+A character trigram model is counted over the whole corpus. Tokens that may be written
+over become a lattice of readings: a digit or sign may stand for letters, a letter that
+repeats the one before it or a separator may be dropped, each at a channel cost. Viterbi
+decoding under the trigram model, over all states, gives the restored token, which is
+scored along with the text's own words.
+
+Into the lattice go: tokens with a digit or sign beside a letter, letters drawn out
+three times or more, single letters set apart by signs or spaces, and runs of up to
+three letters set apart by signs. A letter that stands twice is compared with the same
+letter once by the model's own figures, which for a doubling between other letters is
+what the lattice would give; tokens where once is likelier go through the lattice.
 
 Scores: words and word beginnings that stand out in toxic training texts carry a
 log-likelihood ratio; a logistic model over a text's sums of these gives its score.
-Both are learned on at most ``sample`` labelled rows (labelled.SAMPLE), so that part does
-not grow with the corpus. Labels, language, source and ids are no inputs.
+Both are learned on at most ``sample`` labelled ids (labelled.SAMPLE), one row for each,
+so that part does not grow with the corpus; all features of these rows with at least
+``least_ratio`` are kept. Labels, language, source and ids are no inputs.
 
 Defined results: null and empty texts have no words and get the score of such texts;
-without usable labels every score is 0; repeated rows repeat scores; an empty table
-gives no rows; further columns are ignored by ``score_toxicity`` and kept by
-``without_toxic``; whole texts are read, however long.
+without usable labels every score is 0; of rows that repeat a labelled id the smallest
+text is learned from; of equally good readings the first in the order of states counts;
+repeated rows repeat scores; an empty table gives no rows; further columns are ignored by
+``score_toxicity`` and kept by ``without_toxic``; whole texts are read, however long.
 """
 
 from __future__ import annotations
@@ -29,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, filled, slices, stash, text_bytes
 from .labelled import SAMPLE, remainder, training_ids
-from .words import ALNUM, find_sorted, mix, span_hash, split_words
+from .words import ALNUM, NOT_SPACE, find_sorted, mix, span_hash, split_words
 
 # What digits and signs may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "*": "aeiou", "€": "e", "(": "c"}
@@ -37,16 +45,22 @@ SEPARATORS = " .-_*'~"
 
 #: Word beginnings of these many bytes are features beside whole words.
 PREFIXES = (4, 5, 6, 7, 8, 10)
-#: Features that the lexicon holds at most.
-LEXICON = 100_000
 _LETTERS = 28  # boundary, a to z, anything else
 _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[97:123] = _SYMBOL[65:91] = np.arange(1, 27)
 _SYMBOL[128:] = 27
 
-_CORE = re.compile(r"[0-9@$!|+*€(][a-z]|([a-z])\1\1|(?:([a-z])\2){3}")
-_APART = re.compile(r"(?<![^\W_])[a-z0-9@$!|](?:[ .\-_*'~][a-z0-9@$!|]){2,}(?![^\W_])")
-_TWICE = re.compile(r"([a-z])\1")
+_LETTER = (_SYMBOL > 0) & (_SYMBOL < 27)
+#: Digits and signs before a letter, and those that count after one too.
+_SIGN, _FIRM_SIGN = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_SIGN[[ord(c) for c in LEET if ord(c) < 128]] = True
+_FIRM_SIGN[[ord(c) for c in "0123456789@$"]] = True
+#: Channel costs: a sign for a letter, a separator or a letter drawn out that is dropped,
+#: and a letter that stands twice and is dropped.
+SWAP, DROP, TWICE = 0.7, 1.0, 1.5
+
+_APART = re.compile(r"(?<![^\W_])[a-z0-9@$!|](?:[ .\-_*'~]{1,3}[a-z0-9@$!|]){2,}(?![^\W_])")
+_PIECES = re.compile(r"(?<![^\W_])[a-z0-9@$!|]{1,3}(?:[.\-_*'~]{1,3}[a-z0-9@$!|]{1,3}){2,}(?![^\W_])")
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -76,22 +90,23 @@ def trigram_model(texts: DataFrame) -> np.ndarray:
 class Decoder:
     """Viterbi decoding of written-over tokens; the last tokens' readings are kept."""
 
-    def __init__(self, model: np.ndarray, beam: int = 48, kept: int = 50_000):
-        self.log = model.tolist()
-        self.beam, self.kept, self.seen = beam, kept, {}
+    def __init__(self, model: np.ndarray, kept: int = 50_000):
+        self.model, self.log = model, model.tolist()
+        self.kept, self.seen = kept, {}
 
-    def _readings(self, c: str, drawn: bool):
-        """(symbol or None for nothing, letter, cost) of a character; ``drawn``: it may
-        only draw out the letter before it."""
+    @staticmethod
+    def readings(c: str, before: str, around: str = "") -> list[tuple[int | None, str, float]]:
+        """(symbol or None for nothing, letter, cost) of a character after another;
+        ``around``: the one two before and the next."""
         out = []
         if "a" <= c <= "z":
             out.append((ord(c) - 96, c, 0.0))
-            if drawn:
-                out.append((None, "", 1.0))
+            if c == before:
+                out.append((None, "", DROP if c in around else TWICE))
         for x in LEET.get(c, ""):
-            out.append((ord(x) - 96, x, 0.7))
+            out.append((ord(x) - 96, x, SWAP))
         if c in SEPARATORS:
-            out.append((None, "", 1.0))
+            out.append((None, "", DROP))
         return out or [(27, c, 0.0)]
 
     def decode(self, token: str) -> str:
@@ -105,45 +120,82 @@ class Decoder:
     def _viterbi(self, token: str) -> str:
         # back pointers, not strings, so that long tokens cost time in proportion
         states = {(0, 0): (0.0, None)}
-        # doubled letters are common; three in a row, or three doubled ones, are not
-        often = len(_TWICE.findall(token)) > 2
+        before = ""
         for i, c in enumerate(token):
-            same = i and token[i - 1] == c
-            drawn = bool(same and (often or token[i - 2 : i] == c + c and i > 1 or token[i + 1 : i + 2] == c))
+            options = self.readings(c, before, token[max(0, i - 2) : max(0, i - 1)] + token[i + 1 : i + 2] if c == before else "")
+            before = c
             after: dict = {}
             for (a, b), (score, path) in states.items():
                 row = self.log[a][b]
-                for symbol, letter, cost in self._readings(c, drawn):
+                for symbol, letter, cost in options:
                     if symbol is None:
                         key, value, step = (a, b), score - cost, path
                     else:
                         key, value, step = (b, symbol), score - cost + row[symbol], (path, letter)
                     if key not in after or value > after[key][0]:
                         after[key] = (value, step)
-            if len(after) > self.beam:
-                after = dict(sorted(after.items(), key=lambda x: -x[1][0])[: self.beam])
             states = after
-        path = max(((score + self.log[a][b][0], id(path), path) for (a, b), (score, path) in states.items()), key=lambda x: x[0])[2]
+        path, best = None, -np.inf
+        for (a, b), (score, own) in states.items():
+            if score + self.log[a][b][0] > best:
+                path, best = own, score + self.log[a][b][0]
         letters = []
         while path is not None:
             path, letter = path
             letters.append(letter)
         return "".join(reversed(letters))
 
-    def restored(self, text: str) -> list[str]:
-        """Restored forms of the written-over tokens of a text."""
-        low = text.lower()
-        found = []
-        if _CORE.search(low):
-            found = [t for t in low.split() if _CORE.search(t)]
-        found += [m[0] for m in _APART.finditer(low) if sum("a" <= c <= "z" for c in m[0]) > 1]
+    def _suspect(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Bytes that bring their token into the lattice."""
+        s = _SYMBOL[raw]
+        letter, sign, firm = _LETTER[raw], _SIGN[raw], _FIRM_SIGN[raw]
+        hit = np.zeros(len(raw), dtype=bool)
+        hit[:-1] |= sign[:-1] & letter[1:]
+        hit[1:] |= firm[1:] & letter[:-1]
+        hit[:-2] |= (raw[:-2] == 0xE2) & (raw[1:-1] == 0x82) & (raw[2:] == 0xAC)
+        twice = np.flatnonzero(letter[:-1] & (s[:-1] == s[1:]))
+        twice = twice[~np.isin(twice + 1, offsets)]
+        if len(twice):
+            around = np.r_[0, s, 0, 0]
+            v, x, w = around[twice], around[twice + 1], around[twice + 3]
+            first = np.isin(twice, offsets[:-1])
+            v = np.where(first, 0, v)
+            w = np.where(np.isin(twice + 2, offsets[1:]), 0, w)
+            m = self.model
+            hit[twice] |= (v == x) | (m[v, x, w] - TWICE > m[v, x, x] + m[x, x, w])
+        return np.flatnonzero(hit)
+
+    def restored_of(self, texts: pa.Array, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, str]]:
+        """(text, restored word) of the written-over tokens of a batch."""
         out = []
-        for token in found:
-            for reading in _WORDS.findall(self.decode(token.strip("()[]{}\"',.;:?#%&").rstrip("!*|+"))):
-                if len(reading) > 2:
-                    out.append(reading)
+        at = self._suspect(raw, offsets) if len(raw) else np.zeros(0, np.int64)
+        if len(at):
+            cuts = np.flatnonzero(~NOT_SPACE[raw])
+            doc = np.searchsorted(offsets, at, side="right") - 1
+            k = np.searchsorted(cuts, at)
+            start = np.maximum(np.r_[-1, cuts][k] + 1, offsets[doc])
+            end = np.minimum(np.r_[cuts, len(raw)][k], offsets[doc + 1])
+            start, own = np.unique(start, return_index=True)
+            for d, a, b in zip(doc[own].tolist(), start.tolist(), end[own].tolist(), strict=True):
+                token = raw[a:b].tobytes().decode("utf-8", "replace").lower()
+                out += [(d, w) for w in self.words(token)]
+        for d, text in enumerate(texts.to_pylist()):
+            low = text.lower()
+            apart = {m[0] for m in _APART.finditer(low)} | {m[0] for m in _PIECES.finditer(low)}
+            for token in sorted(apart):
+                if sum("a" <= c <= "z" for c in token) > 1:
+                    out += [(d, w) for w in self.words(token)]
         return out
 
+    def words(self, token: str) -> list[str]:
+        token = token.strip("()[]{}\"',.;:?#%&").rstrip("!*|+")
+        return [w for w in _WORDS.findall(self.decode(token)) if len(w) > 2]
+
+    def restored(self, text: str) -> list[str]:
+        """Restored forms of the written-over tokens of a text."""
+        column = pa.array([text], pa.string())
+        return [w for _, w in self.restored_of(column, *text_bytes(column))]
+
 
 def _terms(raw: np.ndarray, offsets: np.ndarray):
     """(document, word, features) of all words: a row of feature hashes for each word,
@@ -160,8 +212,9 @@ def _terms(raw: np.ndarray, offsets: np.ndarray):
 
 def text_terms(part: pa.RecordBatch, column: str, decoder: Decoder):
     texts = part.column(part.schema.get_field_index(column))
-    doc, word, rows = _terms(*text_bytes(texts))
-    extra = [(d, w) for d, t in enumerate(texts.to_pylist()) for w in decoder.restored(t)]
+    raw, offsets = text_bytes(texts)
+    doc, word, rows = _terms(raw, offsets)
+    extra = decoder.restored_of(texts, raw, offsets)
     if extra:
         data = [w.encode() for _, w in extra]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
@@ -176,19 +229,16 @@ def _once(doc: np.ndarray, word: np.ndarray) -> np.ndarray:
     return at
 
 
-def _count_features(decoder, table=None):
-    """How many (document, distinct word) have each feature; of the table only, if given.
-    The feature 0 counts all of them."""
+def _count_features(decoder):
+    """How many (document, distinct word) have each feature. The feature 0 counts all of
+    them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
             doc, word, rows = text_terms(part, "text", decoder.value)
             at = _once(doc, word)
             flat = np.concatenate([r[at] for r in rows])
-            flat = flat[flat != 0]
-            if table is not None:
-                flat = flat[find_sorted(table.value, flat)[0]]
-            value, n = np.unique(flat, return_counts=True)
+            value, n = np.unique(flat[flat != 0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[value.view(np.int64), 0]), pa.array(np.r_[n, len(at)].astype(np.int64))], names=["feature", "n"])
 
     return run
@@ -246,31 +296,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     decoder = sc.broadcast(Decoder(trigram_model(texts)))
     chosen = training_ids(labels, label, mod, held_out, sample)
-    known = stash(texts.join(F.broadcast(chosen), "doc_id"))
+    # one row for each id, so that repeated ids leave the bound as it is
+    known = stash(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")))
     n_toxic, n_all = known.where("label = 1").count(), known.count()
     lexicon = Lexicon(np.zeros(0, np.uint64), np.zeros(0))
     if not 0 < n_toxic < n_all:
         return decoder, sc.broadcast(lexicon)
 
-    def counted(rows: DataFrame, table=None) -> DataFrame:
-        return rows.select("text").mapInArrow(_count_features(decoder, table), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    def counted(label: int) -> DataFrame:
+        rows = known.where(F.col("label") == label).select("text").mapInArrow(_count_features(decoder), "feature long, n long")
+        return stash(rows.groupBy("feature").agg(F.sum("n").alias(f"n{label}")))
 
-    toxic = counted(known.where("label = 1"))
+    one, zero = counted(1), counted(0)
+    all_one, all_zero = (df.where("feature = 0").agg(F.sum(c)).first()[0] or 1 for df, c in ((one, "n1"), (zero, "n0")))
     least = max(3, n_toxic // 100)
-    one = toxic.where((F.col("n") >= least) | (F.col("feature") == 0)).orderBy(F.desc("n"), "feature").limit(LEXICON).toPandas()
-    all_one = one.loc[one["feature"] == 0, "n"].iloc[0]
-    one = one[one["feature"] != 0]
-    table = one["feature"].to_numpy(np.int64).view(np.uint64)
+    both = one.where(F.col("feature") != 0).where(F.col("n1") >= least).join(zero, "feature", "left")
+    ratio = F.log((F.col("n1") + 0.5) / all_one) - F.log((F.coalesce("n0", F.lit(0)) + 0.5) / all_zero)
+    # features of the sample alone, whose size is bounded
+    kept = both.select("feature", ratio.alias("ratio")).where(F.col("ratio") >= least_ratio).toPandas()
+    table = kept["feature"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(table)
-    table, c1 = table[order], one["n"].to_numpy(np.float64)[order]
-    zero = counted(known.where("label = 0"), sc.broadcast(table)).toPandas()
-    all_zero = zero.loc[zero["feature"] == 0, "n"].sum()
-    zero = zero[zero["feature"] != 0]
-    c0 = np.zeros(len(table))
-    c0[np.searchsorted(table, zero["feature"].to_numpy(np.int64).view(np.uint64))] = zero["n"]
-    ratio = np.log((c1 + 0.5) / all_one) - np.log((c0 + 0.5) / max(all_zero, 1))
-    keep = ratio >= least_ratio
-    lexicon = Lexicon(table[keep], ratio[keep])
+    lexicon = Lexicon(table[order], kept["ratio"].to_numpy(np.float64)[order])
     shared = sc.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
