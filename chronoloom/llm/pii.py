@@ -15,10 +15,15 @@ Values and words with them come from the documents with base spans alone; the do
 counts of candidate words are taken over all documents. Values in fewer than ``support``
 documents, and words too frequent for the value, cannot reach the threshold and are left
 out before pairs are counted. A value or word that very many documents share is
-aggregated before any shuffle.
+aggregated before any shuffle, and words that are too frequent for every value leave the
+pairs without one.
+
+Places are running sums of lengths. They, and cuts of long texts, work block by block, so
+that a text with n spans costs little more than n steps.
 
 Defined results: null and empty texts have no spans; repeated rows are counted as
-documents of their own and get equal spans; an empty table gives no rows; columns other
+documents of their own and get equal spans; a span that begins inside an earlier one is
+replaced with that one; of spans that begin together the kind listed first is named; an empty table gives no rows; columns other
 than id and text are ignored by ``find_personal_data`` and kept by ``sanitise``; texts
 are read whole, however long.
 """
@@ -74,21 +79,89 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, step, start: int = 0) -> Column:
+    """For each entry of an integer array the fold of the entries before it, and last the
+    fold of all. Blocks of about the root of their number keep what is copied small."""
+    first = F.array(F.lit(start)).cast("array<int>")
+    on = lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x)))
+
+    def of(v: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v)))).cast("int")
+        last = F.floor((F.size(v) - 1) / width).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(v, b * width + 1, width))
+
+        def joined(parts: Column) -> Column:
+            totals = F.transform(parts, lambda b: F.aggregate(b, F.lit(start), step))
+            bases = F.aggregate(totals, first, on)
+            inside = F.zip_with(parts, F.slice(bases, 1, F.size(parts)), lambda b, base: F.slice(F.aggregate(b, F.array(base).cast("array<int>"), on), 1, F.size(b)))
+            return F.concat(F.flatten(inside), F.slice(bases, -1, 1))
+
+        return let(blocks, joined)
+
+    return F.when(F.size(values) > 0, let(values, of)).otherwise(first)
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def matches(text: Column, pattern: str) -> Column:
     """(start, stop, value) of all matches in code points: the pieces between them and
     their own lengths add up to their places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    pairs = F.zip_with(between, found, lambda p, m: F.struct(F.char_length(p).alias("gap"), m.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,value:string>>").alias("out"))
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
-        end = begin + F.coalesce(F.char_length(x["value"]), F.lit(0))
-        one = F.array(F.struct(begin.alias("start"), end.alias("stop"), x["value"].alias("value")))
-        return F.struct(end.alias("at"), F.when(x["value"].isNull(), state["out"]).otherwise(F.concat(state["out"], one)).alias("out"))
+    def of(found: Column) -> Column:
+        # (gap before, length, value) of each; the piece after the last match is left out
+        parts = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda p, m: F.struct(F.char_length(p).alias("gap"), F.char_length(m).alias("size"), m.alias("value")))
+
+        def placed(x: Column) -> Column:
+            ends = F.slice(running(F.transform(x, lambda y: y["gap"] + y["size"]), _sum), 2, F.size(x))
+            return F.zip_with(x, ends, lambda y, end: F.struct((end - y["size"]).alias("start"), end.alias("stop"), y["value"].alias("value")))
+
+        return let(parts, placed)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)
+
+
+#: Code points of a block that texts are cut from.
+_BLOCK = 512
 
-    return F.aggregate(pairs, start, step, lambda s: s["out"])
+
+class Cuts:
+    """Pieces of a text between two places, from blocks of it: a cut costs no more than
+    its length and a block."""
+
+    def __init__(self, blocks: Column):
+        self.blocks = blocks
+
+    @staticmethod
+    def of(text: Column) -> Column:
+        return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+
+    def piece(self, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / _BLOCK).cast("int"), F.floor((b - 1) / _BLOCK).cast("int")
+        at = lambda k: F.element_at(self.blocks, k + 1)
+        inside = F.substring(at(first), a % _BLOCK + 1, b - a)
+        across = F.concat(F.substring(at(first), a % _BLOCK + 1, F.lit(_BLOCK)), F.array_join(F.slice(self.blocks, first + 2, last - first - 1), ""), F.substring(at(last), F.lit(1), b - last * _BLOCK))
+        return F.when(b <= a, "").when(first == last, inside).otherwise(across)
+
+
+def rebuilt(text: Column, spans: Column, put) -> Column:
+    """The text with ``put(span, from)`` for what each span covers beyond those before it,
+    where ``from`` is the first place not covered yet; spans are in order of start."""
+
+    def of(s: Column) -> Column:
+        cuts, own, seen = Cuts(s["blocks"]), s["spans"], s["seen"]
+        parts = F.zip_with(own, F.slice(seen, 1, F.size(own)), lambda x, at: F.concat(cuts.piece(at, x["start"]), put(x, at)))
+        return F.concat(F.array_join(parts, ""), cuts.piece(F.element_at(seen, -1), s["size"]))
+
+    seen = running(F.transform(spans, lambda x: x["stop"]), lambda a, b: F.greatest(a, b))
+    state = F.struct(Cuts.of(text).alias("blocks"), spans.alias("spans"), seen.alias("seen"), F.char_length(text).alias("size"))
+    return F.when(F.size(spans) > 0, let(state, of)).otherwise(text)
 
 
 def _of_kind(found: Column, number: int, kind: str) -> Column:
@@ -110,14 +183,7 @@ def base_spans(text: Column) -> Column:
 
 def _blanked(text: Column, spans: Column) -> Column:
     """The text with spaces in place of the spans, all other places as they were."""
-
-    def step(state: Column, x: Column) -> Column:
-        at = F.greatest(state["at"], x["start"])
-        gap = F.substring(text, state["at"] + 1, at - state["at"])
-        return F.struct(F.greatest(at, x["stop"]).alias("at"), F.concat(state["out"], gap, F.repeat(F.lit(" "), F.greatest(x["stop"] - at, F.lit(0)))).alias("out"))
-
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return rebuilt(text, spans, lambda x, at: F.repeat(F.lit(" "), F.greatest(x["stop"] - F.greatest(x["start"], at), F.lit(0))))
 
 
 def _words(text: Column) -> Column:
@@ -125,17 +191,10 @@ def _words(text: Column) -> Column:
 
 
 def _places(text: Column, words: Column) -> Column:
-    """Spans of kind ``term`` wherever one of the words stands; the list grows by these
-    alone, so that long texts cost time in proportion."""
-    pairs = F.zip_with(F.split(text, _WORD, -1), F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), lambda p, m: F.struct(F.char_length(p).alias("gap"), F.char_length(m).alias("size"), F.lower(m).alias("word")))
-
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
-        end = begin + F.coalesce(x["size"], F.lit(0))
-        one = F.array(F.struct(begin.alias("start"), F.lit(len(KINDS)).alias("kind"), end.alias("stop"), F.lit("").alias("value")))
-        return F.struct(end.alias("at"), F.when(F.array_contains(words, x["word"]), F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
-
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")), step, lambda s: s["out"])
+    """Spans of kind ``term`` wherever one of the words stands."""
+    found = matches(text, _WORD)
+    hits = F.filter(found, lambda x: F.array_contains(words, F.lower(x["value"])))
+    return F.transform(hits, lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), x["stop"].alias("stop"), F.lit("").alias("value")))
 
 
 def _entity(span: Column) -> Column:
@@ -148,7 +207,8 @@ def _joined(spans: Column) -> Column:
 
 
 def _row_key(doc_id: str, text: str) -> Column:
-    return F.xxhash64(F.col(doc_id), F.col(text))
+    """128 bits of the id and the text: equal for repeated rows alone."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("none")), F.lit(":"), F.coalesce(F.col(text), F.lit("")))))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -170,9 +230,17 @@ def analyse(docs: DataFrame, alpha: float = 1.25, support: int = 2, doc_id: str
     values = with_entity.select("entity", "with_entity", bound.alias("bound"))
     held = base_rows.select(F.explode("entities").alias("entity"), "words").join(_small(values), "entity")
     words = stash(held.select(F.explode("words").alias("word")).distinct())
-    each = rows.select(F.explode("words").alias("word")).join(_small(words), "word", "left_semi").groupBy("word").agg(F.count("*").alias("with_word"))
-    with_word = stash(each.where(F.col("with_word").between(support, total ** (1 - 1 / alpha) * most ** (1 / alpha) * (1 + 1e-6))))
+    # one row for each word before the words of values are looked up
+    each = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("with_word")).join(_small(words), "word", "left_semi")
+    highest = total ** (1 - 1 / alpha) * most ** (1 / alpha) * (1 + 1e-6)
+    each = stash(each.where(F.col("with_word") >= support))
+    with_word = each.where(F.col("with_word") <= highest)
     pairs = held.select("entity", "with_entity", "bound", F.explode("words").alias("word"))
+    # words of a thousandth of all rows that are too frequent for every value: no more than
+    # a thousand times the mean number of words in a row
+    frequent = each.where((F.col("with_word") > highest) & (F.col("with_word") >= total / 1000)).select("word")
+    if frequent.count() <= SMALL_ROWS:
+        pairs = pairs.join(F.broadcast(frequent), "word", "left_anti")
     pairs = pairs.join(_small(with_word), "word").where(F.col("with_word") <= F.col("bound"))
     scored = pairs.groupBy("entity", "word", "with_entity", "with_word").agg(F.count("*").alias("both")).where(F.col("both") >= support)
     information = F.log2(F.lit(total) / F.col("with_entity"))
@@ -194,15 +262,10 @@ def _is(number: int):
     return lambda x: x["kind"] == number
 
 
-def _outside(terms: Column, base: Column) -> Column:
-    """Terms that no base span overlaps."""
-    return F.filter(F.coalesce(terms, F.array().cast(_SPAN)), lambda t: ~F.exists(base, lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
-
-
 def find_personal_data(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term) for each row."""
     rows, terms = analyse(docs, **options)
-    all_rows = _with_terms(rows.select("doc_id", "row_key", "base"), terms).withColumn("terms", _outside(F.col("terms"), F.col("base")))
+    all_rows = _with_terms(rows.select("doc_id", "row_key", "base"), terms).withColumn("terms", F.coalesce("terms", F.array().cast(_SPAN)))
     counts = [F.size(F.filter("base", _is(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     spans = F.array_sort(F.concat("base", "terms"))
     return all_rows.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(spans).alias("spans"), F.size("terms").cast("long").alias("n_term"))
@@ -214,16 +277,9 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", n_
     # the row as one struct, so that no column of it can clash with those added here
     packed = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(doc_text), F.lit("")).alias("text"), _row_key(doc_id, doc_text).alias("row_key"))
     marked = _with_terms(packed.withColumn("base", base_spans(F.col("text"))), terms)
-    marked = marked.withColumn("spans", F.array_sort(F.concat("base", _outside(F.col("terms"), F.col("base")))))
+    marked = marked.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast(_SPAN)))))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in [*KINDS, "term"]])
-    text = F.col("text")
-
-    def step(state: Column, x: Column) -> Column:
-        fresh = x["start"] >= state["at"]
-        kept = F.concat(state["out"], F.substring(text, state["at"] + 1, x["start"] - state["at"]), F.element_at(names, x["kind"] + 1))
-        return F.struct(F.greatest(state["at"], x["stop"]).alias("at"), F.when(fresh, kept).otherwise(state["out"]).alias("out"))
-
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
+    done = rebuilt(F.col("text"), F.col("spans"), lambda x, at: F.when(x["start"] >= at, F.element_at(names, x["kind"] + 1)).otherwise(""))
     new = marked.withColumn("done", F.when(F.size("spans") > 0, done))
 
     def column(c: str) -> Column:
