@@ -1,22 +1,27 @@
 """License scans over a positional index of rare template words.
 
-The index holds, for each licence template, the positions of its ``rare`` words of the
-highest IDF; IDF comes from a count of all template words over the whole corpus. In a
-file, every indexed word is looked up at all its places; postings of a template
-that agree on the relative position (file position minus template position) vote, and
-for places with ``votes`` votes or more the template's mandatory key phrases must stand
-consecutively near their places. The score is the share of the template's words that
-stand at their places, best template first; a base phrase alone gives one half.
+The index holds, for each licence template, the positions of the share ``rare`` of its
+words (four at least) that have the highest IDF, words that the corpus has before others,
+and of equal ones the first by the alphabet; IDF comes from a count of all template words
+over the whole corpus. A file's words are inverted, every indexed word is
+looked up at all its places, and postings of a template that agree on the relative
+position (file position minus template position) vote. For positions with ``votes`` votes
+or more the template's mandatory key phrases must stand consecutively, each within
+``near`` words of its place. The score is the largest share of a template's words that
+stand at their places, so that notices with words changed, left out or added score less
+than whole ones; a base phrase alone gives one half.
 
 Base phrases are found on their own, everywhere in the text, and their labels stay.
 
 Defined results: null or empty texts have no words, no labels and score 0; first_word
-and last_word are null without base places; repeated rows repeat results; an empty table
-gives no rows; further columns are ignored; very long texts are scanned whole.
+and last_word are null without base places; of several places of a template the one with
+the largest share counts; repeated rows repeat results; an empty table gives no rows;
+further columns are ignored; very long texts are scanned whole.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,62 +29,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, text_bytes
-from .decontamination import Block, _count_terms, match
-from .words import find_sorted, split_words
+from .common import bounded_batches, chunks, text_bytes
+from .decontamination import Block, intersect, invert, term_counts
+from .words import find_sorted, hash_words, split_words
 
 # Base phrases with their labels.
 BASE = [("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license")]
 
-# Licence notices (label, notice, mandatory key phrases of it).
+# Lines of licence notices (label, notice, mandatory key phrases of it).
 TEMPLATES = [
-    ("mit", "released under the mit license", ["mit license"]),
-    ("mit", "licensed under the mit license", ["mit license"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted", "free of charge"]),
-    ("apache-2.0", "licensed under the apache license version 2 0", ["apache license version 2 0"]),
-    ("gpl-3.0", "licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
-    ("gpl-2.0", "licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
-    ("gpl", "free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ["gnu general public license", "free software foundation"]),
-    ("lgpl", "licensed under the gnu lesser general public license", ["lesser general public license"]),
-    ("agpl", "licensed under the gnu affero general public license", ["affero general public license"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use in source and binary forms"]),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee is hereby granted"]),
-    ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", ["creative commons attribution"]),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software released into the public domain"]),
+    ("mit", "Released under the MIT License", ["mit license"]),
+    ("mit", "Licensed under the MIT License", ["mit license"]),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions", ["permission is hereby granted free of charge", "without restriction including without limitation"]),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", ["this permission notice shall be included"]),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0", ["apache license version 2 0"]),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", ["apache license version 2 0", "in compliance with the license"]),
+    ("gpl-3.0", "Licensed under the GNU General Public License version 3", ["gnu general public license version 3"]),
+    ("gpl-2.0", "Licensed under the GNU General Public License version 2", ["gnu general public license version 2"]),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", ["gnu general public license", "free software foundation"]),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details", ["without any warranty", "gnu general public license for more details"]),
+    ("lgpl", "Licensed under the GNU Lesser General Public License", ["lesser general public license"]),
+    ("agpl", "Licensed under the GNU Affero General Public License", ["affero general public license"]),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", ["redistributions of source code must retain"]),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", ["redistributions in binary form must reproduce"]),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", ["mozilla public license"]),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", ["with or without fee is hereby granted"]),
+    ("cc-by-4.0", "Licensed under a Creative Commons Attribution 4.0 International License", ["creative commons attribution"]),
+    ("unlicense", "This is free and unencumbered software released into the public domain", ["unencumbered software released into the public domain"]),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means", ["anyone is free to copy modify publish use compile sell"]),
 ]
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_templates long"
 
 
+def words_of(text: str) -> list[str]:
+    return re.findall("[a-z0-9]+", text.lower())
+
+
 class Index:
     """Rare words of the templates and their positions."""
 
-    def __init__(self, templates, base, counts: dict[int, int], rare: int):
-        names = [x[0] for x in templates]
-        self.labels = names
-        whole = Block(list(range(len(templates))), [x[1] for x in templates], 64)
-        self.terms, self.size = whole.terms, whole.size
-        idf = lambda h: -np.log1p(counts.get(int(h), 0))  # noqa: E731  up to a constant
+    def __init__(self, templates, base, counts: dict[str, float], rare: float):
+        self.labels = [x[0] for x in templates]
+        notices = [words_of(x[1]) for x in templates]
+        self.terms = [hash_words(x) for x in notices]
         posts = []
-        for t in range(len(templates)):
-            own = self.terms[t, : self.size[t]]
-            best = sorted(set(own.tolist()), key=lambda h: (-idf(h), h))[:rare]
-            posts += [(h, t, int(p)) for h in best for p in np.flatnonzero(own == np.uint64(h))]
+        for t, own in enumerate(notices):
+            ranked = sorted(set(own), key=lambda w: (not counts.get(w), counts.get(w, 0), w))
+            for word in ranked[: max(4, round(rare * len(ranked)))]:
+                posts += [(int(self.terms[t][p]), t, p) for p in range(len(own)) if own[p] == word]
         posts.sort()
-        self.words = np.array(sorted({x[0] for x in posts}), dtype=np.uint64)
-        self.at = np.searchsorted(np.array([x[0] for x in posts], dtype=np.uint64), self.words)
-        self.at = np.append(self.at, len(posts))
+        hashes = np.array([x[0] for x in posts], dtype=np.uint64)
+        self.words, at = np.unique(hashes, return_index=True)
+        self.at = np.append(at, len(posts))
         self.template = np.array([x[1] for x in posts], dtype=np.int64)
         self.place = np.array([x[2] for x in posts], dtype=np.int64)
-        keys = [(t, phrase, text.split()) for t, (_, text, phrases) in enumerate(templates) for phrase in phrases]
+        keys = [(t, words_of(phrase), notices[t]) for t, (_, _, phrases) in enumerate(templates) for phrase in phrases]
         self.key_template = [k[0] for k in keys]
-        self.key_place = [next(i for i in range(len(k[2])) if k[2][i : i + len(k[1].split())] == k[1].split()) for k in keys]
-        self.keys = Block(list(range(len(keys))), [k[1] for k in keys], 64)
+        self.key_place = [next(i for i in range(len(k[2])) if k[2][i : i + len(k[1])] == k[1]) for k in keys]
+        self.keys = Block(list(range(len(keys))), [" ".join(k[1]) for k in keys], 64)
         self.base = Block(list(range(len(base))), [x[1] for x in base], 64)
         self.base_labels = [x[0] for x in base]
+        count = dict(zip(hash_words(list(counts)).tolist(), counts.values(), strict=True)) if counts else {}
         for block in (self.keys, self.base):
-            block.order(np.array([counts.get(int(h), 0) for h in block.vocabulary], dtype=np.float64))
+            block.order(np.array([count.get(h, 0) for h in block.vocabulary.tolist()], dtype=np.float64))
 
 
 def _candidates(words, index: Index, votes: int):
@@ -102,11 +116,12 @@ def _scan(broadcast, votes: int, near: int):
             words = split_words(*text_bytes(part.column(1)))
             n_docs = part.num_rows
             base: dict[int, list] = {}
-            w, s, *_ = match(words, index.base, 0)
+            postings = invert(words)
+            w, s, *_ = intersect(postings, index.base, 0)
             for d, i, p in zip(words.doc[s].tolist(), index.base.item[w].tolist(), s.tolist(), strict=True):
                 base.setdefault(d, []).append((p - int(words.first[d]), index.base_labels[i]))
             keyed: dict[tuple, list] = {}
-            w, s, *_ = match(words, index.keys, 0)
+            w, s, *_ = intersect(postings, index.keys, 0)
             for d, i, p in zip(words.doc[s].tolist(), index.keys.item[w].tolist(), s.tolist(), strict=True):
                 keyed.setdefault((d, i), []).append(p)
             found: dict[int, dict] = {}
@@ -114,9 +129,10 @@ def _scan(broadcast, votes: int, near: int):
                 wanted = [k for k, x in enumerate(index.key_template) if x == t]
                 if not all(any(abs(p - diagonal - index.key_place[k]) <= near for p in keyed.get((d, k), ())) for k in wanted):
                     continue
-                place = diagonal + np.arange(index.size[t])
+                terms = index.terms[t]
+                place = diagonal + np.arange(len(terms))
                 inside = (place >= words.first[d]) & (place < words.first[d + 1])
-                share = float((words.hash[place[inside]] == index.terms[t, : index.size[t]][inside]).sum() / index.size[t])
+                share = float((words.hash[place[inside]] == terms[inside]).sum() / len(terms))
                 own = found.setdefault(d, {})
                 own[index.labels[t]] = max(share, own.get(index.labels[t], 0.0))
             rows = []
@@ -131,12 +147,16 @@ def _scan(broadcast, votes: int, near: int):
     return run
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE, rare: int = 4, votes: int = 2, near: int = 10, doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE, rare: float = 0.5, votes: int = 2, near: int = 10, doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
     """One row per document with its base places, labels and score."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text"))
-    all_words = Block([0], [" ".join([x[1] for x in templates] + [x[1] for x in base])], 1).vocabulary
-    counted = texts.select("text").mapInArrow(_count_terms(spark.sparkContext.broadcast([all_words])), "block int, term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    counts = {int(all_words[r["term"]]): r["n"] for r in counted.collect()}  # a row per template word at most
+    # the templates' own words, a fixed list
+    every = sorted({w for x in [*templates, *base] for w in words_of(x[1])})
+    hashes = hash_words(every)
+    vocabulary = np.sort(hashes)
+    found = term_counts(texts, vocabulary)
+    counts = dict(zip(every, found[np.searchsorted(vocabulary, hashes)].tolist(), strict=True))
     index = Index(templates, base, counts, rare)
     return texts.mapInArrow(_scan(spark.sparkContext.broadcast(index), votes, near), SCHEMA)

@@ -42,8 +42,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
-    return found.drop("n_near")  # proximity matches, which SQL has no short form of: op6_matches
+    return decontamination.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def op6_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,16 +99,28 @@ ORACLES: dict[str, str] = {
     "op6_decontamination": f"""
         WITH w AS (SELECT doc_id, {_ALNUM} AS ws FROM documents),
         b AS (SELECT item_id, {_ALNUM} AS ws FROM benchmark WHERE item_id IS NOT NULL),
-        bw AS (SELECT DISTINCT item, n, list_slice(ws, i, i + n - 1) AS g FROM (
+        bw AS (SELECT row_number() OVER () AS win, item, n, list_slice(ws, i, i + n - 1) AS g FROM (
             SELECT CAST(item_id AS VARCHAR) AS item, ws, least(10, len(ws)) AS n, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) AS i FROM b WHERE len(ws) > 0)),
+        bd AS (SELECT DISTINCT item, n, g FROM bw),
         dw AS (SELECT doc_id, n, i, list_slice(ws, i, i + n - 1) AS g FROM (
-            SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (SELECT DISTINCT n FROM bw) WHERE len(ws) >= n)),
-        hit AS (SELECT doc_id, dw.i, dw.n, item FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
+            SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (SELECT DISTINCT n FROM bd) WHERE len(ws) >= n)),
+        hit AS (SELECT doc_id, dw.i, dw.n, item FROM dw JOIN bd ON dw.n = bd.n AND dw.g = bd.g),
         hc AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY ALL),
-        it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY ALL)
+        ex AS (SELECT DISTINCT doc_id, item FROM hit),
+        it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM ex GROUP BY ALL),
+        tk AS (SELECT doc_id, unnest(ws) AS t, unnest(range(1, len(ws) + 1)) AS p FROM w),
+        te AS (SELECT win, item, n, unnest(g) AS t, unnest(range(n)) AS j FROM bw),
+        tc AS (SELECT t, count(*) AS c FROM tk GROUP BY ALL),
+        rk AS (SELECT win, item, n, t, j, row_number() OVER (PARTITION BY win ORDER BY coalesce(c, 0), j) AS r FROM te LEFT JOIN tc USING (t)),
+        ra AS (SELECT win, any_value(item) AS item, any_value(n) AS n, max(t) FILTER (r = 1) AS t1, max(j) FILTER (r = 1) AS j1,
+               max(t) FILTER (r = 2) AS t2, max(j) FILTER (r = 2) AS j2, max(t) FILTER (r = 3) AS t3, max(j) FILTER (r = 3) AS j3 FROM rk GROUP BY win),
+        c1 AS (SELECT DISTINCT doc_id, item, n, p - j1 AS s, t2, j2, t3, j3 FROM ra JOIN tk ON tk.t = t1),
+        c2 AS (SELECT DISTINCT c1.* FROM c1 JOIN tk ON n > 1 AND tk.doc_id = c1.doc_id AND tk.t = t2 AND tk.p BETWEEN s + j2 - 3 AND s + j2 + 3 UNION ALL SELECT * FROM c1 WHERE n = 1),
+        c3 AS (SELECT DISTINCT c2.doc_id, item FROM c2 JOIN tk ON n > 2 AND tk.doc_id = c2.doc_id AND tk.t = t3 AND tk.p BETWEEN s + j3 - 3 AND s + j3 + 3 UNION SELECT doc_id, item FROM c2 WHERE n < 3),
+        nr AS (SELECT doc_id, count(*) AS n_near FROM (SELECT doc_id, item FROM c3 EXCEPT SELECT doc_id, item FROM ex) GROUP BY ALL)
         SELECT w.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM w LEFT JOIN hc ON hc.doc_id = w.doc_id LEFT JOIN it ON it.doc_id = w.doc_id""",
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+        FROM w LEFT JOIN hc ON hc.doc_id = w.doc_id LEFT JOIN it ON it.doc_id = w.doc_id LEFT JOIN nr ON nr.doc_id = w.doc_id""",
     "op8_neighbours": f"""
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
             SELECT q.vec_id AS query_id, c.vec_id AS vec_id, {_COSINE} AS score,
