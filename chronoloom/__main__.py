@@ -18,16 +18,22 @@ def main() -> None:
     p.add_argument("--mode", default="ctdg")
     p.add_argument("--split", default="test")
     p.add_argument("--batch-size", type=int, default=200)
+    p.add_argument("--epochs", type=int, default=1)
+    p.add_argument("--checkpoint")
     a = p.parse_args()
     spark = SparkSession.builder.appName("chronoloom").getOrCreate()
     phases = {"prepare", "train", "predict"} if a.phase == "all" else set(a.phase.split(","))
-    session = Session.from_config(spark, {"mode": a.mode, "batch_size": a.batch_size}, load_edges(spark, a.edges, a.kind), a.root)
+    session = Session.from_config(spark, {"mode": a.mode, "batch_size": a.batch_size, "epochs": a.epochs}, load_edges(spark, a.edges, a.kind), a.root)
     if "prepare" in phases:
         print(session.prepare_data())
     if phases & {"train", "predict"}:
         session.build_runtime()
     if "train" in phases:
-        session.run("train").show()
+        session.run_task().show()
+        if a.checkpoint:
+            session.save_checkpoint(a.checkpoint)
+    elif a.checkpoint:
+        session.load_checkpoint(a.checkpoint)
     if "predict" in phases:
         session.predict(a.split).show()
 

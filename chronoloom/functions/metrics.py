@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.operators.events import running_total
+
 
 def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
@@ -15,22 +17,10 @@ def _by_score(scores: DataFrame) -> DataFrame:
     return scores.groupBy("score").agg(F.sum("label").cast("long").alias("p"), F.sum(1 - F.col("label")).cast("long").alias("n"))
 
 
-def _cumulative(scores: DataFrame, ranges: int = 64) -> DataFrame:
-    """The same with the sums over lower scores (p_below, n_below). Scores are summed in
-    score ranges first; the running sums of ranges are a small table, and each range
-    runs on its own."""
-    each = _by_score(scores)
-    ends = each.agg(F.min("score"), F.max("score")).first()
-    low, high = ends[0], ends[1]
-    width = ((high - low) / ranges) if low is not None and high > low else 1.0
-    cut = each.withColumn("_r", F.floor((F.col("score") - F.lit(low if low is not None else 0.0)) / width))
-    sums = cut.groupBy("_r").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
-    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_r", F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_pb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_nb"))
-    inside = Window.partitionBy("_r").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    run = lambda c, o: F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(o)
-    # at most ranges + 1 rows
-    return cut.join(F.broadcast(offsets), "_r").select("score", "p", "n", run("p", "_pb").alias("p_below"), run("n", "_nb").alias("n_below"))
+def _cumulative(scores: DataFrame, ranges: int | None = None) -> DataFrame:
+    """The same with the sums over lower scores (p_below, n_below). Scores that are equal
+    are one row; many different ones are dealt into ranges of about equal size."""
+    return running_total(_by_score(scores), ["score"], {"p_below": F.col("p"), "n_below": F.col("n")}, ranges)
 
 
 def auc(scores: DataFrame) -> DataFrame:

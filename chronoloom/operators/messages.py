@@ -5,13 +5,15 @@ Arrow-batched functions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.scratch import materialise
+
 
 def propagate(edges: DataFrame, value: str = "value", norm: str = "norm", by: list[str] | None = None) -> DataFrame:
     """(by, node, value): sum over in-edges of norm * value of the source; ``edges`` has
@@ -87,55 +89,192 @@ def lstm_cell(x: np.ndarray, h: np.ndarray, c: np.ndarray, w: dict) -> tuple[np.
     return o * np.tanh(c), c
 
 
-def recurrent(features: DataFrame, weights: dict, cell: str = "gru", batch: int = 4096) -> DataFrame:
-    """(node, snap, state): a recurrent fold over each node's snapshots. The series of a
-    node is one row of arrays, and a batch of nodes is folded at once."""
-    width = weights["wh"].shape[0]
-    series = features.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("snap", "feat"))).alias("s"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for i in range(0, len(frame), batch):
-                part = frame.iloc[i : i + batch]
-                h = np.zeros((len(part), width))
-                c = np.zeros((len(part), width))
-                seq = [[(r["snap"], np.asarray(r["feat"])) for r in s] for s in part["s"]]
-                rows = []
-                for t in range(max((len(s) for s in seq), default=0)):
-                    live = [k for k, s in enumerate(seq) if len(s) > t]
-                    x = np.stack([seq[k][t][1] for k in live])
-                    if cell == "lstm":
-                        h[live], c[live] = lstm_cell(x, h[live], c[live], weights)
-                    else:
-                        h[live] = gru_cell(x, h[live], weights)
-                    rows += [(part["node"].iloc[k], seq[k][t][0], h[k].tolist()) for k in live]
-                yield pd.DataFrame(rows, columns=["node", "snap", "state"])
-
-    return series.mapInPandas(run, "node long, snap long, state array<double>")
-
-
-def evolved_weights(pooled: list[np.ndarray], start: np.ndarray, w: dict) -> list[np.ndarray]:
-    """A layer's weight matrix as the state of a recurrent cell, snapshot by snapshot."""
-    out, h = [], start
-    for context in pooled:
-        h = gru_cell(np.tile(context, (h.shape[0], 1)), h, w)
-        out.append(h)
+def fold(features: DataFrame, step: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int, block: int = 64) -> DataFrame:
+    """(node, snap, state): ``step`` (inputs, states) -> states over each node's snapshots,
+    from zero states. A row holds ``block`` snapshots of a node at most; blocks follow one
+    another, and each takes over the last state of the one before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            series, before = batch.column("s"), batch.column("state")
+            at, rows = np.asarray(series.offsets, dtype=np.int64), series.flatten()
+            if not len(rows):
+                continue
+            count = np.diff(at)
+            at = at[:-1] - at[0]
+            snap, feat = rows.field("snap"), rows.field("feat")
+            x = feat.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+            h = np.zeros((len(batch), width))
+            known = np.flatnonzero(before.is_valid().to_numpy(zero_copy_only=False))
+            if len(known):
+                h[known] = before.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(len(known), width)
+            out = np.empty((len(rows), width))
+            for t in range(int(count.max())):
+                live = np.flatnonzero(count > t)
+                h[live] = step(x[at[live] + t], h[live])
+                out[at[live] + t] = h[live]
+            nodes = pa.array(np.repeat(batch.column("node").to_numpy(), count))
+            states = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([nodes, snap, states], names=["node", "snap", "state"])
+
+    first, last = features.agg(F.min("snap"), F.max("snap")).first()
+    out = carried = None
+    for low in range(first or 0, (last or 0) + 1, block):
+        part = features.where(F.col("snap").between(low, low + block - 1)).groupBy(F.col("node").cast("long").alias("node")).agg(F.array_sort(F.collect_list(F.struct(F.col("snap").cast("long").alias("snap"), "feat"))).alias("s"))
+        part = part.withColumn("state", F.lit(None).cast("array<double>")) if carried is None else part.join(carried, "node", "left")
+        found = part.mapInArrow(run, "node long, snap long, state array<double>")
+        if out is None and low + block > (last or 0):
+            return found
+        found = materialise(found)
+        latest = found.groupBy("node").agg(F.max_by("state", "snap").alias("state"))
+        carried = materialise(latest if carried is None else carried.withColumnRenamed("state", "_old").join(latest, "node", "full").select("node", F.coalesce("state", "_old").alias("state")))
+        out = found if out is None else out.union(found)
     return out
 
 
-def temporal_attention(neighbours: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
-    """(root, feat): attention of roots over their sampled neighbours with the time gap
-    encoded in keys; the root's own features are added. nodes: (node, feat)."""
+def recurrent(features: DataFrame, weights: dict, cell: str = "gru", block: int = 64) -> DataFrame:
+    """(node, snap, state): one recurrent cell over each node's snapshots."""
+    d = weights["wh"].shape[0]
+    if cell == "gru":
+        return fold(features, lambda x, h: gru_cell(x, h, weights), d, block)
+    both = fold(features, lambda x, s: np.concatenate(lstm_cell(x, s[:, :d], s[:, d:], weights), axis=1), 2 * d, block)
+    return both.withColumn("state", F.slice("state", 1, d))
+
+
+def on_all_nodes(values: DataFrame, nodes: DataFrame, snaps: int, width: int) -> DataFrame:
+    """(node, snap, feat) of every node in every snapshot, zeros where there is no row."""
+    spine = nodes.select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(snaps - 1).cast("long"))).alias("snap"))
+    return spine.join(values.select("node", "snap", "feat"), ["node", "snap"], "left").select("node", "snap", F.coalesce("feat", F.array_repeat(F.lit(0.0), width)).alias("feat"))
+
+
+def tgcn_cell(x: np.ndarray, h: np.ndarray, w: dict) -> np.ndarray:
+    """Gates from thirds of x, each joined to the state: u, r and the candidate c."""
+    u, r, c = np.split(x, 3, axis=1)
+    u = _sigmoid(np.concatenate([u, h], axis=1) @ w["u"] + w["bu"])
+    r = _sigmoid(np.concatenate([r, h], axis=1) @ w["r"] + w["br"])
+    c = np.tanh(np.concatenate([c, r * h], axis=1) @ w["c"] + w["bc"])
+    return u * h + (1 - u) * c
+
+
+def tgcn(edges: DataFrame, features: DataFrame, weights: dict, nodes: DataFrame, snaps: int, block: int = 64) -> DataFrame:
+    """(node, snap, state): a graph convolution of each snapshot gives the gates of a
+    recurrent unit that runs over the snapshots. weights: gcn (two matrices, the last with
+    three times the state's width), u, r, c with biases bu, br, bc."""
+    x = gcn_stack(edges, features, weights["gcn"], ["snap"])
+    d = weights["u"].shape[1]
+    return fold(on_all_nodes(x, nodes, snaps, 3 * d), lambda a, h: tgcn_cell(a, h, weights), d, block)
+
+
+def mpnn_lstm(edges: DataFrame, features: DataFrame, weights: dict, nodes: DataFrame, snaps: int, block: int = 64) -> DataFrame:
+    """(node, snap, state): a graph convolution of each snapshot, then two LSTM cells on
+    top of each other; the state is hidden and cell of the first, then of the second.
+    weights: gcn, first and second (wi, wh, bi, bh)."""
+    x = gcn_stack(edges, features, weights["gcn"], ["snap"])
+    d = weights["first"]["wh"].shape[0]
+
+    def step(a: np.ndarray, s: np.ndarray) -> np.ndarray:
+        h1, c1 = lstm_cell(a, s[:, :d], s[:, d : 2 * d], weights["first"])
+        h2, c2 = lstm_cell(h1, s[:, 2 * d : 3 * d], s[:, 3 * d :], weights["second"])
+        return np.concatenate([h1, c1, h2, c2], axis=1)
+
+    return fold(on_all_nodes(x, nodes, snaps, weights["gcn"][-1].shape[1]), step, 4 * d, block)
+
+
+def mat_gru_cell(context: np.ndarray, weight: np.ndarray, w: dict) -> np.ndarray:
+    """A weight matrix evolved by a context vector, the same for each of its rows."""
+    x = np.tile(context, (len(weight), 1))
+    z = _sigmoid(np.concatenate([x, weight], axis=1) @ w["z"] + w["bz"])
+    r = _sigmoid(np.concatenate([x, weight], axis=1) @ w["r"] + w["br"])
+    h = np.tanh(np.concatenate([x, r * weight], axis=1) @ w["h"] + w["bh"])
+    return z * weight + (1 - z) * h
+
+
+def evolvegcn(edges: DataFrame, features: DataFrame, weights: dict, n_nodes: int) -> DataFrame:
+    """(snap, node, feat): each snapshot's messages times a matrix that a recurrent cell
+    evolves from the mean of the snapshot's features over all nodes. The matrices are one
+    small row for each snapshot. weights: start, pool and bpool, cell (z, r, h, bz, br, bh)."""
+    sums = features.select("snap", F.posexplode("feat").alias("i", "x")).groupBy("snap", "i").agg((F.sum("x") / n_nodes).alias("x"))
+    rows = sums.groupBy("snap").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("x")).orderBy("snap").collect()
+    matrix, evolved = weights["start"], []
+    for r in rows:
+        matrix = mat_gru_cell(np.array(r["x"]) @ weights["pool"] + weights["bpool"], matrix, weights["cell"])
+        evolved.append((int(r["snap"]), matrix.T.tolist()))
+    table = F.broadcast(features.sparkSession.createDataFrame(evolved, "snap long, _columns array<array<double>>"))
+    passed = propagate_vectors(edges, features, by=["snap"]).join(table, "snap")
+    dot = lambda c: F.aggregate(F.zip_with("feat", c, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return passed.select("snap", "node", F.transform("_columns", dot).alias("feat"))
+
+
+def memory_update(mail: DataFrame, memory: DataFrame, weights: dict, slots: int) -> DataFrame:
+    """(node, memory) of the nodes with mail: a recurrent unit over a node's slots in their
+    own order (zeros in empty ones), then a cell of its result and the node's memory.
+    mail: (node, slot, mail); weights: mail and cell (wi, wh, bi, bh each)."""
+    width, d = weights["mail"]["wi"].shape[0], weights["cell"]["wh"].shape[0]
+    held = mail.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct(F.col("slot").cast("int"), "mail"))).alias("m"))  # no more than ``slots``
+    one = lambda i: F.coalesce(F.try_element_at("m", i), F.array_repeat(F.lit(0.0), width))
+    rows = held.join(memory.select("node", "memory"), "node", "left").select("node", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), one)).alias("x"), F.coalesce("memory", F.array_repeat(F.lit(0.0), d)).alias("h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), slots, width)
+            current = batch.column("h").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), d)
+            h = np.zeros((len(batch), d))
+            for k in range(slots):
+                h = gru_cell(x[:, k], h, weights["mail"])
+            new = gru_cell(h, current, weights["cell"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * d), pa.array(new.ravel()))], names=["node", "memory"])
+
+    return rows.mapInArrow(run, "node long, memory array<double>")
+
+
+def temporal_attention(neighbours: DataFrame, nodes: DataFrame, edge_features: DataFrame, weights: dict, heads: int, dim_time: int, roots: DataFrame | None = None) -> DataFrame:
+    """(root, root_ts, feat): several attention heads over each root's sampled neighbours.
+    Queries are of the root's features and a zero time, keys and values of a neighbour's
+    features, the event's and the encoded time gap; scores go through a leaky relu and a
+    softmax over the root's neighbours; the result is joined to the root's features, mapped,
+    put through a relu and normalised. ``roots`` without neighbours have zeros in its place.
+    weights: q, k, v, out with biases bq, bk, bv, bout; nodes: (node, feat); edge_features:
+    (eid, feat)."""
     from chronoloom.operators.temporal import time_encoding
 
-    key = nodes.select(F.col("node").alias("nbr"), F.col("feat").alias("_k"))
-    query = nodes.select(F.col("node").alias("root"), F.col("feat").alias("_q"))
-    joined = neighbours.join(key, "nbr").join(query, "root").withColumn("_k", F.concat("_k", time_encoding(F.col("dt").cast("double"), dim))).withColumn("_qq", F.concat("_q", time_encoding(F.lit(0.0), dim)))
-    score = F.aggregate(F.zip_with("_k", "_qq", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    scored = joined.withColumn("score", F.when(score < 0, 0.2 * score).otherwise(score))
-    weighed = edge_softmax(scored, "score", "root")
-    parts = weighed.select("root", "attention", F.posexplode("_k").alias("i", "x")).groupBy("root", "i").agg(F.sum(F.col("attention") * F.col("x")).alias("x"))
-    return parts.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("feat"))
+    dim = weights["v"].shape[1]
+    each = dim // heads
+    own = nodes.select(F.col("node").alias("root"), F.col("feat").alias("_q"))
+    near = nodes.select(F.col("node").alias("nbr"), F.col("feat").alias("_n"))
+    events = edge_features.select(F.col("eid").alias("nbr_eid"), F.col("feat").alias("_e"))
+    joined = neighbours.join(near, "nbr").join(events, "nbr_eid").join(own, "root")
+    key = F.concat("_n", "_e", time_encoding(F.col("dt").cast("double"), dim_time))
+    query = F.concat("_q", time_encoding(F.lit(0.0), dim_time))
+    made = joined.select("root", "root_ts", "nbr_eid", linear(query, weights["q"], weights["bq"]).alias("q"), linear(key, weights["k"], weights["bk"]).alias("k"), linear(key, weights["v"], weights["bv"]).alias("v"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    score = F.transform(F.sequence(F.lit(0), F.lit(heads - 1)), lambda h: total(F.slice(F.zip_with("q", "k", lambda a, b: a * b), h * each + 1, each)))
+    leaky = F.transform(score, lambda x: F.when(x < 0, 0.2 * x).otherwise(x))
+    # a root's neighbours are the few that were sampled
+    held = made.select("root", "root_ts", F.struct("nbr_eid", leaky.alias("a"), "v").alias("s")).groupBy("root", "root_ts").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    top = F.transform(F.sequence(F.lit(1), F.lit(heads)), lambda h: F.array_max(F.transform("s", lambda x: F.element_at(x["a"], h))))
+    raised = held.withColumn("top", top).withColumn("s", F.transform("s", lambda x: F.struct(F.zip_with(x["a"], F.col("top"), lambda a, t: F.exp(a - t)).alias("a"), x["v"].alias("v"))))
+    sums = raised.withColumn("sum", F.transform(F.sequence(F.lit(1), F.lit(heads)), lambda h: total(F.transform("s", lambda x: F.element_at(x["a"], h)))))
+    at = lambda j: F.floor((j - 1) / each).cast("int") + 1
+    mixed = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda j: total(F.transform("s", lambda x: F.element_at(x["a"], at(j)) * F.element_at(x["v"], j))) / F.element_at("sum", at(j)))
+    found = sums.select("root", "root_ts", mixed.alias("agg"))
+    if roots is not None:
+        found = roots.select("root", "root_ts").distinct().join(found, ["root", "root_ts"], "left").withColumn("agg", F.coalesce("agg", F.array_repeat(F.lit(0.0), dim)))
+    out = linear(F.concat("agg", "_q"), weights["out"], weights["bout"])
+    return found.join(own, "root").select("root", "root_ts", normalised_layer(relu(out)).alias("feat"))
+
+
+def link_logits(pairs: DataFrame, weights: dict, src: str = "src_feat", dst: str = "dst_feat") -> DataFrame:
+    """Pairs with ``logit``: out(relu(src_map(src) + dst_map(dst))). weights: src, dst, out
+    with biases bsrc, bdst, bout."""
+    both = F.zip_with(linear(F.col(src), weights["src"], weights["bsrc"]), linear(F.col(dst), weights["dst"], weights["bdst"]), lambda a, b: a + b)
+    return pairs.withColumn("logit", F.element_at(linear(relu(both), weights["out"], weights["bout"]), 1))
+
+
+def readout(states: DataFrame, matrix: np.ndarray, bias: np.ndarray, state: str = "state") -> DataFrame:
+    """States with ``pred``, a linear map of the last ``len(matrix)`` entries."""
+    return states.withColumn("pred", linear(F.slice(state, -len(matrix), len(matrix)), matrix, bias))
 
 
 def normalised_layer(vector: Column) -> Column:
@@ -145,10 +284,12 @@ def normalised_layer(vector: Column) -> Column:
     return F.transform(vector, lambda x: (x - mean) / F.sqrt(var + 1e-5))
 
 
-def share_of_local(edges: DataFrame) -> DataFrame:
-    """Local and boundary edges of each part and their share."""
-    return edges.groupBy("part").agg(F.count("*").alias("n"), F.avg(F.col("is_local").cast("double")).alias("local_share"))
-
-
-def rank_in(by: str, order: str) -> Column:
-    return F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
+def feature_summary(edges: DataFrame, parts: DataFrame, features: DataFrame) -> DataFrame:
+    """(part, first, second, local_share, node_share): means of the first two features of a
+    part's nodes, the share of its edges that come from itself, its share of all nodes."""
+    one, two = (parts.select(F.col("node").alias(e), F.col("part").alias(f"_{e}")) for e in ("src", "dst"))
+    shares = edges.join(one, "src").join(two, "dst").groupBy(F.col("_dst").alias("part")).agg(F.avg((F.col("_src") == F.col("_dst")).cast("double")).alias("local_share"))
+    own = parts.join(features, "node", "left").groupBy("part").agg(F.avg(F.col("feat")[0]).alias("first"), F.avg(F.col("feat")[1]).alias("second"), F.count("*").alias("n"))
+    # a row for each part
+    own = own.withColumn("node_share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return own.join(shares, "part", "left").select("part", "first", "second", "local_share", "node_share")

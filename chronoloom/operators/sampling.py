@@ -12,7 +12,7 @@ from chronoloom.operators.events import with_row_number
 
 def pool(edges: DataFrame) -> DataFrame:
     """(i, node): the distinct targets of the whole graph, numbered."""
-    return with_row_number(edges.select(F.col("dst").alias("node")).distinct().withColumn("_same", F.lit(0)), "node", "_same", "i").select("i", "node")
+    return with_row_number(edges.select(F.col("dst").alias("node")).distinct(), "node", name="i").select("i", "node")
 
 
 def negatives(edges: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
@@ -39,7 +39,7 @@ def chunks(edges: DataFrame, slice_: Column, clusters: DataFrame) -> DataFrame:
 def chunk_table(chunked: DataFrame, least: int = 1) -> DataFrame:
     """(chunk_id, slice, cluster, n_edges, t_start, t_end) of chunks with enough edges."""
     each = chunked.groupBy("slice", "cluster").agg(F.count("*").alias("n_edges"), F.min("ts").alias("t_start"), F.max("ts").alias("t_end")).where(F.col("n_edges") >= least)
-    return each.withColumn("chunk_id", (F.row_number().over(Window.orderBy("slice", "cluster")) - 1).cast("long"))
+    return with_row_number(each, "slice", "cluster", name="chunk_id")
 
 
 def cross_edges(chunked: DataFrame) -> DataFrame:
@@ -47,9 +47,11 @@ def cross_edges(chunked: DataFrame) -> DataFrame:
     return chunked.where("src_cluster != dst_cluster").groupBy("slice", F.col("src_cluster").alias("from_cluster"), F.col("dst_cluster").alias("to_cluster")).agg(F.count("*").alias("n"))
 
 
-def temporal_deps(table: DataFrame, decay: float = 0.9, same_cluster: bool = True, steps: int | None = None) -> DataFrame:
-    """(chunk_id, dep, steps_back, weight): earlier chunks, the latest first. Within a
-    cluster, chunks are numbered by slice; earlier ones are the numbers below."""
+def temporal_deps(table: DataFrame, steps: int | None, decay: float = 0.9, same_cluster: bool = True) -> DataFrame:
+    """(chunk_id, dep, steps_back, weight): the ``steps`` chunks before each, the latest
+    first; all of them where ``steps`` is None, which makes a table of the square of the
+    slices. Within a cluster, chunks are numbered by slice; earlier ones are the numbers
+    below."""
     group = F.col("cluster") if same_cluster else F.lit(0)
     order = Window.partitionBy("g").orderBy("slice")
     grouped = table.select("chunk_id", "slice", "cluster", group.alias("g"))
@@ -73,6 +75,18 @@ def remote_nodes(chunked: DataFrame) -> DataFrame:
     return out.groupBy("slice", "r.cluster", "r.node", "r.home").agg(F.count("*").alias("n"))
 
 
+def chunk_nodes(chunked: DataFrame) -> DataFrame:
+    """(slice, cluster, node, is_remote): the nodes that a chunk's edges need, its own and
+    those of other clusters."""
+    ends = chunked.select("slice", F.explode(F.array(*[F.struct(F.col(c).alias("cluster"), F.col(n).alias("node"), (F.col(c) != F.col(h)).alias("is_remote")) for c in ("src_cluster", "dst_cluster") for n, h in (("src", "src_cluster"), ("dst", "dst_cluster"))])).alias("e"))
+    return ends.select("slice", "e.*").distinct()
+
+
+def completed(needed: DataFrame, features: DataFrame, width: int) -> DataFrame:
+    """The needed nodes with their features, zeros where there are none."""
+    return needed.join(features, "node", "left").withColumn("feat", F.coalesce("feat", F.array_repeat(F.lit(0.0), width)))
+
+
 def largest_first(loads: DataFrame, devices: int) -> list[tuple[int, int]]:
     """(chunk, device): chunks by falling load to the device with the least so far. One
     row for each chunk comes to the driver; the rule is sequential by nature."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.operators.events import running_total
+
 
 def spine(df: DataFrame, n: int) -> DataFrame:
     """Snapshot numbers 0 .. n - 1."""
@@ -103,8 +105,8 @@ def novelty_cuts(edges_numbered: DataFrame, batch_size: int, alpha: float = 1.0,
     tagged = edges_numbered.join(first, ["src", "dst"]).withColumn("batch", F.floor(F.col("rn") / batch_size).cast("long"))
     score = F.avg(F.when(F.col("rn") == F.col("first_rn"), alpha).otherwise(-beta))
     per_batch = tagged.groupBy("batch").agg(F.greatest(score, F.lit(0.0)).alias("score"))
-    running = F.sum("score").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0))
-    return per_batch.select("batch", "score", F.floor(running - F.col("score")).cast("long").alias("slice"))
+    before = running_total(per_batch, ["batch"], {"_before": F.col("score")})
+    return before.select("batch", "score", F.floor("_before").cast("long").alias("slice"))
 
 
 def time_windows(edges: DataFrame, at: Column, width: str, slide: str | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.operators.events import running_in
+
 
 def _mail(batches: DataFrame) -> DataFrame:
     """Both ends of each event; side 0 (source) is written before side 1 (target)."""
@@ -16,8 +18,8 @@ def mail_writes(batches: DataFrame, slots: int) -> DataFrame:
     """(node, batch, side, slot, eid, ts, n): a call's messages to a node share one slot,
     the latest stays, and the ring moves on by their number."""
     calls = _mail(batches).groupBy("node", "batch", "side").agg(F.count("*").alias("n"), F.max(F.struct("ts", "eid", "peer")).alias("last"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("node").orderBy("batch", "side").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return calls.select("node", "batch", "side", F.pmod(before, F.lit(slots)).cast("long").alias("slot"), F.col("last.eid").alias("eid"), F.col("last.ts").alias("ts"), F.col("last.peer").alias("peer"), "n")
+    placed = running_in(calls, "node", ["batch", "side"], "before", value=F.col("n"))
+    return placed.select("node", "batch", "side", F.pmod("before", F.lit(slots)).cast("long").alias("slot"), F.col("last.eid").alias("eid"), F.col("last.ts").alias("ts"), F.col("last.peer").alias("peer"), "n")
 
 
 def mailbox(batches: DataFrame, slots: int) -> DataFrame:
@@ -107,3 +109,9 @@ def reuse(accesses: DataFrame) -> DataFrame:
 def most_used(accesses: DataFrame, capacity: int) -> DataFrame:
     """(node, uses): what a least-frequently-used cache of a capacity keeps."""
     return accesses.groupBy("node").agg(F.count("*").alias("uses")).orderBy(F.desc("uses"), "node").limit(capacity)
+
+
+def window_states(states: DataFrame, at: int, size: int) -> DataFrame:
+    """(age, node, state): states of the last ``size`` snapshots up to one; what a model
+    window starts from."""
+    return states.where(F.col("snap").between(at - size + 1, at)).select((F.lit(at) - F.col("snap")).alias("age"), "node", "state")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.operators.events import running_in
+
 
 def asof(queries: DataFrame, history: DataFrame, key: str, at: str, values: list[str], order: str | None = None) -> DataFrame:
     """The latest history row at or before each query's time, by a union and one window
@@ -37,28 +39,36 @@ def asof_salted(queries: DataFrame, history: DataFrame, key: str, at: str, value
     return found.select(*queries.columns, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
+def node_histories(history: DataFrame, value: str, size: int = 1024) -> DataFrame:
+    """(node, block, history): each node's values in order of (ts, ordinal), at most
+    ``size`` of them in a row."""
+    placed = running_in(history.select("node", "ts", "ordinal", F.col(value).alias("value")), "node", ["ts", "ordinal"], "_n")
+    rows = placed.groupBy("node", F.floor(F.col("_n") / size).alias("block")).agg(F.array_sort(F.collect_list(F.struct("ts", "ordinal", "value"))).alias("h"))
+    return rows.select("node", "block", F.transform("h", lambda x: F.struct(x["ts"].alias("ts"), x["value"].alias("value"))).alias("history"))
+
+
 def recent_k(edges: DataFrame, k: int, strict: bool = True) -> DataFrame:
     """(root_eid, root, nbr_eid, nbr, dt, rank) of the k latest earlier events of each
-    event's source. Ranks inside a source give the places of the wanted rows, which an
+    event's source. Numbers inside a source give the places of the wanted rows, which an
     equi-join fetches; events of the same time are no neighbours when ``strict``."""
-    by_src = Window.partitionBy("src").orderBy("ts", "eid")
-    own = edges.select("eid", "src", "dst", "ts", F.row_number().over(by_src).alias("rn"), (F.rank().over(Window.partitionBy("src").orderBy("ts")) - 1 if strict else F.row_number().over(by_src) - 1).alias("before"))
-    wanted = own.where("before > 0").select(F.col("eid").alias("root_eid"), F.col("src").alias("root"), F.col("ts").alias("root_ts"), "before", F.explode(F.sequence(F.greatest(F.lit(1), F.col("before") - k + 1), F.col("before"))).alias("rn"))
+    own = running_in(edges.select("eid", "src", "dst", "ts"), "src", ["ts", "eid"], "rn", tie="ts", tie_name="earlier")
+    before = F.col("earlier") if strict else F.col("rn")
+    wanted = own.select(F.col("eid").alias("root_eid"), F.col("src").alias("root"), F.col("ts").alias("root_ts"), before.alias("before")).where("before > 0")
+    wanted = wanted.withColumn("rn", F.explode(F.sequence(F.greatest(F.lit(0), F.col("before") - k), F.col("before") - 1)))
     rows = own.select(F.col("src").alias("root"), "rn", F.col("eid").alias("nbr_eid"), F.col("dst").alias("nbr"), F.col("ts").alias("nbr_ts"))
-    return wanted.join(rows, ["root", "rn"]).select("root_eid", "root", "nbr_eid", "nbr", (F.col("root_ts") - F.col("nbr_ts")).alias("dt"), (F.col("before") - F.col("rn") + 1).cast("long").alias("rank"))
+    return wanted.join(rows, ["root", "rn"]).select("root_eid", "root", "nbr_eid", "nbr", (F.col("root_ts") - F.col("nbr_ts")).alias("dt"), (F.col("before") - F.col("rn")).alias("rank"))
 
 
 def recent_k_of(roots: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     """(root, root_ts, nbr_eid, nbr, dt, rank): the k latest events of ``src = root``
-    strictly before any root's time. Roots and events are ranked in one window; the
-    number of events before a root is known there."""
+    strictly before any root's time. Roots and events are numbered together; the number
+    of events before a root is known there."""
     tagged = edges.select(F.col("src").alias("root"), "ts", F.lit(1).alias("is_edge"), "eid", F.col("dst").alias("nbr")).unionByName(roots.select("root", F.col("root_ts").alias("ts"), F.lit(0).alias("is_edge")).distinct(), allowMissingColumns=True)
     # at equal times roots come first, so equal times are not before them
-    count = F.sum("is_edge").over(Window.partitionBy("root").orderBy("ts", "is_edge", "eid").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = tagged.withColumn("n", count)
-    wanted = ranked.where("is_edge = 0 and n > 0").select("root", F.col("ts").alias("root_ts"), F.col("n").alias("before"), F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - k + 1), F.col("n"))).alias("n"))
+    ranked = running_in(tagged, "root", ["ts", "is_edge", "eid"], "n", value=F.col("is_edge").cast("long"))
+    wanted = ranked.where("is_edge = 0 and n > 0").select("root", F.col("ts").alias("root_ts"), F.col("n").alias("before"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("n") - k), F.col("n") - 1)).alias("n"))
     rows = ranked.where("is_edge = 1").select("root", "n", F.col("eid").alias("nbr_eid"), "nbr", F.col("ts").alias("nbr_ts"))
-    return wanted.join(rows, ["root", "n"]).select("root", "root_ts", "nbr_eid", "nbr", (F.col("root_ts") - F.col("nbr_ts")).alias("dt"), (F.col("before") - F.col("n") + 1).cast("long").alias("rank"))
+    return wanted.join(rows, ["root", "n"]).select("root", "root_ts", "nbr_eid", "nbr", (F.col("root_ts") - F.col("nbr_ts")).alias("dt"), (F.col("before") - F.col("n")).alias("rank"))
 
 
 def batch_roots(batches: DataFrame) -> DataFrame:
@@ -72,10 +82,9 @@ def uniform_k(edges: DataFrame, k: int, seed: int = 7) -> DataFrame:
     """(root_eid, nbr_eid, draw): k draws with replacement from the events before each
     event of its source, by an arithmetic hash. A draw is a place in the source's order,
     and an equi-join fetches what stands there."""
-    by_src = Window.partitionBy("src").orderBy("ts", "eid")
-    own = edges.select("eid", "src", F.row_number().over(by_src).cast("long").alias("rn"), (F.rank().over(Window.partitionBy("src").orderBy("ts")) - 1).cast("long").alias("before"))
+    own = running_in(edges.select("eid", "src", "ts"), "src", ["ts", "eid"], "rn", tie="ts", tie_name="before")
     draws = own.where("before > 0").select(F.col("eid").alias("root_eid"), "src", "before", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long"))).alias("draw"))
-    placed = draws.withColumn("rn", F.pmod(F.pmod((F.col("root_eid") * k + F.col("draw")) * 48271 + seed, F.lit(2147483647)), F.col("before")) + 1)
+    placed = draws.withColumn("rn", F.pmod(F.pmod((F.col("root_eid") * k + F.col("draw")) * 48271 + seed, F.lit(2147483647)), F.col("before")))
     return placed.join(own.select("src", "rn", F.col("eid").alias("nbr_eid")), ["src", "rn"]).select("root_eid", "nbr_eid", "draw")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chronoloom.operators import events as ev
 from chronoloom.operators import snapshots as sn
 from chronoloom.scratch import materialise
-from chronoloom.sources.edges import PRESETS, read_edge_lines
+from chronoloom.sources.edges import PRESETS, read_edge_csv, read_edge_lines
 
 
 @dataclass
@@ -23,6 +23,12 @@ class SnapshotDataset:
     num_snapshots: int
 
 
+def numbered_events(rows: DataFrame) -> DataFrame:
+    """Events with ``eid``, their number in order of time, then of all other columns."""
+    rest = [c for c in rows.columns if c != "ts" and not c.startswith("_")]
+    return ev.with_row_number(rows, "ts", *rest, name="eid")
+
+
 def preset(name: str, snaps: int) -> dict:
     """A preset's settings; windows leave room for the lags."""
     found = {"window": max(1, snaps), "lags": 0, "skiptime": 0, "skiprows": 0, **PRESETS.get(name, {})}
@@ -45,7 +51,10 @@ def snapshot_dataset(edges: DataFrame, window: int, lags: int = 0, skiptime: int
 
 
 def load_dataset(spark: SparkSession, path: str, name: str, snaps: int) -> SnapshotDataset:
+    """The dataset of an edge list. Where the preset names its file, ``path`` is the folder
+    above; headed files are read by their columns."""
     settings = preset(name, snaps)
-    rows = read_edge_lines(spark, path, settings["skiprows"], "," if settings.get("sep") == "," else None)
-    numbered = materialise(rows.withColumn("eid", F.monotonically_increasing_id()))
-    return snapshot_dataset(numbered, **settings)
+    if "edge_file" in settings:
+        path = f"{path.rstrip('/')}/{settings['edge_file']}"
+    rows = read_edge_csv(spark, path) if path.endswith(".csv") else read_edge_lines(spark, path, settings["skiprows"], settings.get("sep"))
+    return snapshot_dataset(numbered_events(rows), **settings)

@@ -6,6 +6,8 @@ sums depend on the order of their terms in the last bits."""
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -20,7 +22,10 @@ from chronoloom.operators import sampling as sp
 from chronoloom.operators import snapshots as sn
 from chronoloom.operators import state as st
 from chronoloom.operators import temporal as tp
-from chronoloom.scratch import ship_package
+from chronoloom.plans.datasets import load_dataset
+from chronoloom.plans.session import Session
+from chronoloom.scratch import shared_folder, ship_package
+from chronoloom.sources import artifacts
 from chronoloom.sources import edges as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -542,20 +547,158 @@ def hot_nodes(spark, sf):
     return pt.hot_nodes(graph(spark, sf))
 
 
-@query("hot_aware_cut")
+def _sql_mixed(x: str, add: int = 11) -> str:
+    return f"((({x}) % 2147483647) * 48271 + {add}) % 2147483647"
+
+
+@query("hot_aware_cut", f"""WITH {HOT}, mk AS (SELECT eid, src, dst, CASE WHEN NOT EXISTS (SELECT 1 FROM hot WHERE node = src) THEN src WHEN NOT EXISTS (SELECT 1 FROM hot WHERE node = dst) THEN dst END AS key FROM ev),
+    cu AS (SELECT eid, src, dst, CAST(coalesce({_sql_mixed('key')} % {PARTS}, ({_sql_mixed('src')} + {_sql_mixed('dst')}) % {PARTS}) AS INTEGER) AS part FROM mk),
+    cp AS (SELECT node, count(*) AS c FROM (SELECT DISTINCT src AS node, part FROM cu UNION SELECT DISTINCT dst, part FROM cu) GROUP BY ALL)
+    SELECT part, count(*) AS n, (SELECT round(avg(c), 6) FROM cp) AS copies FROM cu GROUP BY part""")
 def hot_aware_cut(spark, sf):
     """Edges of each part of the vertex cut, and how many parts a node is in on average."""
     nodes, edges = pt.hot_aware(graph(spark, sf), PARTS)
-    copies = nodes.groupBy("node").agg(F.count("*").alias("c")).agg(F.avg("c").alias("copies"))
+    copies = nodes.groupBy("node").agg(F.count("*").alias("c")).agg(F.round(F.avg("c"), 6).alias("copies"))
     # the one row of the average
     return edges.groupBy("part").agg(F.count("*").alias("n")).crossJoin(F.broadcast(copies))
 
 
-@query("label_propagation_parts")
+def _sql_towards(start: str, edges: str, rounds: int, room: str, turn: int) -> str:
+    """Rounds of moves from the table ``start`` (slice, node, cluster, count) to the table
+    a{rounds}, along edges (slice, node, nbr)."""
+    out, at = [], start
+    for r in range(rounds):
+        out.append(f"""z{r} AS (SELECT slice, cluster, count(*) AS size FROM {at} GROUP BY ALL), t{r} AS (SELECT slice, {room} AS room FROM {at} GROUP BY slice),
+            v{r} AS (SELECT e.slice, e.node, cluster, count(*) AS votes FROM {edges} e JOIN {at} a ON a.slice = e.slice AND a.node = e.nbr GROUP BY ALL),
+            b{r} AS (SELECT slice, node, cluster AS goal FROM (SELECT *, row_number() OVER (PARTITION BY slice, node ORDER BY votes DESC, cluster) AS k FROM v{r}) WHERE k = 1),
+            m{r} AS (SELECT a.slice, a.node, goal FROM {at} a JOIN b{r} USING (slice, node) WHERE cluster <> goal), w{r} AS (SELECT slice, goal, count(*) AS wanted FROM m{r} GROUP BY ALL),
+            s{r} AS (SELECT w{r}.slice, goal, greatest(0.0, least(1.0, (room - coalesce(size, 0)) / wanted::DOUBLE)) AS share FROM w{r} LEFT JOIN z{r} ON z{r}.slice = w{r}.slice AND z{r}.cluster = goal JOIN t{r} ON t{r}.slice = w{r}.slice),
+            a{r} AS (SELECT a.slice, a.node, coalesce(g.goal, a.cluster) AS cluster, a.count FROM {at} a LEFT JOIN (SELECT m{r}.slice, node, m{r}.goal FROM m{r} JOIN s{r} USING (slice, goal) WHERE {_sql_mixed('node', turn + r)} % 1048576 < share * 1048576) g ON g.slice = a.slice AND g.node = a.node)""")
+        at = f"a{r}"
+    return ", ".join(out)
+
+
+@query("label_propagation_parts", f"""WITH {PART}, st0 AS (SELECT 0 AS slice, node, {_sql_mixed('node')} % {PARTS} AS cluster, {PARTS} AS count FROM pn),
+    ne AS (SELECT DISTINCT 0 AS slice, src AS node, dst AS nbr FROM ev WHERE src <> dst UNION SELECT DISTINCT 0, dst, src FROM ev WHERE src <> dst),
+    {_sql_towards('st0', 'ne', 3, f'floor(count(*) / {PARTS}.0::DOUBLE * 1.1)', 101)} SELECT node, CAST(cluster AS INTEGER) AS part FROM a2""")
 def label_propagation_parts(spark, sf):
     return pt.label_propagation(graph(spark, sf), PARTS)
 
 
+@query("second_level_chunks", f"""WITH {ENDS}, st0 AS (SELECT part AS slice, node, (row_number() OVER (PARTITION BY part ORDER BY node) - 1) % least(5, count(*) OVER (PARTITION BY part)) AS cluster, least(5, count(*) OVER (PARTITION BY part)) AS count FROM pn),
+    ne AS (SELECT DISTINCT sp AS slice, src AS node, dst AS nbr FROM en WHERE sp = dp AND src <> dst UNION SELECT DISTINCT sp, dst, src FROM en WHERE sp = dp AND src <> dst),
+    {_sql_towards('st0', 'ne', 2, 'floor(count(*) / min(count)::DOUBLE * 1.2)', 301)} SELECT node, slice AS part, CAST(cluster AS INTEGER) AS chunk FROM a1""")
+def second_level_chunks(spark, sf):
+    return pt.second_level(graph(spark, sf), node_parts(spark, sf), 5)
+
+
+def _sql_slices() -> str:
+    """Two tries: the second with the numbers of clusters that the first asks for."""
+    out = [f"{SNAP}, sd AS (SELECT DISTINCT snap AS slice, node FROM (SELECT snap, src AS node FROM sn UNION ALL SELECT snap, dst FROM sn)), ne AS (SELECT DISTINCT snap AS slice, src AS node, dst AS nbr FROM sn WHERE src <> dst UNION SELECT DISTINCT snap, dst, src FROM sn WHERE src <> dst), c0 AS (SELECT DISTINCT slice, 3 AS count FROM sd)"]
+    for k in range(2):
+        rounds = _sql_towards(f"st{k}", "ne", 2, "floor(count(*) / min(count)::DOUBLE * 1.2)", 301)
+        for name in "ztvbmwsa":
+            for r in range(2):
+                rounds = re.sub(rf"\b{name}{r}\b", f"{name}{r}_{k}", rounds)
+        out.append(f"st{k} AS (SELECT slice, node, {_sql_mixed('node')} % count AS cluster, count FROM sd JOIN c{k} USING (slice)), {rounds}")
+        out.append(f"c{k + 1} AS (SELECT sn.snap AS slice, CAST(CASE WHEN avg(CASE WHEN a.cluster <> b.cluster THEN 1.0::DOUBLE ELSE 0.0 END) > 0.2 THEN floor(min(a.count) * avg(CASE WHEN a.cluster <> b.cluster THEN 1.0::DOUBLE ELSE 0.0 END) / 0.2::DOUBLE) ELSE min(a.count) END AS BIGINT) AS count FROM sn JOIN a1_{k} a ON a.slice = sn.snap AND a.node = sn.src JOIN a1_{k} b ON b.slice = sn.snap AND b.node = sn.dst GROUP BY sn.snap)")
+    return ", ".join(out)
+
+
+@query("slice_clusters", f"WITH {_sql_slices()} SELECT slice, node, CAST(cluster AS INTEGER) AS cluster FROM a1_1")
+def slice_clusters(spark, sf):
+    return pt.slice_clusters(snapped(spark, sf).withColumnRenamed("snap", "slice"), 3, tries=2)
+
+
+@query("snapshot_blocks", f"""WITH {LOCAL}, {SNAP[len(EV) + 2:]}, i AS (SELECT snap, dst, sum(weight) AS d FROM sn GROUP BY ALL), o AS (SELECT snap, src, sum(weight) AS d FROM sn GROUP BY ALL)
+    SELECT CAST(dst % {PARTS} AS INTEGER) AS part, snap, eid, a.local AS src_local, b.local AS dst_local, round(weight / (sqrt(greatest(i.d, 1e-12)) * sqrt(greatest(o.d, 1e-12))), 6) AS norm
+    FROM sn JOIN i USING (snap, dst) JOIN o USING (snap, src) JOIN li a ON a.part = dst % {PARTS} AND a.node = src JOIN li b ON b.part = dst % {PARTS} AND b.node = dst""")
+def snapshot_blocks(spark, sf):
+    return rounded(pt.snapshot_blocks(snapped(spark, sf), node_parts(spark, sf), _index(spark, sf)), "norm")
+
+
+PLACES = f"{BLOCK}, pl AS (SELECT li.part, li.local, row_number() OVER (PARTITION BY li.part ORDER BY 5 - li.node % 6, li.node) - 1 AS place FROM li WHERE NOT is_halo)"
+
+
+def _places(spark, sf):
+    own = _index(spark, sf).where("not is_halo").select("part", "node", "local").withColumn("chunk", F.col("node") % 6)
+    return pt.permuted(own, pt.chunk_order("reverse", 6)).select("part", "local", "place")
+
+
+@query("permuted_blocks", f"WITH {PLACES} SELECT bl.part, eid, coalesce(a.place, src_local) AS src_local, coalesce(b.place, dst_local) AS dst_local, weight FROM bl LEFT JOIN pl a ON a.part = bl.part AND a.local = src_local LEFT JOIN pl b ON b.part = bl.part AND b.local = dst_local")
+def permuted_blocks(spark, sf):
+    return pt.permuted_edges(block_edges(spark, sf), _places(spark, sf)).select("part", "eid", "src_local", "dst_local", "weight")
+
+
+@query("permuted_send_index", f"WITH {PLACES} SELECT owner AS src_part, ha.part AS dst_part, ha.node, pl.place AS local FROM ha JOIN li ON li.part = ha.owner AND li.node = ha.node AND NOT li.is_halo JOIN pl ON pl.part = li.part AND pl.local = li.local")
+def permuted_send_index(spark, sf):
+    return pt.permuted_send(send_index(spark, sf), _places(spark, sf))
+
+
+@query("added_column", f"WITH {PART} SELECT pn.node, part, dg.degree FROM pn JOIN (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM ev UNION ALL SELECT dst FROM ev) GROUP BY ALL) dg ON dg.node = pn.node")
+def added_column(spark, sf):
+    degree = graph(spark, sf).select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    return ev.with_values(node_parts(spark, sf), degree, "node", "degree")
+
+
+@query("batch_caps", f"WITH {SPLIT} SELECT eid, split, batch FROM ba WHERE NOT (split = 'train' AND batch >= 3) AND NOT (split = 'val' AND batch >= 1)")
+def batch_caps(spark, sf):
+    """The feature of a run on the first batches of a split."""
+    return ev.capped(split(spark, sf), {"train": 3, "val": 1}).select("eid", "split", "batch")
+
+
+@query("node_histories", f"WITH {EV}, h AS (SELECT src AS node, ts, weight, row_number() OVER (PARTITION BY src ORDER BY ts, eid) - 1 AS n FROM ev) SELECT node, n // 16 AS block, CAST(n % 16 AS INTEGER) AS i, ts, weight AS value FROM h")
+def node_histories(spark, sf):
+    own = graph(spark, sf).select(F.col("src").alias("node"), "ts", F.col("eid").alias("ordinal"), "weight")
+    return tp.node_histories(own, "weight", 16).select("node", "block", F.posexplode("history").alias("i", "h")).select("node", "block", "i", "h.ts", "h.value")
+
+
+@query("partition_manifest", f"""WITH {HALO}, c AS (SELECT dp AS part, count(*) AS n_edges, count(*) FILTER (sp <> dp) AS n_cross FROM en GROUP BY ALL), n AS (SELECT part, count(*) AS n_nodes FROM pn GROUP BY ALL), h AS (SELECT part, count(*) AS n_halo FROM ha GROUP BY ALL)
+    SELECT n.part, n_nodes, coalesce(n_edges, 0) AS n_edges, coalesce(n_halo, 0) AS n_halo, coalesce(n_cross, 0) AS n_cross FROM n LEFT JOIN c ON c.part = n.part LEFT JOIN h ON h.part = n.part""")
+def partition_manifest(spark, sf):
+    return pt.manifest(graph(spark, sf), node_parts(spark, sf))
+
+
+@query("loss_scale", f"WITH {PART} SELECT part, round(count(*) / (SELECT count(*) FROM pn)::DOUBLE, 6) AS scale FROM pn GROUP BY ALL")
+def loss_scale(spark, sf):
+    return rounded(pt.loss_scales(node_parts(spark, sf)), "scale")
+
+
+@query("local_mask", f"WITH {HALO} SELECT DISTINCT pn.node, pn.part = 2 AS is_local FROM pn")
+def local_mask(spark, sf):
+    parts = node_parts(spark, sf)
+    return pt.is_local(parts.select("node"), parts, 2)
+
+
+@query("owner_packing", f"WITH {PART} SELECT part, node, row_number() OVER (PARTITION BY part ORDER BY node) - 1 AS position FROM pn WHERE node IN (SELECT dst FROM ev)")
+def owner_packing(spark, sf):
+    return pt.packed_by_owner(graph(spark, sf).select(F.col("dst").alias("node")), node_parts(spark, sf))
+
+
+@query("route_reverse", f"WITH {HALO}, g AS (SELECT dp AS part, src AS node, sum(weight) AS value FROM en GROUP BY ALL) SELECT owner AS part, g.node, round(sum(value), 6) AS value FROM g JOIN ha ON ha.part = g.part AND ha.node = g.node GROUP BY ALL")
+def route_reverse(spark, sf):
+    """What parts gathered for halo nodes, summed at their owners."""
+    g, parts = graph(spark, sf), node_parts(spark, sf)
+    held = g.join(parts.select(F.col("node").alias("dst"), "part"), "dst").groupBy("part", F.col("src").alias("node")).agg(F.sum("weight").alias("value"))
+    return rounded(pt.scattered_back(held, pt.halo(g, parts)), "value")
+
+
+@query("feature_summary", f"""WITH {ENDS}, f AS (SELECT src AS node, sum(weight) AS a, count(*)::DOUBLE AS b FROM ev GROUP BY ALL), s AS (SELECT dp AS part, avg(CASE WHEN sp = dp THEN 1.0 ELSE 0.0 END) AS local_share FROM en GROUP BY ALL),
+    o AS (SELECT part, avg(a) AS first, avg(b) AS second, count(*) / (SELECT count(*) FROM pn)::DOUBLE AS node_share FROM pn LEFT JOIN f ON f.node = pn.node GROUP BY ALL)
+    SELECT o.part, round(first, 6) AS first, round(second, 6) AS second, round(local_share, 6) AS local_share, round(node_share, 6) AS node_share FROM o LEFT JOIN s ON s.part = o.part""")
+def feature_summary(spark, sf):
+    g = graph(spark, sf)
+    feats = g.groupBy(F.col("src").alias("node")).agg(F.array(F.sum("weight"), F.count("*").cast("double")).alias("feat"))
+    return rounded(ms.feature_summary(g, node_parts(spark, sf), feats), "first", "second", "local_share", "node_share")
+
+
+@query("memory_estimate", f"WITH {PART} SELECT (SELECT count(*) FROM pn) * 16 * 4 * 5 + (SELECT count(*) FROM ev) * 2 * 4 AS bytes")
+def memory_estimate(spark, sf):
+    g = graph(spark, sf)
+    sizes = g.agg(F.count("*").alias("e"), F.lit(1).alias("k")).join(F.broadcast(node_parts(spark, sf).agg(F.count("*").alias("v"), F.lit(1).alias("k"))), "k")
+    return sizes.select(sp.memory_estimate(F.col("v"), F.col("e"), 16).alias("bytes"))
+
+
 # State
 
 def _train(spark, sf):
@@ -677,7 +820,7 @@ def chunk_cross_edges(spark, sf):
 
 @query("chunk_temporal_deps", f"WITH {CHUNK} SELECT a.chunk_id, b.chunk_id AS dep, row_number() OVER (PARTITION BY a.chunk_id ORDER BY b.slice DESC) AS steps_back, round(pow(0.9, row_number() OVER (PARTITION BY a.chunk_id ORDER BY b.slice DESC)), 6) AS weight FROM ct a JOIN ct b ON a.cluster = b.cluster AND b.slice < a.slice")
 def chunk_temporal_deps(spark, sf):
-    return rounded(sp.temporal_deps(chunk_expand(spark, sf)), "weight")
+    return rounded(sp.temporal_deps(chunk_expand(spark, sf), None), "weight")
 
 
 @query("chunk_graph_deps", f"WITH {CHUNK} SELECT DISTINCT slice, src_cluster AS cluster, dst_cluster AS dep_cluster FROM ch WHERE src_cluster <> dst_cluster UNION SELECT DISTINCT slice, dst_cluster, src_cluster FROM ch WHERE src_cluster <> dst_cluster")
@@ -690,6 +833,14 @@ def chunk_remote_nodes(spark, sf):
     return sp.remote_nodes(_chunks(spark, sf))
 
 
+@query("chunk_completed", f"""WITH {CHUNK}, nd AS (SELECT slice, src_cluster AS cluster, src AS node, FALSE AS is_remote FROM ch UNION SELECT slice, dst_cluster, dst, FALSE FROM ch UNION SELECT slice, src_cluster, dst, src_cluster <> dst_cluster FROM ch UNION SELECT slice, dst_cluster, src, src_cluster <> dst_cluster FROM ch)
+    SELECT slice, cluster, node, is_remote, coalesce(embedding[1]::DOUBLE, 0.0) AS f0 FROM nd LEFT JOIN embeddings ON vec_id = node""")
+def chunk_completed(spark, sf):
+    """The nodes that each chunk needs, with features where there are any."""
+    feats = table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("feat"))
+    return sp.completed(sp.chunk_nodes(_chunks(spark, sf)), feats, 64).select("slice", "cluster", "node", "is_remote", F.col("feat")[0].alias("f0"))
+
+
 # Metrics
 
 @query("auc_score", f"WITH {SCORED}, g AS (SELECT score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM sc GROUP BY ALL), c AS (SELECT *, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM g) SELECT round(sum(p * (nb + n / 2.0))::DOUBLE / (sum(p)::DOUBLE * sum(n)::DOUBLE), 6) AS auc, round(sum(p * nb)::DOUBLE / (sum(p)::DOUBLE * sum(n)::DOUBLE), 6) AS auc_strict FROM c")
@@ -772,39 +923,368 @@ def session_windows(spark, sf):
     return rounded(s.select("src", F.unix_micros("w.start").alias("start"), "n", "weight"), "weight")
 
 
+# Files, prepared tables and sessions
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query("read_edges", "SELECT k.kind, l_suppkey AS src, l_partkey AS dst, CAST(l_orderkey AS DOUBLE) AS ts, CASE WHEN k.kind = 'lines' THEN 1.0 ELSE l_quantity END AS weight FROM lineitem, (SELECT unnest(['csv', 'lines', 'parquet']) AS kind) k")
+def read_edges(spark, sf):
+    """One graph written as a headed table, as lines and as Parquet, and read back by kind."""
+    g = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_orderkey").alias("ts"), F.col("l_quantity").alias("weight"))
+    root = _folder(spark)
+    g.write.option("header", True).csv(f"{root}/csv")
+    artifacts.write_edge_lines(g, f"{root}/lines")
+    g.write.parquet(f"{root}/parquet")
+    each = [src.read_edges(spark, f"{root}/{k}", k).withColumn("kind", F.lit(k)) for k in ("csv", "lines", "parquet")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query("edge_file_features", "SELECT event_id AS eid, user_id AS src, CAST(length(props) AS DOUBLE) AS f0, value AS f1 FROM events")
+def edge_file_features(spark, sf):
+    """A headed table with a table of edge features beside it."""
+    e, root = table(spark, sf, "events"), _folder(spark)
+    e.select(F.col("event_id").alias("eid"), F.col("user_id").alias("src"), (F.col("user_id") + 1).alias("dst"), F.unix_micros(F.col("ts").cast("timestamp")).alias("time")).write.option("header", True).csv(f"{root}/edges")
+    e.select(F.col("event_id").alias("eid"), F.length("props").alias("n"), "value").write.option("header", True).csv(f"{root}/features")
+    return src.read_edges(spark, f"{root}/edges", "csv", features=f"{root}/features").select("eid", "src", F.col("feat")[0].alias("f0"), F.col("feat")[1].alias("f1"))
+
+
+@query("preset_dataset", f"""WITH {EV}, t0 AS (SELECT ts FROM (SELECT DISTINCT ts FROM ev) ORDER BY ts LIMIT 1 OFFSET 1), b AS (SELECT (SELECT ts FROM t0) AS s, greatest((SELECT ts FROM t0) + 1, max(ts)) AS e FROM ev), w AS (SELECT s, greatest(1.0, (e - s)::DOUBLE / 100) AS itv FROM b),
+    h AS (SELECT i, eid, weight FROM ev, w, (SELECT unnest(range(90)) AS i) WHERE ts >= s + i * itv AND ts < s + (i + 11) * itv)
+    SELECT dense_rank() OVER (ORDER BY i) - 1 AS snap, count(*) AS n FROM h GROUP BY i""")
+def preset_dataset(spark, sf):
+    """Sliding windows by a preset over an edge list in a file."""
+    path = f"{_folder(spark)}/edges"
+    artifacts.write_edge_lines(graph(spark, sf), path)
+    return load_dataset(spark, path, "soc-bitcoin", 4).edges.groupBy("snap").agg(F.count("*").alias("n"))
+
+
+def _session(spark, sf, mode: str) -> Session:
+    s = Session.from_config(spark, {"mode": mode, "parts": PARTS, "snaps": SNAPS, "batch_size": BATCH}, graph(spark, sf), _folder(spark))
+    s.prepare_data()
+    return s.build_runtime()
+
+
+IDS = "ids AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS id FROM (SELECT src AS node FROM ev UNION SELECT dst FROM ev))"
+
+
+@query("session_events", f"WITH {SPLIT}, {IDS} SELECT eid, a.id AS src, b.id AS dst, split, batch, CAST(a.id % {PARTS} AS INTEGER) AS part FROM ba JOIN ids a ON a.node = src JOIN ids b ON b.node = dst")
+def session_events(spark, sf):
+    """Prepared events as a session reads them back."""
+    return _session(spark, sf, "ctdg").tables["events"].select("eid", "src", "dst", "split", "batch", F.col("part").cast("int").alias("part"))
+
+
+@query("session_boundaries", f"WITH {SPLIT} SELECT split, batch, min(eid) AS first, max(eid) AS last, min(ts) AS t_start, max(ts) AS t_end, count(*) AS n FROM ba GROUP BY ALL")
+def session_boundaries(spark, sf):
+    return _session(spark, sf, "ctdg").tables["boundaries"]
+
+
+@query("session_blocks", f"""WITH {SNAP}, {IDS}, g AS (SELECT snap, eid, a.id AS src, b.id AS dst, weight FROM sn JOIN ids a ON a.node = src JOIN ids b ON b.node = dst), i AS (SELECT snap, dst, sum(weight) AS d FROM g GROUP BY ALL), o AS (SELECT snap, src, sum(weight) AS d FROM g GROUP BY ALL)
+    SELECT CAST(dst % {PARTS} AS INTEGER) AS part, snap, count(*) AS n, round(sum(weight / (sqrt(greatest(i.d, 1e-12)) * sqrt(greatest(o.d, 1e-12)))), 5) AS norm FROM g JOIN i USING (snap, dst) JOIN o USING (snap, src) GROUP BY ALL""")
+def session_blocks(spark, sf):
+    blocks = _session(spark, sf, "dtdg").tables["blocks"]
+    return blocks.groupBy("part", "snap").agg(F.count("*").alias("n"), F.round(F.sum("norm"), 5).alias("norm"))
+
+
+@query("session_chunks", f"WITH {SNAP}, {IDS}, g AS (SELECT snap AS slice, ts, CASE WHEN a.id % {PARTS} = b.id % {PARTS} THEN a.id % {PARTS} ELSE -1 END AS cluster FROM sn JOIN ids a ON a.node = src JOIN ids b ON b.node = dst) SELECT slice, CAST(cluster AS INTEGER) AS cluster, count(*) AS n_edges, min(ts) AS t_start, max(ts) AS t_end, row_number() OVER (ORDER BY slice, cluster) - 1 AS chunk_id FROM g GROUP BY slice, cluster")
+def session_chunks(spark, sf):
+    return _session(spark, sf, "chunk").tables["chunks"].select("slice", "cluster", "n_edges", "t_start", "t_end", "chunk_id")
+
+
+SCORES = f"""{SPLIT}, {IDS}, g AS (SELECT eid, a.id AS src, b.id AS dst, ts, split FROM sp JOIN ids a ON a.node = src JOIN ids b ON b.node = dst), po AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i FROM (SELECT DISTINCT dst AS node FROM g)), np AS (SELECT count(*) AS n FROM po),
+    dr AS (SELECT eid, src, dst, ts, ((eid * 48271 + 7) % 2147483647) % n AS i, n FROM g, np WHERE split = 'val'), mv AS (SELECT dr.*, CASE WHEN po.node = dr.dst THEN (dr.i + 1) % n ELSE dr.i END AS j FROM dr JOIN po ON po.i = dr.i),
+    pa AS (SELECT eid, src, dst, ts, 1 AS label FROM g WHERE split = 'val' UNION ALL SELECT eid, src, node, ts, 0 FROM mv JOIN po ON po.i = mv.j),
+    me AS (SELECT pa.eid, pa.label, max_by(g.eid, {{'ts': g.ts, 'eid': g.eid}}) AS seen FROM pa LEFT JOIN g ON g.src = pa.src AND g.dst = pa.dst AND g.ts < pa.ts GROUP BY ALL)"""
+
+
+@query("session_scores", f"WITH {SCORES} SELECT eid, label, round(CASE WHEN seen IS NULL THEN -1.0 ELSE 1.0 / (1 + eid - seen) END, 6) AS score FROM me")
+def session_scores(spark, sf):
+    """Validation events and a negative for each, scored by how lately the pair met."""
+    return rounded(_session(spark, sf, "ctdg").score("val").select("eid", "label", "score"), "score")
+
+
+@query("session_task")
+def session_task(spark, sf):
+    """Two epochs of training with the validation split after each."""
+    s = _session(spark, sf, "ctdg")
+    s.config["epochs"] = 2
+    return s.run_task()
+
+
+@query("checkpoint_state", f"""WITH {SPLIT}, {IDS}, m AS (SELECT CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END AS o, batch, eid, ts, a.id AS src, b.id AS dst FROM ba JOIN ids a ON a.node = src JOIN ids b ON b.node = dst),
+    s AS (SELECT o, batch, eid, ts, src AS node, dst AS peer, 0 AS side FROM m UNION ALL SELECT o, batch, eid, ts, dst, src, 1 FROM m),
+    c AS (SELECT node, o, batch, side, max({{'ts': ts, 'eid': eid, 'peer': peer}}) AS last FROM s GROUP BY ALL)
+    SELECT node, max_by(last.eid, o * 100000000 + batch * 2 + side) AS eid, max_by(last.peer, o * 100000000 + batch * 2 + side) AS peer FROM c GROUP BY node""")
+def checkpoint_state(spark, sf):
+    """The mailbox of a saved and loaded session."""
+    s, path = _session(spark, sf, "ctdg"), _folder(spark)
+    s.save_checkpoint(path)
+    return s.load_checkpoint(path)["mailbox"].select("node", "eid", "peer")
+
+
+@query("mailbox_streamed", ORACLES["mailbox_last"].replace(", m.ts AS ts, m.peer AS peer", ", m.ts AS ts"))
+def mailbox_streamed(spark, sf):
+    """The mailbox as a stream builds it, its last state per slot."""
+    from chronoloom.streaming.state import mailbox_stream
+
+    root = _folder(spark)
+    events = _train(spark, sf).select("batch", "eid", "src", "dst", "ts")
+    events.write.parquet(f"{root}/in")
+    updates = mailbox_stream(spark.readStream.schema(events.schema).parquet(f"{root}/in"), SLOTS)
+    q = updates.writeStream.outputMode("update").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(lambda df, n: df.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{root}/out/n={n}")).start()
+    q.awaitTermination()
+    rows = spark.read.parquet(f"{root}/out")
+    return rows.groupBy("node", "slot").agg(F.max_by(F.struct("eid", "ts"), "n").alias("m")).select("node", "slot", "m.*")
+
+
+# Models: learned weights are stood in for by fixed ones
+
 def fixed_weights(seed: int, *shape: int) -> np.ndarray:
     return np.random.default_rng(seed).normal(0, 0.5, shape)
 
 
+def _sql_list(values) -> str:
+    return "[" + ",".join(_sql_list(v) if np.ndim(v) else f"{float(v)!r}::DOUBLE" for v in values) + "]"
+
+
+def _sql_linear(vector: str, matrix: np.ndarray, bias: np.ndarray | None = None) -> str:
+    """vector @ matrix + bias of a list."""
+    columns = matrix.T if bias is None else np.c_[matrix.T, bias]
+    return f"list_transform({_sql_list(columns)}, lambda c: list_inner_product({vector if bias is None else f'list_append({vector}, 1.0::DOUBLE)'}, c))"
+
+
+def _sql_each(n: int, term: str) -> str:
+    """A list of a term for i from 1 to n."""
+    return f"list_transform(range(1, {n + 1}), lambda i: {term})"
+
+
+def _sigm(x: str) -> str:
+    return f"(1 / (1 + exp(-({x}))))"
+
+
+def _tanh(x: str) -> str:
+    return f"(2 / (1 + exp(-2 * ({x}))) - 1)"
+
+
+def _sql_fold(levels: list[dict[str, str]], width: int) -> str:
+    """A recursive table st (node, snap, rn, h) over x (node, snap, rn, x): each level adds
+    columns to x and h, and the last one has the new state as ``new``."""
+
+    def step(rows: str) -> str:
+        for level in levels:
+            rows = f"SELECT *, {', '.join(f'{v} AS {k}' for k, v in level.items())} FROM ({rows})"
+        return f"SELECT node, snap, rn, new AS h FROM ({rows})"
+
+    first = step(f"SELECT node, snap, rn, x, {_sql_list([0] * width)} AS h FROM x WHERE rn = 1")
+    return f"st AS ({first} UNION ALL {step('SELECT x.node, x.snap, x.rn, x.x, st.h FROM st JOIN x ON x.node = st.node AND x.rn = st.rn + 1')})"
+
+
+def _sql_gru(x: str, h: str, w: dict, d: int, name: str) -> list[dict[str, str]]:
+    a, b = f"a_{name}", f"b_{name}"
+    z, r = _sigm(f"{a}[{d} + i] + {b}[{d} + i]"), _sigm(f"{a}[i] + {b}[i]")
+    return [{a: _sql_linear(x, w["wi"], w["bi"]), b: _sql_linear(h, w["wh"], w["bh"])}, {name: _sql_each(d, f"(1 - {z}) * {_tanh(f'{a}[{2 * d} + i] + {r} * {b}[{2 * d} + i]')} + {z} * ({h})[i]")}]
+
+
+def _sql_lstm(x: str, h: str, c: str, w: dict, d: int, name: str) -> list[dict[str, str]]:
+    """The new hidden state as h_name, the new cell as c_name."""
+    g = lambda k: f"a_{name}[{k * d} + i] + b_{name}[{k * d} + i]"
+    return [
+        {f"a_{name}": _sql_linear(x, w["wi"], w["bi"]), f"b_{name}": _sql_linear(h, w["wh"], w["bh"])},
+        {f"c_{name}": _sql_each(d, f"{_sigm(g(1))} * ({c})[i] + {_sigm(g(0))} * {_tanh(g(2))}")},
+        {f"h_{name}": _sql_each(d, f"{_sigm(g(3))} * {_tanh(f'c_{name}[i]')}")},
+    ]
+
+
+def _entries(df: DataFrame, column: str, *keys: str) -> DataFrame:
+    """A row for each entry of a vector."""
+    return df.select(*keys, F.posexplode(column).alias("i", "x")).withColumn("x", F.round("x", 5))
+
+
+def _sql_entries(rows: str, column: str, keys: str, n: int) -> str:
+    return f"SELECT {keys}, CAST(i - 1 AS INTEGER) AS i, round({column}[i], 5) AS x FROM {rows}, (SELECT unnest(range(1, {n + 1})) AS i)"
+
+
 def _degree_features(spark, sf):
     d = sn.degrees(snapped(spark, sf))
     return d.select("snap", "node", F.array(F.log1p("in_deg"), F.log1p("out_deg")).alias("feat"))
 
 
-@query("gru_states")
+FEATS = f"{SNAP}, {DEG}, fe AS (SELECT snap, node, [ln(1 + in_deg), ln(1 + out_deg)] AS x FROM deg)"
+SERIES = "x AS (SELECT node, snap, x, row_number() OVER (PARTITION BY node ORDER BY snap) AS rn FROM {t})"
+GRU = {"wi": fixed_weights(1, 2, 12), "wh": fixed_weights(2, 4, 12), "bi": fixed_weights(3, 12), "bh": fixed_weights(4, 12)}
+LSTM = {"wi": fixed_weights(1, 2, 16), "wh": fixed_weights(2, 4, 16), "bi": fixed_weights(3, 16), "bh": fixed_weights(4, 16)}
+
+
+@query("gru_states", f"WITH RECURSIVE {FEATS}, {SERIES.format(t='fe')}, {_sql_fold(_sql_gru('x', 'h', GRU, 4, 'new'), 4)} {_sql_entries('st', 'h', 'node, snap', 4)}")
 def gru_states(spark, sf):
-    """A recurrent fold over each node's degrees with fixed weights."""
-    w = {"wi": fixed_weights(1, 2, 12), "wh": fixed_weights(2, 4, 12), "bi": fixed_weights(3, 12), "bh": fixed_weights(4, 12)}
-    return ms.recurrent(_degree_features(spark, sf), w)
+    """A recurrent fold over each node's degrees."""
+    return _entries(ms.recurrent(_degree_features(spark, sf), GRU), "state", "node", "snap")
 
 
-@query("lstm_states")
+@query("lstm_states", f"WITH RECURSIVE {FEATS}, {SERIES.format(t='fe')}, {_sql_fold([*_sql_lstm('x', 'h[1:4]', 'h[5:8]', LSTM, 4, 'n'), {'new': 'list_concat(h_n, c_n)'}], 8)} {_sql_entries('st', 'h', 'node, snap', 4)}")
 def lstm_states(spark, sf):
-    w = {"wi": fixed_weights(1, 2, 16), "wh": fixed_weights(2, 4, 16), "bi": fixed_weights(3, 16), "bh": fixed_weights(4, 16)}
-    return ms.recurrent(_degree_features(spark, sf), w, "lstm")
+    """In blocks of three snapshots, each with the states of the one before."""
+    return _entries(ms.recurrent(_degree_features(spark, sf), LSTM, "lstm", block=3), "state", "node", "snap")
 
 
-@query("gcn_stack")
-def gcn_stack(spark, sf):
-    """Two layers over each snapshot, edges both ways, with fixed weights."""
+NORMED = """be AS (SELECT snap, src, dst, weight FROM sn UNION ALL SELECT snap, dst, src, weight FROM sn), bi AS (SELECT snap, dst, sum(weight) AS d FROM be GROUP BY ALL), bo AS (SELECT snap, src, sum(weight) AS d FROM be GROUP BY ALL),
+    nm AS (SELECT snap, src, dst, weight / (sqrt(greatest(bi.d, 1e-12)) * sqrt(greatest(bo.d, 1e-12))) AS norm FROM be JOIN bi USING (snap, dst) JOIN bo USING (snap, src))"""
+
+
+def _sql_pass(rows: str, n: int, name: str, out: str = "s") -> str:
+    """Messages of rows (snap, node, x) along nm, with a map of the summed list s."""
+    return f"{name} AS (SELECT snap, node, {out} AS x FROM (SELECT snap, node, list(v ORDER BY i) AS s FROM (SELECT nm.snap, nm.dst AS node, i, sum(norm * x[i]) AS v FROM nm JOIN {rows} h ON h.snap = nm.snap AND h.node = nm.src, (SELECT unnest(range(1, {n + 1})) AS i) GROUP BY ALL) GROUP BY ALL))"
+
+
+def _sql_stack(weights: list[np.ndarray], name: str) -> str:
+    one, two = weights
+    relu = f"list_transform({_sql_linear('s', one)}, lambda t: greatest(t, 0.0))"
+    return f"{NORMED}, {_sql_pass('fe', one.shape[0], f'{name}_1', relu)}, {_sql_pass(f'{name}_1', two.shape[0], name, _sql_linear('s', two))}"
+
+
+def _both_ways(spark, sf):
     g = snapped(spark, sf).select("snap", "src", "dst", "weight")
-    normed = pt.gcn_norm(g.union(g.select("snap", "dst", "src", "weight")), ["snap"])
-    return ms.gcn_stack(normed, _degree_features(spark, sf), [fixed_weights(5, 2, 4), fixed_weights(6, 4, 2)], ["snap"])
+    return pt.gcn_norm(g.union(g.select("snap", "dst", "src", "weight")), ["snap"])
+
+
+GCN = [fixed_weights(5, 2, 4), fixed_weights(6, 4, 2)]
+
+
+@query("gcn_stack", f"WITH {FEATS}, {_sql_stack(GCN, 'gs')} {_sql_entries('gs', 'x', 'snap, node', 2)}")
+def gcn_stack(spark, sf):
+    """Two layers over each snapshot, edges both ways."""
+    return _entries(ms.gcn_stack(_both_ways(spark, sf), _degree_features(spark, sf), GCN, ["snap"]), "feat", "snap", "node")
+
+
+def _dense(width: int) -> str:
+    return f"al AS (SELECT node, snap, coalesce(x, {_sql_list([0] * width)}) AS x FROM (SELECT node, snap FROM (SELECT DISTINCT node FROM deg), (SELECT unnest(range({SNAPS})) AS snap)) LEFT JOIN gs USING (node, snap))"
 
 
-@query("temporal_attention")
+TGCN = {"gcn": [fixed_weights(7, 2, 4), fixed_weights(8, 4, 9)], **{k: fixed_weights(9 + i, 6, 3) for i, k in enumerate("urc")}, **{f"b{k}": fixed_weights(12 + i, 3) for i, k in enumerate("urc")}}
+
+
+def _sql_gate(part: int, other: str, name: str) -> str:
+    return _sql_linear(f"list_concat(x[{3 * part + 1}:{3 * part + 3}], {other})", TGCN[name], TGCN[f"b{name}"])
+
+
+TGCN_LEVELS = [{"u": _sql_gate(0, "h", "u"), "r": _sql_gate(1, "h", "r")}, {"c": _sql_gate(2, _sql_each(3, f"{_sigm('r[i]')} * h[i]"), "c")}, {"new": _sql_each(3, f"{_sigm('u[i]')} * h[i] + (1 - {_sigm('u[i]')}) * {_tanh('c[i]')}")}]
+
+
+@query("tgcn_states", f"WITH RECURSIVE {FEATS}, {_sql_stack(TGCN['gcn'], 'gs')}, {_dense(9)}, {SERIES.format(t='al')}, {_sql_fold(TGCN_LEVELS, 3)} {_sql_entries('st', 'h', 'node, snap', 3)}")
+def tgcn_states(spark, sf):
+    """Graph convolution gates and a recurrent unit, every node in every snapshot."""
+    f = _degree_features(spark, sf)
+    return _entries(ms.tgcn(_both_ways(spark, sf), f, TGCN, f.select("node").distinct(), SNAPS), "state", "node", "snap")
+
+
+MPNN = {"gcn": [fixed_weights(15, 2, 4), fixed_weights(16, 4, 3)], "first": {"wi": fixed_weights(17, 3, 12), "wh": fixed_weights(18, 3, 12), "bi": fixed_weights(19, 12), "bh": fixed_weights(20, 12)}, "second": {"wi": fixed_weights(21, 3, 12), "wh": fixed_weights(22, 3, 12), "bi": fixed_weights(23, 12), "bh": fixed_weights(24, 12)}}
+MPNN_LEVELS = [*_sql_lstm("x", "h[1:3]", "h[4:6]", MPNN["first"], 3, "p"), *_sql_lstm("h_p", "h[7:9]", "h[10:12]", MPNN["second"], 3, "q"), {"new": "list_concat(list_concat(h_p, c_p), list_concat(h_q, c_q))"}]
+
+
+@query("mpnn_lstm_states", f"WITH RECURSIVE {FEATS}, {_sql_stack(MPNN['gcn'], 'gs')}, {_dense(3)}, {SERIES.format(t='al')}, {_sql_fold(MPNN_LEVELS, 12)} {_sql_entries('st', 'h', 'node, snap', 12)}")
+def mpnn_lstm_states(spark, sf):
+    """Graph convolution and two LSTM cells; all four parts of the state."""
+    f = _degree_features(spark, sf)
+    return _entries(ms.mpnn_lstm(_both_ways(spark, sf), f, MPNN, f.select("node").distinct(), SNAPS, block=5), "state", "node", "snap")
+
+
+EVOLVE = {"start": fixed_weights(25, 2, 3), "pool": fixed_weights(26, 2, 2), "bpool": fixed_weights(27, 2), "cell": {**{k: fixed_weights(28 + i, 5, 3) for i, k in enumerate("zrh")}, **{f"b{k}": fixed_weights(31 + i, 3) for i, k in enumerate("zrh")}}}
+
+
+def _sql_evolve() -> str:
+    """Matrices by snapshot, their rows one after the other as the state h of one node."""
+    gate = lambda k, row, other: _sql_linear(f"list_concat(x, {other})", EVOLVE["cell"][k], EVOLVE["cell"][f"b{k}"])
+    rows = [(j, f"h[{3 * j + 1}:{3 * j + 3}]") for j in range(2)]
+    one = {f"{k}{j}": gate(k, j, row) for k in "zr" for j, row in rows}
+    two = {f"n{j}": gate("h", j, _sql_each(3, f"{_sigm(f'r{j}[i]')} * ({row})[i]")) for j, row in rows}
+    new = [_sql_each(3, f"{_sigm(f'z{j}[i]')} * ({row})[i] + (1 - {_sigm(f'z{j}[i]')}) * {_tanh(f'n{j}[i]')}") for j, row in rows]
+    fold = _sql_fold([one, two, {"new": f"list_concat({new[0]}, {new[1]})"}], 6)
+    return fold.replace(f"{_sql_list([0] * 6)} AS h FROM x", f"{_sql_list(EVOLVE['start'].ravel())} AS h FROM x")
+
+
+EVOLVE_X = f"""po AS (SELECT snap, list(v ORDER BY i) AS p FROM (SELECT snap, i, sum(x[i]) / (SELECT count(DISTINCT node) FROM deg) AS v FROM fe, (SELECT unnest([1, 2]) AS i) GROUP BY ALL) GROUP BY ALL),
+    x AS (SELECT 0 AS node, snap, {_sql_linear('p', EVOLVE['pool'], EVOLVE['bpool'])} AS x, row_number() OVER (ORDER BY snap) AS rn FROM po)"""
+
+
+@query("evolvegcn_outputs", f"""WITH RECURSIVE {FEATS}, {NORMED}, {EVOLVE_X}, {_sql_evolve()}, {_sql_pass('fe', 2, 'gs')},
+    o AS (SELECT gs.snap, gs.node, {_sql_each(3, 'gs.x[1] * st.h[i] + gs.x[2] * st.h[3 + i]')} AS x FROM gs JOIN st ON st.snap = gs.snap) {_sql_entries('o', 'x', 'snap, node', 3)}""")
+def evolvegcn_outputs(spark, sf):
+    """Messages of each snapshot times its own evolved matrix."""
+    f = _degree_features(spark, sf)
+    return _entries(ms.evolvegcn(_both_ways(spark, sf), f, EVOLVE, f.select("node").distinct().count()), "feat", "snap", "node")
+
+
+MEMORY = {"mail": {"wi": fixed_weights(34, 3, 12), "wh": fixed_weights(35, 4, 12), "bi": fixed_weights(36, 12), "bh": fixed_weights(37, 12)}, "cell": {"wi": fixed_weights(38, 4, 12), "wh": fixed_weights(39, 4, 12), "bi": fixed_weights(40, 12), "bh": fixed_weights(41, 12)}}
+
+
+def _sql_memory() -> str:
+    rows = "SELECT * FROM me"
+    h = _sql_list([0] * 4)
+    for k in range(SLOTS):
+        for level in _sql_gru(f"m{k}", h, MEMORY["mail"], 4, f"h{k}"):
+            rows = f"SELECT *, {', '.join(f'{v} AS {n}' for n, v in level.items())} FROM ({rows})"
+        h = f"h{k}"
+    for level in _sql_gru(h, "memory", MEMORY["cell"], 4, "new"):
+        rows = f"SELECT *, {', '.join(f'{v} AS {n}' for n, v in level.items())} FROM ({rows})"
+    return rows
+
+
+MEMORY_ROWS = f"""{MAIL}, s AS (SELECT node, slot, max_by({{'eid': last.eid, 'peer': last.peer}}, batch * 2 + side) AS m FROM wr GROUP BY ALL),
+    ml AS (SELECT node, slot, [(node % 5)::DOUBLE, (m.peer % 5)::DOUBLE, weight] AS v FROM s JOIN ev ON ev.eid = m.eid),
+    me AS (SELECT node, {', '.join(f'coalesce(max(v) FILTER (slot = {k}), {_sql_list([0] * 3)}) AS m{k}' for k in range(SLOTS))}, list_transform(range(4), lambda j: ((node + j) % 3)::DOUBLE) AS memory FROM ml GROUP BY node)"""
+
+
+@query("memory_updated", f"WITH {MEMORY_ROWS}, u AS ({_sql_memory()}) {_sql_entries('u', 'new', 'node', 4)}")
+def memory_updated(spark, sf):
+    """A recurrent unit over the slots of each node's mailbox, then a cell with its memory."""
+    nodes = node_parts(spark, sf)
+    own = nodes.select("node", F.array((F.col("node") % 5).cast("double")).alias("memory"))
+    mail = st.messages(st.mailbox(_train(spark, sf), SLOTS), own, graph(spark, sf).select("eid", F.array("weight").alias("feat")), 1)
+    memory = nodes.select("node", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: ((F.col("node") + j) % 3).cast("double")).alias("memory"))
+    return _entries(ms.memory_update(mail.select("node", "slot", "mail"), memory, MEMORY, SLOTS), "memory", "node")
+
+
+ATTEND = {"q": fixed_weights(42, 6, 4), "k": fixed_weights(43, 7, 4), "v": fixed_weights(44, 7, 4), "out": fixed_weights(45, 6, 4), **{f"b{k}": fixed_weights(46 + i, 4) for i, k in enumerate("qkv")}, "bout": fixed_weights(49, 4)}
+NODE_FEATS = "nf AS (SELECT node, [ln(1 + sum(i)), ln(1 + sum(o))] AS x FROM (SELECT src AS node, 0.0::DOUBLE AS i, weight AS o FROM ev UNION ALL SELECT dst, weight, 0.0::DOUBLE FROM ev) GROUP BY ALL)"
+ENCODED = "list_transform(range(4), lambda t: cos({dt} * pow(10.0, -9.0 * t / 3)))"
+ATTENTION = f"""{ROOTS}, {NODE_FEATS}, r AS ({OF_ROOTS.format(r='ro')}), nb AS (SELECT * FROM r WHERE rank <= {K}),
+    ke AS (SELECT nb.root, nb.root_ts, nbr_eid, list_concat(list_concat(b.x, [ev.weight]), {ENCODED.format(dt='(nb.dt / 1e9)')}) AS key, list_concat(a.x, {ENCODED.format(dt='0.0')}) AS query
+           FROM nb JOIN nf a ON a.node = nb.root JOIN nf b ON b.node = nb.nbr JOIN ev ON ev.eid = nb.nbr_eid),
+    kq AS (SELECT root, root_ts, nbr_eid, {_sql_linear('query', ATTEND['q'], ATTEND['bq'])} AS q, {_sql_linear('key', ATTEND['k'], ATTEND['bk'])} AS k, {_sql_linear('key', ATTEND['v'], ATTEND['bv'])} AS v FROM ke),
+    sc AS (SELECT root, root_ts, nbr_eid, v, h, q[2 * h + 1] * k[2 * h + 1] + q[2 * h + 2] * k[2 * h + 2] AS s FROM kq, (SELECT unnest([0, 1]) AS h)),
+    ex AS (SELECT *, exp(CASE WHEN s < 0 THEN 0.2 * s ELSE s END) AS e FROM sc),
+    hd AS (SELECT root, root_ts, 2 * h + j AS i, sum(e * v[2 * h + j]) / sum(e) AS x FROM ex, (SELECT unnest([1, 2]) AS j) GROUP BY ALL),
+    ag AS (SELECT root, root_ts, list(x ORDER BY i) AS agg FROM hd GROUP BY ALL),
+    all_roots AS (SELECT DISTINCT root, root_ts FROM ro),
+    ou AS (SELECT root, root_ts, list_transform({_sql_linear(f'list_concat(coalesce(agg, {_sql_list([0] * 4)}), nf.x)', ATTEND['out'], ATTEND['bout'])}, lambda t: greatest(t, 0.0)) AS y FROM all_roots LEFT JOIN ag USING (root, root_ts) JOIN nf ON nf.node = root),
+    mn AS (SELECT *, list_avg(y) AS m FROM ou), nr AS (SELECT root, root_ts, {_sql_each(4, '(y[i] - m) / sqrt(list_avg(list_transform(y, lambda t: (t - m) * (t - m))) + 1e-5)')} AS x FROM mn)"""
+
+
+def _attended(spark, sf):
+    """Two heads over the latest neighbours of the validation batches' roots."""
+    g = graph(spark, sf)
+    nodes = sn.degrees(g.withColumn("snap", F.lit(0))).select("node", F.array(F.log1p("in_deg"), F.log1p("out_deg")).alias("feat"))
+    roots = _val_roots(spark, sf)
+    near = tp.recent_k_of(roots, g, K).withColumn("dt", F.col("dt") / F.lit(1e9))
+    return ms.temporal_attention(near, nodes, g.select("eid", F.array("weight").alias("feat")), ATTEND, 2, 4, roots)
+
+
+@query("temporal_attention", f"WITH {ATTENTION} {_sql_entries('nr', 'x', 'root, root_ts', 4)}")
 def temporal_attention(spark, sf):
-    """Attention of the validation batches' roots over their latest neighbours."""
-    nodes = sn.degrees(numbered(spark, sf).withColumn("snap", F.lit(0))).select("node", F.array(F.log1p("in_deg"), F.log1p("out_deg")).alias("feat"))
-    near = tp.recent_k_of(_val_roots(spark, sf), graph(spark, sf), K)
-    return ms.temporal_attention(near, nodes, 4)
+    return _entries(_attended(spark, sf), "feat", "root", "root_ts")
+
+
+PREDICT = {"src": fixed_weights(50, 4, 4), "dst": fixed_weights(51, 4, 4), "out": fixed_weights(52, 4, 1), "bsrc": fixed_weights(53, 4), "bdst": fixed_weights(54, 4), "bout": fixed_weights(55, 1)}
+
+
+@query("link_logits", f"""WITH {ATTENTION}, pa AS (SELECT DISTINCT src, dst, l.root_ts FROM ba JOIN last l ON l.batch = ba.batch WHERE split = 'val'),
+    lg AS (SELECT src, dst, pa.root_ts, {_sql_linear('a.x', PREDICT['src'], PREDICT['bsrc'])} AS s, {_sql_linear('b.x', PREDICT['dst'], PREDICT['bdst'])} AS d FROM pa JOIN nr a ON a.root = src AND a.root_ts = pa.root_ts JOIN nr b ON b.root = dst AND b.root_ts = pa.root_ts)
+    SELECT src, dst, root_ts, round(({_sql_linear(_sql_each(4, 'greatest(s[i] + d[i], 0.0)'), PREDICT['out'], PREDICT['bout'])})[1], 5) AS logit FROM lg""")
+def link_logits(spark, sf):
+    """Scores of the validation events' pairs from both ends' attention."""
+    found = _attended(spark, sf)
+    val = split(spark, sf).where("split = 'val'")
+    pairs = val.join(val.groupBy("batch").agg(F.max("ts").alias("root_ts")), "batch").select("src", "dst", "root_ts").distinct()
+    both = pairs.join(found.toDF("src", "root_ts", "src_feat"), ["src", "root_ts"]).join(found.toDF("dst", "root_ts", "dst_feat"), ["dst", "root_ts"])
+    return ms.link_logits(both, PREDICT).select("src", "dst", "root_ts", F.round("logit", 5).alias("logit"))

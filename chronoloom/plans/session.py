@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,20 +15,29 @@ from chronoloom.operators import events as ev
 from chronoloom.operators import partitioning as pt
 from chronoloom.operators import sampling as sp
 from chronoloom.operators import snapshots as sn
+from chronoloom.operators import state as st
 from chronoloom.operators import temporal as tp
+from chronoloom.plans.datasets import numbered_events
+from chronoloom.scratch import materialise
 from chronoloom.sources import artifacts, edges
 
 #: Settings that are read; others are refused rather than silently unused.
-DEFAULTS: dict[str, Any] = {"mode": "ctdg", "snaps": 8, "parts": 2, "batch_size": 200, "world_size": 1, "neighbours": [10], "ratio": [0.7, 0.15, 0.15], "partitioner": "round_robin", "seed": 7, "window": 1}
+DEFAULTS: dict[str, Any] = {"mode": "ctdg", "snaps": 8, "parts": 2, "batch_size": 200, "world_size": 1, "neighbours": [10], "ratio": [0.7, 0.15, 0.15], "partitioner": "round_robin", "seed": 7, "chunk_steps": 8, "epochs": 1, "eval_interval": 1, "max_batches": {}}
 
 
 @dataclass
 class Session:
+    """hooks: functions DataFrame -> DataFrame that take the place of an own step:
+    ``negatives`` of (events, pool), ``neighbours`` of (roots, visible events)."""
+
     spark: SparkSession
     config: dict[str, Any]
     events: DataFrame | None = None
     root: str | None = None
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    hooks: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = field(default_factory=dict)
+    #: a link's logit is scale * (how lately the pair met) + shift
+    weights: dict[str, float] = field(default_factory=lambda: {"scale": 1.0, "shift": 0.0})
 
     @classmethod
     def from_config(cls, spark: SparkSession, config: dict[str, Any], events: DataFrame | None = None, root: str | None = None, **overrides) -> Session:
@@ -50,8 +61,9 @@ class Session:
         """Dense ids, order, splits, owners and, by mode, snapshots or batches as tables."""
         c = self.config
         ids = ev.node_ids(self.events)
-        graph = ev.with_row_number(ev.remap(self.events, ids), "ts", "eid")
-        splits = ev.event_batches(ev.assign_splits(graph, c["ratio"]), c["batch_size"], c["world_size"])
+        graph = materialise(ev.with_row_number(ev.remap(self.events, ids), "ts", "eid"))
+        total = graph.count()
+        splits = ev.event_batches(ev.assign_splits(graph, c["ratio"], total), c["batch_size"], c["world_size"])
         parts = self._parts(ids, graph)
         owner = pt.edge_owner(splits, parts, "dst" if c["mode"] == "dtdg" else "src")
         tables = {"nodes": ids, "parts": parts, "events": splits.join(owner, "eid")}
@@ -59,15 +71,17 @@ class Session:
             snaps = sn.equal_count(graph, c["snaps"])
             halos = pt.halo(graph, parts)
             index = pt.local_index(parts, halos)
-            tables |= {"snapshots": pt.gcn_norm(snaps, ["snap"]), "degrees": sn.degrees(snaps), "halo": halos, "index": index, "routes": pt.send_index(halos, index)}
+            tables |= {"snapshots": pt.gcn_norm(snaps, ["snap"]), "blocks": pt.snapshot_blocks(snaps, parts, index), "degrees": sn.degrees(snaps), "halo": halos, "index": index, "routes": pt.send_index(halos, index), "manifest": pt.manifest(graph, parts)}
+        if c["mode"] == "ctdg":
+            tables |= {"boundaries": splits.groupBy("split", "batch").agg(F.min("eid").alias("first"), F.max("eid").alias("last"), F.min("ts").alias("t_start"), F.max("ts").alias("t_end"), F.count("*").alias("n"))}
         if c["mode"] == "chunk":
             clusters = parts.withColumnRenamed("part", "cluster")
             chunked = sp.chunks(sn.equal_count(graph, c["snaps"]), F.col("snap"), clusters)
             table = sp.chunk_table(chunked)
-            tables |= {"chunk_edges": chunked, "chunks": table, "chunk_deps": sp.temporal_deps(table), "chunk_remote": sp.remote_nodes(chunked)}
+            tables |= {"chunk_edges": chunked, "chunks": table, "chunk_deps": sp.temporal_deps(table, c["chunk_steps"]), "chunk_remote": sp.remote_nodes(chunked)}
         for name, df in tables.items():
             artifacts.write_table(df, f"{self.root}/{name}", ["part"] if name == "events" else ["snap"] if name == "snapshots" else None)
-        artifacts.write_meta(self.spark, self.root, {"mode": c["mode"], "parts": c["parts"], "snaps": c["snaps"], "tables": sorted(tables)})
+        artifacts.write_meta(self.spark, self.root, {"mode": c["mode"], "parts": c["parts"], "snaps": c["snaps"], "sizes": dict(zip(ev.SPLITS, ev.split_sizes(total, c["ratio"]), strict=True)), "tables": sorted(tables)})
         return artifacts.read_meta(self.spark, self.root)
 
     def build_runtime(self) -> Session:
@@ -75,39 +89,93 @@ class Session:
         c = self.config
         meta = artifacts.validated(self.spark, self.root, c["mode"], c["parts"], ("routes",) if c["mode"] == "dtdg" else ("events",))
         self.tables = {t: artifacts.read_artifact(self.spark, self.root, t) for t in meta["tables"]}
+        self.sizes = meta["sizes"]
         return self
 
+    def n_batches(self, split: str) -> int:
+        """From the prepared sizes: no job is run for it."""
+        n = -(-self.sizes[split] // (self.config["batch_size"] * self.config["world_size"]))
+        return min(n, self.config["max_batches"].get(split, n))
+
     def iter_batches(self, split: str):
-        """Batches of a split, one DataFrame each; pruned scans of the prepared table."""
+        """Batches of a split, one DataFrame each."""
         rows = self.tables["events"].where(F.col("split") == split)
-        for r in rows.select("batch").distinct().orderBy("batch").toLocalIterator():
-            yield rows.where(F.col("batch") == r["batch"])
+        for i in range(self.n_batches(split)):
+            yield rows.where(F.col("batch") == i)
+
+    def neighbours(self, split: str) -> DataFrame:
+        """Neighbours of a split's batch roots among the events that the split may see."""
+        rows = self.tables["events"]
+        roots = tp.batch_roots(rows.where(F.col("split") == split)).select("root", "root_ts").distinct()
+        find = self.hooks.get("neighbours", lambda r, e: tp.recent_k_of(r, e, self.config["neighbours"][0]))
+        return find(roots, ev.visible_to(rows, split))
 
     def score(self, split: str) -> DataFrame:
-        """(eid, score, label) of a split's events and a negative for each: how lately and
-        how often the source met the target among the events the split may see."""
+        """(eid, met, score, label) of a split's events and a negative for each: how lately
+        the source met the target before, and the logit that follows."""
         rows = self.tables["events"]
-        mine = rows.where(F.col("split") == split)
-        neg = sp.negatives(mine, sp.pool(rows), self.config["seed"])
+        mine = ev.capped(rows.where(F.col("split") == split), self.config["max_batches"])
+        neg = self.hooks.get("negatives", lambda e, pool: sp.negatives(e, pool, self.config["seed"]))(mine, sp.pool(rows))
         both = mine.select("eid", "src", "dst", "ts", F.lit(1).alias("label")).unionByName(neg.join(mine.select("eid", "ts"), "eid").select("eid", "src", F.col("neg").alias("dst"), "ts", F.lit(0).alias("label")))
         pair = F.struct("src", "dst")
-        asked = both.select("*", F.hash(pair).alias("_h"), pair.alias("pair"))
+        asked = both.select("*", pair.alias("pair"))
         met = rows.select(pair.alias("pair"), F.col("ts"), F.col("eid").alias("seen"))
         found = tp.asof(asked.withColumn("ts", F.col("ts") - 1), met, "pair", "ts", ["seen"], "seen")
-        return found.select("eid", F.when(F.col("seen").isNull(), -1.0).otherwise(1.0 / (1 + F.col("eid") - F.col("seen"))).alias("score"), "label")
+        met = F.when(F.col("seen").isNull(), -1.0).otherwise(1.0 / (1 + F.col("eid") - F.col("seen")))
+        return found.select("eid", met.alias("met"), (F.lit(self.weights["scale"]) * met + F.lit(self.weights["shift"])).alias("score"), "label")
+
+    def run_epoch(self, split: str) -> DataFrame:
+        """Metrics of a split, with its name; on the training split one Newton step of the
+        link weights comes first, from sums over all its events."""
+        scores = materialise(self.score(split))
+        if split == "train":
+            p = metrics.sigmoid(F.col("score"))
+            g, h, x = F.col("label") - p, p * (1 - p), F.col("met")
+            r = scores.agg(F.sum(g).alias("g0"), F.sum(g * x).alias("g1"), F.sum(h).alias("h0"), F.sum(h * x).alias("h1"), F.sum(h * x * x).alias("h2")).first()
+            if r["g0"] is not None:
+                shift, scale = np.linalg.solve(np.array([[r["h0"] + 1, r["h1"]], [r["h1"], r["h2"] + 1]]), np.array([r["g0"] - self.weights["shift"], r["g1"] - self.weights["scale"]]))
+                self.weights = {"scale": self.weights["scale"] + float(scale), "shift": self.weights["shift"] + float(shift)}
+                scores = scores.withColumn("score", F.lit(self.weights["scale"]) * x + F.lit(self.weights["shift"]))
+        one_row = metrics.auc(scores).crossJoin(metrics.average_precision(scores)).crossJoin(metrics.bce(scores))
+        return one_row.withColumn("split", F.lit(split))
 
     def run(self, split: str) -> DataFrame:
-        """Metrics of a split."""
-        scores = self.score(split).cache()
+        """Metrics of a split with the weights as they are."""
+        scores = materialise(self.score(split))
         return metrics.auc(scores).crossJoin(metrics.average_precision(scores)).crossJoin(metrics.bce(scores))
 
     evaluate = run
 
+    def run_task(self) -> DataFrame:
+        """(epoch, split, auc, auc_strict, ap, bce): the epochs of training, with the
+        validation split after every ``eval_interval`` of them."""
+        out = None
+        for epoch in range(1, self.config["epochs"] + 1):
+            splits = ["train", "val"] if epoch % self.config["eval_interval"] == 0 else ["train"]
+            for split in splits:
+                row = self.run_epoch(split).withColumn("epoch", F.lit(epoch))
+                out = row if out is None else out.unionByName(row)
+        return out
+
     def predict(self, split: str = "test") -> DataFrame:
-        return self.score(split).where("label = 1")
+        return self.score(split).where("label = 1").select("eid", "score", "label")
+
+    def save_checkpoint(self, path: str) -> None:
+        """The weights, and in mode ctdg the mailbox after all prepared events."""
+        tables = {"weights": self.spark.createDataFrame(sorted(self.weights.items()), "name string, value double").coalesce(1)}
+        if self.config["mode"] == "ctdg" and self.tables:
+            order = F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 1).otherwise(2)
+            width = max(1, *(self.n_batches(s) for s in ev.SPLITS))
+            tables["mailbox"] = st.mailbox(self.tables["events"].withColumn("batch", order * width + F.col("batch")), 1)
+        artifacts.save_checkpoint(path, **tables)
+
+    def load_checkpoint(self, path: str) -> dict[str, DataFrame]:
+        names = ["weights", "mailbox"] if self.config["mode"] == "ctdg" and self.tables else ["weights"]
+        found = artifacts.load_checkpoint(self.spark, path, *names)
+        self.weights = {r["name"]: r["value"] for r in found["weights"].collect()}
+        return found
 
 
 def load_edges(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Events of a file, numbered in their order of time."""
-    rows = edges.read_edges(spark, path, kind)
-    return rows.withColumn("eid", F.monotonically_increasing_id())
+    return numbered_events(edges.read_edges(spark, path, kind))

@@ -30,6 +30,23 @@ def _beside(*tables: DataFrame) -> DataFrame:
     return out
 
 
+def vector_width(rows: DataFrame, column: str = "feat") -> int:
+    """The one length of a vector column; an error where lengths differ."""
+    low, high = rows.agg(F.min(F.size(column)), F.max(F.size(column))).first()
+    if low is None or low != high:
+        raise ValueError(f"vectors of {column} have lengths from {low} to {high}")
+    return low
+
+
+def labels_of(rows: DataFrame, names: tuple[str, ...] = ("label", "y", "target")) -> DataFrame:
+    """(node, snap, label) by the first of the names that the table has, cast to double."""
+    found = next((n for n in names if n in rows.columns), None)
+    if found is None:
+        raise ValueError(f"no label column among {', '.join(names)}")
+    keys = [c for c in ("node", "snap") if c in rows.columns]
+    return rows.select(*keys, F.col(found).cast("double").alias("label"))
+
+
 def _link_output(scores: DataFrame) -> DataFrame:
     return scores.select("eid", mt.sigmoid(F.col("score")).alias("probability"), "label")
 
@@ -44,8 +61,9 @@ TASKS: dict[str, Task] = {
     "node_classify": Task(mt.cross_entropy, mt.accuracy, _class_output),
 }
 
-MODELS: dict[str, Callable] = {"gcn": ms.gcn_stack, "tgcn": ms.recurrent, "mpnn_lstm": lambda f, w: ms.recurrent(f, w, "lstm"), "evolvegcn": ms.evolved_weights, "tgat": ms.temporal_attention}
-MODELS |= {name: ms.temporal_attention for name in ("tgn", "jodie", "dyrep", "apan")}
+#: The snapshot models by name, and one attention model under the names it is known by.
+MODELS: dict[str, Callable] = {"gcn": ms.tgcn, "tgcn": ms.tgcn, "mpnn_lstm": ms.mpnn_lstm, "evolvegcn": ms.evolvegcn}
+MODELS |= {name: ms.temporal_attention for name in ("tgn", "jodie", "dyrep", "tgat", "apan")}
 
 
 def task(name: str) -> Task:

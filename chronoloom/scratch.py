@@ -12,24 +12,51 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder where it is unset."""
+    """``spark.checkpoint.dir`` of the session. Where that is unset, a temporary folder if
+    driver and workers are one machine, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext._jsc.sc()
+    known = context.getCheckpointDir()
     if folder is None:
-        known = context.getCheckpointDir()
+        if known.isEmpty() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="spark-")
-        if known.isEmpty():
-            spark.sparkContext.setCheckpointDir(folder)
+    if known.isEmpty():
+        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Write the rows to the shared folder and go on from there. Lost executors can be
-    replaced without running what came before."""
+    replaced without running what came before. ``replaces``: a table of an earlier call
+    that nothing needs from now on; it is deleted."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if replaces is not None:
+        _delete(spark, replaces._chronoloom_path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._chronoloom_path = path
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return out
+
+
+#: Tables written so far, by application.
+_written: dict[str, list[str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard_tables(spark: SparkSession) -> int:
+    """Delete all tables that ``materialise`` has written for this application, when their
+    results have been saved elsewhere; how many there were."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -35,8 +35,24 @@ def edges_from_table(df: DataFrame) -> DataFrame:
     return df.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col(time).cast("double").alias("ts"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight"))
 
 
-def read_edge_csv(spark: SparkSession, path: str) -> DataFrame:
-    return edges_from_table(spark.read.csv(path, header=True))
+def edge_features(df: DataFrame) -> DataFrame:
+    """(eid, feat): every numeric column beside ``eid`` is a feature."""
+    names = feature_columns(df.schema, {"eid"})
+    if "eid" not in df.columns or not names:
+        raise ValueError("a table of edge features needs eid and a numeric column")
+    return df.select(F.col("eid").cast("long").alias("eid"), F.array(*[F.col(c).cast("double") for c in names]).alias("feat"))
+
+
+def read_edge_csv(spark: SparkSession, path: str, features: str | None = None) -> DataFrame:
+    """A headed edge table; with a table of features beside it, events are numbered by the
+    table's ``eid`` column and have their vector, empty where there is none."""
+    rows = spark.read.csv(path, header=True)
+    if features is None:
+        return edges_from_table(rows)
+    time, weight = infer_columns([c for c in rows.columns if c != "eid"])
+    own = rows.select(F.col("eid").cast("long").alias("eid"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col(time).cast("double").alias("ts"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight"))
+    feats = edge_features(spark.read.csv(features, header=True, inferSchema=True))
+    return own.join(feats, "eid", "left").withColumn("feat", F.coalesce("feat", F.array().cast("array<double>")))
 
 
 def parse_edge_lines(lines: DataFrame, separator: str | None = None, value: str = "value") -> DataFrame:
@@ -108,7 +124,7 @@ def ring_snapshots(spark: SparkSession, snaps: int) -> DataFrame:
 def read_edges(spark: SparkSession, path: str, kind: str, **options) -> DataFrame:
     """kind: csv, lines, parquet, or ring (made-up; never a silent fallback)."""
     if kind == "csv":
-        return read_edge_csv(spark, path)
+        return read_edge_csv(spark, path, **options)
     if kind == "lines":
         return read_edge_lines(spark, path, **options)
     if kind == "parquet":

@@ -72,6 +72,63 @@ def test_ranged_row_numbers(spark):
     assert sets(ev.with_row_number(df, "ts", "eid", ranges=9)) == sets(ev.with_row_number(df, "ts", "eid"))
 
 
+def test_running_sums_in_ranges_and_hot_keys(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(k), int(rng.integers(12)), int(rng.integers(4))) for i, k in enumerate(rng.choice([1, 2, 3], 400, p=[0.8, 0.15, 0.05]))]
+    df = spark.createDataFrame(rows, "eid long, src long, ts long, v long")
+    order = sorted(rows, key=lambda r: (r[2], r[0]))
+    want = {r[0]: sum(x[3] for x in order[:i]) for i, r in enumerate(order)}
+    for ranges in (None, 7):
+        got = ev.running_total(df, ["ts", "eid"], {"t": F.col("v")}, ranges)
+        assert {r["eid"]: r["t"] for r in got.collect()} == want
+    for hot_from in (1, 50, 10_000):
+        got = {r["eid"]: (r["n"], r["earlier"]) for r in ev.running_in(df, "src", ["ts", "eid"], "n", tie="ts", tie_name="earlier", hot_from=hot_from).collect()}
+        assert got == {i: (sum(x[1] == k and (x[2], x[0]) < (t, i) for x in rows), sum(x[1] == k and x[2] < t for x in rows)) for i, k, t, _ in rows}
+        got = {r["eid"]: r["s"] for r in ev.running_in(df, "src", ["ts", "eid"], "s", value=F.col("v"), hot_from=hot_from).collect()}
+        assert got == {i: sum(x[3] for x in rows if x[1] == k and (x[2], x[0]) < (t, i)) for i, k, t, _ in rows}
+
+
+@pytest.mark.parametrize("hot_from", [5, 10_000])
+def test_hot_keys_change_no_result(spark, hot_from, monkeypatch):
+    e = spark.createDataFrame([(i, 0 if i % 5 else i % 7, i % 3, i // 4, float(i)) for i in range(120)], "eid long, src long, dst long, ts long, weight double")
+    b = e.withColumn("batch", F.floor(F.col("eid") / 10))
+    wanted = [tp.recent_k(e, 3), tp.uniform_k(e, 2), tp.recent_k_of(e.select(F.col("src").alias("root"), F.col("ts").alias("root_ts")), e, 3), st.mailbox(b, 3), pt.permuted(e.select(F.col("eid").alias("node"), (F.col("src") % 2).alias("part"), F.col("dst").alias("chunk")), F.col("chunk"))]
+    wanted = [sets(x) for x in wanted]
+    monkeypatch.setattr(ev.running_in, "__defaults__", (*ev.running_in.__defaults__[:-1], hot_from))
+    got = [tp.recent_k(e, 3), tp.uniform_k(e, 2), tp.recent_k_of(e.select(F.col("src").alias("root"), F.col("ts").alias("root_ts")), e, 3), st.mailbox(b, 3), pt.permuted(e.select(F.col("eid").alias("node"), (F.col("src") % 2).alias("part"), F.col("dst").alias("chunk")), F.col("chunk"))]
+    assert [sets(x) for x in got] == wanted
+
+
+def test_hot_nodes_with_ties(spark):
+    e = spark.createDataFrame([(i, i % 10, 100 + i % 3) for i in range(60)], "eid long, src long, dst long")
+    degree = {}
+    for i in range(60):
+        for n in (i % 10, 100 + i % 3):
+            degree[n] = degree.get(n, 0) + 1
+    for ratio in (0.0, 0.1, 0.5, 1.0):
+        want = sorted(degree.items(), key=lambda x: (-x[1], x[0]))[: int(ratio * len(degree))]
+        assert sets(pt.hot_nodes(e, ratio)) == set(want)
+
+
+def test_columns_with_a_value_for_each_row(spark):
+    nodes = spark.createDataFrame([(1, 0), (2, 0)], "node long, part int")
+    one = spark.createDataFrame([(1, 5), (2, 6)], "node long, x long")
+    assert sets(ev.with_values(nodes, one, "node", "x")) == {(1, 0, 5), (2, 0, 6)}
+    for wrong in (one.where("node = 1"), one.union(one)):
+        with pytest.raises(ValueError):
+            ev.with_values(nodes, wrong, "node", "x")
+    with pytest.raises(ValueError):
+        ev.with_values(nodes, one.withColumnRenamed("x", "part"), "node", "part")
+
+
+def test_clusters_grow_where_many_edges_cross(spark):
+    e = spark.createDataFrame([(i, i % 2, i % 13, (i * 7) % 11, 1.0) for i in range(200)], "eid long, slice long, src long, dst long, weight double")
+    got = pt.slice_clusters(e, 2, tries=3)
+    assert got.count() == e.selectExpr("slice", "explode(array(src, dst)) as node").distinct().count()
+    assert got.agg(F.max("cluster")).first()[0] > 1
+    assert pt.slice_clusters(e, 1).agg(F.max("cluster")).first()[0] == 0
+
+
 def test_halo_and_routes(spark):
     parts = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1), (4, 0), (5, 1)], "node long, part int")
     e = spark.createDataFrame([(i, i, i + 1, 1.0) for i in range(5)], "eid long, src long, dst long, weight double")
@@ -148,6 +205,7 @@ def test_chunk_decay_and_order():
     assert pt.chunk_decay([9, 2, 2], 4) == [2, 4]
     assert pt.chunk_decay("all", 3) == [1, 2, 3]
     assert pt.chunk_decay(None, 4) == pt.chunk_decay("none", 4) == []
+    assert pt.chunk_decay(9, 4) == [1, 2, 3, 4] and pt.chunk_decay("half", 0) == pt.chunk_decay("other", 4) == []
     assert pt.chunk_order("none", 4) is None
 
 
@@ -233,6 +291,20 @@ def test_session_lifecycle(spark, tmp_path):
         assert sum(b.count() for b in s.iter_batches("train")) == ev.split_sizes(32)[0]
         assert set(s.run("val").columns) >= {"auc", "ap", "bce"}
         assert s.predict().count() == ev.split_sizes(32)[2]
+        s.config["epochs"] = 3
+        log = s.run_task().orderBy("epoch", "split").collect()
+        assert [(r["epoch"], r["split"]) for r in log] == [(e, x) for e in (1, 2, 3) for x in ("train", "val")]
+        assert log[4]["bce"] <= log[0]["bce"] + 1e-6
+        kept = dict(s.weights)
+        s.save_checkpoint(str(tmp_path / f"cp-{mode}"))
+        s.weights = {"scale": 0.0, "shift": 0.0}
+        s.load_checkpoint(str(tmp_path / f"cp-{mode}"))
+        assert s.weights == kept
+        s.hooks["negatives"] = lambda e, pool: e.select("eid", "src", "dst", F.lit(0).cast("long").alias("neg"))
+        s.hooks["neighbours"] = lambda roots, e: roots.limit(1)
+        assert s.score("val").where("label = 0").count() == ev.split_sizes(32)[1] and s.neighbours("val").count() == 1
+        s.config["max_batches"] = {"train": 2}
+        assert sum(b.count() for b in s.iter_batches("train")) == 8
     with pytest.raises(artifacts.ArtifactError):
         Session.from_config(spark, {"mode": "ctdg", "parts": 2}, None, root).build_runtime()
     with pytest.raises(artifacts.ArtifactError):
@@ -266,6 +338,36 @@ def test_datasets_by_preset(spark, tmp_path):
     assert data.num_nodes == 7 and data.edges.count() > 59 and data.nodes.where("label < 0").count() == 0
 
 
+def test_public_names():
+    import chronoloom
+
+    assert all(getattr(chronoloom, n) is not None for n in chronoloom.__all__)
+    with pytest.raises(AttributeError):
+        chronoloom.no_such_name  # noqa: B018
+
+
+def test_scratch_tables_can_be_discarded(spark):
+    from chronoloom import scratch
+
+    old = scratch.materialise(spark.range(3))
+    new = scratch.materialise(old.withColumn("x", F.lit(1)), replaces=old)
+    assert new.count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FileNotFound|FILE_NOT_EXIST"):
+        spark.read.parquet(old._chronoloom_path).count()
+    assert scratch.discard_tables(spark) >= 2
+
+
+def test_widths_and_labels(spark):
+    from chronoloom.plans import tasks
+
+    rows = spark.createDataFrame([(1, [1.0, 2.0], 3)], "node long, feat array<double>, y int")
+    assert tasks.vector_width(rows) == 2 and tasks.labels_of(rows).first()["label"] == 3.0
+    with pytest.raises(ValueError):
+        tasks.labels_of(rows.drop("y"))
+    with pytest.raises(ValueError):
+        tasks.vector_width(rows.union(spark.createDataFrame([(2, [1.0], 3)], rows.schema)))
+
+
 def test_tasks_by_name(spark):
     from chronoloom.plans import tasks
 
