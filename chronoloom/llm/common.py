@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.scratch import ship_package
+from chronoloom.scratch import materialise, ship_package
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -26,26 +24,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session. Only where that is unset (tests on one machine), a temporary folder."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        current = sc._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(found)
-    return found
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back, which cuts the
-    lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Writes a table to the folder that driver and executors share and reads it back, which
+#: cuts the lineage and survives lost executors.
+stash = materialise
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 512 << 10) -> Iterator[pa.RecordBatch]:

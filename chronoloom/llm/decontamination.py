@@ -32,15 +32,17 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, filled, shared_dir, slices, stash, text_bytes
+from chronoloom.scratch import shared_folder
+
+from .common import bounded_batches, chunks, filled, slices, stash, text_bytes
 from .words import find_sorted, split_words
 
 #: Texts of a benchmark block, in bytes; its windows take about ten times as much.
 BLOCK_BYTES = 4 << 20
 #: Places that are intersected at once in a slice.
 PLACES = 1 << 20
-#: Slices in a file of the stored index.
-FILE_ROWS = 32
+#: Slices in a row group of the stored index, and its bytes.
+GROUP_ROWS, GROUP_BYTES = 32, 16 << 20
 
 INDEX = "slice string, doc_ids array<long>, first array<int>, terms binary, sizes binary, places binary"
 MATCHES = "doc_id long, item_id string, kind string, item_word long, doc_word long, n_words long"
@@ -158,8 +160,9 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", doc_text: str = "text")
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text")).mapInArrow(_invert, INDEX)
-    path = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
-    rows.write.option("maxRecordsPerFile", FILE_ROWS).parquet(path)
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    # a reader holds a row group at once
+    rows.write.option("parquet.block.size", GROUP_BYTES).option("parquet.page.size.row.check.min", 4).option("parquet.block.row.count.limit", GROUP_ROWS).parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
