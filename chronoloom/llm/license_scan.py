@@ -96,17 +96,25 @@ class Index:
             block.order(np.array([count.get(h, 0) for h in block.vocabulary.tolist()], dtype=np.float64))
 
 
-def _candidates(words, index: Index, votes: int):
+def _candidates(words, postings, index: Index, votes: int):
     """(document, template, diagonal) of places with enough agreeing postings."""
-    at, term = find_sorted(index.words, words.hash)
+    at, found = find_sorted(postings.terms, index.words)
     if not len(at):
         return np.zeros((0, 3), np.int64)
-    doc = words.doc[at]
-    lo, n = index.at[term], index.at[term + 1] - index.at[term]
-    post = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    rows = np.stack([np.repeat(doc, n), index.template[post], np.repeat(at, n) - index.place[post]], axis=1)
-    rows, count = np.unique(rows, axis=0, return_counts=True)
-    return rows[count >= votes]
+    # places of the file's indexed words, each with all places that templates have for it
+    n = postings.at[found + 1] - postings.at[found]
+    place = postings.places[np.repeat(postings.at[found], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    word = np.repeat(at, n)
+    k = index.at[word + 1] - index.at[word]
+    post = np.repeat(index.at[word], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+    place = np.repeat(place, k)
+    # one number for each (document, template, diagonal)
+    longest = max(len(t) for t in index.terms)
+    span = len(words.hash) + longest
+    key = (words.doc[place] * len(index.terms) + index.template[post]) * span + place - index.place[post] + longest
+    key, count = np.unique(key, return_counts=True)
+    group, diagonal = np.divmod(key[count >= votes], span)
+    return np.stack([*np.divmod(group, len(index.terms)), diagonal - longest], axis=1)
 
 
 def _scan(broadcast, votes: int, near: int):
@@ -125,7 +133,7 @@ def _scan(broadcast, votes: int, near: int):
             for d, i, p in zip(words.doc[s].tolist(), index.keys.item[w].tolist(), s.tolist(), strict=True):
                 keyed.setdefault((d, i), []).append(p)
             found: dict[int, dict] = {}
-            for d, t, diagonal in _candidates(words, index, votes).tolist():
+            for d, t, diagonal in _candidates(words, postings, index, votes).tolist():
                 wanted = [k for k, x in enumerate(index.key_template) if x == t]
                 if not all(any(abs(p - diagonal - index.key_place[k]) <= near for p in keyed.get((d, k), ())) for k in wanted):
                     continue
