@@ -1,60 +1,47 @@
 """Nearest neighbours by cosine as a block matrix join.
 
-Queries and candidates are dealt into blocks and tiles of bounded size; Spark brings
+Vectors become int8 codes with a scale and the norm of the rounding error; codes alone
+are dealt into blocks of queries and tiles of candidates of bounded size, and Spark brings
 each pair of them together (a stated query set against all rows, in blocks). In a task,
-both sides are int8 with a scale per vector, one product gives all approximate cosines,
-and the norms of the rounding errors bound how far each can be off. Pairs whose upper
-bound is below the k-th best lower bound of their query are discarded; the others are
-computed from the original vectors in double precision, and a heap keeps the k best of
-the tile. The tiles' best are then merged by query, nearest first.
+one product of int8 codes gives all approximate cosines, and the errors bound how far each
+can be off. Pairs whose upper bound is below the k-th best lower bound of their query, in
+the tile and then over all tiles, are discarded. The original vectors of the others, a few
+for each query, are fetched and computed in double precision, and heaps keep the best.
 
 The bounds hold for every pair, so the search is exact: recall is 1.
 
 Defined results: vectors that are null, zero or empty, or hold null or non-finite
 components, take no part, as rows with a null id; a query with fewer than k candidates
-gets them all; rows that repeat an id count once; vectors of another length than the
-query's are no candidates for it; equal scores go by the smaller id; an empty table
-gives no rows; further columns are ignored.
+gets them all; of rows that repeat an id one counts, the shortest, then the one of the
+smallest hash; vectors of another length than the query's are no candidates for it; equal
+scores go by the smaller id; an empty table gives no rows; further columns are ignored;
+very small and very large components are scaled by powers of two, so that nothing
+underflows.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, stash
+
 TILE, BLOCK = 8192, 2048
+#: Vectors that are fetched by a broadcast of their ids at most.
+SMALL_IDS = 1_000_000
+_CODES = "vec_id long, dim int, pick long, code binary, scale double, error double"
 
 
 def usable(vectors: DataFrame, vec_id: str, column: str) -> DataFrame:
+    """(vec_id, v, dim, pick); pick tells rows of one id apart."""
     v = F.col(column)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    return vectors.where(F.col(vec_id).isNotNull() & v.isNotNull() & fine).select(F.col(vec_id).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"), F.size(v).alias("dim"))
-
-
-def _rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ids, each once, and their vectors."""
-    ids = table.column("vec_id").to_numpy()
-    flat = table.column("v").combine_chunks()
-    flat = (pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat).flatten().to_numpy(zero_copy_only=False)
-    x = flat.reshape(len(ids), -1)
-    order = np.lexsort((x[:, 0], ids))
-    order = order[np.r_[True, ids[order][1:] != ids[order][:-1]]]
-    x = np.ascontiguousarray(x[order])
-    norm = _dot(x, x)
-    ok = norm > 0
-    return ids[order][ok], x[ok]
-
-
-def _dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Row by row, summed from the first component to the last."""
-    out = np.zeros(len(x))
-    for i in range(x.shape[1]):
-        out += x[:, i] * y[:, i]
-    return out
+    return vectors.where(F.col(vec_id).isNotNull() & v.isNotNull() & fine).select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"), F.size(v).alias("dim"), F.xxhash64(v).alias("pick"))
 
 
 def _quantised(x: np.ndarray):
@@ -67,47 +54,120 @@ def _quantised(x: np.ndarray):
     return codes, scale, error
 
 
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        dims = batch.column("dim").to_numpy()
+        at = np.r_[0, np.cumsum(dims)]
+        flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        for dim in np.unique(dims):
+            own = np.flatnonzero(dims == dim)
+            codes, scale, error = _quantised(flat[at[own][:, None] + np.arange(dim)[None, :]])
+            data = [c.tobytes() for c in codes]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(own)), pa.array(np.full(len(own), dim, dtype=np.int32)), batch.column("pick").take(pa.array(own)), pa.array(data, pa.binary()), pa.array(scale), pa.array(error)], names=["vec_id", "dim", "pick", "code", "scale", "error"])
+
+
+def _by_dim(table: pa.Table) -> dict[int, tuple]:
+    """(ids, codes, scales, errors) for each length, every id once."""
+    ids, dims, pick = (table.column(c).to_numpy() for c in ("vec_id", "dim", "pick"))
+    order = np.lexsort((pick, dims, ids))
+    order = order[np.r_[True, ids[order][1:] != ids[order][:-1]]]
+    codes = table.column("code").to_pylist()
+    out = {}
+    for dim in np.unique(dims[order]):
+        own = order[dims[order] == dim]
+        code = np.frombuffer(b"".join([codes[i] for i in own]), dtype=np.int8).reshape(len(own), int(dim))
+        out[int(dim)] = (ids[own], code, table.column("scale").to_numpy()[own], table.column("error").to_numpy()[own])
+    return out
+
+
 def _tile(k: int):
+    """The pairs of a block and a tile that can be among a query's k best, with bounds."""
+
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        out = []
-        if queries.num_rows and candidates.num_rows:
-            q_id, q = _rows(queries)
-            c_id, c = _rows(candidates)
-            (qc, qs, qe), (cc, cs, ce) = _quantised(q), _quantised(c)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
+        left, right = (_by_dim(t) if t.num_rows else {} for t in (queries, candidates))
+        for dim in left.keys() & right.keys():
+            (q_id, qc, qs, qe), (c_id, cc, cs, ce) = left[dim], right[dim]
             # products of int8 codes are exact in this type up to the given lengths
-            kind = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64
-            right = cc.astype(kind).T
+            kind = np.float32 if dim * 127 * 127 < 1 << 24 else np.float64
+            columns = cc.astype(kind).T
             for i in range(0, len(q_id), 256):
-                near = (qc[i : i + 256].astype(kind) @ right) * qs[i : i + 256, None] * cs[None, :]
-                off = qe[i : i + 256, None] + (1 + qe[i : i + 256, None]) * ce[None, :] + 1e-6
+                s = slice(i, i + 256)
+                near = (qc[s].astype(kind) @ columns) * qs[s, None] * cs[None, :]
+                off = qe[s, None] + (1 + qe[s, None]) * ce[None, :] + 1e-6
                 low = near - off
-                low[q_id[i : i + 256, None] == c_id[None, :]] = -np.inf
+                other = q_id[s, None] != c_id[None, :]
+                low[~other] = -np.inf
                 top = min(k, low.shape[1])
                 bound = np.partition(low, low.shape[1] - top, axis=1)[:, low.shape[1] - top]
-                left = near + off >= np.maximum(bound, -2.0)[:, None]
-                left &= q_id[i : i + 256, None] != c_id[None, :]
-                a, b = np.nonzero(left)
-                x, y = q[a + i], c[b]
-                score = np.clip(_dot(x, y) / np.sqrt(_dot(x, x) * _dot(y, y)), -1.0, 1.0)
-                at = np.searchsorted(a, np.arange(len(near) + 1))
-                for j in range(len(near)):
-                    s = slice(at[j], at[j + 1])
-                    best = heapq.nsmallest(k, zip((-score[s]).tolist(), c_id[b[s]].tolist(), strict=True))
-                    out += [(int(q_id[i + j]), v, -m) for m, v in best]
-        return pa.table({"query_id": pa.array([x[0] for x in out], pa.int64()), "vec_id": pa.array([x[1] for x in out], pa.int64()), "score": pa.array([x[2] for x in out], pa.float64())})
+                a, b = np.nonzero((near + off >= np.maximum(bound, -2.0)[:, None]) & other)
+                out.append((q_id[a + i], c_id[b], low[a, b], (near + off)[a, b]))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+        return pa.table(dict(zip(("query_id", "vec_id", "low", "high"), columns, strict=True)))
 
     return run
 
 
+def _scaled(v: Column) -> Column:
+    """Vectors of extreme size times a power of two."""
+    top = F.array_max(F.transform(v, F.abs))
+    power = F.pow(F.lit(2.0), F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), -F.floor(F.log2(top)).cast("double"))))
+    return F.when((top < 1e-100) | (top > 1e100), F.transform(v, lambda x: x * power)).otherwise(v)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """In double precision, summed from the first component to the last."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))))
+
+
+def _originals(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The vectors of the ids, in double precision, one for each."""
+    ids = ids.distinct()
+    few = F.broadcast(ids) if ids.count() <= SMALL_IDS else ids
+    held = rows.join(few, "vec_id", "left_semi").groupBy("vec_id").agg(F.min_by("v", F.struct("dim", "pick")).alias("v"))
+    return held.select(F.col("vec_id").alias(name), F.col("v").cast("array<double>").alias(f"{name}_v")).withColumn(f"{name}_v", _scaled(F.col(f"{name}_v")))
+
+
+def _best(k: int):
+    """The k best of each query in a batch, by heaps; what is left is ranked by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heaps: dict[int, list] = {}
+        for batch in batches:
+            for q, c, x in zip(*(batch.column(n).to_pylist() for n in ("query_id", "vec_id", "score")), strict=True):
+                heap = heaps.setdefault(q, [])
+                (heapq.heappush if len(heap) < k else heapq.heappushpop)(heap, (x, -c))
+            if len(heaps) > 10_000:
+                yield _table(heaps)
+                heaps = {}
+        yield _table(heaps)
+
+    return run
+
+
+def _table(heaps: dict[int, list]) -> pa.RecordBatch:
+    rows = [(q, -c, x) for q, heap in heaps.items() for x, c in heap]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["query_id", "vec_id", "score"])
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", column: str = "embedding", tile: int = TILE, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows of ``vectors``."""
+    bounded_batches(vectors.sparkSession)
     rows, asked = usable(vectors, vec_id, column), usable(queries, vec_id, column)
-    tiles, blocks = max(1, -(-rows.count() // tile)), max(1, -(-asked.count() // block))
+    codes, asked_codes = (stash(df.select("vec_id", "v", "dim", "pick").mapInArrow(_encode, _CODES)) for df in (rows, asked))
+    tiles, blocks = max(1, -(-codes.count() // tile)), max(1, -(-asked_codes.count() // block))
     one = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select("*", one(blocks).alias("block"), every(tiles).alias("tile"))
-    right = rows.select("*", one(tiles).alias("tile"), every(blocks).alias("block"))
-    key = ["tile", "block", "dim"]
-    best = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_tile(k), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    left = asked_codes.select("*", one(blocks).alias("block"), every(tiles).alias("tile"))
+    right = codes.select("*", one(tiles).alias("tile"), every(blocks).alias("block"))
+    key = ["tile", "block"]
+    found = stash(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_tile(k), "query_id long, vec_id long, low double, high double"))
+    # the k-th best lower bound of a query over all tiles
+    own = Window.partitionBy("query_id")
+    placed = found.withColumn("n", F.row_number().over(own.orderBy(F.desc("low"), "vec_id"))).withColumn("least", F.max(F.when(F.col("n") == k, F.col("low"))).over(own))
+    left_over = stash(placed.where(F.col("high") >= F.coalesce("least", F.lit(-2.0))).select("query_id", "vec_id"))
+    pairs = left_over.join(_originals(rows, left_over.select("vec_id"), "vec_id"), "vec_id").join(_originals(asked, left_over.select(F.col("query_id").alias("vec_id")), "query_id"), "query_id")
+    scored = pairs.select("query_id", "vec_id", cosine(F.col("query_id_v"), F.col("vec_id_v")).alias("score")).mapInArrow(_best(k), "query_id long, vec_id long, score double")
+    order = own.orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
