@@ -1,7 +1,8 @@
 """SentencePiece BPE encoding and decoding by vectorised merge rounds.
 
-A text is cut where no piece of the model can cross: before white space marks and
-around line feeds. Distinct segments of a batch lie as flat numpy symbol arrays; in
+A text is cut where no piece of the model can cross: before white space marks, around
+line feeds, and between any two characters that stand side by side in no piece, so that
+long unbroken runs are short segments too. Distinct segments of a batch lie as flat numpy symbol arrays; in
 each round every segment finds its best pair (segmented minimum of pair ranks), merges
 its leftmost occurrences at once, and the arrays are compacted, until no pair is left.
 Where a merge makes a pair that ranks before or level with the merged one, or pairs
@@ -68,6 +69,8 @@ class PieceModel:
         self.pair_rank = np.array([x[1] for x in pairs], dtype=np.int64)
         self.pair_id = np.array([x[2] for x in pairs], dtype=np.int64)
         self.none = np.int64(rank.max() + 1)
+        #: two characters that stand side by side in some piece
+        self.inner = np.array(sorted({ord(a) << 32 | ord(b) for p in self.id_of for a, b in zip(p, p[1:], strict=False)}), dtype=np.int64)
         if any(SPACE in p[1:].lstrip(SPACE) for p in self.id_of):
             raise ValueError("pieces that go on after a white space mark are not supported")
         whole = any("\n" in p and len(p) > 1 for p in self.id_of)
@@ -91,7 +94,13 @@ class PieceModel:
         # a symbol that is no piece is -1 - its code point
         first = np.array([self.id_of.get(chr(c), -1 - int(c)) for c in distinct], dtype=np.int64)
         symbol = first[back] if len(points) else np.zeros(0, np.int64)
-        word = np.repeat(np.arange(len(segments)), lengths)
+        owner = np.repeat(np.arange(len(segments)), lengths)
+        word = np.zeros(len(points), dtype=np.int64)
+        if len(points) > 1:
+            key = points[:-1].astype(np.int64) << 32 | points[1:]
+            at = np.minimum(np.searchsorted(self.inner, key), len(self.inner) - 1)
+            word[1:] = np.cumsum((self.inner[at] != key) | (owner[1:] != owner[:-1]))
+        segment_of = owner[np.flatnonzero(np.r_[True, word[1:] != word[:-1]])] if len(points) else owner
         done: list[tuple[np.ndarray, np.ndarray]] = []
         rank, made = self._pair_ranks(symbol, word)
         while len(symbol):
@@ -116,7 +125,7 @@ class PieceModel:
             return [[] for _ in segments]
         words, ids = np.concatenate([x[0] for x in done]), np.concatenate([x[1] for x in done])
         order = np.argsort(words, kind="stable")
-        words, ids = words[order], ids[order]
+        words, ids = segment_of[words[order]], ids[order]
         bounds = np.searchsorted(words, np.arange(len(segments) + 1))
         out = []
         lists = ids.tolist()
