@@ -86,7 +86,38 @@ _ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 _COSINE = "list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"
 
+_PART = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(d, length(d) - i + 1, 1) AS INTEGER) ELSE 2 * CAST(substr(d, length(d) - i + 1, 1) AS INTEGER) - CASE WHEN CAST(substr(d, length(d) - i + 1, 1) AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+
+
+def _found(rows: str, kind: int, pattern: str) -> str:
+    """Matches in order with the text before each."""
+    return f"SELECT doc_id, {kind} AS k, i, ms[i] AS v, length(gs[i]) AS gap FROM (SELECT doc_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM {rows}))"
+
+
+_PLACED = "SELECT doc_id, k, v, (sum(gap + length(v)) OVER (PARTITION BY doc_id, k ORDER BY i) - length(v))::BIGINT AS a, (sum(gap + length(v)) OVER (PARTITION BY doc_id, k ORDER BY i))::BIGINT AS b FROM"
+_BASE = " UNION ALL ".join(_found("d", k, p) for k, p in enumerate([r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "[0-9](?:[ -]?[0-9])+", r"\+[0-9][ ().0-9-]+[0-9]"]))
+
 ORACLES: dict[str, str] = {
+    "op1_pii": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), tot AS (SELECT count(*)::DOUBLE AS n FROM d),
+        al AS ({_PLACED} ({_BASE})), ch AS (SELECT *, {_DIGITS} AS d FROM al),
+        ba AS (SELECT doc_id, k, a, b, CASE WHEN k >= 2 THEN d ELSE lower(v) END AS val FROM ch WHERE k = 0 OR (k = 1 AND regexp_full_match(v, '{_PART}\.{_PART}\.{_PART}\.{_PART}'))
+               OR (k = 2 AND length(d) BETWEEN 14 AND 19 AND {_LUHN}) OR (k = 3 AND length(d) BETWEEN 10 AND 15)),
+        co AS (SELECT DISTINCT doc_id, unnest(range(a, b)) AS p FROM ba),
+        cs AS (SELECT doc_id, unnest(string_split(t, '')) AS c, unnest(range(length(t))) AS p FROM d WHERE doc_id IN (SELECT doc_id FROM ba)),
+        bl AS (SELECT cs.doc_id, string_agg(CASE WHEN co.p IS NULL THEN c ELSE ' ' END, '' ORDER BY cs.p) AS t FROM cs LEFT JOIN co ON co.doc_id = cs.doc_id AND co.p = cs.p GROUP BY cs.doc_id),
+        pl AS (SELECT d.doc_id, coalesce(bl.t, d.t) AS t FROM d LEFT JOIN bl ON bl.doc_id = d.doc_id),
+        ws AS ({_PLACED} ({_found("pl", 4, r"[\p{L}\p{M}\p{N}]+")})), dw AS (SELECT DISTINCT doc_id, lower(v) AS w FROM ws),
+        en AS (SELECT DISTINCT doc_id, k || ':' || val AS e FROM ba), ec AS (SELECT e, count(*) AS ne FROM en, tot GROUP BY e, n HAVING count(*) >= 2 AND count(*) < n),
+        wc AS (SELECT w, count(*) AS nw FROM dw GROUP BY w), bo AS (SELECT e, w, count(*) AS nb FROM en JOIN ec USING (e) JOIN dw USING (doc_id) GROUP BY ALL HAVING count(*) >= 2),
+        di AS (SELECT DISTINCT w FROM bo JOIN ec USING (e) JOIN wc USING (w), tot WHERE log2(nb * n / (ne * nw)) >= log2(n / ne) / 1.25),
+        sp AS (SELECT doc_id, k, a, b FROM ba UNION ALL SELECT doc_id, k, a, b FROM ws WHERE lower(v) IN (SELECT w FROM di)),
+        nm AS (SELECT *, ['email', 'ip', 'card', 'phone', 'term'][k + 1] || ':' || a || ':' || b AS s FROM sp),
+        ag AS (SELECT doc_id, {", ".join(f"count(*) FILTER (k = {i}) AS n_{x}" for i, x in enumerate(["email", "ip", "card", "phone", "term"]))},
+               string_agg(s, ',' ORDER BY a, k, b) FILTER (k < 4) AS base, string_agg(s, ',' ORDER BY a, k, b) AS spans FROM nm GROUP BY doc_id)
+        SELECT d.doc_id, {", ".join(f"coalesce(n_{x}, 0) AS n_{x}" for x in ["email", "ip", "card", "phone", "term"])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN ag ON ag.doc_id = d.doc_id""",
     "op4_ngram_join": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
         sh AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) >= 5 THEN list_slice(ws, i, i + 4) ELSE ws END AS g
