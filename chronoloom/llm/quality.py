@@ -6,12 +6,14 @@ that feature's bins and adds it to the feature's lookup table. The pairs of feat
 with the largest remaining gain get two-dimensional tables in the same way. A score is
 the logistic function of the sum of the looked-up table entries.
 
-The model is fitted on at most ``sample`` labelled rows (labelled.SAMPLE), so fitting
-does not grow with the corpus; all rows are scored in parallel. Labels, language,
+The model is fitted on at most ``sample`` labelled ids (labelled.SAMPLE), one row for
+each, so fitting does not grow with the corpus; all rows are scored in parallel. Labels, language,
 source and ids are no features.
 
 Defined results: null and empty texts have all-zero features and are scored like other
-texts; without usable labels every score is 0.5; repeated rows repeat scores; an empty
+texts; without usable labels every score is 0.5; of rows that repeat a labelled id the
+smallest text is learned from; a feature level with a bin's edge falls into the upper bin;
+repeated rows repeat scores; an empty
 table gives no rows; further columns are ignored.
 """
 
@@ -199,7 +201,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", mod:
     """The model, from at most ``sample`` labelled rows: their features, a few numbers
     each, come to the driver."""
     chosen = training_ids(labels, label, mod, held_out, sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    # one row for each id, so that repeated ids leave the bound as it is
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     known = rows.mapInArrow(_features, "doc_id long, x array<double>").join(F.broadcast(chosen), "doc_id").select("doc_id", "x", "label").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(known["x"].tolist(), dtype=np.float64).reshape(len(known), len(FEATURES))
     return Additive().fit(x, known["label"].to_numpy(np.float64))

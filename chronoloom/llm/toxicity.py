@@ -150,17 +150,17 @@ class Decoder:
         s = _SYMBOL[raw]
         letter, sign, firm = _LETTER[raw], _SIGN[raw], _FIRM_SIGN[raw]
         hit = np.zeros(len(raw), dtype=bool)
-        hit[:-1] |= sign[:-1] & letter[1:]
-        hit[1:] |= firm[1:] & letter[:-1]
+        edge = np.zeros(len(raw) + 1, dtype=bool)
+        edge[offsets] = True
+        same = ~edge[1 : len(raw)]  # this byte and the next are of one text
+        hit[:-1] |= sign[:-1] & letter[1:] & same
+        hit[1:] |= firm[1:] & letter[:-1] & same
         hit[:-2] |= (raw[:-2] == 0xE2) & (raw[1:-1] == 0x82) & (raw[2:] == 0xAC)
-        twice = np.flatnonzero(letter[:-1] & (s[:-1] == s[1:]))
-        twice = twice[~np.isin(twice + 1, offsets)]
+        twice = np.flatnonzero(letter[:-1] & (s[:-1] == s[1:]) & same)
         if len(twice):
             around = np.r_[0, s, 0, 0]
             v, x, w = around[twice], around[twice + 1], around[twice + 3]
-            first = np.isin(twice, offsets[:-1])
-            v = np.where(first, 0, v)
-            w = np.where(np.isin(twice + 2, offsets[1:]), 0, w)
+            v, w = np.where(edge[twice], 0, v), np.where(edge[twice + 2], 0, w)
             m = self.model
             hit[twice] |= (v == x) | (m[v, x, w] - TWICE > m[v, x, x] + m[x, x, w])
         return np.flatnonzero(hit)

@@ -244,6 +244,34 @@ def test_toxicity_held_out(spark, empty):
     assert np.mean([x["predicted"] == x["toxic"] for x in again]) > 0.97
 
 
+def test_toxicity_scores_against_brute_force(spark, given):
+    decoder = decoder_of(spark, given)
+    names = {("word", "idiot"): 5.0, ("word", "und"): 2.5, (4, "stup"): 3.0, (5, "the a"): 9.0, (6, "moroni"): 4.0, ("word", "ü"): 7.0, (4, "mo"): 1.0}
+    def prefix_hash(k, w):
+        raw = np.frombuffer((w + "x").encode(), np.uint8)
+        found = words.split_words(raw, np.array([0, len(raw)]))
+        return words.mix(words.span_hash(found.sums, np.array([0]), np.array([k])) + np.uint64(k))[0]
+
+    usable = {n: v for n, v in names.items() if " " not in n[1] and (n[0] == "word" or len(n[1].encode()) == n[0])}
+    hashes = np.array([words.hash_words([w])[0] if k == "word" else prefix_hash(k, w) for k, w in usable], dtype=np.uint64)
+    order = np.argsort(hashes)
+    model = toxicity.Lexicon(hashes[order], np.array(list(usable.values()))[order])
+    texts = ["An 1d10t is stupid, stupidly STUPID", "the moronic moronic moron und und", "", "ü Ü idiot", "s t u p i d und", "stup stupx"] + [x["text"] or "" for x in given.limit(40).collect()]
+    import pyarrow as pa
+
+    got = model.summary(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]), "text", decoder)
+    for text, row in zip(texts, got, strict=True):
+        every = words_of(text) + decoder.restored(text)
+        best = {}
+        for w in set(every):
+            own = [v for (k, name), v in usable.items() if (w == name if k == "word" else len(w.encode()) > k and w.encode()[:k] == name.encode())]
+            if own:
+                best[w] = max(own)
+        total = sum(best.values())
+        want = [min(total, 60), max(best.values(), default=0), np.log1p(len(best)), np.log1p(100 * total / max(len(every), 20)), np.log1p(len(every))]
+        assert row == pytest.approx(want)
+
+
 @pytest.mark.parametrize("form", ["z0rgl3", "zorgg-le", "z o r g l e", "zzorrglee", "zo-rg-le"])
 def test_restored_words_decide(spark, form):
     """Held-out rows write their toxic word over; what they are found by is the decoder."""
@@ -413,6 +441,54 @@ def test_quality_held_out(spark, data, empty):
     assert quality.score_quality(empty, labels).count() == 0
 
 
+def features_of(text):
+    raw = (text or "").encode()
+    words_, size = re.findall(rb"[^\x20\x09-\x0d]+", raw), max(1, len(raw))
+    some = max(1, len(words_))
+    lines = re.findall(rb"[^\n]+", raw)
+    low = lambda x: bytes(b + 32 if 65 <= b <= 90 else b for b in x)
+    among = lambda ok: sum(ok(b) for b in raw)
+    upper, lower = among(lambda b: 65 <= b <= 90), among(lambda b: 97 <= b <= 122)
+    n_lines = max(1, len(lines))
+    return [
+        np.log1p(len(words_)), sum(map(len, words_)) / some, upper / max(1, upper + lower), among(lambda b: 48 <= b <= 57) / size, raw.count(b"!") / some,
+        among(lambda b: chr(b) in "#$%&*+<=>?@[\\]^_`{|}~") / size, among(lambda b: 9 <= b <= 13 or b == 32) / size, len(words_) / n_lines, among(lambda b: b > 127) / size, len({low(w) for w in words_}) / some,
+        sum(low(a) == low(b) for a, b in zip(words_, words_[1:], strict=False)) / some, sum(len(w) <= 2 for w in words_) / some, sum(len(w) >= 14 for w in words_) / some, raw.count(b"|") / some, raw.count(b".") / some, len({low(x) for x in lines}) / n_lines, raw.count(b",") / some,
+        sum(len(w) > 2 and any(65 <= b <= 90 for b in w[-2:]) for w in words_) / some,
+    ]
+
+
+def test_quality_scores_against_brute_force(spark, given, data):
+    labels = read_table(spark, data, "labels")
+    texts = [x["text"] for x in given.limit(60).collect()] + [t for t in ODD if t is not LONG] + ["A B\n\nb a| x!, ABC aBC abC", "tie tie tie"]
+    df = docs(spark, texts, score="double", label="int")
+    joined = given.join(labels, "doc_id")
+    model = quality.fit_quality(given.select("doc_id", "text"), labels)
+    assert joined.count() > 50
+    got = {x["doc_id"]: x["score"] for x in quality.score_quality(given, labels).collect()}
+    for x in given.collect():
+        f = features_of(x["text"])
+        margin = model.base
+        for k, table in enumerate(model.tables):
+            margin += table[sum(f[k] >= e for e in model.edges[k])]
+        rough = [sum(f[k] >= e for e in model.coarse_edges[k]) for k in range(len(f))]
+        for (i, j), table in zip(model.pairs, model.pair_tables, strict=True):
+            margin += table[rough[i], rough[j]]
+        assert got[x["doc_id"]] == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-9)
+    data_ = [(t or "").encode() for t in texts]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in data_])]).astype(np.int64)
+    own = quality.text_features(np.frombuffer(b"".join(data_), np.uint8), at)
+    assert own == pytest.approx(np.array([features_of(t) for t in texts]))
+    assert len({x["score"] for x in quality.score_quality(df, labels.withColumn("score", F.lit(9))).collect()}) > 1
+
+
+def test_repeated_labels_and_ids_of_quality(spark, given, data):
+    labels = read_table(spark, data, "labels")
+    once = {(x["doc_id"], x["score"]) for x in quality.score_quality(given, labels).collect()}
+    again = quality.score_quality(given.union(given), labels.union(labels)).collect()
+    assert {(x["doc_id"], x["score"]) for x in again} == once and len(again) == 2 * len(once)
+
+
 def test_additive_model_learns_an_interaction():
     r = np.random.default_rng(0)
     x = r.uniform(-1, 1, (4000, 3))
@@ -556,6 +632,10 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
     few = df.where("vec_id in (0, 1, 2)")
     assert neighbours.nearest(few, few.where("vec_id = 0")).count() == 2
+    # tiny and huge vectors, an id that repeats with another length
+    odd = spark.createDataFrame([(0, [1e-200, 2e-200]), (1, [3e-200, 6e-200]), (2, [1e200, -1e200]), (3, [2.0, 4.0]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = {(x["vec_id"], round(x["score"], 9)) for x in neighbours.nearest(odd, odd.where("vec_id = 0")).collect()}
+    assert got == {(1, 1.0), (3, 1.0), (2, round(-1 / np.sqrt(10), 9))}
 
 
 # 9
@@ -645,6 +725,20 @@ def test_encoding_equals_the_library(spark, given, empty):
     assert [x["token_ids"] for x in own] == [library.encode("a b"), []]
 
 
+def test_long_unbroken_runs():
+    import sentencepiece
+
+    path = tokenizer_path()
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = sentencepiece_codec.codec(path).model
+    r = random.Random(9)
+    base64 = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(80_000))
+    for text in (base64, "the" * 20_000, "".join(r.choice("etaoin") for _ in range(20_000)), "-=" * 30_000):
+        start = time.perf_counter()
+        assert model.encode_segments([sentencepiece_codec.SPACE + text])[0] == library.encode(text)
+        assert text is not base64 or time.perf_counter() - start < 1.0
+
+
 def test_decoding_of_any_ids():
     import sentencepiece
 
