@@ -4,27 +4,33 @@ Rows of the incidence matrix are documents, columns are n-grams (64-bit hashes).
 sets form one row. Columns have a global order: first those that are not known to be
 frequent, by hash, then the frequent ones from the rarest. Two sets with Jaccard
 similarity t or more share k columns among the first ``n - ceil(t n) + k`` of either, so
-only these entries are multiplied: Spark deals the column blocks by hash, the product
-of a block's column gives pairs, and overlap counts are accumulated over all blocks.
-Documents with fewer entries in common columns than their size asks for are taken out
-first. Pairs whose sizes or overlap counts are below the bounds that follow from their
-sizes are discarded; the others are counted over their whole sets.
+only these entries are multiplied: Spark deals the column blocks by hash. Documents with
+fewer entries in common columns than their size asks for are taken out first.
 
 A column with m rows is not expanded into all m * m pairs. First each row of a column is
-paired with the column's smallest row; components of the links found that way are
-formed. Rows that have too few columns in common with anything are no one's partner and
-go. Columns that still join different components are then multiplied: narrow ones (NARROW
-rows at most) pair by pair across components, wide ones by families, whose rows are
-multiplied in tiles of bounded size, component against component; a tile returns no more
+paired with the column's smallest row; pairs that pass the size-derived bounds are counted
+over their whole sets, and components of the links found that way are formed. Columns
+that still join different components are then multiplied. Narrow ones (NARROW rows at
+most) give pairs across components, whose overlap counts are accumulated over all narrow
+columns; with the columns that may be common beyond these, a count below the bound that
+follows from the two sizes discards the pair, and the others are counted over their whole
+sets. Wide ones are multiplied in tiles: rows are dealt by size, only tiles that share a
+wide column and whose sizes are close enough to link meet, and a tile returns no more
 links than it has rows. No link between two different components is lost, whatever m is.
 
-The list of frequent columns only steers the order, so its bound costs no exactness.
+Columns of very many rows are known from the count of frequent ones. They are dealt to
+many tasks by their documents; what is needed of all their rows is aggregated before the
+shuffle and joined back as a small table.
+
+The list of frequent columns only steers the order and this split, so its bound costs no
+exactness.
 
 Defined results: null or empty texts and texts without words have an empty set, no
 links and themselves as component; with fewer than n words the whole sequence is the
 only n-gram. Rows with equal texts are one class. Rows with a null id get a null
-component. Rows that repeat an id are one document in links. An empty table gives no
-rows. Columns other than id and text are ignored.
+component. Rows that repeat an id are one document in links. Of several ways to the same
+component the smallest id names it. An empty table gives no rows. Columns other than id
+and text are ignored.
 """
 
 from __future__ import annotations
@@ -51,6 +57,9 @@ SPARE = 16
 NARROW = 64
 #: Rows of a block, and columns that are multiplied at once.
 TILE, COLUMNS = 256, 4096
+#: A column of one in so many n-grams of the corpus, and of so many rows at least, is hot;
+#: there are no more of them than that. Hot ones are dealt to so many tasks.
+HOT, LEAST_HOT, SALTS = 20_000, 1000, 256
 #: How often documents with too few common entries are taken out.
 CORE_ROUNDS = 2
 _SETS = "doc_id long, n int, s1 long, s2 long, prefix array<long>"
@@ -165,13 +174,31 @@ def keep_ids(rows: DataFrame, key: str, ids: DataFrame, how: str = "left_semi")
     return rows.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, key, how)
 
 
-def _columns(entries: DataFrame) -> DataFrame:
-    """The entries of columns with more than one row."""
-    return entries.withColumn("m", F.count("*").over(Window.partitionBy("gram"))).where("m > 1").drop("m")
+def _window(hot: list[int]):
+    """Columns as groups; a hot one is dealt into many by its documents."""
+    salt = F.when(F.col("gram").isin(hot), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")) if hot else F.lit(None).cast("int")
+    return Window.partitionBy("gram", salt)
+
+
+def _columns(entries: DataFrame, hot: list[int]) -> DataFrame:
+    """The entries of columns with more than one row, and those of all hot ones."""
+    return entries.withColumn("m", F.count("*").over(_window(hot))).where((F.col("m") > 1) | F.col("gram").isin(hot)).drop("m")
+
+
+def _of_columns(entries: DataFrame, hot: list[int], **values) -> DataFrame:
+    """Entries with aggregates of their column: by a window where columns are of bounded
+    size; those of hot ones are partial sums, joined as a small table."""
+    inside = entries.select("*", *[v.over(_window(hot)).alias(k) for k, v in values.items()])
+    if not hot:
+        return inside
+    totals = entries.where(F.col("gram").isin(hot)).groupBy("gram").agg(*[v.alias(f"all_{k}") for k, v in values.items()])
+    joined = inside.join(F.broadcast(totals), "gram", "left")  # HOT rows at most
+    return joined.select(*entries.columns, *[F.coalesce(f"all_{k}", k).alias(k) for k in values])
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose whole sets are similar enough."""
+    whole = keep_ids(whole, "doc", pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
     one, two = (whole.select(F.col("doc").alias(x), F.col("grams").alias(f"{x}_grams")) for x in "ab")
     shared = F.size(F.array_intersect("a_grams", "b_grams"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", shared.alias("shared"), F.size("a_grams").alias("na"), F.size("b_grams").alias("nb")).where(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b")
@@ -226,18 +253,25 @@ def _product(percent: int):
     return run
 
 
-def _products(rows: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """Links between rows of different components of a family, as tiles of TILE by TILE
-    rows. The largest component of a family is not multiplied with itself."""
-    largest = rows.groupBy("family", "component").agg(F.count("*").alias("k")).groupBy("family").agg(F.max_by("component", "k").alias("core"), F.max("k").alias("k_core"), F.sum("k").alias("k_all"))
-    blocks = lambda k: F.greatest(F.lit(1), F.ceil(k / TILE)).cast("int")
-    sized = rows.join(largest, "family").withColumn("is_core", F.col("component") == F.col("core")).withColumn("n_core", blocks(F.col("k_core"))).withColumn("n_rest", blocks(F.col("k_all") - F.col("k_core")))
-    own = F.pmod(F.xxhash64("doc"), F.when(F.col("is_core"), F.col("n_core")).otherwise(F.col("n_rest"))).cast("int")
-    # blocks of the rest are 0 .. n_rest - 1, those of the core follow
-    placed = sized.withColumn("own", own + F.when(F.col("is_core"), F.col("n_rest")).otherwise(0))
-    last = F.when(F.col("is_core"), F.col("n_rest")).otherwise(F.col("n_rest") + F.col("n_core"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), last - 1)))
-    keyed = dealt.select("family", "doc", "component", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("same"))
+def _products(wide: DataFrame, rows: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Links between rows (doc, size, family, component) of different components of a
+    family, as tiles of about TILE by TILE rows. A tile holds sizes of one class; classes
+    are so wide that linked sizes lie in the same or in neighbouring ones. The largest
+    component of a family is not multiplied with itself."""
+    largest = rows.groupBy("family", "component").agg(F.count("*").alias("k")).groupBy("family").agg(F.max_by("component", F.struct("k", "component")).alias("core"))
+    classed = rows.join(largest, "family").select("doc", "family", "component", (F.col("component") == F.col("core")).cast("int").alias("core"), F.floor(F.log(F.col("size") * 1.0) / F.lit(np.log(100 / percent)) + 1e-9).cast("int").alias("level"))
+    group = ["family", "core", "level"]
+    counts = classed.groupBy(*group).agg(F.ceil(F.count("*") / TILE).cast("int").alias("n"))
+    sub = F.pmod(F.xxhash64("doc"), F.col("n")).cast("int")
+    placed = stash(classed.join(counts, group).select("doc", "family", "component", F.struct("core", "level", sub.alias("sub")).alias("tile")))
+    # tiles that share a column; a row for each tile and column, not for each document
+    shared = stash(wide.select("doc", "gram").join(placed, "doc").select("family", "gram", "tile").distinct())
+    x, y = shared.alias("x"), shared.alias("y")
+    near = "x.family = y.family and x.gram = y.gram and x.tile <= y.tile and abs(x.tile.level - y.tile.level) <= 1 and x.tile.core + y.tile.core < 2"
+    meet = stash(x.join(y, F.expr(near)).select("x.family", F.col("x.tile").alias("t1"), F.col("y.tile").alias("t2")).distinct())
+    one = meet.join(placed.withColumnRenamed("tile", "t1"), ["family", "t1"]).withColumn("side", F.lit(0))
+    two = meet.where("t1 != t2").join(placed.withColumnRenamed("tile", "t2"), ["family", "t2"]).withColumn("side", F.lit(1))
+    keyed = one.unionByName(two).select("family", "doc", "component", "t1", "t2", "side", (F.col("t1") == F.col("t2")).alias("same"))
     return keyed.join(whole, "doc").groupBy("family", "t1", "t2").applyInArrow(_product(percent), "a long, b long")
 
 
@@ -253,59 +287,64 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 75, frequent_i
     rank = (len(table) - np.arange(len(table)))[order]  # the most frequent column is last of all
     frequent = spark.sparkContext.broadcast((table[order], rank))
     sets = stash(texts.mapInArrow(_sets(n, percent, frequent), _SETS))
+    whole_sum = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = top["gram"][top["n"] >= max(LEAST_HOT, whole_sum / HOT)].tolist()
 
     keyed = sets.select("doc_id", "n", "s1", "s2")
     class_key = ["n", "s1", "s2"]
     reps = stash(keyed.where("n > 0 and doc_id is not null").groupBy(*class_key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     # classes with a thousandth of all rows each: a thousand at most, which need no shuffle
-    hot = F.col("copies") >= max(100, sets.count() / 1000)
-    large = F.broadcast(reps.where(hot).drop("copies"))
+    large_class = F.col("copies") >= max(100, sets.count() / 1000)
+    large = F.broadcast(reps.where(large_class).drop("copies"))
     in_large = keyed.join(large, class_key)
-    others = keyed.join(large, class_key, "left_anti").join(reps.where(~hot).drop("copies"), class_key, "left")
+    others = keyed.join(large, class_key, "left_anti").join(reps.where(~large_class).drop("copies"), class_key, "left")
     members = stash(in_large.unionByName(others).select("doc_id", "n", "rep"))
     copies = members.where("doc_id != rep").select("doc_id")
     rows = keep_ids(sets.where("n > 0 and doc_id is not null"), "doc_id", copies, "left_anti")
 
     # the entries of the product: one row for each document and column
     sizes = rows.select(F.col("doc_id").alias("doc"), F.col("n").alias("size"))
-    shared = _columns(rows.select(F.col("doc_id").alias("doc"), F.explode("prefix").alias("gram")))
+    shared = stash(_columns(rows.select(F.col("doc_id").alias("doc"), F.explode("prefix").alias("gram")), hot))
+    # a linked document has that many entries in common with one other document
+    few = F.expr(f"1 + ({percent} * size + 99) div 100 div {SPARE}")
     for _ in range(CORE_ROUNDS):
-        shared = stash(shared)
-        # a linked document has that many entries in common with one other document
-        few = F.expr(f"1 + ({percent} * size + 99) div 100 div {SPARE}")
         rich = shared.groupBy("doc").agg(F.count("*").alias("m")).join(sizes, "doc").where(F.col("m") >= few).select("doc", "size")
-        shared = _columns(shared.join(rich, "doc", "left_semi"))
-    shared = stash(shared)
+        shared = stash(_columns(shared.join(rich, "doc", "left_semi"), hot), replaces=shared)
     whole = stash(keep_ids(texts, "doc_id", shared.select(F.col("doc").alias("doc_id")).distinct()).mapInArrow(_whole_sets(n), "doc long, grams array<long>"))
 
     # what a row can have in common with another one: its columns that others have too
-    common = _columns(whole.select("doc", F.explode("grams").alias("gram"))).groupBy("doc").agg(F.count("*").alias("most"))
-    alive = stash(common.join(sizes, "doc").where(f"100 * most >= {percent} * size"))
-    shared = stash(_columns(shared.join(alive, "doc")))
-    column = Window.partitionBy("gram")
+    most = _columns(whole.select("doc", F.explode("grams").alias("gram")), hot).groupBy("doc").agg(F.count("*").alias("most"))
+    alive = stash(most.join(sizes, "doc").where(f"100 * most >= {percent} * size"))
+    shared = stash(_columns(shared.join(alive, "doc"), hot), replaces=shared)
     enough = f"{100 + percent} * least(x.most, y.most) >= {percent} * (x.size + y.size)"
-    pairs = shared.withColumn("x", F.min(F.struct("doc", "size", "most")).over(column)).withColumn("y", F.struct("doc", "size", "most"))
+    pairs = _of_columns(shared, hot, x=F.min(F.struct("doc", "size", "most"))).withColumn("y", F.struct("doc", "size", "most"))
     stars = stash(pairs.where(f"x.doc != y.doc and {enough}").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct())
     links = stash(_verified(stars, whole, percent))
     found = stash(components(links))
 
     # columns that still join different components
     placed = shared.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    open_ = placed.withColumn("lo", F.min("component").over(column)).withColumn("hi", F.max("component").over(column)).withColumn("m", F.count("*").over(column))
-    open_ = stash(open_.where("lo != hi").drop("lo", "hi"))
-    narrow = open_.where(F.col("m") <= NARROW)
+    open_ = _of_columns(placed, hot, lo=F.min("component"), hi=F.max("component"), m=F.count("*"), first=F.min("doc"))
+    open_ = stash(open_.where("lo != hi").drop("lo", "hi"), replaces=shared)
+    wide = open_.where(F.col("m") > NARROW)
+    beyond = wide.groupBy("doc").agg(F.count("*").alias("beyond"))
+    narrow = open_.where(F.col("m") <= NARROW).join(beyond, "doc", "left").withColumn("beyond", F.coalesce("beyond", F.lit(0)))
+    # entries that are not in the product
+    rest = F.greatest(F.lit(0), F.expr(f"({percent} * size + 99) div 100 - 1 - size div {SPARE}"))
+    narrow = narrow.select("gram", "doc", "component", "size", "most", "beyond", rest.alias("rest"))
     fits = f"100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size)"
-    few = narrow.alias("x").join(narrow.alias("y"), F.expr(f"x.gram = y.gram and x.doc < y.doc and x.component != y.component and {fits} and {enough}"))
-    pairs = few.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    both = narrow.alias("x").join(narrow.alias("y"), F.expr(f"x.gram = y.gram and x.doc < y.doc and x.component != y.component and {fits} and {enough}"))
+    bound = F.expr(f"({percent} * (x.size + y.size) + {99 + percent}) div {100 + percent} - least(x.beyond, y.beyond) - greatest(x.rest, y.rest)")
+    counted = both.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), bound.alias("least")).groupBy("a", "b").agg(F.count("*").alias("overlap"), F.first("least").alias("least"))
+    pairs = stash(counted.where("overlap >= least").select("a", "b").join(stars, ["a", "b"], "left_anti"))
     links = stash(links.union(_verified(pairs, whole, percent)))
-    wide = open_.where(F.col("m") > NARROW)
     if not wide.isEmpty():
         # families of rows that wide columns join, with the components that are known by now
-        families = components(wide.withColumn("a", F.min("doc").over(column)).select("a", F.col("doc").alias("b")))
+        families = components(wide.select(F.col("first").alias("a"), F.col("doc").alias("b")))
         known = components(links).select(F.col("node").alias("doc"), "component")
-        rows = wide.select("doc").distinct().join(families.select(F.col("node").alias("doc"), F.col("component").alias("family")), "doc").join(known, "doc", "left")
-        rows = stash(rows.select("doc", "family", F.coalesce("component", "doc").alias("component")))
-        links = links.union(_products(rows, whole, percent))
+        rows = wide.select("doc", "size").distinct().join(families.select(F.col("node").alias("doc"), F.col("component").alias("family")), "doc").join(known, "doc", "left")
+        rows = stash(rows.select("doc", "size", "family", F.coalesce("component", "doc").alias("component")))
+        links = links.union(_products(wide, rows, whole, percent))
     final = components(links)
     return (
         members.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
