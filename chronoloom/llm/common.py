@@ -13,13 +13,14 @@ from chronoloom.scratch import materialise, ship_package
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches hold whole texts: fewer rows to a batch bound a worker's memory."""
+    """Before any operator that runs Python on workers: they find this package, and Arrow
+    batches, which hold whole texts, have fewer rows, which bounds a worker's memory."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship_package(spark)
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -99,7 +99,44 @@ def _found(rows: str, kind: int, pattern: str) -> str:
 _PLACED = "SELECT doc_id, k, v, (sum(gap + length(v)) OVER (PARTITION BY doc_id, k ORDER BY i) - length(v))::BIGINT AS a, (sum(gap + length(v)) OVER (PARTITION BY doc_id, k ORDER BY i))::BIGINT AS b FROM"
 _BASE = " UNION ALL ".join(_found("d", k, p) for k, p in enumerate([r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "[0-9](?:[ -]?[0-9])+", r"\+[0-9][ ().0-9-]+[0-9]"]))
 
+
+
+def _values(rows: list[tuple]) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows) + ")"
+
+
+def _license_sql() -> str:
+    """Votes of rare template words by diagonal, key phrases near their places, shares."""
+    notices = [license_scan.words_of(x[1]) for x in license_scan.TEMPLATES]
+    terms = [(t, j, w) for t, own in enumerate(notices) for j, w in enumerate(own)]
+    sizes = [(t, x[0], len(own), max(4, round(0.5 * len(set(own))))) for t, (x, own) in enumerate(zip(license_scan.TEMPLATES, notices, strict=True))]
+    phrases = [(t, license_scan.words_of(k)) for t, x in enumerate(license_scan.TEMPLATES) for k in x[2]]
+    keys = [(k, t, next(j for j in range(len(notices[t])) if notices[t][j : j + len(p)] == p), len(p), " ".join(p)) for k, (t, p) in enumerate(phrases)]
+    base = [(label, len(p.split()), p) for label, p in license_scan.BASE]
+    lengths = ", ".join(str(n) for n in sorted({k[3] for k in keys} | {b[1] for b in base}))
+    return f"""
+        WITH d AS (SELECT doc_id, {_ALNUM} AS ws FROM documents), tk AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM d),
+        te AS (SELECT * FROM {_values(terms)} v(t, j, w)), si AS (SELECT * FROM {_values(sizes)} v(t, label, n, rare)), ke AS (SELECT * FROM {_values(keys)} v(k, t, j, n, phrase)), bp AS (SELECT * FROM {_values(base)} v(label, n, phrase)),
+        tc AS (SELECT w, count(*) AS c FROM tk WHERE w IN (SELECT w FROM te) GROUP BY w),
+        rk AS (SELECT t, w, row_number() OVER (PARTITION BY t ORDER BY coalesce(c, 0) = 0, c, w) AS r FROM (SELECT DISTINCT t, w FROM te) LEFT JOIN tc USING (w)),
+        po AS (SELECT te.t, te.j, te.w FROM te JOIN rk ON rk.t = te.t AND rk.w = te.w JOIN si ON si.t = te.t WHERE r <= rare),
+        vo AS (SELECT doc_id, t, p - j AS g FROM tk JOIN po USING (w) GROUP BY doc_id, t, g HAVING count(*) >= 2),
+        gr AS (SELECT doc_id, i AS p, n, array_to_string(list_slice(ws, i + 1, i + n), ' ') AS phrase FROM (SELECT doc_id, ws, n, unnest(range(len(ws) - n + 1)) AS i FROM d, (SELECT unnest([{lengths}]) AS n) WHERE len(ws) >= n)),
+        kp AS (SELECT k, t, j, doc_id, p FROM gr JOIN ke USING (n, phrase)), kn AS (SELECT t, count(*) AS n FROM ke GROUP BY t),
+        fo AS (SELECT vo.doc_id, vo.t, g FROM vo JOIN kp ON kp.doc_id = vo.doc_id AND kp.t = vo.t AND abs(p - g - kp.j) <= 10 GROUP BY vo.doc_id, vo.t, g HAVING count(DISTINCT k) = (SELECT n FROM kn WHERE kn.t = vo.t)),
+        sh AS (SELECT fo.doc_id, label, count(tk.w) / si.n::DOUBLE AS share FROM fo JOIN si USING (t) JOIN te ON te.t = fo.t LEFT JOIN tk ON tk.doc_id = fo.doc_id AND tk.p = g + te.j AND tk.w = te.w GROUP BY fo.doc_id, fo.t, g, label, si.n),
+        fl AS (SELECT doc_id, label, max(share) AS share FROM sh GROUP BY ALL), ba AS (SELECT doc_id, label, p FROM gr JOIN bp USING (n, phrase)),
+        bs AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word FROM ba GROUP BY doc_id),
+        bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM ba) GROUP BY doc_id),
+        ll AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM ba UNION SELECT doc_id, label FROM fl) GROUP BY doc_id),
+        fs AS (SELECT doc_id, max(share) AS share, count(*) AS n_templates FROM fl GROUP BY doc_id)
+        SELECT d.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+               greatest(coalesce(share, 0.0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score, coalesce(n_templates, 0) AS n_templates
+        FROM d LEFT JOIN bs ON bs.doc_id = d.doc_id LEFT JOIN bl ON bl.doc_id = d.doc_id LEFT JOIN ll ON ll.doc_id = d.doc_id LEFT JOIN fs ON fs.doc_id = d.doc_id"""
+
+
 ORACLES: dict[str, str] = {
+    "op7_licenses": _license_sql(),
     "op1_pii": rf"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), tot AS (SELECT count(*)::DOUBLE AS n FROM d),
         al AS ({_PLACED} ({_BASE})), ch AS (SELECT *, {_DIGITS} AS d FROM al),

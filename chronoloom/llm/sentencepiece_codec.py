@@ -302,6 +302,9 @@ def token_ids(docs: DataFrame, model_path: str, doc_text: str = "text", name: st
     """All columns of ``docs`` and the ids as the column ``name``."""
     from pyspark.sql import types as T
 
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name} already")
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(doc_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

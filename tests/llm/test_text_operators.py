@@ -406,8 +406,9 @@ def near_copies(seed, n_base=12, copies=14):
     return out
 
 
-@pytest.mark.parametrize("tile, narrow", [(256, 64), (4, 3)])
-def test_ngram_join(spark, tile, narrow, monkeypatch):
+@pytest.mark.parametrize("tile, narrow, hot", [(256, 64, 1000), (4, 3, 1000), (5, 4, 8)])
+def test_ngram_join(spark, tile, narrow, hot, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LEAST_HOT", hot)
     monkeypatch.setattr(ngram_join, "TILE", tile)
     monkeypatch.setattr(ngram_join, "NARROW", narrow)
     texts = near_copies(tile) + ODD
@@ -723,6 +724,8 @@ def test_encoding_equals_the_library(spark, given, empty):
     assert sentencepiece_codec.encode_documents(empty, path).count() == 0
     own = sentencepiece_codec.token_ids(docs(spark, ["a b", None]), path).orderBy("doc_id").collect()
     assert [x["token_ids"] for x in own] == [library.encode("a b"), []]
+    with pytest.raises(ValueError):
+        sentencepiece_codec.token_ids(docs(spark, ["a"], token_ids="int"), path)
 
 
 def test_long_unbroken_runs():
