@@ -283,6 +283,11 @@ def truncated(block: DataFrame, end: int) -> DataFrame:
     return block.where((F.col("src_local") < end) & (F.col("dst_local") < end))
 
 
+def adjacency(edges: DataFrame) -> DataFrame:
+    """(node, i, nbr, eid): each node's out-edges, numbered by target and event."""
+    return running_in(edges.select(F.col("src").alias("node"), F.col("dst").alias("nbr"), "eid"), "node", ["nbr", "eid"], "i")
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among the nodes."""
     return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")

@@ -7,7 +7,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.operators.events import with_row_number
+from chronoloom.operators.events import running_in, with_row_number
 
 
 def pool(edges: DataFrame) -> DataFrame:
@@ -82,6 +82,19 @@ def chunk_nodes(chunked: DataFrame) -> DataFrame:
     return ends.select("slice", "e.*").distinct()
 
 
+def prepared(chunked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(slice, cluster, eid, src_local, dst_local, neg_local): edges inside a chunk with
+    node numbers of their own, and the negative where it lies in the chunk too. pairs:
+    (eid, neg)."""
+    inner = chunked.where("src_cluster = dst_cluster").select("slice", "cluster", "eid", "src", "dst")
+    nodes = inner.select("slice", "cluster", F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("_key", F.struct("slice", "cluster"))
+    local = running_in(nodes, "_key", ["node"], "local").select("slice", "cluster", "node", "local")
+    out = inner.join(pairs.select("eid", "neg"), "eid", "left")
+    for end, how in (("src", "inner"), ("dst", "inner"), ("neg", "left")):
+        out = out.join(local.select("slice", "cluster", F.col("node").alias(end), F.col("local").alias(f"{end}_local")), ["slice", "cluster", end], how)
+    return out.select("slice", "cluster", "eid", "src_local", "dst_local", "neg_local")
+
+
 def completed(needed: DataFrame, features: DataFrame, width: int) -> DataFrame:
     """The needed nodes with their features, zeros where there are none."""
     return needed.join(features, "node", "left").withColumn("feat", F.coalesce("feat", F.array_repeat(F.lit(0.0), width)))

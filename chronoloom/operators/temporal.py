@@ -59,16 +59,46 @@ def recent_k(edges: DataFrame, k: int, strict: bool = True) -> DataFrame:
     return wanted.join(rows, ["root", "rn"]).select("root_eid", "root", "nbr_eid", "nbr", (F.col("root_ts") - F.col("nbr_ts")).alias("dt"), (F.col("before") - F.col("rn")).alias("rank"))
 
 
-def recent_k_of(roots: DataFrame, edges: DataFrame, k: int) -> DataFrame:
-    """(root, root_ts, nbr_eid, nbr, dt, rank): the k latest events of ``src = root``
-    strictly before any root's time. Roots and events are numbered together; the number
-    of events before a root is known there."""
+def _with_roots(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """Roots and events numbered together: n is the number of events of the root before."""
     tagged = edges.select(F.col("src").alias("root"), "ts", F.lit(1).alias("is_edge"), "eid", F.col("dst").alias("nbr")).unionByName(roots.select("root", F.col("root_ts").alias("ts"), F.lit(0).alias("is_edge")).distinct(), allowMissingColumns=True)
     # at equal times roots come first, so equal times are not before them
-    ranked = running_in(tagged, "root", ["ts", "is_edge", "eid"], "n", value=F.col("is_edge").cast("long"))
-    wanted = ranked.where("is_edge = 0 and n > 0").select("root", F.col("ts").alias("root_ts"), F.col("n").alias("before"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("n") - k), F.col("n") - 1)).alias("n"))
+    return running_in(tagged, "root", ["ts", "is_edge", "eid"], "n", value=F.col("is_edge").cast("long"))
+
+
+def _fetched(wanted: DataFrame, ranked: DataFrame) -> DataFrame:
     rows = ranked.where("is_edge = 1").select("root", "n", F.col("eid").alias("nbr_eid"), "nbr", F.col("ts").alias("nbr_ts"))
-    return wanted.join(rows, ["root", "n"]).select("root", "root_ts", "nbr_eid", "nbr", (F.col("root_ts") - F.col("nbr_ts")).alias("dt"), (F.col("before") - F.col("n")).alias("rank"))
+    return wanted.join(rows, ["root", "n"]).withColumn("dt", F.col("root_ts") - F.col("nbr_ts"))
+
+
+def recent_k_of(roots: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """(root, root_ts, nbr_eid, nbr, dt, rank): the k latest events of ``src = root``
+    strictly before any root's time."""
+    ranked = _with_roots(roots, edges)
+    wanted = ranked.where("is_edge = 0 and n > 0").select("root", F.col("ts").alias("root_ts"), F.col("n").alias("before"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("n") - k), F.col("n") - 1)).alias("n"))
+    return _fetched(wanted, ranked).select("root", "root_ts", "nbr_eid", "nbr", "dt", (F.col("before") - F.col("n")).alias("rank"))
+
+
+def uniform_k_of(roots: DataFrame, edges: DataFrame, k: int, seed: int = 7) -> DataFrame:
+    """(root, root_ts, nbr_eid, nbr, dt, rank): k draws with replacement from the events
+    before any root's time, by an arithmetic hash of root, time and draw."""
+    ranked = _with_roots(roots, edges)
+    prime = F.lit(2147483647)
+    own = F.pmod(F.pmod("root", prime) * 31 + F.pmod("ts", prime), prime)
+    draw = F.pmod(own * 48271 + F.col("rank") * 7919 + seed, prime)
+    wanted = ranked.where("is_edge = 0 and n > 0").withColumn("rank", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long"))))
+    return _fetched(wanted.select("root", F.col("ts").alias("root_ts"), "rank", F.pmod(draw, F.col("n")).alias("n")), ranked).select("root", "root_ts", "nbr_eid", "nbr", "dt", "rank")
+
+
+def each_neighbour_once(found: DataFrame) -> DataFrame:
+    """Of a root's samples with the same neighbour the one of the smallest rank."""
+    best = found.groupBy("root", "root_ts", "nbr").agg(F.min(F.struct("rank", "nbr_eid", "dt")).alias("m"))
+    return best.select("root", "root_ts", "m.nbr_eid", "nbr", "m.dt", "m.rank")
+
+
+def of_part(edges: DataFrame, parts: DataFrame, part: int) -> DataFrame:
+    """Events whose neighbour a part owns: what a local sampler may see."""
+    return edges.join(parts.where(F.col("part") == part).select(F.col("node").alias("dst")), "dst", "left_semi").select(edges.columns)
 
 
 def batch_roots(batches: DataFrame) -> DataFrame:
@@ -88,12 +118,12 @@ def uniform_k(edges: DataFrame, k: int, seed: int = 7) -> DataFrame:
     return placed.join(own.select("src", "rn", F.col("eid").alias("nbr_eid")), ["src", "rn"]).select("root_eid", "nbr_eid", "draw")
 
 
-def hops(edges: DataFrame, roots: DataFrame, fanout: list[int]) -> DataFrame:
+def hops(edges: DataFrame, roots: DataFrame, fanout: list[int], sample=recent_k_of) -> DataFrame:
     """(hop, root, root_ts, nbr_eid, nbr, dt, rank): the neighbours of a hop are the roots
-    of the next one, at the same time."""
+    of the next one, at the same time. sample: recent_k_of, uniform_k_of or one of its own."""
     out, at = None, roots.select("root", "root_ts").distinct()
     for hop, k in enumerate(fanout, 1):
-        found = recent_k_of(at, edges, k).withColumn("hop", F.lit(hop).cast("long"))
+        found = sample(at, edges, k).withColumn("hop", F.lit(hop).cast("long"))
         out = found if out is None else out.unionByName(found)
         at = found.select(F.col("nbr").alias("root"), "root_ts").distinct()
     return out

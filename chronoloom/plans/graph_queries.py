@@ -379,6 +379,27 @@ def uniform_k(spark, sf):
     return tp.uniform_k(graph(spark, sf), 3)
 
 
+UNIFORM = """SELECT {r}.root, {r}.root_ts, b.eid AS nbr_eid, b.dst AS nbr, {r}.root_ts - b.ts AS dt, rank FROM (SELECT c.root, c.root_ts, rank, ((((c.root % 2147483647) * 31 + c.root_ts % 2147483647) % 2147483647) * 48271 + rank * 7919 + 7) % 2147483647 % c.n AS n
+    FROM (SELECT {r}.root, {r}.root_ts, count(*) AS n FROM {r} JOIN ev ON ev.src = {r}.root AND ev.ts < {r}.root_ts GROUP BY ALL) c, (SELECT unnest(range(1, {k} + 1)) AS rank)) {r} JOIN (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ts, eid) - 1 AS i FROM ev) b ON b.src = {r}.root AND b.i = {r}.n"""
+UNIFORM_HOPS = f"{ROOTS}, h1 AS ({UNIFORM.format(r='ro', k=3)}), rt AS (SELECT DISTINCT nbr - 1000000 AS root, root_ts FROM h1), h2 AS ({UNIFORM.format(r='rt', k=2)})"
+
+
+@query("uniform_two_hop", f"WITH {UNIFORM_HOPS} SELECT 1 AS hop, * FROM h1 UNION ALL SELECT 2, * FROM h2")
+def uniform_two_hop(spark, sf):
+    """Uniform draws in both hops; the second starts at the users whose id is a target's key."""
+    g, roots = graph(spark, sf), _val_roots(spark, sf)
+    first = tp.hops(g, roots, [3], tp.uniform_k_of)
+    second = tp.hops(g, first.select((F.col("nbr") - 1_000_000).alias("root"), "root_ts"), [2], tp.uniform_k_of).withColumn("hop", F.lit(2))
+    return first.withColumn("hop", F.col("hop").cast("int")).unionByName(second.withColumn("hop", F.col("hop").cast("int")))
+
+
+@query("distinct_local_k", f"WITH {ROOTS}, lo AS (SELECT * FROM ev WHERE dst % {PARTS} = 1), r AS ({OF_ROOTS.format(r='ro').replace('ev.', 'lo.').replace('JOIN ev', 'JOIN lo')}), d AS (SELECT *, row_number() OVER (PARTITION BY root, root_ts, nbr ORDER BY rank) AS k FROM r WHERE rank <= {K}) SELECT root, root_ts, nbr_eid, nbr, dt, rank FROM d WHERE k = 1")
+def distinct_local_k(spark, sf):
+    """The latest neighbours that one part owns, each once."""
+    local = tp.of_part(graph(spark, sf), node_parts(spark, sf), 1)
+    return tp.each_neighbour_once(tp.recent_k_of(_val_roots(spark, sf), local, K))
+
+
 @query("delta_time", f"WITH {EV}, r AS ({RECENT.format(t='ev')}) SELECT root, count(*) AS n, CAST(sum(dt) AS BIGINT) AS dt FROM r WHERE rank <= {K} GROUP BY ALL")
 def delta_time(spark, sf):
     return tp.recent_k(graph(spark, sf), K).groupBy("root").agg(F.count("*").alias("n"), F.sum("dt").alias("dt"))
@@ -534,6 +555,11 @@ def node_permutation(spark, sf):
     return pt.permuted(_chunked_nodes(spark, sf), pt.chunk_order("reverse", 6)).select("node", "part", "place")
 
 
+@query("adjacency", f"WITH {EV} SELECT src AS node, row_number() OVER (PARTITION BY src ORDER BY dst, eid) - 1 AS i, dst AS nbr, eid FROM ev")
+def adjacency(spark, sf):
+    return pt.adjacency(graph(spark, sf))
+
+
 @query("induced_subgraph", f"WITH {PART} SELECT eid, src, dst FROM ev WHERE src % 3 = 0 AND dst % 3 = 0")
 def induced_subgraph(spark, sf):
     return pt.induced(graph(spark, sf), node_parts(spark, sf).where("node % 3 = 0")).select("eid", "src", "dst")
@@ -833,6 +859,20 @@ def chunk_remote_nodes(spark, sf):
     return sp.remote_nodes(_chunks(spark, sf))
 
 
+@query("chunk_prepared", f"""WITH {CHUNK}, ii AS (SELECT slice, cluster, eid, src, dst FROM ch WHERE src_cluster = dst_cluster), ln AS (SELECT slice, cluster, node, row_number() OVER (PARTITION BY slice, cluster ORDER BY node) - 1 AS local FROM (SELECT slice, cluster, src AS node FROM ii UNION SELECT slice, cluster, dst FROM ii)),
+    {NEG[len(EV) + 2:]} SELECT ii.slice, ii.cluster, ii.eid, a.local AS src_local, b.local AS dst_local, c.local AS neg_local FROM ii JOIN ne USING (eid)
+    JOIN ln a ON a.slice = ii.slice AND a.cluster = ii.cluster AND a.node = ii.src JOIN ln b ON b.slice = ii.slice AND b.cluster = ii.cluster AND b.node = ii.dst LEFT JOIN ln c ON c.slice = ii.slice AND c.cluster = ii.cluster AND c.node = neg""")
+def chunk_prepared(spark, sf):
+    """Edges inside chunks by local node numbers, negatives where they lie in the chunk."""
+    return sp.prepared(_chunks(spark, sf), negatives(spark, sf))
+
+
+@query("feature_lookup", f"WITH {PART} SELECT node, coalesce(embedding[1]::DOUBLE, 0.0) AS f0, coalesce(embedding[64]::DOUBLE, 0.0) AS f63 FROM pn LEFT JOIN embeddings ON vec_id = node")
+def feature_lookup(spark, sf):
+    feats = table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("memory"))
+    return st.gathered(node_parts(spark, sf).select("node"), feats, 64).select("node", F.col("memory")[0].alias("f0"), F.col("memory")[63].alias("f63"))
+
+
 @query("chunk_completed", f"""WITH {CHUNK}, nd AS (SELECT slice, src_cluster AS cluster, src AS node, FALSE AS is_remote FROM ch UNION SELECT slice, dst_cluster, dst, FALSE FROM ch UNION SELECT slice, src_cluster, dst, src_cluster <> dst_cluster FROM ch UNION SELECT slice, dst_cluster, src, src_cluster <> dst_cluster FROM ch)
     SELECT slice, cluster, node, is_remote, coalesce(embedding[1]::DOUBLE, 0.0) AS f0 FROM nd LEFT JOIN embeddings ON vec_id = node""")
 def chunk_completed(spark, sf):
