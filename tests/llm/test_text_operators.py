@@ -536,6 +536,17 @@ def test_decontamination(spark, given, data, empty):
     assert not any(x["contaminated"] for x in decontamination.find_contamination(given, bench.limit(0)).collect())
 
 
+def test_columns_with_names_of_ours(spark):
+    names = ["n_hit", "n_near", "slice", "doc", "terms", "places", "base", "row_key", "spans", "entities", "words", "n_email", "item_id", "block"]
+    texts = ["mail ann@corp.example.com twice ann@corp.example.com", "alpha beta gamma delta", None]
+    own, plain = docs(spark, texts, **dict.fromkeys(names, "string")), docs(spark, texts)
+    bench = spark.createDataFrame([(7, "alpha beta gamma delta", 1)], "item_id long, text string, doc int")
+    for run in (pii.find_personal_data, lambda d: decontamination.find_contamination(d, bench), lambda d: decontamination.find_matches(d, bench), license_scan.scan_licenses, ngram_join.similar_documents):
+        assert sorted(run(own).collect(), key=repr) == sorted(run(plain).collect(), key=repr)
+    for run in (pii.sanitise, lambda d: decontamination.decontaminate(d, bench)):
+        assert run(own).columns == own.columns and run(own).drop(*names).collect() == run(plain).collect()
+
+
 def test_proximity(spark):
     bench = spark.createDataFrame([(7, "alpha beta gamma delta")], "item_id long, text string")
     found = decontamination.find_contamination(docs(spark, ["alpha beta x gamma delta", "alpha beta gamma delta", "alpha y"]), bench).orderBy("doc_id").collect()
@@ -633,6 +644,20 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
     few = df.where("vec_id in (0, 1, 2)")
     assert neighbours.nearest(few, few.where("vec_id = 0")).count() == 2
+    # many copies of one vector: the smallest ids
+    same = spark.range(300).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.when(F.col("id") % 3 == 0, 2.0).otherwise(F.col("id") + 5.0)).alias("embedding"))
+    got = neighbours.nearest(same, same.where("vec_id % 50 = 0"), tile=32, block=2).where("query_id = 150").orderBy("rank").collect()
+    assert [x["vec_id"] for x in got] == [0, 3, 6, 9, 12]
+    # a group of near copies that codes do not tell apart
+    x = r.normal(size=8)
+    close = [(i, (x + 1e-6 * r.normal(size=8)).tolist() if i < 500 else r.normal(size=8).tolist()) for i in range(600)]
+    near = spark.createDataFrame(close, "vec_id long, embedding array<double>")
+    every = {i: np.array(v) for i, v in close}
+    for t in (8192, 128):
+        for x in neighbours.nearest(near, near.where("vec_id % 50 = 0"), tile=t).where("query_id in (100, 550)").collect():
+            q = every[x["query_id"]]
+            best = sorted(((-float(q @ v / np.sqrt((q @ q) * (v @ v))), i) for i, v in every.items() if i != x["query_id"]))[:5]
+            assert x["score"] == pytest.approx(-best[x["rank"] - 1][0], abs=1e-15)
     # tiny and huge vectors, an id that repeats with another length
     odd = spark.createDataFrame([(0, [1e-200, 2e-200]), (1, [3e-200, 6e-200]), (2, [1e200, -1e200]), (3, [2.0, 4.0]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.0, 1.0])], "vec_id long, embedding array<double>")
     got = {(x["vec_id"], round(x["score"], 9)) for x in neighbours.nearest(odd, odd.where("vec_id = 0")).collect()}
