@@ -247,16 +247,19 @@ def temporal_attention(neighbours: DataFrame, nodes: DataFrame, edge_features: D
     joined = neighbours.join(near, "nbr").join(events, "nbr_eid").join(own, "root")
     key = F.concat("_n", "_e", time_encoding(F.col("dt").cast("double"), dim_time))
     query = F.concat("_q", time_encoding(F.lit(0.0), dim_time))
+    # written, so that no map is worked out again inside the functions of the next steps
     made = joined.select("root", "root_ts", "nbr_eid", linear(query, weights["q"], weights["bq"]).alias("q"), linear(key, weights["k"], weights["bk"]).alias("k"), linear(key, weights["v"], weights["bv"]).alias("v"))
+    made = materialise(made)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     score = F.transform(F.sequence(F.lit(0), F.lit(heads - 1)), lambda h: total(F.slice(F.zip_with("q", "k", lambda a, b: a * b), h * each + 1, each)))
     leaky = F.transform(score, lambda x: F.when(x < 0, 0.2 * x).otherwise(x))
     # a root's neighbours are the few that were sampled
     held = made.select("root", "root_ts", F.struct("nbr_eid", leaky.alias("a"), "v").alias("s")).groupBy("root", "root_ts").agg(F.array_sort(F.collect_list("s")).alias("s"))
     top = F.transform(F.sequence(F.lit(1), F.lit(heads)), lambda h: F.array_max(F.transform("s", lambda x: F.element_at(x["a"], h))))
-    raised = held.withColumn("top", top).withColumn("s", F.transform("s", lambda x: F.struct(F.zip_with(x["a"], F.col("top"), lambda a, t: F.exp(a - t)).alias("a"), x["v"].alias("v"))))
+    raised = materialise(held.withColumn("top", top)).withColumn("s", F.transform("s", lambda x: F.struct(F.zip_with(x["a"], F.col("top"), lambda a, t: F.exp(a - t)).alias("a"), x["v"].alias("v"))))
     sums = raised.withColumn("sum", F.transform(F.sequence(F.lit(1), F.lit(heads)), lambda h: total(F.transform("s", lambda x: F.element_at(x["a"], h)))))
     at = lambda j: F.floor((j - 1) / each).cast("int") + 1
+    sums = materialise(sums)
     mixed = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda j: total(F.transform("s", lambda x: F.element_at(x["a"], at(j)) * F.element_at(x["v"], j))) / F.element_at("sum", at(j)))
     found = sums.select("root", "root_ts", mixed.alias("agg"))
     if roots is not None:
