@@ -248,7 +248,8 @@ def temporal_attention(neighbours: DataFrame, nodes: DataFrame, edge_features: D
     key = F.concat("_n", "_e", time_encoding(F.col("dt").cast("double"), dim_time))
     query = F.concat("_q", time_encoding(F.lit(0.0), dim_time))
     # written, so that no map is worked out again inside the functions of the next steps
-    made = joined.select("root", "root_ts", "nbr_eid", linear(query, weights["q"], weights["bq"]).alias("q"), linear(key, weights["k"], weights["bk"]).alias("k"), linear(key, weights["v"], weights["bv"]).alias("v"))
+    inputs = materialise(joined.select("root", "root_ts", "nbr_eid", query.alias("query"), key.alias("key")))
+    made = inputs.select("root", "root_ts", "nbr_eid", *[linear(F.col(x), weights[n], weights[f"b{n}"]).alias(n) for x, n in (("query", "q"), ("key", "k"), ("key", "v"))])
     made = materialise(made)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     score = F.transform(F.sequence(F.lit(0), F.lit(heads - 1)), lambda h: total(F.slice(F.zip_with("q", "k", lambda a, b: a * b), h * each + 1, each)))
@@ -265,7 +266,8 @@ def temporal_attention(neighbours: DataFrame, nodes: DataFrame, edge_features: D
     if roots is not None:
         found = roots.select("root", "root_ts").distinct().join(found, ["root", "root_ts"], "left").withColumn("agg", F.coalesce("agg", F.array_repeat(F.lit(0.0), dim)))
     out = linear(F.concat("agg", "_q"), weights["out"], weights["bout"])
-    return found.join(own, "root").select("root", "root_ts", normalised_layer(relu(out)).alias("feat"))
+    mapped = materialise(found.join(own, "root").select("root", "root_ts", relu(out).alias("feat")))
+    return mapped.select("root", "root_ts", normalised_layer(F.col("feat")).alias("feat"))
 
 
 def link_logits(pairs: DataFrame, weights: dict, src: str = "src_feat", dst: str = "dst_feat") -> DataFrame:
