@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, html_text, license_scan, neighbours, ngram_join, pii, quality, sentencepiece_codec, toxicity
+from . import chat, decontamination, html_text, license_scan, neighbours, ngram_join, pii, quality, sentencepiece_codec, simhash, spelling, toxicity, whitening
 from .common import read_table
 
 
@@ -67,6 +67,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(read_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
@@ -79,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_chat": op9_chat,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_simhash": op11_simhash,
+    "op12_whitening": op12_whitening,
+    "op13_spelling": op13_spelling,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -135,7 +150,37 @@ def _license_sql() -> str:
         FROM d LEFT JOIN bs ON bs.doc_id = d.doc_id LEFT JOIN bl ON bl.doc_id = d.doc_id LEFT JOIN ll ON ll.doc_id = d.doc_id LEFT JOIN fs ON fs.doc_id = d.doc_id"""
 
 
+def _crc_table() -> list[int]:
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+def _spelling_sql() -> str:
+    """Words by crc32 over UTF-8 bytes, near words by what is left without a code point."""
+    low = "translate(doc_id || ':' || r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    code = "flatten(list_transform(string_split(s, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END))"
+    return f"""
+        WITH RECURSIVE ta AS MATERIALIZED (SELECT {_crc_table()}::BIGINT[] AS t),
+        ru AS (SELECT {low} AS s, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) AS r FROM documents) WHERE length(r) >= 5 GROUP BY s),
+        cr AS (SELECT string_split(s, ':')[2] AS w, k, xor(list_reduce({code}, lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295::BIGINT), 4294967295) AS h FROM ru, ta),
+        de AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, k FROM cr),
+        wo AS (SELECT word, sum(k)::BIGINT AS n FROM de WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+        si AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS g FROM (SELECT word, n, unnest(range(length(word))) AS i FROM wo)),
+        pa AS (SELECT a.word AS x, b.word AS y, b.n AS m FROM si a JOIN si b ON a.g = b.g AND a.i = b.i AND a.word <> b.word
+               UNION SELECT wo.word, si.word, si.n FROM wo JOIN si ON si.g = wo.word UNION SELECT si.word, wo.word, wo.n FROM wo JOIN si ON si.g = wo.word),
+        be AS (SELECT x, count(*) AS n_near, max(m) AS top FROM pa GROUP BY x),
+        bw AS (SELECT be.x, n_near, top, min(y) AS best FROM be JOIN pa ON pa.x = be.x AND m = top GROUP BY ALL),
+        fo AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * n THEN best END AS form, CASE WHEN top >= 2 * n THEN top END AS form_n FROM wo LEFT JOIN bw ON x = word),
+        ro AS (SELECT word, word AS reached, 0 AS k FROM fo UNION ALL SELECT ro.word, form, k + 1 FROM ro JOIN fo ON fo.word = reached WHERE form IS NOT NULL)
+        SELECT fo.word, n, form, form_n, root, n_near FROM fo JOIN (SELECT word, max_by(reached, k) AS root FROM ro GROUP BY word) r ON r.word = fo.word"""
+
+
 ORACLES: dict[str, str] = {
+    "op13_spelling": _spelling_sql(),
     "op7_licenses": _license_sql(),
     "op1_pii": rf"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), tot AS (SELECT count(*)::DOUBLE AS n FROM d),
