@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.functions import gradients as gr
 from chronoloom.scratch import materialise
 
 
@@ -67,26 +68,14 @@ def mean_pool(features: DataFrame, by: list[str] | None = None) -> DataFrame:
     return parts.groupBy(*(by or []), "i").agg(F.avg("x").alias("mean"))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def gru_cell(x: np.ndarray, h: np.ndarray, w: dict) -> np.ndarray:
     """Rows of x and h; w: wi (in, 3 d), wh (d, 3 d), bi, bh; gates reset, update, new."""
-    d = h.shape[1]
-    a, b = x @ w["wi"] + w["bi"], h @ w["wh"] + w["bh"]
-    r, z = _sigmoid(a[:, :d] + b[:, :d]), _sigmoid(a[:, d : 2 * d] + b[:, d : 2 * d])
-    n = np.tanh(a[:, 2 * d :] + r * b[:, 2 * d :])
-    return (1 - z) * n + z * h
+    return gr.gru(x, h, w)[0]
 
 
 def lstm_cell(x: np.ndarray, h: np.ndarray, c: np.ndarray, w: dict) -> tuple[np.ndarray, np.ndarray]:
     """Gates input, forget, cell, output."""
-    d = h.shape[1]
-    g = x @ w["wi"] + w["bi"] + h @ w["wh"] + w["bh"]
-    i, f, o = _sigmoid(g[:, :d]), _sigmoid(g[:, d : 2 * d]), _sigmoid(g[:, 3 * d :])
-    c = f * c + i * np.tanh(g[:, 2 * d : 3 * d])
-    return o * np.tanh(c), c
+    return gr.lstm(x, h, c, w)[0]
 
 
 def fold(features: DataFrame, step: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int, block: int = 64) -> DataFrame:
@@ -117,6 +106,7 @@ def fold(features: DataFrame, step: Callable[[np.ndarray, np.ndarray], np.ndarra
             states = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([nodes, snap, states], names=["node", "snap", "state"])
 
+    features = materialise(features)  # read for the bounds, and by every block
     first, last = features.agg(F.min("snap"), F.max("snap")).first()
     out = carried = None
     for low in range(first or 0, (last or 0) + 1, block):
@@ -149,11 +139,7 @@ def on_all_nodes(values: DataFrame, nodes: DataFrame, snaps: int, width: int) ->
 
 def tgcn_cell(x: np.ndarray, h: np.ndarray, w: dict) -> np.ndarray:
     """Gates from thirds of x, each joined to the state: u, r and the candidate c."""
-    u, r, c = np.split(x, 3, axis=1)
-    u = _sigmoid(np.concatenate([u, h], axis=1) @ w["u"] + w["bu"])
-    r = _sigmoid(np.concatenate([r, h], axis=1) @ w["r"] + w["br"])
-    c = np.tanh(np.concatenate([c, r * h], axis=1) @ w["c"] + w["bc"])
-    return u * h + (1 - u) * c
+    return gr.tgcn(x, h, w)[0]
 
 
 def tgcn(edges: DataFrame, features: DataFrame, weights: dict, nodes: DataFrame, snaps: int, block: int = 64) -> DataFrame:
@@ -183,28 +169,40 @@ def mpnn_lstm(edges: DataFrame, features: DataFrame, weights: dict, nodes: DataF
 def mat_gru_cell(context: np.ndarray, weight: np.ndarray, w: dict) -> np.ndarray:
     """A weight matrix evolved by a context vector, the same for each of its rows."""
     x = np.tile(context, (len(weight), 1))
-    z = _sigmoid(np.concatenate([x, weight], axis=1) @ w["z"] + w["bz"])
-    r = _sigmoid(np.concatenate([x, weight], axis=1) @ w["r"] + w["br"])
+    z = gr.sigmoid(np.concatenate([x, weight], axis=1) @ w["z"] + w["bz"])
+    r = gr.sigmoid(np.concatenate([x, weight], axis=1) @ w["r"] + w["br"])
     h = np.tanh(np.concatenate([x, r * weight], axis=1) @ w["h"] + w["bh"])
     return z * weight + (1 - z) * h
 
 
-def evolvegcn(edges: DataFrame, features: DataFrame, weights: dict, n_nodes: int) -> DataFrame:
-    """(snap, node, feat): each snapshot's messages times a matrix that a recurrent cell
-    evolves from the mean of the snapshot's features over all nodes. The matrices are one
-    small row for each snapshot. weights: start, pool and bpool, cell (z, r, h, bz, br, bh)."""
+def evolved_matrices(features: DataFrame, weights: dict, n_nodes: int) -> list[tuple[int, np.ndarray]]:
+    """(snap, matrix), one for each snapshot: a recurrent cell evolves the matrix from the
+    mean of the snapshot's features over all nodes."""
     sums = features.select("snap", F.posexplode("feat").alias("i", "x")).groupBy("snap", "i").agg((F.sum("x") / n_nodes).alias("x"))
     rows = sums.groupBy("snap").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("x")).orderBy("snap").collect()
     matrix, evolved = weights["start"], []
     for r in rows:
         matrix = mat_gru_cell(np.array(r["x"]) @ weights["pool"] + weights["bpool"], matrix, weights["cell"])
-        evolved.append((int(r["snap"]), matrix.T.tolist()))
-    table = F.broadcast(features.sparkSession.createDataFrame(evolved, "snap long, _columns array<array<double>>"))
+        evolved.append((int(r["snap"]), matrix))
+    return evolved
+
+
+def with_matrices(edges: DataFrame, features: DataFrame, evolved: list[tuple[int, np.ndarray]]) -> DataFrame:
+    """(snap, node, feat): each snapshot's messages times its own matrix. The matrices are
+    one small row for each snapshot."""
+    rows = [(snap, matrix.T.tolist()) for snap, matrix in evolved]
+    table = F.broadcast(features.sparkSession.createDataFrame(rows, "snap long, _columns array<array<double>>"))
     passed = propagate_vectors(edges, features, by=["snap"]).join(table, "snap")
     dot = lambda c: F.aggregate(F.zip_with("feat", c, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     return passed.select("snap", "node", F.transform("_columns", dot).alias("feat"))
 
 
+def evolvegcn(edges: DataFrame, features: DataFrame, weights: dict, n_nodes: int) -> DataFrame:
+    """(snap, node, feat): each snapshot's messages times a matrix that a recurrent cell
+    evolves. weights: start, pool and bpool, cell (z, r, h, bz, br, bh)."""
+    return with_matrices(edges, features, evolved_matrices(features, weights, n_nodes))
+
+
 def memory_update(mail: DataFrame, memory: DataFrame, weights: dict, slots: int) -> DataFrame:
     """(node, memory) of the nodes with mail: a recurrent unit over a node's slots in their
     own order (zeros in empty ones), then a cell of its result and the node's memory.
@@ -236,38 +234,35 @@ def temporal_attention(neighbours: DataFrame, nodes: DataFrame, edge_features: D
     softmax over the root's neighbours; the result is joined to the root's features, mapped,
     put through a relu and normalised. ``roots`` without neighbours have zeros in its place.
     weights: q, k, v, out with biases bq, bk, bv, bout; nodes: (node, feat); edge_features:
-    (eid, feat)."""
-    from chronoloom.operators.temporal import time_encoding
-
-    dim = weights["v"].shape[1]
-    each = dim // heads
-    own = nodes.select(F.col("node").alias("root"), F.col("feat").alias("_q"))
+    (eid, feat). A root's few neighbours meet in one row, and a batch of rows is one pass."""
+    dim = len(weights["out"]) - weights["v"].shape[1]
+    own = nodes.select(F.col("node").alias("root"), F.col("feat").alias("own"))
     near = nodes.select(F.col("node").alias("nbr"), F.col("feat").alias("_n"))
     events = edge_features.select(F.col("eid").alias("nbr_eid"), F.col("feat").alias("_e"))
-    joined = neighbours.join(near, "nbr").join(events, "nbr_eid").join(own, "root")
-    key = F.concat("_n", "_e", time_encoding(F.col("dt").cast("double"), dim_time))
-    query = F.concat("_q", time_encoding(F.lit(0.0), dim_time))
-    # written, so that no map is worked out again inside the functions of the next steps
-    inputs = materialise(joined.select("root", "root_ts", "nbr_eid", query.alias("query"), key.alias("key")))
-    made = inputs.select("root", "root_ts", "nbr_eid", *[linear(F.col(x), weights[n], weights[f"b{n}"]).alias(n) for x, n in (("query", "q"), ("key", "k"), ("key", "v"))])
-    made = materialise(made)
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    score = F.transform(F.sequence(F.lit(0), F.lit(heads - 1)), lambda h: total(F.slice(F.zip_with("q", "k", lambda a, b: a * b), h * each + 1, each)))
-    leaky = F.transform(score, lambda x: F.when(x < 0, 0.2 * x).otherwise(x))
-    # a root's neighbours are the few that were sampled
-    held = made.select("root", "root_ts", F.struct("nbr_eid", leaky.alias("a"), "v").alias("s")).groupBy("root", "root_ts").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    top = F.transform(F.sequence(F.lit(1), F.lit(heads)), lambda h: F.array_max(F.transform("s", lambda x: F.element_at(x["a"], h))))
-    raised = materialise(held.withColumn("top", top)).withColumn("s", F.transform("s", lambda x: F.struct(F.zip_with(x["a"], F.col("top"), lambda a, t: F.exp(a - t)).alias("a"), x["v"].alias("v"))))
-    sums = raised.withColumn("sum", F.transform(F.sequence(F.lit(1), F.lit(heads)), lambda h: total(F.transform("s", lambda x: F.element_at(x["a"], h)))))
-    at = lambda j: F.floor((j - 1) / each).cast("int") + 1
-    sums = materialise(sums)
-    mixed = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda j: total(F.transform("s", lambda x: F.element_at(x["a"], at(j)) * F.element_at(x["v"], j))) / F.element_at("sum", at(j)))
-    found = sums.select("root", "root_ts", mixed.alias("agg"))
+    joined = neighbours.join(near, "nbr").join(events, "nbr_eid")
+    held = joined.groupBy("root", "root_ts").agg(F.array_sort(F.collect_list(F.struct("nbr_eid", F.col("dt").cast("double").alias("dt"), F.concat("_n", "_e").alias("x")))).alias("near"))
     if roots is not None:
-        found = roots.select("root", "root_ts").distinct().join(found, ["root", "root_ts"], "left").withColumn("agg", F.coalesce("agg", F.array_repeat(F.lit(0.0), dim)))
-    out = linear(F.concat("agg", "_q"), weights["out"], weights["bout"])
-    mapped = materialise(found.join(own, "root").select("root", "root_ts", relu(out).alias("feat")))
-    return mapped.select("root", "root_ts", normalised_layer(F.col("feat")).alias("feat"))
+        held = roots.select("root", "root_ts").distinct().join(held, ["root", "root_ts"], "left")
+    rows = held.join(own, "root").select("root", "root_ts", "own", F.coalesce("near", F.array()).alias("near"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            count = np.diff(np.asarray(batch.column("near").offsets, dtype=np.int64))
+            flat = batch.column("near").flatten()
+            x = flat.field("x").flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.zeros((0, len(weights["k"]) - dim_time))
+            mine = batch.column("own").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), dim)
+            out, _ = gr.attention(mine, x, flat.field("dt").to_numpy(zero_copy_only=False), count, weights, heads, dim_time)
+            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("root_ts"), vectors(out)], names=["root", "root_ts", "feat"])
+
+    root_ts = dict(rows.dtypes)["root_ts"]
+    return rows.mapInArrow(run, f"root long, root_ts {root_ts}, feat array<double>")
+
+
+def vectors(rows: np.ndarray) -> pa.Array:
+    """Rows of a matrix as an Arrow list array."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(np.ascontiguousarray(rows, dtype=np.float64).ravel()))
 
 
 def link_logits(pairs: DataFrame, weights: dict, src: str = "src_feat", dst: str = "dst_feat") -> DataFrame:

@@ -22,6 +22,7 @@ from chronoloom.operators import sampling as sp
 from chronoloom.operators import snapshots as sn
 from chronoloom.operators import state as st
 from chronoloom.operators import temporal as tp
+from chronoloom.plans import epoch_queries as eq
 from chronoloom.plans.datasets import load_dataset
 from chronoloom.plans.session import Session
 from chronoloom.scratch import shared_folder, ship_package
@@ -1328,3 +1329,30 @@ def link_logits(spark, sf):
     pairs = val.join(val.groupBy("batch").agg(F.max("ts").alias("root_ts")), "batch").select("src", "dst", "root_ts").distinct()
     both = pairs.join(found.toDF("src", "root_ts", "src_feat"), ["src", "root_ts"]).join(found.toDF("dst", "root_ts", "dst_feat"), ["dst", "root_ts"])
     return ms.link_logits(both, PREDICT).select("src", "dst", "root_ts", F.round("logit", 5).alias("logit"))
+
+
+# Epochs of named models
+
+
+def _model_session(spark, sf, mode: str, model: str, **settings) -> Session:
+    g = graph(spark, sf)
+    s = Session.from_config(spark, {"mode": mode, "model": model, "parts": PARTS, "snaps": SNAPS, **settings}, g, _folder(spark))
+    s.prepare_data()
+    return s.build_runtime()
+
+
+@query("session_memory_epoch", eq.memory_epoch_sql({"split": SPLIT, "ids": IDS}, {"linear": _sql_linear, "gru": _sql_gru, "list": _sql_list, "each": _sql_each}))
+def session_memory_epoch(spark, sf):
+    """Memory, mailbox, attention and link scores over five batches of events."""
+    batch = max(1, table(spark, sf, "events").count() // 4)
+    return eq.memory_epoch(_model_session(spark, sf, "ctdg", "tgn", batch_size=batch, dim=4, neighbours=[K], slots=SLOTS))
+
+
+SEQUENCE = eq.sequence_weights(TGCN)
+DIRECTED = f"{NORMED}, {_sql_pass('fe', 2, 'gs_1', 'list_transform(' + _sql_linear('s', TGCN['gcn'][0]) + ', lambda t: greatest(t, 0.0))')}, {_sql_pass('gs_1', 4, 'gs', _sql_linear('s', TGCN['gcn'][1]))}".replace(" UNION ALL SELECT snap, dst, src, weight FROM sn", "")
+
+
+@query("session_snapshot_epoch", eq.snapshot_epoch_sql(f"{DIRECTED}, {_dense(9)}, {SERIES.format(t='al')}, {_sql_fold(TGCN_LEVELS, 3)}", SEQUENCE, SNAPS, FEATS))
+def session_snapshot_epoch(spark, sf):
+    """A snapshot model over all splits, node states handed from window to window."""
+    return eq.snapshot_epoch(_model_session(spark, sf, "dtdg", "tgcn", dim=3, window=3), SEQUENCE)

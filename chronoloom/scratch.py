@@ -50,6 +50,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing needs from now on."""
+    for t in tables:
+        _delete(t.sparkSession, t._chronoloom_path)
+
+
 def discard_tables(spark: SparkSession) -> int:
     """Delete all tables that ``materialise`` has written for this application, when their
     results have been saved elsewhere; how many there were."""
