@@ -79,13 +79,13 @@ class NodeState:
             return tables[0]
         return self._latest(tables)
 
-    def of(self, nodes: DataFrame) -> DataFrame:
+    def of(self, nodes: DataFrame, few: bool) -> DataFrame:
         """The rows of the given distinct nodes that have any: filtered before they are
-        shuffled or merged."""
+        shuffled or merged. ``few``: the nodes are counted, and can be broadcast."""
         tables = [*([self.base] if self.base is not None else []), *self.changes]
         if not tables:
             return self.table()
-        wanted = F.broadcast(nodes) if nodes.count() <= SMALL_NODES else nodes
+        wanted = F.broadcast(nodes) if few else nodes
         return self._latest([t.join(wanted, "node", "left_semi") for t in tables])
 
     @staticmethod
@@ -170,7 +170,7 @@ def updated_memory(held: DataFrame, incoming: DataFrame, at: float, weights: Wei
     return rows.mapInArrow(run, _STATE)
 
 
-def incoming_mail(events: DataFrame, held: DataFrame, s: Shape) -> DataFrame:
+def incoming_mail(events: DataFrame, held: DataFrame, s: Shape, few: bool) -> DataFrame:
     """(node, n0, mail0, n1, mail1): number and last message of a batch for each node, as
     source and as target; a message is own memory, the peer's and the event's feature."""
     zero = F.array_repeat(F.lit(0.0), s.dim)
@@ -178,7 +178,6 @@ def incoming_mail(events: DataFrame, held: DataFrame, s: Shape) -> DataFrame:
     rows = events.select("eid", "ts", "feat", sides.alias("x")).select("eid", "ts", "feat", "x.*")
     # of a call the last message counts: it is chosen before any vector moves
     last = rows.groupBy("node", "side").agg(F.count("*").alias("n"), F.max(F.struct("ts", "eid", "peer", "feat")).alias("m")).select("node", "side", "n", "m.peer", "m.feat")
-    few = held.count() <= SMALL_NODES
     own, peer = (held.select(F.col("node").alias(k), F.col("memory").alias(f"{k}_memory")) for k in ("node", "peer"))
     joined = last.join(F.broadcast(own) if few else own, "node", "left").join(F.broadcast(peer) if few else peer, "peer", "left")
     message = F.concat(F.coalesce("node_memory", zero), F.coalesce("peer_memory", zero), F.slice(F.concat("feat", F.array_repeat(F.lit(0.0), s.width)), 1, s.width))
@@ -189,18 +188,19 @@ def incoming_mail(events: DataFrame, held: DataFrame, s: Shape) -> DataFrame:
 _NEAR = ("src_near", "dst_near", "neg_near")
 
 
-def _memories(rows: DataFrame, state: NodeState, s: Shape) -> tuple[DataFrame, list[DataFrame]]:
-    """Events with ``held``: the memory of source, target and negative, each followed by
-    its neighbours' in their order; and the tables that were written for it."""
+def _asked(rows: DataFrame) -> DataFrame:
+    """(eid, side, place, node): source, target and negative, each followed by its
+    neighbours in their order."""
     ends = F.array(*[F.concat(F.array(F.col(end)), F.transform(near, lambda x: x["nbr"])) for end, near in zip(("src", "dst", "neg"), _NEAR, strict=True)])
-    asked = rows.select("eid", F.posexplode(ends).alias("side", "nodes")).select("eid", "side", F.posexplode("nodes").alias("place", "node"))
-    nodes = materialise(asked.select("node").distinct())
-    mem = materialise(state.of(nodes).select("node", "memory"))
-    small = F.broadcast(mem) if mem.count() <= SMALL_NODES else mem
+    return rows.select("eid", F.posexplode(ends).alias("side", "nodes")).select("eid", "side", F.posexplode("nodes").alias("place", "node"))
+
+
+def _memories(rows: DataFrame, memory: DataFrame, s: Shape, few: bool) -> DataFrame:
+    """Events with ``held``: the memory of all that they ask for, in that order."""
     zero = F.array_repeat(F.lit(0.0), s.dim)
-    found = asked.join(small, "node", "left").select("eid", F.struct("side", "place", F.coalesce("memory", zero).alias("memory")).alias("x"))
+    found = _asked(rows).join(F.broadcast(memory) if few else memory, "node", "left").select("eid", F.struct("side", "place", F.coalesce("memory", zero).alias("memory")).alias("x"))
     held = found.groupBy("eid").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["memory"]).alias("held"))
-    return rows.join(held, "eid"), [nodes, mem]
+    return rows.join(held, "eid")
 
 
 def link_pass(batch: pa.RecordBatch, weights: Weights, s: Shape, train: bool):
@@ -265,15 +265,17 @@ def memory_epoch(links: DataFrame, state: NodeState, weights: Weights, s: Shape,
     trained = {k: v for k, v in weights.items() if k.startswith(("attend.", "predict."))}
     for b in range(batches):
         rows = links.where(F.col("batch") == b)
-        ends = materialise(rows.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
-        held = materialise(state.of(ends))
+        nodes = materialise(_asked(rows).select("node").distinct())
+        few = nodes.count() <= SMALL_NODES
         last = rows.agg(F.max("ts")).first()[0]
         if last is None:
             continue
-        state.add(materialise(updated_memory(held, incoming_mail(rows, held, s), last, weights, s)))
-        asked, written = _memories(rows, state, s)
-        scored_links(asked, weights, s, optimiser is not None).write.parquet(f"{folder}/batch={b}")
-        discard(ends, held, *written)
+        held = materialise(state.of(nodes, few))
+        change = materialise(updated_memory(held, incoming_mail(rows, held, s, few), last, weights, s))
+        now = held.join(change.select("node"), "node", "left_anti").select("node", "memory").union(change.select("node", "memory"))
+        scored_links(_memories(rows, now, s, few), weights, s, optimiser is not None).write.parquet(f"{folder}/batch={b}")
+        state.add(change)
+        discard(nodes, held)
         if optimiser is not None:
             loss, g = ln.summed(spark.read.parquet(f"{folder}/batch={b}"), trained)
             weights = optimiser.step(weights, g)

@@ -138,7 +138,7 @@ def events(spark, n=240):
 
 
 def session(spark, root, mode, model, **more):
-    s = Session.from_config(spark, {"mode": mode, "model": model, "batch_size": 60, "dim": 4, "neighbours": [3], "snaps": 8, "window": 3, "rate": 0.05, **more}, events(spark), root)
+    s = Session.from_config(spark, {"mode": mode, "model": model, "batch_size": 90, "dim": 4, "neighbours": [3], "snaps": 8, "window": 3, "rate": 0.05, **more}, events(spark), root)
     s.prepare_data()
     return s.build_runtime()
 
@@ -221,7 +221,7 @@ def test_state_merges_changes_and_keeps_copies(spark):
     kept = state.copy()
     state.add(materialise(spark.createDataFrame([row(0, 9)], memory._STATE)))
     assert {r["node"]: r["pos"] for r in kept.table().collect()} == {0: 4, 1: 1, 2: 2, 3: 3, 4: 4}
-    assert {r["node"]: r["pos"] for r in state.of(spark.createDataFrame([(0,), (3,), (77,)], "node long")).collect()} == {0: 9, 3: 3}
+    assert {r["node"]: r["pos"] for r in state.of(spark.createDataFrame([(0,), (3,), (77,)], "node long"), True).collect()} == {0: 9, 3: 3}
 
 
 def test_models_are_refused_where_they_do_not_fit(spark):
