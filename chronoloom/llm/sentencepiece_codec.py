@@ -21,8 +21,10 @@ Repeated rows give repeated results, empty tables none; further columns are igno
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ SPACE = "▁"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Entries that a task keeps, twice: about 100 MB in all.
 KEPT = 120_000
+#: Rounds after which the segments that are left are merged by a heap.
+ROUNDS = 100
 
 
 class PieceModel:
@@ -103,7 +107,15 @@ class PieceModel:
         segment_of = owner[np.flatnonzero(np.r_[True, word[1:] != word[:-1]])] if len(points) else owner
         done: list[tuple[np.ndarray, np.ndarray]] = []
         rank, made = self._pair_ranks(symbol, word)
+        rounds = 0
         while len(symbol):
+            rounds += 1
+            if rounds > ROUNDS:
+                cuts = np.r_[np.flatnonzero(np.r_[True, word[1:] != word[:-1]]), len(symbol)]
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    own = np.array(self._by_heap(symbol[a:b].tolist()), dtype=np.int64)
+                    done.append((np.full(len(own), word[a]), own))
+                break
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             best = np.minimum.reduceat(rank, starts)
             size = np.diff(np.r_[starts, len(symbol)])
@@ -138,6 +150,42 @@ class PieceModel:
             out.append(own)
         return out
 
+    def _by_heap(self, symbols: list[int]) -> list[int]:
+        """The merges of one word's symbols, one at a time: the best pair first, of equal
+        ones the leftmost."""
+        n = len(symbols)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[int, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < n and symbols[i] >= 0 and symbols[j] >= 0:
+                key = symbols[i] << 20 | symbols[j]
+                if key in self.pair_of:
+                    rank, made = self.pair_of[key]
+                    heapq.heappush(heap, (rank, i, key, made))
+
+        gone = [False] * n
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            _, i, key, made = heapq.heappop(heap)
+            j = after[i]
+            if gone[i] or j >= n or symbols[i] < 0 or symbols[j] < 0 or symbols[i] << 20 | symbols[j] != key:
+                continue
+            symbols[i], gone[j], after[i] = made, True, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [x for x, out in zip(symbols, gone, strict=True) if not out]
+
+    @cached_property
+    def pair_of(self) -> dict[int, tuple[int, int]]:
+        """The pair table for single lookups."""
+        return dict(zip(self.pair.tolist(), zip(self.pair_rank.tolist(), self.pair_id.tolist(), strict=True), strict=True))
+
     def _pair_ranks(self, symbol: np.ndarray, word: np.ndarray):
         rank = np.full(len(symbol), self.none, dtype=np.int64)
         made = np.zeros(len(symbol), dtype=np.int64)
