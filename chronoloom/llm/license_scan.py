@@ -22,7 +22,8 @@ further columns are ignored; very long texts are scanned whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,7 @@ class Index:
         keys = [(t, words_of(phrase), notices[t]) for t, (_, _, phrases) in enumerate(templates) for phrase in phrases]
         self.key_template = [k[0] for k in keys]
         self.key_place = [next(i for i in range(len(k[2])) if k[2][i : i + len(k[1])] == k[1]) for k in keys]
+        self.keys_of = [[k for k, x in enumerate(self.key_template) if x == t] for t in range(len(templates))]
         self.keys = Block(list(range(len(keys))), [" ".join(k[1]) for k in keys], 64)
         self.base = Block(list(range(len(base))), [x[1] for x in base], 64)
         self.base_labels = [x[0] for x in base]
@@ -117,6 +119,12 @@ def _candidates(words, postings, index: Index, votes: int):
     return np.stack([*np.divmod(group, len(index.terms)), diagonal - longest], axis=1)
 
 
+def _stands(places: Sequence[int], at: int, near: int) -> bool:
+    """Whether one of the ascending places lies within ``near`` of the given one."""
+    i = bisect_left(places, at - near)
+    return i < len(places) and places[i] <= at + near
+
+
 def _scan(broadcast, votes: int, near: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = broadcast.value
@@ -130,12 +138,13 @@ def _scan(broadcast, votes: int, near: int):
                 base.setdefault(d, []).append((p - int(words.first[d]), index.base_labels[i]))
             keyed: dict[tuple, list] = {}
             w, s, *_ = intersect(postings, index.keys, 0)
+            order = np.argsort(s, kind="stable")
+            w, s = w[order], s[order]
             for d, i, p in zip(words.doc[s].tolist(), index.keys.item[w].tolist(), s.tolist(), strict=True):
                 keyed.setdefault((d, i), []).append(p)
             found: dict[int, dict] = {}
             for d, t, diagonal in _candidates(words, postings, index, votes).tolist():
-                wanted = [k for k, x in enumerate(index.key_template) if x == t]
-                if not all(any(abs(p - diagonal - index.key_place[k]) <= near for p in keyed.get((d, k), ())) for k in wanted):
+                if not all(_stands(keyed.get((d, k), ()), diagonal + index.key_place[k], near) for k in index.keys_of[t]):
                     continue
                 terms = index.terms[t]
                 place = diagonal + np.arange(len(terms))
