@@ -58,6 +58,7 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor spons
 SOFT_MARKS = frozenset("promo promotion banner menu nav respond replies consent notice notices subscribe share sharing social related popup modal footer header masthead widget toolbar pagination login signup search".split())
 PLAIN = frozenset("area articles bar bottom box block col column container content group head holder inner item items left link links list main module outer page panel post posts region right row section site slot stories top unit wrap wrapper".split())
 OPPOSITE = frozenset("has no not with without".split())
+_MARKUP = re.compile("<[A-Za-z/!?]")
 _NAME = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 
 #: What a line's score is multiplied by where an element votes: firmly, strongly, and weakly.
@@ -91,7 +92,7 @@ class Events(HTMLParser):
         self.parts: list[str] = []
         self.tags = self.links = self.in_link = 0
         self.lines: list[tuple[str, int, int, int]] = []
-        self.hidden, self.at = False, 0
+        self.hidden, self.at, self.ending = False, 0, False
 
     def cut(self) -> None:
         if self.parts:
@@ -178,6 +179,22 @@ class Events(HTMLParser):
             if self.open["a"] > 0:
                 self.links += len(data.strip())
 
+    def parse_comment(self, i, report=True):
+        # a comment without an end hides what follows it
+        end = super().parse_comment(i, report)
+        return len(self.rawdata) if end < 0 and self.ending else end
+
+    def read(self, html: str):
+        """All lines of a page. Markup that is still open behind the last ">" goes before
+        the parser looks for its end from each of its places anew."""
+        end = html.rfind(">") + 1
+        self.feed(html[:end])
+        tail = html[end:]
+        found = _MARKUP.search(tail)
+        self.ending = True
+        self.feed(tail[: found.start()] if found else tail)
+        return self.finish()
+
     def finish(self):
         self.close()
         self.cut()
@@ -233,8 +250,7 @@ def _sums(values: np.ndarray, line_at: np.ndarray, parents: np.ndarray) -> np.nd
 
 def main_text(html: str, sigma: float = 1.0, border: float = 2.0, share: float = 0.1, most: float = 0.5, fair: float = 0.25, links: float = 0.75) -> str:
     events = Events()
-    events.feed(html)
-    lines = events.finish()
+    lines = events.read(html)
     if not lines:
         return ""
     tag = [x[0] for x in events.elements]

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 from zlib import crc32
 
@@ -13,7 +14,7 @@ import xxhash
 from compare import connect, rows
 from pyspark.sql import functions as F
 
-from chronoloom.llm import simhash, spelling, whitening
+from chronoloom.llm import html_text, license_scan, simhash, spelling, whitening
 from chronoloom.llm.common import read_table
 from chronoloom.llm.queries import ORACLES, QUERIES
 
@@ -253,3 +254,35 @@ def test_no_driver_sized_results(spark, data):
     plan = QUERIES["op13_spelling"](spark, data)._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "BroadcastNestedLoop" not in plan
     assert QUERIES["op11_simhash"](spark, data).where(F.col("component_id") > F.col("doc_id")).isEmpty()
+
+
+# Inputs that once took a time with the square of their length
+
+
+@pytest.mark.parametrize("text", [" " * 200_000, "\t" * 200_000, "　" * 200_000, "a" + " " * 100_000 + "b", "▁ " * 20_000])
+def test_long_runs_of_white_space_are_encoded_as_by_the_library(text):
+    import sentencepiece
+
+    from chronoloom.llm.queries import tokenizer_path
+    from chronoloom.llm.sentencepiece_codec import Codec
+
+    start = time.process_time()
+    got = Codec(tokenizer_path()).ids(text)
+    assert time.process_time() - start < 30
+    assert got == sentencepiece.SentencePieceProcessor(model_file=tokenizer_path()).encode(text)
+
+
+@pytest.mark.parametrize("part", ["<!--", "<!", "<a ", "</", "<?", "<p>seen<!--"])
+def test_markup_without_an_end_is_read_in_proportion(part):
+    start = time.process_time()
+    text = html_text.main_text("<p>Plain words of a page.</p>" + part * 100_000)
+    assert time.process_time() - start < 10 and text.startswith("Plain words of a page.") and "<" not in text
+    assert html_text.main_text("<p>Plain words of a page.</p>" + part * 100_000 + "></p>") is not None
+
+
+def test_repeated_notices_are_scanned_in_proportion(spark):
+    one = "Licensed under the MIT License\n"
+    start = time.perf_counter()
+    got = license_scan.scan_licenses(docs(spark, [one * 20_000, one])).orderBy("doc_id").collect()
+    assert time.perf_counter() - start < 60
+    assert (got[0]["n_base"], got[1]["n_base"]) == (20_000, 1) and got[0]["labels"] == got[1]["labels"] == "mit" and got[0]["last_word"] == 5 * 19_999 + 3
