@@ -19,7 +19,12 @@ def negatives(edges: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     """(eid, src, dst, neg): a target by an arithmetic hash; one that is the event's own
     moves to the next place of the pool once."""
     n = targets.count()
-    drawn = edges.select("eid", "src", "dst", F.pmod(F.pmod(F.col("eid") * 48271 + seed, F.lit(2147483647)), F.lit(n)).alias("i"))
+    prime = F.lit(2147483647)
+    # the remainder first: large ids do not overflow
+    draw = F.pmod(F.pmod("eid", prime) * 48271 + seed, prime)
+    if n > 2147483647:  # two residues, so that every target can be drawn
+        draw = F.pmod(F.pmod("eid", prime) * 16807 + seed, prime) * prime + draw
+    drawn = edges.select("eid", "src", "dst", F.pmod(draw, F.lit(n)).alias("i"))
     first = drawn.join(targets.select("i", F.col("node").alias("neg")), "i")
     moved = first.withColumn("i", F.when(F.col("neg") == F.col("dst"), F.pmod(F.col("i") + 1, F.lit(n))).otherwise(F.col("i")))
     return moved.drop("neg").join(targets.select("i", F.col("node").alias("neg")), "i").select("eid", "src", "dst", "neg")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.operators.events import running_total
+from chronoloom.operators.events import running_in, running_total
+from chronoloom.operators.partitioning import mixed
+from chronoloom.scratch import materialise
 
 
 def spine(df: DataFrame, n: int) -> DataFrame:
@@ -97,16 +99,61 @@ def model_windows(snaps: DataFrame, size: int) -> DataFrame:
     return pairs.select("at", (F.col("at") - F.col("age")).alias("snap"), F.col("age").cast("long").alias("age")).where("snap >= 0")
 
 
-def novelty_cuts(edges_numbered: DataFrame, batch_size: int, alpha: float = 1.0, beta: float = 0.5) -> DataFrame:
-    """Information-aware slices: fixed batches are scored by the share of pairs not seen
-    before, alpha * new - beta * repeated; a slice ends where the running score passes a
-    whole number. A substitute contract: (batch, score, slice)."""
-    first = edges_numbered.groupBy("src", "dst").agg(F.min("rn").alias("first_rn"))
-    tagged = edges_numbered.join(first, ["src", "dst"]).withColumn("batch", F.floor(F.col("rn") / batch_size).cast("long"))
-    score = F.avg(F.when(F.col("rn") == F.col("first_rn"), alpha).otherwise(-beta))
-    per_batch = tagged.groupBy("batch").agg(F.greatest(score, F.lit(0.0)).alias("score"))
-    before = running_total(per_batch, ["batch"], {"_before": F.col("score")})
-    return before.select("batch", "score", F.floor("_before").cast("long").alias("slice"))
+def novelty_events(numbered: DataFrame, batch_size: int, alpha: float = 1.0, beta: float = 0.5, aggl: float = 0.0, drop_rate: float = 0.0, window_size: int = 1000) -> DataFrame:
+    """Information-aware slices: (eid, batch, score, slice, kept). An event repeats if its
+    pair has come among the ``window_size`` events before it. A fixed batch scores alpha for
+    the share of new events less beta for that of repeated ones, zero at least, in whole
+    thousandths; a slice ends where the running score passes ``1 + aggl``. Of repeated
+    events a share of ``drop_rate`` is marked as not kept, by a hash. A substitute contract,
+    as the original's program is not public. The event before of a pair is found by numbers
+    inside the pair and an equi-join, so a pair with very many events is no hot window."""
+    pair = F.struct("src", "dst")
+    placed = materialise(running_in(numbered.select("eid", "rn", pair.alias("pair")), "pair", ["rn"], "k"))
+    last = placed.select("pair", (F.col("k") + 1).alias("k"), F.col("rn").alias("last"))
+    again = F.coalesce(F.col("rn") - F.col("last") <= window_size, F.lit(False))
+    tagged = materialise(placed.join(last, ["pair", "k"], "left").select("eid", F.floor(F.col("rn") / batch_size).cast("long").alias("batch"), again.alias("again")))
+    repeats = F.sum(F.col("again").cast("long"))
+    exact = (alpha * (F.count("*") - repeats) - beta * repeats) * 1000 / F.count("*")
+    per_batch = materialise(tagged.groupBy("batch").agg(F.greatest(F.lit(0), F.round(exact).cast("long")).alias("units")))
+    before = running_total(per_batch, ["batch"], {"_before": F.col("units")})
+    slices = before.select("batch", (F.col("units") / 1000).alias("score"), F.floor(F.col("_before") / (1000 * (1 + aggl))).cast("long").alias("slice"))
+    # 31 bits of a hash against the share
+    dropped = F.col("again") & (mixed(F.col("eid"), 13) < int(drop_rate * 2147483647))
+    return tagged.join(slices, "batch").select("eid", "batch", "score", "slice", (~dropped).alias("kept"))
+
+
+def novelty_cuts(numbered: DataFrame, batch_size: int, **options) -> DataFrame:
+    """(batch, score, slice) of ``novelty_events``."""
+    return novelty_events(numbered, batch_size, **options).select("batch", "score", "slice").distinct()
+
+
+def decayed_ends(ends: list[int], steps: list[int], size: int) -> list[int | None]:
+    """For each age in a window the number of leading nodes that is left: all of the newest
+    snapshot, then by falling steps of a decay the end of so many chunks, the last one again
+    where there are more ages than steps."""
+    falling = sorted(steps, reverse=True)
+    return [None, *[ends[(falling[min(a, len(falling) - 1)]) - 1] if falling else None for a in range(size - 1)]][:size]
+
+
+def decayed_windows(snap_edges: DataFrame, places: DataFrame, ends: list[int | None], snaps: int) -> DataFrame:
+    """(at, age, ...edge): the window of ``len(ends)`` snapshots up to each one, older ones cut
+    to the edges among their first nodes. places: (node, place), chunk by chunk. Places are
+    joined once, and only edges that some window keeps are repeated for it."""
+    one, two = (places.select(F.col("node").alias(e), F.col("place").alias(f"_{e}")) for e in ("src", "dst"))
+    reach = F.greatest("_src", "_dst")
+    fits = F.array(*[F.when(F.lit(True) if end is None else reach < end, F.lit(age)) for age, end in enumerate(ends)])
+    kept = snap_edges.join(one, "src").join(two, "dst").select(*snap_edges.columns, F.explode(F.filter(fits, lambda a: a.isNotNull())).alias("age"))
+    at = (F.col("snap") + F.col("age")).cast("long")
+    return kept.select(at.alias("at"), F.col("age").cast("long").alias("age"), *[c for c in snap_edges.columns if c != "snap"]).where(F.col("at") < snaps)
+
+
+def window_mixed(current: DataFrame, previous: DataFrame, places: DataFrame, end: int | None, need: int | None, width: int) -> DataFrame:
+    """(node, state) of the first ``need`` nodes: the state of the cut snapshot for its
+    first ``end`` ones, behind them that of the snapshot before, or zeros."""
+    nodes = places if need is None else places.where(F.col("place") < need)
+    joined = nodes.join(current.withColumnRenamed("state", "_c"), "node", "left").join(previous.withColumnRenamed("state", "_p"), "node", "left")
+    own = F.col("_c") if end is None else F.when(F.col("place") < end, F.col("_c"))
+    return joined.select("node", F.coalesce(own, "_p", F.array_repeat(F.lit(0.0), width)).alias("state"))
 
 
 def time_windows(edges: DataFrame, at: Column, width: str, slide: str | None = None) -> DataFrame:

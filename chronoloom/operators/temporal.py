@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.operators.events import running_in
+from chronoloom.scratch import materialise
 
 
 def asof(queries: DataFrame, history: DataFrame, key: str, at: str, values: list[str], order: str | None = None) -> DataFrame:
@@ -90,6 +91,33 @@ def uniform_k_of(roots: DataFrame, edges: DataFrame, k: int, seed: int = 7) -> D
     return _fetched(wanted.select("root", F.col("ts").alias("root_ts"), "rank", F.pmod(draw, F.col("n")).alias("n")), ranked).select("root", "root_ts", "nbr_eid", "nbr", "dt", "rank")
 
 
+def weighted_k_of(roots: DataFrame, edges: DataFrame, k: int, mass: str = "mass", seed: int = 7) -> DataFrame:
+    """(root, root_ts, nbr_eid, nbr, dt, rank): k draws with replacement from the events of
+    ``src = root`` before any root's time, an event as likely as its mass, a whole number;
+    events without mass are not drawn. A draw is a place in the running sum of the root's
+    masses. Sums are cut into stretches as wide as the root's mean mass, an event stands in
+    every stretch that it reaches into (two for each event, on average), and a draw meets
+    the events of its own stretch only: an equi-join, and one or two rows for a draw."""
+    held = edges.select(F.col("src").alias("root"), "ts", F.lit(1).alias("is_edge"), "eid", F.col("dst").alias("nbr"), F.greatest(F.lit(0), F.coalesce(F.col(mass), F.lit(0))).cast("long").alias("m"))
+    asked = roots.select("root", F.col("root_ts").alias("ts"), F.lit(0).alias("is_edge")).distinct()
+    tagged = materialise(held.unionByName(asked, allowMissingColumns=True))
+    placed = materialise(running_in(tagged, "root", ["ts", "is_edge", "eid"], "before", value=F.coalesce("m", F.lit(0).cast("long"))))
+    width = placed.where("is_edge = 1 and m > 0").groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("m") / F.count("*"))).cast("long").alias("width"))
+    wide = placed.join(width, "root")
+    prime = F.lit(2147483647)
+    own = F.pmod(F.pmod("root", prime) * 31 + F.pmod("ts", prime), prime)
+    # two residues make a number up to 2 ** 62, as sums of masses may be large
+    low = F.pmod(own * 48271 + F.col("rank") * 7919 + seed, prime)
+    high = F.pmod(own * 16807 + F.col("rank") * 104729 + seed, prime)
+    draws = wide.where("is_edge = 0 and before > 0").withColumn("rank", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long"))))
+    draws = draws.select("root", F.col("ts").alias("root_ts"), "rank", F.pmod(high * prime + low, F.col("before")).alias("at"), "width")
+    draws = draws.withColumn("stretch", F.expr("at div width"))
+    reach = F.explode(F.expr("sequence(before div width, (before + m - 1) div width)"))
+    events = wide.where("is_edge = 1 and m > 0").withColumn("stretch", reach).select("root", "stretch", F.col("before").alias("first"), "m", F.col("eid").alias("nbr_eid"), "nbr", F.col("ts").alias("nbr_ts"))
+    met = draws.join(events, ["root", "stretch"]).where("at >= first and at < first + m")
+    return met.select("root", "root_ts", "nbr_eid", "nbr", (F.col("root_ts") - F.col("nbr_ts")).alias("dt"), "rank")
+
+
 def each_neighbour_once(found: DataFrame) -> DataFrame:
     """Of a root's samples with the same neighbour the one of the smallest rank."""
     best = found.groupBy("root", "root_ts", "nbr").agg(F.min(F.struct("rank", "nbr_eid", "dt")).alias("m"))
@@ -114,7 +142,7 @@ def uniform_k(edges: DataFrame, k: int, seed: int = 7) -> DataFrame:
     and an equi-join fetches what stands there."""
     own = running_in(edges.select("eid", "src", "ts"), "src", ["ts", "eid"], "rn", tie="ts", tie_name="before")
     draws = own.where("before > 0").select(F.col("eid").alias("root_eid"), "src", "before", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long"))).alias("draw"))
-    placed = draws.withColumn("rn", F.pmod(F.pmod((F.col("root_eid") * k + F.col("draw")) * 48271 + seed, F.lit(2147483647)), F.col("before")))
+    placed = draws.withColumn("rn", F.pmod(F.pmod((F.pmod("root_eid", F.lit(2147483647)) * k + F.col("draw")) * 48271 + seed, F.lit(2147483647)), F.col("before")))
     return placed.join(own.select("src", "rn", F.col("eid").alias("nbr_eid")), ["src", "rn"]).select("root_eid", "nbr_eid", "draw")
 
 
@@ -123,7 +151,8 @@ def hops(edges: DataFrame, roots: DataFrame, fanout: list[int], sample=recent_k_
     of the next one, at the same time. sample: recent_k_of, uniform_k_of or one of its own."""
     out, at = None, roots.select("root", "root_ts").distinct()
     for hop, k in enumerate(fanout, 1):
-        found = sample(at, edges, k).withColumn("hop", F.lit(hop).cast("long"))
+        # written: the next hop starts from it, and the result holds it too
+        found = materialise(sample(at, edges, k).withColumn("hop", F.lit(hop).cast("long")))
         out = found if out is None else out.unionByName(found)
         at = found.select(F.col("nbr").alias("root"), "root_ts").distinct()
     return out

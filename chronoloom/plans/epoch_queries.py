@@ -114,3 +114,29 @@ def snapshot_epoch(session: Session, weights: dict) -> DataFrame:
         row = session.run(split).withColumn("split", F.lit(split)).crossJoin(session.found.agg(F.count("*").alias("n")))
         out = row if out is None else out.unionByName(row)
     return out.select("split", *[F.round(c, 5).alias(c) for c in ("mse", "mae", "rmse", "nmae")], "n")
+
+
+def streaming_cut_sql(events: str, parts: int, batches: int, decay: float, mixed: Callable[[str], str]) -> str:
+    """The part of each edge; copies, degrees and loads go on from batch to batch."""
+    out = [events, f"si AS (SELECT greatest(1, (count(*) + {batches - 1}) // {batches})::BIGINT AS per FROM ev)"]
+    state, placed = None, []
+    for t in range(batches):
+        old = state or "(SELECT NULL::BIGINT AS node, NULL::INTEGER[] AS parts, NULL::DOUBLE AS degree, NULL::DOUBLE AS seen WHERE FALSE)"
+        before = " UNION ALL ".join(f"SELECT part FROM p{i}" for i in placed) or "SELECT NULL::INTEGER AS part WHERE FALSE"
+        loads = ", ".join(f"(SELECT count(*) FROM ({before}) WHERE part = {p}) AS l{p}" for p in range(parts))
+        ls = ", ".join(f"l{p}" for p in range(parts))
+        copy = lambda end, p, own: f"CASE WHEN list_contains({end}_parts, {p}) THEN 2.0 - ({own}) ELSE 0.0 END"
+        score = lambda p: f"round({copy('src', p, 'share')} + {copy('dst', p, '1.0 - share')} + (greatest({ls}) - l{p})::DOUBLE / (1.0 + greatest({ls}) - least({ls})), 9)"  # noqa: B023, E731
+        best = f"-(list_reverse_sort([{', '.join(f'[{score(p)}, {-p}.0::DOUBLE]' for p in range(parts))}])[1][2])::INTEGER"
+        out += [
+            f"r{t} AS (SELECT eid, src, dst, ts FROM ev, si WHERE rn >= {t} * per AND rn < {t + 1} * per)",
+            f"n{t} AS (SELECT max(ts)::DOUBLE AS now FROM r{t})",
+            f"k{t} AS MATERIALIZED (SELECT e.node, coalesce(parts, []) AS parts, round(coalesce(degree * exp(-{decay!r} * (now - seen)), 0.0) + n, 9) AS degree FROM (SELECT node, count(*) AS n FROM (SELECT src AS node FROM r{t} UNION ALL SELECT dst FROM r{t}) GROUP BY node) e LEFT JOIN {old} s ON s.node = e.node, n{t})",
+            f"b{t} AS (SELECT eid, src, dst, a.parts AS src_parts, b.parts AS dst_parts, a.degree AS da, b.degree AS db, a.degree / (a.degree + b.degree) AS share FROM r{t} JOIN k{t} a ON a.node = src JOIN k{t} b ON b.node = dst)",
+            f"o{t} AS (SELECT {loads})",
+            f"p{t} AS MATERIALIZED (SELECT eid, src, dst, CASE WHEN len(src_parts) = 0 AND len(dst_parts) = 0 THEN (({mixed('CASE WHEN da <= db THEN src ELSE dst END')}) % {parts})::INTEGER ELSE {best} END AS part FROM b{t}, o{t})",
+            f"s{t} AS MATERIALIZED (SELECT k.node, list_sort(list_distinct(list_concat(k.parts, m.more))) AS parts, degree, now AS seen FROM k{t} k JOIN (SELECT node, list(DISTINCT part) AS more FROM (SELECT src AS node, part FROM p{t} UNION ALL SELECT dst, part FROM p{t}) GROUP BY node) m ON m.node = k.node, n{t} UNION ALL SELECT * FROM {old} o WHERE node NOT IN (SELECT node FROM k{t}))",
+        ]
+        placed.append(t)
+        state = f"s{t}"
+    return "WITH " + ",\n".join(out) + "\n" + " UNION ALL ".join(f"SELECT eid, part FROM p{t}" for t in placed)

@@ -17,17 +17,20 @@ from pyspark.sql import functions as F
 from chronoloom.functions import metrics as mt
 from chronoloom.operators import events as ev
 from chronoloom.operators import messages as ms
+from chronoloom.operators import multilevel as ml
 from chronoloom.operators import partitioning as pt
 from chronoloom.operators import sampling as sp
 from chronoloom.operators import snapshots as sn
 from chronoloom.operators import state as st
 from chronoloom.operators import temporal as tp
+from chronoloom.operators import vertex_cut as vc
 from chronoloom.plans import epoch_queries as eq
 from chronoloom.plans.datasets import load_dataset
 from chronoloom.plans.session import Session
-from chronoloom.scratch import shared_folder, ship_package
+from chronoloom.scratch import materialise, shared_folder, ship_package
 from chronoloom.sources import artifacts
 from chronoloom.sources import edges as src
+from chronoloom.sources.adjacency import Adjacency
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -256,11 +259,20 @@ def model_windows(spark, sf):
     return sn.model_windows(sizes.select("snap"), 3).join(sizes, "snap").select("at", "snap", "age", "n")
 
 
-@query("novelty_slices", f"""WITH {EV}, f AS (SELECT *, min(rn) OVER (PARTITION BY src, dst) AS fr FROM ev),
-    s AS (SELECT CAST(floor(rn / {BATCH}) AS BIGINT) AS batch, greatest(avg(CASE WHEN rn = fr THEN 1.0 ELSE -0.5 END), 0.0) AS score FROM f GROUP BY ALL)
-    SELECT batch, round(score, 6) AS score FROM s""")
+NOVEL = f"""{EV}, lg AS (SELECT eid, CAST(floor(rn / {BATCH}) AS BIGINT) AS batch, coalesce(rn - lag(rn) OVER (PARTITION BY src, dst ORDER BY rn) <= 500, FALSE) AS again FROM ev),
+    un AS (SELECT batch, greatest(0, CAST(round((count(*) FILTER (NOT again) - 0.5 * count(*) FILTER (again)) * 1000 / count(*)) AS BIGINT)) AS units FROM lg GROUP BY batch),
+    sl AS (SELECT batch, units, CAST(floor(coalesce(sum(units) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 2000.0) AS BIGINT) AS slice FROM un)"""
+
+
+@query("novelty_slices", f"WITH {NOVEL} SELECT batch, units / 1000.0::DOUBLE AS score, slice FROM sl")
 def novelty_slices(spark, sf):
-    return rounded(sn.novelty_cuts(numbered(spark, sf), BATCH).select("batch", "score"), "score")
+    return sn.novelty_cuts(numbered(spark, sf), BATCH, aggl=1.0, window_size=500)
+
+
+@query("novelty_events", f"WITH {NOVEL} SELECT eid, slice, NOT (again AND ((eid % 2147483647) * 48271 + 13) % 2147483647 < {int(0.3 * 2147483647)}) AS kept FROM lg JOIN sl USING (batch)")
+def novelty_events(spark, sf):
+    """Each event with its slice, and whether it is kept where repeated ones are thinned."""
+    return sn.novelty_events(numbered(spark, sf), BATCH, aggl=1.0, drop_rate=0.3, window_size=500).select("eid", "slice", "kept")
 
 
 @query("lifetime_graph", f"WITH {SNAP} SELECT src, dst, count(*) AS n, round(sum(weight), 6) AS weight FROM sn GROUP BY ALL")
@@ -1356,3 +1368,61 @@ DIRECTED = f"{NORMED}, {_sql_pass('fe', 2, 'gs_1', 'list_transform(' + _sql_line
 def session_snapshot_epoch(spark, sf):
     """A snapshot model over all splits, node states handed from window to window."""
     return eq.snapshot_epoch(_model_session(spark, sf, "dtdg", "tgcn", dim=3, window=3), SEQUENCE)
+
+
+# Partitioners, draws by mass, decayed windows, stored adjacency
+
+
+@query("weighted_k", f"""WITH {EV}, m AS (SELECT src, eid, dst, ts, greatest(0, CAST(floor(weight) AS BIGINT)) AS m FROM ev), r AS (SELECT DISTINCT src AS root, ts AS root_ts FROM ev),
+    s AS (SELECT *, sum(m) OVER (PARTITION BY src ORDER BY ts, eid) - m AS first FROM m),
+    t AS (SELECT root, root_ts, CAST(sum(m) AS BIGINT) AS total FROM r JOIN m ON src = root AND ts < root_ts GROUP BY ALL HAVING sum(m) > 0),
+    o AS (SELECT *, ((root % 2147483647) * 31 + root_ts % 2147483647) % 2147483647 AS own FROM t),
+    d AS (SELECT root, root_ts, rank, ((own * 16807 + rank * 104729 + 7) % 2147483647 * 2147483647 + (own * 48271 + rank * 7919 + 7) % 2147483647) % total AS place FROM o, (SELECT unnest(range(1, 4)) AS rank))
+    SELECT root, root_ts, eid AS nbr_eid, dst AS nbr, root_ts - ts AS dt, rank FROM d JOIN s ON src = root AND place >= first AND place < first + m""")
+def weighted_k(spark, sf):
+    """Three draws by mass for the sources of all events at their times."""
+    g = graph(spark, sf)
+    return tp.weighted_k_of(g.select(F.col("src").alias("root"), F.col("ts").alias("root_ts")), g.withColumn("mass", F.floor("weight")), 3)
+
+
+@query("decayed_windows", f"""WITH {SNAP}, no AS (SELECT DISTINCT node FROM (SELECT src AS node FROM ev UNION ALL SELECT dst FROM ev)), pl AS (SELECT node, row_number() OVER (ORDER BY 3 - node % 4, node) - 1 AS place, 3 - node % 4 AS rank FROM no),
+    en AS (SELECT count(*) FILTER (rank < 1) AS e1, count(*) FILTER (rank < 2) AS e2 FROM pl),
+    ed AS (SELECT snap, eid, greatest(a.place, b.place) AS reach FROM sn JOIN pl a ON a.node = src JOIN pl b ON b.node = dst)
+    SELECT snap + age AS at, age, count(*) AS n, CAST(sum(eid) AS BIGINT) AS eids FROM ed, en, (SELECT unnest(range(3)) AS age) WHERE snap + age < {SNAPS} AND reach < CASE age WHEN 0 THEN 1e18 WHEN 1 THEN e2 ELSE e1 END GROUP BY ALL""")
+def decayed_windows(spark, sf):
+    """Windows of three snapshots whose older ones keep the first two chunks, then one."""
+    nodes = node_parts(spark, sf).withColumn("chunk", F.pmod("node", F.lit(4)).cast("int"))
+    rank = pt.chunk_order("reverse", 4)
+    ends = [r["end"] for r in pt.chunk_ends(nodes, rank).orderBy("rank").collect()]  # a row for each chunk
+    places = pt.permuted(nodes.withColumn("all", F.lit(0)), rank, "all").select("node", "place")
+    kept = sn.decayed_windows(snapped(spark, sf).select("snap", "eid", "src", "dst"), places, sn.decayed_ends(ends, pt.chunk_decay(2, 4), 3), SNAPS)
+    return kept.groupBy("at", "age").agg(F.count("*").alias("n"), F.sum("eid").alias("eids"))
+
+
+@query("adjacency_stored", f"WITH {EV}, d AS (SELECT src, count(*) AS degree FROM ev GROUP BY ALL) SELECT ev.src AS node, dst AS nbr, eid, degree FROM ev JOIN d USING (src) WHERE ev.src % 3 <> 0")
+def adjacency_stored(spark, sf):
+    """Neighbours from the bucketed table, with their nodes' degrees."""
+    stored = Adjacency.write(graph(spark, sf), 8)
+    asked = graph(spark, sf).select(F.col("src").alias("node")).where("node % 3 != 0").distinct()
+    return stored.neighbours(asked).join(stored.degrees(), "node").select("node", "nbr", "eid", "degree")
+
+
+@query("streaming_cut", eq.streaming_cut_sql(EV, PARTS, 4, 1e-13, _sql_mixed))
+def streaming_cut(spark, sf):
+    """Edges placed by the copies, decayed degrees and loads that earlier batches left."""
+    return vc.streaming_cut(numbered(spark, sf), PARTS, 4, 1e-13)[1]
+
+
+@query("multilevel_parts", f"WITH {EV} SELECT CAST(p AS INTEGER) AS part, TRUE AS in_room, n AS nodes, n AS placed, TRUE AS cut_below_hash FROM (SELECT count(DISTINCT node) AS n FROM (SELECT src AS node FROM ev UNION ALL SELECT dst FROM ev)), (SELECT unnest(range({PARTS})) AS p)")
+def multilevel_parts(spark, sf):
+    """Whether each part is within a tenth of its share, every node stands in one part, and
+    fewer edges cross than with hashed parts; the parts themselves have no SQL."""
+    g = graph(spark, sf)
+    found = materialise(ml.multilevel(g, PARTS))
+    nodes = node_parts(spark, sf).select("node", pt.hashed(F.col("node"), PARTS).alias("part"))
+    crossing = lambda p: pt.cross_ratio(g, p).first()[0]
+    better = crossing(found) < crossing(nodes)
+    n, limit = nodes.count(), -(-nodes.count() * 1.1 // PARTS)
+    placed = found.select("node").distinct().count() if found.count() == n else -1
+    sizes = spark.range(PARTS).select(F.col("id").cast("int").alias("part")).join(found.groupBy("part").agg(F.count("*").alias("size")), "part", "left")
+    return sizes.select("part", (F.coalesce("size", F.lit(0)) <= limit).alias("in_room"), F.lit(n).cast("long").alias("nodes"), F.lit(placed).cast("long").alias("placed"), F.lit(better).alias("cut_below_hash"))
