@@ -1091,6 +1091,30 @@ def mailbox_streamed(spark, sf):
     return rows.groupBy("node", "slot").agg(F.max_by(F.struct("eid", "ts"), "n").alias("m")).select("node", "slot", "m.*")
 
 
+STRETCH = 43_200_000_000  # half a day
+
+
+@query("mailbox_in_time", f"""WITH {EV}, ma AS (SELECT ts // {STRETCH} AS batch, eid, ts, src AS node, dst AS peer, 0 AS side FROM ev UNION ALL SELECT ts // {STRETCH}, eid, ts, dst, src, 1 FROM ev),
+    ca AS (SELECT node, batch, side, count(*) AS n, max({{'ts': ts, 'eid': eid, 'peer': peer}}) AS last FROM ma GROUP BY ALL),
+    wr AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY node ORDER BY batch, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) % {SLOTS} AS slot FROM ca)
+    SELECT node, slot, m.eid AS eid, m.peer AS peer FROM (SELECT node, slot, max_by(last, batch * 2 + side) AS m FROM wr GROUP BY ALL)""")
+def mailbox_in_time(spark, sf):
+    """The mailbox as timers in keyed state build it; a later event of no node closes the
+    last stretch."""
+    from chronoloom.streaming import mailbox as mb
+
+    root = _folder(spark)
+    events = graph(spark, sf).select("eid", "src", "dst", "ts")
+    end = events.agg(F.lit(-1).cast("long").alias("eid"), F.lit(-1).cast("long").alias("src"), F.lit(-1).cast("long").alias("dst"), (F.max("ts") + 3 * STRETCH).alias("ts"))
+    events.unionByName(end).write.parquet(f"{root}/in")
+    rings = mb.mailbox_in_time(spark.readStream.schema(events.schema).parquet(f"{root}/in"), SLOTS, STRETCH, "1 hour")
+    with mb.keyed_state(spark):
+        q = rings.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.read.parquet(f"{root}/out").where("node >= 0")
+    return rows.groupBy("node", "slot").agg(F.max_by(F.struct("eid", "peer"), "touched").alias("m")).select("node", "slot", "m.*")
+
+
 # Models: learned weights are stood in for by fixed ones
 
 def fixed_weights(seed: int, *shape: int) -> np.ndarray:
