@@ -277,6 +277,14 @@ def readout(states: DataFrame, matrix: np.ndarray, bias: np.ndarray, state: str
     return states.withColumn("pred", linear(F.slice(state, -len(matrix), len(matrix)), matrix, bias))
 
 
+def classify(rows: DataFrame, weights: dict, feat: str = "feat") -> DataFrame:
+    """Rows with ``logits`` of the classes and ``predicted``, the largest of them (the first
+    of equal ones): a linear map, relu and a second linear map. weights: hidden, out with
+    biases bhidden, bout."""
+    logits = linear(relu(linear(F.col(feat), weights["hidden"], weights["bhidden"])), weights["out"], weights["bout"])
+    return rows.withColumn("logits", logits).withColumn("predicted", (F.array_position("logits", F.array_max("logits")) - 1).cast("int"))
+
+
 def normalised_layer(vector: Column) -> Column:
     n = F.size(vector)
     mean = F.aggregate(vector, F.lit(0.0), lambda s, v: s + v) / n

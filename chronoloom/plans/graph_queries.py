@@ -1352,6 +1352,17 @@ def temporal_attention(spark, sf):
     return _entries(_attended(spark, sf), "feat", "root", "root_ts")
 
 
+CLASSIFY = {"hidden": fixed_weights(61, 2, 5), "bhidden": fixed_weights(62, 5), "out": fixed_weights(63, 5, 3), "bout": fixed_weights(64, 3)}
+
+
+@query("node_classes", f"""WITH {FEATS}, h AS (SELECT snap, node, list_transform({_sql_linear('x', CLASSIFY['hidden'], CLASSIFY['bhidden'])}, lambda t: greatest(t, 0.0)) AS h FROM fe),
+    l AS (SELECT snap, node, {_sql_linear('h', CLASSIFY['out'], CLASSIFY['bout'])} AS z FROM h)
+    SELECT snap, node, CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS predicted, round(list_max(z), 5) AS logit FROM l""")
+def node_classes(spark, sf):
+    """Classes of nodes in each snapshot from their degrees."""
+    return ms.classify(_degree_features(spark, sf), CLASSIFY).select("snap", "node", "predicted", F.round(F.array_max("logits"), 5).alias("logit"))
+
+
 PREDICT = {"src": fixed_weights(50, 4, 4), "dst": fixed_weights(51, 4, 4), "out": fixed_weights(52, 4, 1), "bsrc": fixed_weights(53, 4), "bdst": fixed_weights(54, 4), "bout": fixed_weights(55, 1)}
 
 

@@ -239,3 +239,17 @@ def test_adam_is_saved_and_loaded(spark):
     g = {k: np.cos(v) for k, v in w.items()}
     x, y = one.step(moved, g), two.step(back, g)
     assert all(np.array_equal(x[k], y[k]) for k in w)
+
+
+def test_settings_come_from_a_file_and_the_command_line(spark, tmp_path, capsys):
+    from chronoloom.__main__ import main, settings
+
+    path = tmp_path / "session.json"
+    path.write_text('{"mode": "dtdg", "model": "evolvegcn", "snaps": 4, "dim": 3, "window": 2, "epochs": 5}')
+    assert settings(spark, str(path), epochs=1, mode=None) == {"mode": "dtdg", "model": "evolvegcn", "snaps": 4, "dim": 3, "window": 2, "epochs": 1}
+    assert settings(spark, None, mode="ctdg") == {"mode": "ctdg"}
+    events(spark, 60).drop("eid").coalesce(1).write.option("header", True).csv(str(tmp_path / "edges"))
+    main(["--edges", str(tmp_path / "edges"), "--root", str(tmp_path / "root"), "--config", str(path), "--epochs", "1", "--checkpoint", str(tmp_path / "cp")])
+    said = capsys.readouterr().out
+    assert "'mode': 'dtdg'" in said and "nmae" in said and "pred" in said
+    assert artifacts.read_meta(spark, str(tmp_path / "cp"))["model"] == "evolvegcn"
