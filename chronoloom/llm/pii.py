@@ -14,9 +14,11 @@ Sanitising puts the kind in place of each span.
 Values and words with them come from the documents with base spans alone; the document
 counts of candidate words are taken over all documents. Values in fewer than ``support``
 documents, and words too frequent for the value, cannot reach the threshold and are left
-out before pairs are counted. A value or word that very many documents share is
-aggregated before any shuffle, and words that are too frequent for every value leave the
-pairs without one.
+out before pairs are counted. Values that stand in the same documents form one class, and
+so do words with the same documents and count, as their information is the same: pairs are
+those of classes, and copies of a document with very many values and words make few. A
+value or word that very many documents share is aggregated before any shuffle, and words
+that are too frequent for every value leave the pairs without one.
 
 Places are running sums of lengths. They, and cuts of long texts, work block by block, so
 that a text with n spans costs little more than n steps.
@@ -191,10 +193,22 @@ def _words(text: Column) -> Column:
 
 
 def _places(text: Column, words: Column) -> Column:
-    """Spans of kind ``term`` wherever one of the words stands."""
-    found = matches(text, _WORD)
-    hits = F.filter(found, lambda x: F.array_contains(words, F.lower(x["value"])))
-    return F.transform(hits, lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), x["stop"].alias("stop"), F.lit("").alias("value")))
+    """Spans of kind ``term`` wherever one of the words stands. A word is looked for among
+    those of its hash, in about as many lists as the root of their number."""
+
+    def of(s: Column) -> Column:
+        lists = lambda w: F.pmod(F.xxhash64(w), s["width"])
+        parts = F.transform(F.sequence(F.lit(0), s["width"] - 1), lambda b: F.filter(s["words"], lambda w: lists(w) == b))
+
+        def among(state: Column) -> Column:
+            placed = F.transform(state["found"], lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.lower(x["value"]).alias("word")))
+            hits = F.filter(placed, lambda x: F.array_contains(F.element_at(state["parts"], (lists(x["word"]) + 1).cast("int")), x["word"]))
+            return F.transform(hits, lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), x["stop"].alias("stop"), F.lit("").alias("value")))
+
+        return let(F.struct(parts.alias("parts"), s["found"].alias("found")), among)
+
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(words)))).cast("int")
+    return let(F.struct(words.alias("words"), width.alias("width"), matches(text, _WORD).alias("found")), of)
 
 
 def _entity(span: Column) -> Column:
@@ -215,40 +229,59 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
+def _class_of(row: Column) -> list[Column]:
+    """Sums that are equal for equal sets of rows (128 bits of hashes; no sum of up to
+    2^31 rows overflows). They need no order and are added up before any shuffle."""
+    parts = []
+    for seed in (0, 1):
+        h = F.xxhash64(row, F.lit(seed))
+        parts += [F.sum(F.shiftrightunsigned(h, 32)).alias(f"high{seed}"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"low{seed}")]
+    return parts
+
+
+def _class_key(*more: str) -> Column:
+    return F.unhex(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in ("high0", "low0", "high1", "low1", *more)])))
+
+
 def analyse(docs: DataFrame, alpha: float = 1.25, support: int = 2, doc_id: str = "doc_id", doc_text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The rows (row_key, doc_id, base spans) and the disclosing words' spans (row_key, terms)."""
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_text), F.lit("")).alias("text"), _row_key(doc_id, doc_text).alias("row_key"))
     found = texts.select("doc_id", "row_key", "text", base_spans(F.col("text")).alias("base"))
-    rows = stash(found.select("doc_id", "row_key", "base", F.array_distinct(F.transform("base", _entity)).alias("entities"), _words(_blanked(F.col("text"), F.col("base"))).alias("words")))
-    # a row is a document, and repeated rows are documents of their own
+    # a row is a document, and repeated rows are documents of their own: its number is written with it
+    rows = stash(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "row_key", "base", F.array_distinct(F.transform("base", _entity)).alias("entities"), _words(_blanked(F.col("text"), F.col("base"))).alias("words")))
     base_rows = rows.where(F.size("base") > 0)
     total = float(max(1, rows.count()))
-    with_entity = stash(base_rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity")).where((F.col("with_entity") >= support) & (F.col("with_entity") < total)))
-    most = with_entity.agg(F.max("with_entity")).first()[0] or 0
+    counted = base_rows.select("row", F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"), *_class_of(F.col("row")))
+    values = stash(counted.where((F.col("with_entity") >= support) & (F.col("with_entity") < total)).select("entity", "with_entity", _class_key().alias("value_class")))
+    most = values.agg(F.max("with_entity")).first()[0] or 0
     # both <= with_entity, so the threshold bounds with_word; a little wider than that
     bound = F.pow(F.lit(total), F.lit(1 - 1 / alpha)) * F.pow(F.col("with_entity").cast("double"), F.lit(1 / alpha)) * (1 + 1e-6)
-    values = with_entity.select("entity", "with_entity", bound.alias("bound"))
-    held = base_rows.select(F.explode("entities").alias("entity"), "words").join(_small(values), "entity")
-    words = stash(held.select(F.explode("words").alias("word")).distinct())
+    row_values = base_rows.select("row", F.explode("entities").alias("entity")).join(_small(values), "entity").groupBy("row").agg(F.collect_set(F.struct("value_class", "with_entity", bound.alias("bound"))).alias("held_values"))
+    row_values = stash(row_values)
+    held = base_rows.select("row", "words").join(_small(row_values.select("row")), "row", "left_semi").select("row", F.explode("words").alias("word"))
+    # a word in fewer rows with values cannot share enough of them with one
+    words = stash(held.groupBy("word").agg(F.count("*").alias("with_values"), *_class_of(F.col("row"))).where(F.col("with_values") >= support))
     # one row for each word before the words of values are looked up
-    each = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("with_word")).join(_small(words), "word", "left_semi")
+    each = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("with_word")).join(_small(words), "word")
     highest = total ** (1 - 1 / alpha) * most ** (1 / alpha) * (1 + 1e-6)
-    each = stash(each.where(F.col("with_word") >= support))
-    with_word = each.where(F.col("with_word") <= highest)
-    pairs = held.select("entity", "with_entity", "bound", F.explode("words").alias("word"))
+    each = stash(each.select("word", "with_word", _class_key("with_word").alias("word_class")))
+    candidates = each.where(F.col("with_word") <= highest)
     # words of a thousandth of all rows that are too frequent for every value: no more than
     # a thousand times the mean number of words in a row
     frequent = each.where((F.col("with_word") > highest) & (F.col("with_word") >= total / 1000)).select("word")
     if frequent.count() <= SMALL_ROWS:
-        pairs = pairs.join(F.broadcast(frequent), "word", "left_anti")
-    pairs = pairs.join(_small(with_word), "word").where(F.col("with_word") <= F.col("bound"))
-    scored = pairs.groupBy("entity", "word", "with_entity", "with_word").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+        held = held.join(F.broadcast(frequent), "word", "left_anti")
+    row_words = held.join(_small(candidates), "word").groupBy("row").agg(F.collect_set(F.struct("word_class", "with_word")).alias("held_words"))
+    pairs = row_words.join(row_values, "row").select("held_words", F.explode("held_values").alias("v")).select("v.*", F.explode("held_words").alias("w")).select("value_class", "with_entity", "bound", "w.*")
+    pairs = pairs.where(F.col("with_word") <= F.col("bound"))
+    scored = pairs.groupBy("value_class", "word_class", "with_entity", "with_word").agg(F.count("*").alias("both")).where(F.col("both") >= support)
     information = F.log2(F.lit(total) / F.col("with_entity"))
     mutual = F.log2(F.col("both") * total / (F.col("with_entity") * F.col("with_word")))
-    disclosing = stash(scored.where(mutual >= information / alpha).select("word").distinct())
+    classes = stash(scored.where(mutual >= information / alpha).select("word_class").distinct())
+    disclosing = stash(candidates.join(_small(classes), "word_class", "left_semi").select("word"))
     marks = rows.select("row_key", F.explode("words").alias("word")).join(_small(disclosing), "word").groupBy("row_key").agg(F.collect_set("word").alias("marks"))
     marked = texts.join(_small(stash(marks)), "row_key").dropDuplicates(["row_key"]).select("row_key", "marks", "text", base_spans(F.col("text")).alias("base"))
-    return rows.drop("entities", "words"), marked.select("row_key", _places(_blanked(F.col("text"), F.col("base")), F.col("marks")).alias("terms"))
+    return rows.select("doc_id", "row_key", "base"), marked.select("row_key", _places(_blanked(F.col("text"), F.col("base")), F.col("marks")).alias("terms"))
 
 
 def _with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:

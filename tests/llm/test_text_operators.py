@@ -166,6 +166,25 @@ def test_very_many_spans_in_one_text(spark):
     assert took[20_000] < 20 * took[2_000]
 
 
+def test_copies_with_very_many_values_and_words(spark):
+    """Copies that share n values and n words make few pairs of classes."""
+    took = {}
+    for n in (2_000, 20_000):
+        own = " ".join(f"a{i}@corp.example.com w{i} common" for i in range(n))
+        texts = [own, own, own + " w0 left"] + [f"the common text {i}" for i in range(20)] + ["w7 w8 of the other text"]
+        df = docs(spark, texts)
+        start = time.perf_counter()
+        got = {x["doc_id"]: x for x in pii.find_personal_data(df).collect()}
+        took[n] = time.perf_counter() - start
+        assert [got[i]["n_email"] for i in range(4)] == [n, n, n, 0]
+        assert [got[i]["n_term"] for i in (0, 1, 2, 3, 23)] == [n, n, n + 1, 0, 2]
+        assert got[23]["spans"] == "term:0:2,term:3:5"
+        at = own.index("w1234 ")
+        assert f"term:{at}:{at + 5}" in got[0]["spans"].split(",")
+    print(took)
+    assert took[20_000] < 20 * took[2_000]
+
+
 # 2
 
 def decoder_of(spark, given):
