@@ -160,7 +160,8 @@ def with_values(rows: DataFrame, values: DataFrame, key: str, name: str) -> Data
     if name in rows.columns:
         raise ValueError(f"there is a column {name} already")
     found = values.select(key, F.col(name)).groupBy(key).agg(F.count("*").alias("_n"), F.first(name).alias(name))
-    out = rows.join(found, key, "left")
+    # written: rows are counted before they are used
+    out = materialise(rows.join(found, key, "left"))
     wrong = out.where(F.coalesce(F.col("_n"), F.lit(0)) != 1).count()
     if wrong:
         raise ValueError(f"{wrong} rows have no value of {name}, or several")

@@ -5,21 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.operators.events import running_in
+from chronoloom.operators.events import HOT_FROM, running_in
 from chronoloom.scratch import materialise
 
 
-def asof(queries: DataFrame, history: DataFrame, key: str, at: str, values: list[str], order: str | None = None) -> DataFrame:
+def asof(queries: DataFrame, history: DataFrame, key: str, at: str, values: list[str], order: str | None = None, hot_from: int = HOT_FROM, ranges: int | None = None) -> DataFrame:
     """The latest history row at or before each query's time, by a union and one window
     for each key: no inequality join. Of equal times the row of the largest ``order``
-    counts. Unmatched queries have nulls."""
+    counts. Unmatched queries have nulls. Keys of ``hot_from`` rows and more, of which
+    there are few, are cut into ranges of their order, and each range starts with the last
+    row of the ranges before it."""
     tie = F.col(order) if order else F.lit(0)
     left = queries.withColumn("_side", F.lit(1)).withColumn("_tie", F.lit(0).cast("long")).withColumn("_v", F.lit(None).cast(history.select(F.struct(*values)).schema[0].dataType))
     right = history.select(key, at, F.lit(0).alias("_side"), tie.cast("long").alias("_tie"), F.struct(*values).alias("_v"))
     both = left.unionByName(right, allowMissingColumns=True)
-    before = Window.partitionBy(key).orderBy(at, "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_v", F.last("_v", ignorenulls=True).over(before)).where("_side = 1")
-    return found.select(*queries.columns, *[F.col(f"_v.{v}").alias(v) for v in values])
+    own = [at, "_side", "_tie"]
+
+    def latest(rows: DataFrame, *unit: str) -> DataFrame:
+        before = Window.partitionBy(*unit).orderBy(*own).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn("_v", F.last("_v", ignorenulls=True).over(before)).where("_side = 1")
+
+    def found(rows: DataFrame) -> DataFrame:
+        return rows.select(*queries.columns, *[F.col(f"_v.{v}").alias(v) for v in values])
+
+    n = both.count()
+    if n < hot_from:
+        return found(latest(both, key))
+    hot = materialise(both.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= hot_from).select(key))
+    if hot.isEmpty():
+        return found(latest(both, key))
+    # at most n / hot_from keys
+    hot = F.broadcast(hot)
+    cold = latest(both.join(hot, key, "left_anti").select(both.columns), key)
+    dealt = both.join(hot, key, "left_semi").select(both.columns).repartitionByRange(ranges or max(8, n // 2_000_000), key, *own)
+    large = materialise(dealt.withColumn("_range", F.spark_partition_id()))
+    last = large.groupBy(key, "_range").agg(F.max_by("_v", F.when(F.col("_side") == 0, F.struct(at, "_tie"))).alias("_v"))
+    # a row for each range, and one more for each key at most
+    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(key, "_range", F.last("_v", ignorenulls=True).over(earlier).alias("_carry"))
+    inside = latest(large, key, "_range").join(F.broadcast(carried), [key, "_range"]).withColumn("_v", F.coalesce("_v", "_carry"))
+    return found(cold).unionByName(found(inside))
 
 
 def asof_salted(queries: DataFrame, history: DataFrame, key: str, at: str, values: list[str], width: int, order: str | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Small fixtures with results worked out by hand, and invariants."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -148,6 +149,23 @@ def test_asof(spark):
     assert sets(tp.asof_salted(q, h, "node", "ts", ["v"], 2)) == expected
 
 
+def test_asof_of_hot_keys(spark):
+    """Hot keys that are cut into ranges have the same rows as those of one window."""
+    r = random.Random(3)
+    keys = [None, 1, 1, 1, 1, 2, 3]
+    h = [(r.choice(keys), r.randint(0, 60), i, r.choice([None, i])) for i in range(300)]
+    q = [(i, r.choice(keys), r.randint(0, 70)) for i in range(200)] + [(200 + i, 4, 5) for i in range(50)]
+    history = spark.createDataFrame(h, "node long, ts long, seen long, v long")
+    queries = spark.createDataFrame(q, "id long, node long, ts long")
+    want = set()
+    for i, node, ts in q:
+        best = max(((t, s, v) for k, t, s, v in h if k == node and t <= ts), default=(None, None, None), key=lambda x: x[:2])
+        want.add((i, node, ts, *best[1:]))
+    for hot_from, ranges in ((10**6, None), (40, 7), (40, 1), (1, 3)):
+        assert sets(tp.asof(queries, history, "node", "ts", ["seen", "v"], "seen", hot_from=hot_from, ranges=ranges)) == want
+    assert tp.asof(queries.limit(0), history, "node", "ts", ["v"], hot_from=40).count() == 0
+
+
 def test_recent_neighbours_are_strictly_earlier(spark):
     e = spark.createDataFrame([(i, i % 3, i % 5, i // 4) for i in range(60)], "eid long, src long, dst long, ts long")
     got = tp.recent_k(e, 3).join(e.select(F.col("eid").alias("root_eid"), F.col("ts").alias("t")), "root_eid")
