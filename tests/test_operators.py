@@ -396,3 +396,22 @@ def test_tasks_by_name(spark):
     assert tasks.model("tgn") is tasks.model("tgat")
     with pytest.raises(KeyError):
         tasks.task("none")
+
+
+@pytest.mark.parametrize("small", [8_000_000, 0])
+def test_vectors_are_summed_in_one_row_for_each_node(spark, monkeypatch, small):
+    monkeypatch.setattr(ms, "SMALL_ENTRIES", small)
+    edges_ = spark.createDataFrame([(s, 100 + (0 if s < 30 else s % 7), float(s)) for s in range(60)], "src long, dst long, norm double")
+    held = {s: [float(s + i) for i in range(s % 4)] for s in range(50)} | {3: [1.0, None, 2.0]}
+    feats = spark.createDataFrame([(50, None), *held.items()], "node long, feat array<double>")
+    want = {}
+    for s, d, n in ((r["src"], r["dst"], r["norm"]) for r in edges_.collect()):
+        for i, x in enumerate(held.get(s, [])):
+            own = want.setdefault(d, {})
+            own[i] = own.get(i, 0.0) + (0.0 if x is None else n * x)
+    # target 100 is summed in parts, the others by a shuffle of their edges
+    found = ms.propagate_vectors(edges_, feats, hot_from=20)
+    assert "explode" not in found._jdf.queryExecution().toString()
+    assert {r["node"]: dict(enumerate(r["feat"])) for r in found.collect()} == want
+    by_snap = ms.propagate_vectors(edges_.withColumn("snap", F.lit(1)), feats.withColumn("snap", F.lit(1)), by=["snap"], width=3)
+    assert {r["node"]: dict(enumerate(r["feat"])) for r in by_snap.collect()} == want
