@@ -2,10 +2,11 @@
 
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from chronoloom.operators import state as st
-from chronoloom.streaming.mailbox import PROVIDER, keyed_state, mailbox_in_time, stretches
+from chronoloom.streaming.mailbox import PROVIDER, Mailbox, keyed_state, mailbox_in_time, stretches
 
 WIDTH, START = 60_000_000, 1_000 * 60_000_000  # a minute; event times of the epoch itself count as late
 
@@ -36,3 +37,44 @@ def test_stream_with_late_and_repeated_events_equals_batch(spark, tmp_path):
     pos = got.groupBy("node").agg(F.max_by("pos", "touched").alias("pos"))
     assert {tuple(r) for r in pos.collect()} == {tuple(r) for r in st.ring_position(batch, 3).collect()}
     assert got.groupBy("node", "touched").count().agg(F.max("count")).first()[0] <= 3  # a hot node's output is its ring
+
+
+class Held:
+    """State, timers and watermark of one key, with the number of accesses."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls, self.now = None, set(), 0, 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.now
+
+
+def test_accesses_to_state_do_not_grow_with_stretches():
+    held = Held()
+    box = Mailbox(3, 1000)
+    box.init(held)
+    rows = [Row(batch=b, side=0, eid=b, ts=b * 1000, peer=7) for b in range(100, 200)]
+    assert list(box.handleInputRows((1,), iter(rows), held)) == [] and held.calls <= 3 and held.timers == {101}
+    box.handleInputRows((1,), iter([Row(batch=90, side=1, eid=500, ts=90_500, peer=8)]), held)
+    assert held.timers == {91, 101}
+    held.calls, held.now = 0, 101
+    out = list(box.handleExpiredTimer((1,), held, None))
+    assert {(r["slot"], r["eid"], r["peer"]) for r in out} == {(0, 500, 8), (1, 100, 7)} and held.calls <= 3 and 102 in held.timers
+    held.now = 1000
+    assert {(r["eid"], r["pos"]) for r in box.handleExpiredTimer((1,), held, None)} == {(197, 2), (198, 2), (199, 2)}
+    assert held.value[2] == []
+    assert list(box.handleExpiredTimer((1,), held, None)) == []
