@@ -415,3 +415,19 @@ def test_vectors_are_summed_in_one_row_for_each_node(spark, monkeypatch, small):
     assert {r["node"]: dict(enumerate(r["feat"])) for r in found.collect()} == want
     by_snap = ms.propagate_vectors(edges_.withColumn("snap", F.lit(1)), feats.withColumn("snap", F.lit(1)), by=["snap"], width=3)
     assert {r["node"]: dict(enumerate(r["feat"])) for r in by_snap.collect()} == want
+
+
+def test_links_of_a_session_are_made_once_for_all_epochs(spark, tmp_path, ring):
+    calls = []
+
+    def negatives(own, pool):
+        calls.append(1)
+        return sp.negatives(own, pool, 7)
+
+    s = Session.from_config(spark, {"epochs": 2, "batch_size": 2}, ring.drop("rn"), str(tmp_path), ratio=[0.5, 0.25, 0.25])
+    s.prepare_data()
+    s.build_runtime().hooks["negatives"] = negatives
+    assert s.run_task().count() == 4 and len(calls) == 2  # one for each split
+    s.hooks["negatives"] = lambda own, pool: negatives(own, pool)
+    s.run("val")
+    assert len(calls) == 3
