@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.functions import gradients as gr
-from chronoloom.operators import learning, memory, sequences
+from chronoloom.operators import learning, memory, sequences, temporal
 from chronoloom.plans.session import Session
 from chronoloom.sources import artifacts
 
@@ -253,3 +253,30 @@ def test_settings_come_from_a_file_and_the_command_line(spark, tmp_path, capsys)
     said = capsys.readouterr().out
     assert "'mode': 'dtdg'" in said and "nmae" in said and "pred" in said
     assert artifacts.read_meta(spark, str(tmp_path / "cp"))["model"] == "evolvegcn"
+
+
+@pytest.mark.parametrize("cut", [{}, {"hot_from": 20, "ranges": 5}])
+def test_latest_events_are_kept_in_one_pass(spark, cut):
+    rng = np.random.default_rng(8)
+    events = [(i, int(rng.integers(0, 3)) if i % 4 else 9, int(rng.integers(0, 6)), int(rng.integers(0, 40)), [float(i)]) for i in range(120)]
+    asked = [(i, int(rng.integers(0, 3)), int(rng.choice([0, 1, 2, 5, 9])), int(rng.integers(0, 45))) for i in range(90)]
+    got = temporal.recent_lists(spark.createDataFrame(asked, "eid long, side int, root long, root_ts long"), spark.createDataFrame(events, "eid long, src long, dst long, ts long, feat array<double>"), 4, **cut)
+    # no event is repeated for a question: events and questions meet in one sorted shuffle, without a join
+    assert cut or not any(x in got._jdf.queryExecution().executedPlan().toString() for x in ("Join", "Generate", "Window"))
+    found = {(r["eid"], r["side"]): [tuple(x) for x in r["near"]] for r in got.collect()}
+    for eid, side, root, at in asked:
+        before = sorted(((t, e, d, f) for e, s, d, t, f in events if s == root and t < at), reverse=True)[:4]
+        assert found[eid, side] == [(d, at - t, f) for t, e, d, f in before]
+    assert len(found) == len(asked)
+
+
+def test_memory_sent_to_tasks_scores_as_memory_joined(spark, tmp_path, monkeypatch):
+    def scores(limit):
+        monkeypatch.setattr(memory, "SMALL_ENTRIES", limit)
+        s = session(spark, str(tmp_path / str(limit)), "ctdg", "tgn")
+        s.run_epoch("train")
+        s.run("val")
+        return {(r["eid"], r["label"]): r["score"] for r in s.found.collect()}, s.losses
+
+    (sent, one), (joined, two) = scores(10**6), scores(0)
+    assert sent.keys() == joined.keys() and np.allclose([sent[k] for k in sent], [joined[k] for k in sent], atol=1e-12) and np.allclose(one, two)
