@@ -59,9 +59,9 @@ def contracted(nodes: DataFrame, edges: DataFrame, to: DataFrame) -> tuple[DataF
     return materialise(heavier), materialise(moved.groupBy("u", "v").agg(F.sum("w").alias("w")))
 
 
-def _held(edges: DataFrame, at: DataFrame) -> DataFrame:
-    """(u, part, w): edge weight of each node with each part."""
-    return _both(edges).join(at.select(F.col("node").alias("v"), "part"), "v").groupBy("u", "part").agg(F.sum("w").alias("w"))
+def _held(both: DataFrame, at: DataFrame) -> DataFrame:
+    """(u, part, w): edge weight of each node with each part, from edges in both directions."""
+    return both.join(at.select(F.col("node").alias("v"), "part"), "v").groupBy("u", "part").agg(F.sum("w").alias("w"))
 
 
 def _room(at: DataFrame, parts: int, limit: float) -> DataFrame:
@@ -74,10 +74,12 @@ def _room(at: DataFrame, parts: int, limit: float) -> DataFrame:
 def refined(at: DataFrame, edges: DataFrame, parts: int, limit: float, rounds: int, seed: int = 0) -> DataFrame:
     """(node, weight, part) after ``rounds`` rounds of moves that lower the cut, or as soon
     as no node wants to move either way."""
+    # every round reads a node's edges in one place, and shuffles a row for each node and part
+    both = materialise(_both(edges).repartition("u").sortWithinPartitions("u"))
     idle = 0
     for r in range(rounds):
         here = at.select(F.col("node").alias("u"), F.col("part").alias("own"), "weight")
-        held = _held(edges, at).join(here, "u")
+        held = _held(both, at).join(here, "u")
         way = F.col("part") > F.col("own") if r % 2 == 0 else F.col("part") < F.col("own")
         best = held.groupBy("u").agg(F.max(F.when(F.col("part") == F.col("own"), F.col("w"))).alias("stay"), F.max(F.when(way, F.struct("w", (-F.col("part")).alias("p")))).alias("go"), F.first("weight").alias("weight"))
         moves = best.where(F.col("go.w") > F.coalesce("stay", F.lit(0))).select(F.col("u").alias("node"), (-F.col("go.p")).alias("to"), "weight", F.pmod(mixed(F.col("u"), 101 + 7 * r + seed), F.lit(1 << 20)).alias("turn"))
@@ -95,6 +97,7 @@ def refined(at: DataFrame, edges: DataFrame, parts: int, limit: float, rounds: i
         moved = at.join(go, "node", "left").select("node", "weight", F.coalesce("to", "part").alias("part"))
         at = materialise(moved, replaces=at)
         discard(moves)
+    discard(both)
     return at
 
 
@@ -104,7 +107,7 @@ def balanced(at: DataFrame, edges: DataFrame, parts: int, limit: int) -> DataFra
     room = materialise(_room(at, parts, limit))
     if room.where("room < 0").isEmpty():
         return at
-    own = _held(edges, at).join(at.select(F.col("node").alias("u"), F.col("part").alias("own")), "u").where("part = own").select(F.col("u").alias("node"), "w")
+    own = _held(_both(edges), at).join(at.select(F.col("node").alias("u"), F.col("part").alias("own")), "u").where("part = own").select(F.col("u").alias("node"), "w")
     ranked = running_in(at.join(own, "node", "left").select("node", "part", F.coalesce("w", F.lit(0)).alias("w")), "part", ["w", "node"], "n")
     leave = ranked.join(F.broadcast(room.where("room < 0").select(F.col("to").alias("part"), (-F.col("room")).alias("over"))), "part").where("n < over").select("node", F.lit(0).alias("one"))
     numbered = materialise(running_in(leave, "one", ["node"], "k"))

@@ -165,3 +165,12 @@ def test_large_ids_are_drawn_for(spark):
     got = sp.negatives(edges, sp.pool(edges)).collect()
     assert len(got) == 9 and all(r["neg"] != r["dst"] for r in got)
     assert tp.uniform_k(edges, 2).count() == 16
+
+
+def test_multilevel_reads_each_level_from_one_written_table(spark, planted, monkeypatch):
+    held, read = ml._held, []
+    monkeypatch.setattr(ml, "_held", lambda edges, at: read.append(getattr(edges, "_chronoloom_path", None)) or held(edges, at))
+    nodes, links = ml.graph_of(planted)
+    at = nodes.withColumn("part", pt.hashed(F.col("node"), 4))
+    ml.refined(ml.materialise(at), links, 4, 44, 3)
+    assert len(read) >= 2 and len(set(read)) == 1 and read[0]
