@@ -280,3 +280,18 @@ def test_memory_sent_to_tasks_scores_as_memory_joined(spark, tmp_path, monkeypat
 
     (sent, one), (joined, two) = scores(10**6), scores(0)
     assert sent.keys() == joined.keys() and np.allclose([sent[k] for k in sent], [joined[k] for k in sent], atol=1e-12) and np.allclose(one, two)
+
+
+def test_preparing_reads_the_given_events_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    given = events(spark)
+    n = given.count()
+    s = Session.from_config(spark, {"mode": "dtdg", "model": "tgcn", "snaps": 4}, given.mapInArrow(seen, given.schema), str(tmp_path))
+    s.prepare_data()
+    assert read.value == n and s.build_runtime().tables["nodes"].count() > 0
