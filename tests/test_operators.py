@@ -417,6 +417,49 @@ def test_vectors_are_summed_in_one_row_for_each_node(spark, monkeypatch, small):
     assert {r["node"]: dict(enumerate(r["feat"])) for r in by_snap.collect()} == want
 
 
+@pytest.mark.parametrize("by", [[], ["snap"]])
+def test_parts_of_many_vectors_are_sent_to_the_edges(spark, monkeypatch, by):
+    held = {(s, t): [float(s + t + i) for i in range(s % 5)] for s in range(33) for t in range(2)} | {(3, 0): [1.0, None, 2.0]}
+    drawn = random.Random(3)
+    rows_ = [(drawn.randrange(36), 100 if n % 3 == 0 else None if n == 1 else 101 + n % 9, n % 2, float(n % 7)) for n in range(400)]
+    edges_ = spark.createDataFrame(rows_, "src long, dst long, snap long, norm double")
+    feats = spark.createDataFrame([(50, 0, None), *[(s, t, v) for (s, t), v in held.items()]], "node long, snap long, feat array<double>")
+    feats = feats if by else feats.where("snap = 0").drop("snap")
+    monkeypatch.setattr(ms, "ROW_ENTRIES", 1)
+    monkeypatch.setattr(ms, "SMALL_ENTRIES", 3 * feats.count())  # two of four components at once
+    want = {}
+    for s, d, t, n in rows_:
+        for i, x in enumerate(held.get((s, t if by else 0), [])):
+            own = want.setdefault((t, d) if by else (d,), {})
+            own[i] = own.get(i, 0.0) + (0.0 if x is None else n * x)
+    # target 100 is summed in parts, the others in buckets
+    assert len(ms.vector_parts(edges_, feats, by=by, hot_from=100)) == 2
+    whole = ms.propagate_vectors(edges_, feats, by=by, hot_from=100).collect()
+    assert {tuple(r[c] for c in [*by, "node"]): dict(enumerate(r["feat"])) for r in whole} == want
+    entries = ms.propagate_entries(edges_, feats, by=by, hot_from=100).collect()
+    assert {(*(r[c] for c in [*by, "node"]), r["i"]): r["x"] for r in entries} == {(*k, i): x for k, v in want.items() for i, x in v.items()}
+
+
+def test_no_vector_is_shuffled_with_an_edge(spark, monkeypatch, tmp_path):
+    from chronoloom.plans.graph_queries import QUERIES
+
+    drawn, sc = random.Random(5), spark.sparkContext._jsc.sc()
+    vectors = [(v, [drawn.random() for _ in range(64)]) for v in range(400)]
+    lines = [(drawn.randrange(400), drawn.randrange(3000), float(drawn.randrange(1, 50))) for _ in range(9000)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(ms, "SMALL_ENTRIES", 20_000)  # of 25,600
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sum(x.totalShuffleWrite() for x in map(executors().apply, range(executors().size())))
+
+    executors = lambda: sc.statusStore().executorList(False)
+    before = shuffled()
+    assert QUERIES["message_pass_whole_vectors"](spark, str(tmp_path)).agg(F.count("*")).first()[0] == 64 * len({d for _, d, _ in lines})
+    assert shuffled() - before < 64 * 8 * len(lines) / 8  # an eighth of the edges' vectors
+
+
 def test_links_of_a_session_are_made_once_for_all_epochs(spark, tmp_path, ring):
     calls = []
 
