@@ -65,3 +65,18 @@ def test_whole_vectors_are_passed(spark, data):
     size = spark.read.parquet(f"{data}/embeddings.parquet").selectExpr("max(size(embedding))").first()[0]
     got = QUERIES["message_pass_whole_vectors"](spark, data)
     assert sorted(x["i"] for x in got.select("i").distinct().collect()) == list(range(size))
+
+
+def test_vectors_are_passed_to_their_end(spark, data, tmp_path):
+    size = spark.read.parquet(f"{data}/embeddings.parquet").selectExpr("max(size(embedding))").first()[0]
+    assert {x["i"] for x in QUERIES["message_pass_vectors"](spark, data).select("i").distinct().collect()} == set(range(size))
+    # and vectors of other lengths
+    vectors = [(0, [0.5 + i for i in range(70)]), (1, [1.0, None, 3.0]), (2, []), (3, None), (4, [2.0] * 5)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    lines = [(s, d, float(3 * s + d)) for s in range(6) for d in range(4) if s != d] + [(1, 9, 2.0), (2, 8, 1.0)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    sql = duckdb.connect()
+    for t in ("embeddings", "lineitem"):
+        sql.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = rows(QUERIES["message_pass_vectors"](spark, str(tmp_path)).toPandas())
+    assert got == rows(sql.sql(ORACLES["message_pass_vectors"]).df()) and len(got[1]) == 3 * 70 + 5 + 3
